@@ -1,4 +1,4 @@
-"""Timestamp -> date and day-difference expressions."""
+"""Timestamp -> date and day-difference expressions (Column and SQL-text forms)."""
 
 from __future__ import annotations
 
@@ -6,13 +6,21 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DataType, DateType, StringType
 
 
-def to_utc_date(col: Column, dtype: DataType) -> Column:
-    """Calendar date of a booked/due value.
+def to_utc_date_sql(expr: str, dtype: DataType) -> str:
+    """Calendar date of a booked/due value, as SQL text.
 
     Dates pass through; timestamps are cast in the session time zone (which
     ``prepare`` requires to be UTC for zoned timestamps); ISO text such as
     ``2016-04-29T18:38:08Z`` is parsed first, keeping its offset.
     """
+    if isinstance(dtype, DateType):
+        return expr
+    if isinstance(dtype, StringType):
+        return f"to_date(to_timestamp({expr}))"
+    return f"CAST({expr} AS DATE)"
+
+
+def to_utc_date(col: Column, dtype: DataType) -> Column:
     if isinstance(dtype, DateType):
         return col
     if isinstance(dtype, StringType):
@@ -20,6 +28,10 @@ def to_utc_date(col: Column, dtype: DataType) -> Column:
     return col.cast("date")
 
 
-def lead_days(due_date: Column, booked_date: Column) -> Column:
+def lead_days_sql(due: str, booked: str) -> str:
     """Whole days from booking to due date (INT, negative when due first)."""
+    return f"datediff({due}, {booked})"
+
+
+def lead_days(due_date: Column, booked_date: Column) -> Column:
     return F.datediff(due_date, booked_date)

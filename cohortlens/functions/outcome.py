@@ -6,6 +6,15 @@ from typing import Mapping, Optional
 
 from pyspark.sql import Column, functions as F
 
+from .rules import sql_literal
+
+
+def outcome_flag_sql(expr: str, values: Optional[Mapping[str, bool]]) -> str:
+    if values is None:
+        return f"CAST({expr} AS BOOLEAN)"
+    whens = " ".join(f"WHEN {expr} = {sql_literal(t)} THEN {sql_literal(bool(b))}" for t, b in values.items())
+    return f"CASE {whens} ELSE CAST(NULL AS BOOLEAN) END"
+
 
 def outcome_flag(col: Column, values: Optional[Mapping[str, bool]]) -> Column:
     """Boolean outcome.  With a text mapping, values outside it become NULL."""

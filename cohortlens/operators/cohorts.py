@@ -15,15 +15,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import AuditParams, as_list
 from ..functions.measures import avg_where, pct, rate_where, rounded
+from ..functions.rules import ident
 from .prepare import qcol
 
 Dims = Union[str, Sequence[str]]
 
 
 def _order(df: DataFrame, dims: Sequence[str], order: bool) -> DataFrame:
+    """Ascending on every key, NULLs first (Spark's ascending default)."""
     if not order or not dims:
         return df
-    return df.orderBy(*[qcol(d).asc_nulls_first() for d in dims])
+    return df.orderBy(*[ident(d) for d in dims])
+
+
+def _round_sql(expr: str, digits: Optional[int]) -> str:
+    return expr if digits is None else f"round({expr}, {int(digits)})"
 
 
 def cohort_summary(
@@ -44,10 +50,10 @@ def cohort_summary(
     n = params.names
     dims = as_list(dims)
     digits = params.digits if digits is None else digits
-    cnt = F.count(F.lit(1)).alias(volume or n.volume)
-    mean = rounded(F.avg(F.col(n.lead)), digits).alias(avg or n.avg_lead)
+    cnt = F.expr(f"count(1) AS {ident(volume or n.volume)}")
+    mean = F.expr(f"{_round_sql(f'avg({ident(n.lead)})', digits)} AS {ident(avg or n.avg_lead)}")
     measures = [mean, cnt] if avg_first else [cnt, mean]
-    out = df.groupBy(*[qcol(d) for d in dims]).agg(*measures)
+    out = df.groupBy(*[ident(d) for d in dims]).agg(*measures)
     return _order(out, dims, order)
 
 
@@ -68,10 +74,11 @@ def rate_by(
     """
     dims = as_list(dims)
     digits = params.digits if digits is None else digits
-    o = F.col(params.names.outcome)
-    out = df.groupBy(*[qcol(d) for d in dims]).agg(
-        rounded(F.avg(F.when(o, F.lit(1.0)).otherwise(F.lit(0.0))) * F.lit(100.0), digits).alias(rate),
-        F.count(F.lit(1)).alias(volume),
+    o = ident(params.names.outcome)
+    mean = f"avg(CASE WHEN {o} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) * CAST(100 AS DOUBLE)"
+    out = df.groupBy(*[ident(d) for d in dims]).agg(
+        F.expr(f"{_round_sql(mean, digits)} AS {ident(rate)}"),
+        F.expr(f"count(1) AS {ident(volume)}"),
     )
     return _order(out, dims, order)
 
@@ -100,16 +107,17 @@ def rate_curve(
     """
     bucket = bucket or params.names.lead
     digits = params.digits if digits is None else digits
-    o = F.col(params.names.outcome)
-    out = (df.groupBy(F.col(bucket).alias(names.day))
-             .agg(F.count(F.lit(1)).alias(names.total),
-                  F.count_if(o).alias(names.missed),
-                  F.count_if(~o).alias(names.shown)))
-    out = out.withColumns({
-        names.missed_pct: rounded(pct(F.col(names.missed), F.col(names.total)), digits),
-        names.shown_pct: rounded(pct(F.col(names.shown), F.col(names.total)), digits),
-    })
-    # pct() is try_divide(n, d) * 100 = n / d * 100 in the audit's order
+    o = ident(params.names.outcome)
+    out = (df.groupBy(F.expr(f"{ident(bucket)} AS {ident(names.day)}"))
+             .agg(F.expr(f"count(1) AS {ident(names.total)}"),
+                  F.expr(f"count_if({o}) AS {ident(names.missed)}"),
+                  F.expr(f"count_if(NOT {o}) AS {ident(names.shown)}")))
+
+    def rate(num: str) -> str:  # n / d * 100, the audit's order; NULL if d = 0
+        return _round_sql(f"try_divide({ident(num)}, {ident(names.total)}) * CAST(100 AS DOUBLE)", digits)
+
+    out = out.selectExpr("*", f"{rate(names.missed)} AS {ident(names.missed_pct)}",
+                         f"{rate(names.shown)} AS {ident(names.shown_pct)}")
     return _order(out, [names.day], order)
 
 

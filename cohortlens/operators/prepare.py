@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import TimestampType
 
 from ..config import AuditParams, ColumnMap, WAREHOUSE_COLUMNS, check_scope
-from ..functions.dates import lead_days, to_utc_date
-from ..functions.outcome import outcome_flag
+from ..functions.dates import lead_days_sql, to_utc_date_sql
+from ..functions.outcome import outcome_flag_sql
+from ..functions.rules import ident
 from ..session import check_utc
 
 
@@ -39,33 +40,38 @@ def prepare(
         if isinstance(types[c], TimestampType):
             # zoned timestamps: the calendar date depends on the session zone
             check_utc(df.sparkSession)
-    booked = to_utc_date(qcol(cmap.booked_at), types[cmap.booked_at])
-    due = to_utc_date(qcol(cmap.due_at), types[cmap.due_at])
-    cols = [qcol(cmap.key).alias(cmap.key)]
+    booked = to_utc_date_sql(ident(cmap.booked_at), types[cmap.booked_at])
+    due = to_utc_date_sql(ident(cmap.due_at), types[cmap.due_at])
+    cols = [ident(cmap.key)]
     if cmap.entity:
-        cols.append(qcol(cmap.entity).alias(cmap.entity))
-    cols += [qcol(a).alias(a) for a in cmap.attributes if a in types]
+        cols.append(ident(cmap.entity))
+    cols += [ident(a) for a in cmap.attributes if a in types]
     cols += [
-        outcome_flag(qcol(cmap.outcome), cmap.outcome_values).alias(n.outcome),
-        booked.alias(n.booked_date),
-        due.alias(n.due_date),
-        lead_days(due, booked).alias(n.lead),
+        f"{outcome_flag_sql(ident(cmap.outcome), cmap.outcome_values)} AS {ident(n.outcome)}",
+        f"{booked} AS {ident(n.booked_date)}",
+        f"{due} AS {ident(n.due_date)}",
+        f"{lead_days_sql(due, booked)} AS {ident(n.lead)}",
     ]
-    out = df.select(*cols)
+    out = df.selectExpr(*cols)
+    conds = []
     if scope != "raw":
-        out = out.where(F.col(n.lead) >= 0)
+        conds.append(f"{ident(n.lead)} >= 0")
     if scope == "production":
         if not cmap.entity:
             raise ValueError("production scope needs an entity column")
-        out = out.where(qcol(cmap.entity).isNotNull())
-    return out
+        conds.append(f"{ident(cmap.entity)} IS NOT NULL")
+    return out.where(" AND ".join(conds)) if conds else out
 
 
-def flag_has(df: DataFrame, params: AuditParams = AuditParams()) -> DataFrame:
+def has_flags(params: AuditParams = AuditParams()) -> dict:
     """Condition flags as 0/1 INT columns ``has_<condition>`` (enriched-table shape)."""
     h, d, a = params.conditions
-    return df.withColumns({
-        "has_diabetes": qcol(d).cast("int"),
-        "has_hypertension": qcol(h).cast("int"),
-        "has_alcoholism": qcol(a).cast("int"),
-    })
+    return {
+        "has_diabetes": F.expr(f"CAST({ident(d)} AS INT)"),
+        "has_hypertension": F.expr(f"CAST({ident(h)} AS INT)"),
+        "has_alcoholism": F.expr(f"CAST({ident(a)} AS INT)"),
+    }
+
+
+def flag_has(df: DataFrame, params: AuditParams = AuditParams()) -> DataFrame:
+    return df.withColumns(has_flags(params))

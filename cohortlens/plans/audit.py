@@ -19,10 +19,10 @@ from ..operators.cohorts import (
 )
 from ..operators.cube import AuditSpec, CohortCube
 from ..operators.exposure import EXPOSURE_DIMS, exposure_summary, fiscal_leak, fiscal_leak_total
-from ..operators.prepare import flag_has, prepare, qcol
+from ..functions.rules import reference_segments
+from ..operators.prepare import has_flags, prepare, qcol
 from ..operators.quality import duplicate_keys, integrity_check, outcome_report, scope_report
 from ..operators.reconcile import reconcile, reference_metrics, scorecard_summary
-from ..operators.segment import segment
 
 N_STATUS = "no_show_status"
 
@@ -67,9 +67,12 @@ class Audit:
     # -- layers -----------------------------------------------------------------
     def base(self, scope: str = "valid") -> DataFrame:
         """prepare -> segment (+ has_* flags, ``patient_acuity``): the enriched view."""
-        seg = segment(flag_has(prepare(self.events, self.cmap, scope, self.params), self.params),
-                      params=self.params)
-        return seg.withColumn("patient_acuity", F.col(self.params.names.tier))
+        p = self.params
+        rules = reference_segments(p)
+        layers = {name: rule.column() for name, rule in rules.items()}
+        layers["patient_acuity"] = rules[p.names.tier].column()
+        layers.update(has_flags(p))
+        return prepare(self.events, self.cmap, scope, p).withColumns(layers)
 
     def cube(self) -> CohortCube:
         return CohortCube.build(self.base("raw"), self.cmap, self.params)

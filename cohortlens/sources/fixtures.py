@@ -5,58 +5,69 @@ F2 ``shipment_view``: one appointment per line item, booked on the order
     date and due on the ship date (a real join, real date spread).
 F3 ``line_keys``: line items keyed by (order, line number) — not unique.
 
-Every column is a JVM expression over the scan, so Catalyst prunes the scan
-to the two or three source columns an audit actually needs.
+Every column is a SQL expression over the scan (one ``selectExpr``), so
+Catalyst prunes the scan to the two or three source columns an audit
+actually needs.  Tables are read with their known schema: no footer read
+for inference, and a drifted file fails loudly instead of changing types.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+TABLE_SCHEMAS = {
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+                "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+                "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    schema = TABLE_SCHEMAS.get(name)
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+
+
+def _threshold(g: str) -> str:
+    # planted no-show probability (%) by lead day: 5 on day <= 0, 25 on days 1-9, 33 from day 10
+    return f"CASE WHEN {g} <= 0 THEN 5 WHEN {g} < 10 THEN 25 ELSE 33 END"
 
 
-def _miss_threshold(lead: Column) -> Column:
-    # planted no-show probability (%) by lead day: ~5 on day <= 0, 25 on days 1-9, 33 from day 10
-    return F.when(lead <= 0, 5).when(lead < 10, 25).otherwise(33)
+def _attributes(k: str, c: str) -> list:
+    return [
+        f"CASE WHEN {k} % 1000 = 7 THEN CAST(NULL AS BIGINT) ELSE {c} END AS PatientId",
+        f"CASE WHEN {c} % 3 = 0 THEN 'M' ELSE 'F' END AS Gender",
+    ]
 
 
-def _attributes(k: Column, c: Column) -> dict:
-    return {
-        "PatientId": F.when(k % 1000 == 7, F.lit(None).cast("long")).otherwise(c),
-        "Gender": F.when(c % 3 == 0, F.lit("M")).otherwise(F.lit("F")),
-        "Age": (c % 95).cast("int"),
-        "Scholarship": F.when(c % 10 == 0, 1).otherwise(0),
-        "Hipertension": F.when(c % 5 == 0, 1).otherwise(0),
-        "Diabetes": F.when(c % 15 == 0, 1).otherwise(0),
-        "Alcoholism": F.when(c % 30 == 0, 1).otherwise(0),
-        "Handcap": F.when(c % 49 == 0, 2).otherwise(0),
-    }
+def _flags(c: str) -> list:
+    return [
+        f"CAST({c} % 95 AS INT) AS Age",
+        f"CASE WHEN {c} % 10 = 0 THEN 1 ELSE 0 END AS Scholarship",
+        f"CASE WHEN {c} % 5 = 0 THEN 1 ELSE 0 END AS Hipertension",
+        f"CASE WHEN {c} % 15 = 0 THEN 1 ELSE 0 END AS Diabetes",
+        f"CASE WHEN {c} % 30 = 0 THEN 1 ELSE 0 END AS Alcoholism",
+        f"CASE WHEN {c} % 49 = 0 THEN 2 ELSE 0 END AS Handcap",
+    ]
 
 
 def appointment_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the appointments table shape (``No-show`` BOOLEAN) over ``orders``."""
     o = read_table(spark, sf_dir, "orders")
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    g = ((k * 37) % 63 - 2).cast("int")
-    sched = F.col("o_orderdate").cast("date")
-    attrs = _attributes(k, c)
-    return o.select(
-        attrs["PatientId"].alias("PatientId"),
-        k.alias("AppointmentID"),
-        attrs["Gender"].alias("Gender"),
-        sched.alias("ScheduledDay"),
-        F.date_add(sched, g).alias("AppointmentDay"),
-        attrs["Age"].alias("Age"),
-        attrs["Scholarship"].alias("Scholarship"),
-        attrs["Hipertension"].alias("Hipertension"),
-        attrs["Diabetes"].alias("Diabetes"),
-        attrs["Alcoholism"].alias("Alcoholism"),
-        attrs["Handcap"].alias("Handcap"),
-        F.when((g >= 3) & (k % 3 == 0), 1).otherwise(0).alias("SMS_received"),
-        (((k * 7919) % 100) < _miss_threshold(g)).alias("No-show"),
+    g = "CAST((o_orderkey * 37) % 63 - 2 AS INT)"
+    sched = "CAST(o_orderdate AS DATE)"
+    pid, gender = _attributes("o_orderkey", "o_custkey")
+    return o.selectExpr(
+        pid,
+        "o_orderkey AS AppointmentID",
+        gender,
+        f"{sched} AS ScheduledDay",
+        f"date_add({sched}, {g}) AS AppointmentDay",
+        *_flags("o_custkey"),
+        f"CASE WHEN {g} >= 3 AND o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS SMS_received",
+        f"(o_orderkey * 7919) % 100 < {_threshold(g)} AS `No-show`",
     )
 
 
@@ -69,25 +80,18 @@ def shipment_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
     j = li.join(o, li["l_orderkey"] == o["o_orderkey"], "inner")
-    k, c, ln = F.col("o_orderkey"), F.col("o_custkey"), F.col("l_linenumber")
-    sched = F.col("o_orderdate").cast("date")
-    due = F.col("l_shipdate").cast("date")
-    lead = F.datediff(due, sched)
-    attrs = _attributes(k, c)
-    return j.select(
-        attrs["PatientId"].alias("PatientId"),
-        (k * 100 + ln).alias("AppointmentID"),
-        attrs["Gender"].alias("Gender"),
-        sched.alias("ScheduledDay"),
-        due.alias("AppointmentDay"),
-        attrs["Age"].alias("Age"),
-        attrs["Scholarship"].alias("Scholarship"),
-        attrs["Hipertension"].alias("Hipertension"),
-        attrs["Diabetes"].alias("Diabetes"),
-        attrs["Alcoholism"].alias("Alcoholism"),
-        attrs["Handcap"].alias("Handcap"),
-        F.when((lead >= 3) & (k % 3 == 0), 1).otherwise(0).alias("SMS_received"),
-        (((k * 7919 + ln) % 100) < _miss_threshold(lead)).alias("No-show"),
+    sched, due = "CAST(o_orderdate AS DATE)", "CAST(l_shipdate AS DATE)"
+    lead = f"datediff({due}, {sched})"
+    pid, gender = _attributes("o_orderkey", "o_custkey")
+    return j.selectExpr(
+        pid,
+        "o_orderkey * 100 + l_linenumber AS AppointmentID",
+        gender,
+        f"{sched} AS ScheduledDay",
+        f"{due} AS AppointmentDay",
+        *_flags("o_custkey"),
+        f"CASE WHEN {lead} >= 3 AND o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS SMS_received",
+        f"(o_orderkey * 7919 + l_linenumber) % 100 < {_threshold(lead)} AS `No-show`",
     )
 
 
