@@ -53,3 +53,19 @@ def cube_rate(cnt: Column, outcome: Column, cond: Optional[Column] = None) -> Co
         return pct(F.sum(F.when(outcome, cnt).otherwise(F.lit(0))), F.sum(cnt))
     return pct(F.sum(F.when(cond & outcome, cnt).otherwise(F.lit(0))),
                F.sum(F.when(cond, cnt).otherwise(F.lit(0))))
+
+
+# SQL-text forms (one ``expr`` call each instead of a chain of Column calls)
+def round_sql(expr: str, digits: Optional[int]) -> str:
+    return expr if digits is None else f"round({expr}, {int(digits)})"
+
+
+def avg_where_sql(x: str, cond: str) -> str:
+    return f"avg(CASE WHEN {cond} THEN {x} END)"
+
+
+def rate_where_sql(outcome: str, cond: Optional[str] = None) -> str:
+    """Outcome rate in % over rows matching ``cond`` (n / d * 100; NULL when d = 0)."""
+    if cond is None:
+        return f"try_divide(count_if({outcome}), count(1)) * CAST(100 AS DOUBLE)"
+    return f"try_divide(count_if(({cond}) AND {outcome}), count_if({cond})) * CAST(100 AS DOUBLE)"

@@ -14,8 +14,10 @@ from typing import Optional, Sequence, Tuple, Union
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import AuditParams, as_list
-from ..functions.measures import avg_where, pct, rate_where, rounded
-from ..functions.rules import ident
+from ..functions.measures import (
+    avg_where, avg_where_sql, pct, rate_where, rate_where_sql, round_sql, rounded,
+)
+from ..functions.rules import ident, sql_literal
 from .prepare import qcol
 
 Dims = Union[str, Sequence[str]]
@@ -173,59 +175,60 @@ def cohort_metric(
 
 @dataclass(frozen=True)
 class Gap:
-    """Two figures of one audit compared: ``gap = a - b``, ``gap_pct = gap / b * 100``."""
+    """Two figures of one audit compared: ``gap = a - b``, ``gap_pct = gap / b * 100``.
+
+    ``a`` and ``b`` are aggregate expressions (SQL text or ``Column``).
+    """
 
     label: str
-    a: Column
-    b: Column
+    a: Union[Column, str]
+    b: Union[Column, str]
+
 
+def _agg_col(e: Union[Column, str]) -> Column:
+    return F.expr(e) if isinstance(e, str) else e
 
-def avg_lead_of(where: Column, params: AuditParams = AuditParams(), digits: Optional[int] = 1) -> Column:
+
+def avg_lead_of(where: str, params: AuditParams = AuditParams(), digits: Optional[int] = 1) -> str:
     """Rounded mean lead time of a cohort (as read from a rounded audit table)."""
-    return rounded(avg_where(F.col(params.names.lead), where), digits)
+    return round_sql(avg_where_sql(ident(params.names.lead), where), digits)
 
 
-def rate_of(where: Column, params: AuditParams = AuditParams(), digits: Optional[int] = None) -> Column:
-    return rounded(rate_where(F.col(params.names.outcome), where), digits)
+def rate_of(where: str, params: AuditParams = AuditParams(), digits: Optional[int] = None) -> str:
+    return round_sql(rate_where_sql(ident(params.names.outcome), where), digits)
 
 
 def cohort_gaps(df: DataFrame, gaps: Sequence[Gap], digits: Optional[int] = None) -> DataFrame:
     """All gaps from ONE aggregate pass, returned long: label, a, b, gap, gap_pct."""
     aggs = []
     for i, g in enumerate(gaps):
-        aggs += [g.a.cast("double").alias(f"_a{i}"), g.b.cast("double").alias(f"_b{i}")]
+        aggs += [_agg_col(g.a).cast("double").alias(f"_a{i}"), _agg_col(g.b).cast("double").alias(f"_b{i}")]
     wide = df.agg(*aggs)
-    rows = F.array(*[
-        F.struct(F.lit(g.label).alias("label"), F.col(f"_a{i}").alias("a"), F.col(f"_b{i}").alias("b"))
-        for i, g in enumerate(gaps)
-    ])
-    long = wide.select(F.inline(rows))
-    long = long.withColumns({
-        "gap": F.col("a") - F.col("b"),
-    }).withColumn("gap_pct", F.try_divide(F.col("gap"), F.col("b")) * F.lit(100.0))
-    if digits is not None:
-        long = long.select("label", *[F.round(c, digits).alias(c) for c in ("a", "b", "gap", "gap_pct")])
-    return long
+    rows = ", ".join(f"struct({sql_literal(g.label)} AS label, _a{i} AS a, _b{i} AS b)"
+                     for i, g in enumerate(gaps))
+    long = wide.selectExpr(f"inline(array({rows}))")
+    r = (lambda e: e) if digits is None else (lambda e: f"round({e}, {int(digits)})")
+    return long.selectExpr("label", f"{r('a')} AS a", f"{r('b')} AS b", f"{r('a - b')} AS gap",
+                           f"{r('try_divide(a - b, b) * CAST(100 AS DOUBLE)')} AS gap_pct")
 
 
 def reference_gaps(params: AuditParams = AuditParams()) -> Tuple[Gap, ...]:
     """The audit's published comparisons (AUD-4A-b, 6A-b, 6b, 7b, 8b) over a segmented V-scope frame."""
     n = params.names
-    o = F.col(n.outcome)
-    h, d, a = (qcol(c) for c in params.conditions)
-    sms = qcol(params.sms)
-    dis = F.col(n.disabled)
-    minor = F.col(n.age_class) == F.lit(params.labels["minor"])
-    adult = F.col(n.age_class) == F.lit(params.labels["adult"])
+    o = ident(n.outcome)
+    h, d, a = (ident(c) for c in params.conditions)
+    sms, dis, age = ident(params.sms), ident(n.disabled), ident(n.age_class)
+    minor = f"{age} = {sql_literal(params.labels['minor'])}"
+    adult = f"{age} = {sql_literal(params.labels['adult'])}"
     return (
         Gap("condition_compression",
-            avg_lead_of(o & (d == 0) & (h == 0) & (a == 0), params),
-            avg_lead_of(o & (d == 1) & (h == 1) & (a == 1), params)),
-        Gap("reminder_penalty", rate_of(sms == 1, params, 1), rate_of(sms == 0, params, 1)),
-        Gap("reminded_missed_lead_vs_wall", avg_lead_of(o & (sms == 1), params),
-            F.lit(float(params.wall))),
-        Gap("disability_compression", avg_lead_of(o & (dis == 0), params),
-            avg_lead_of(o & (dis == 1), params)),
+            avg_lead_of(f"{o} AND {d} = 0 AND {h} = 0 AND {a} = 0", params),
+            avg_lead_of(f"{o} AND {d} = 1 AND {h} = 1 AND {a} = 1", params)),
+        Gap("reminder_penalty", rate_of(f"{sms} = 1", params, 1), rate_of(f"{sms} = 0", params, 1)),
+        Gap("reminded_missed_lead_vs_wall", avg_lead_of(f"{o} AND {sms} = 1", params),
+            f"CAST({int(params.wall)} AS DOUBLE)"),
+        Gap("disability_compression", avg_lead_of(f"{o} AND {dis} = 0", params),
+            avg_lead_of(f"{o} AND {dis} = 1", params)),
         Gap("advocacy_gap", rate_of(minor, params), rate_of(adult, params)),
     )
 

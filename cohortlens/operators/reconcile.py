@@ -1,7 +1,7 @@
 """CHK-1 / CHK-2: metrics vs expected values with tolerances.
 
-Metrics come from ONE aggregate over the raw-scope frame (the distinct count
-rides along as Spark's single-distinct plan), are turned long with
+Metrics come from one global aggregate over the raw-scope frame plus the
+key-only integrity check for the distinct count, are turned long with
 ``inline``, and meet the expected values in a join against a table whose
 size is the number of checkpoints.  A metric that is NULL (empty cohort)
 fails its check instead of raising.
@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..config import AuditParams, ColumnMap, REFERENCE_CHECKPOINTS, WAREHOUSE_COLUMNS
-from ..functions.measures import avg_where, rate_where, rounded
+from ..functions.measures import avg_where_sql, rate_where_sql, round_sql, rounded
+from ..functions.rules import ident, sql_literal
 from .prepare import qcol
+from .quality import integrity_check
 
 Expected = Union[DataFrame, Sequence[Tuple[str, float, float]]]
 
@@ -48,36 +50,45 @@ def reference_metrics(
     cmap: ColumnMap = WAREHOUSE_COLUMNS,
     params: AuditParams = AuditParams(),
 ) -> DataFrame:
-    """The 13 published checkpoints' actual values, from a raw-scope segmented frame."""
+    """The 13 published checkpoints' actual values, from a raw-scope segmented frame.
+
+    Twelve come from one global aggregate (map-side partials, a one-row
+    exchange).  The distinct-key count comes from ``integrity_check``, which
+    shuffles the key column alone — folding a distinct count into the big
+    aggregate would drag every other partial buffer through a per-key shuffle.
+    """
     n = params.names
-    lead, o = F.col(n.lead), F.col(n.outcome)
-    valid = lead >= 0
-    h, d, a = (qcol(c) for c in params.conditions)
-    sms, dis = qcol(params.sms), F.col(n.disabled)
-    minor = F.col(n.age_class) == F.lit(params.labels["minor"])
-    adult = F.col(n.age_class) == F.lit(params.labels["adult"])
+    lead, o = ident(n.lead), ident(n.outcome)
+    valid = f"{lead} >= 0"
+    h, d, a = (ident(c) for c in params.conditions)
+    sms, dis, age = ident(params.sms), ident(n.disabled), ident(n.age_class)
     dg = params.digits
 
     def lead_of(cond):
-        return rounded(avg_where(lead, valid & o & cond), dg)
+        return round_sql(avg_where_sql(lead, f"{valid} AND {o} AND {cond}"), dg)
+
+    def rate(cond, digits=dg):
+        return round_sql(rate_where_sql(o, f"{valid} AND {cond}"), digits)
 
     labels = [lbl for lbl, _, _ in REFERENCE_CHECKPOINTS]
-    exprs = [
-        F.count(F.lit(1)),
-        F.count_distinct(qcol(cmap.key)),
-        F.count_if(valid),
-        lead_of((d == 1) & (h == 1) & (a == 1)),
-        lead_of((d == 0) & (h == 0) & (a == 0)),
-        rounded(rate_where(o, valid & (lead == F.lit(params.wall))), dg),
-        rounded(rate_where(o, valid & (sms == 1)), dg),
-        rounded(rate_where(o, valid & (sms == 0)), dg),
-        lead_of(sms == 1),
-        lead_of(dis == 1),
-        lead_of(dis == 0),
-        rate_where(o, valid & minor),
-        rate_where(o, valid & adult),
-    ]
-    return metrics_frame(seg_raw, list(zip(labels, exprs)))
+    exprs = {
+        labels[0]: "count(1)",
+        labels[2]: f"count_if({valid})",
+        labels[3]: lead_of(f"{d} = 1 AND {h} = 1 AND {a} = 1"),
+        labels[4]: lead_of(f"{d} = 0 AND {h} = 0 AND {a} = 0"),
+        labels[5]: rate(f"{lead} = {int(params.wall)}"),
+        labels[6]: rate(f"{sms} = 1"),
+        labels[7]: rate(f"{sms} = 0"),
+        labels[8]: lead_of(f"{sms} = 1"),
+        labels[9]: lead_of(f"{dis} = 1"),
+        labels[10]: lead_of(f"{dis} = 0"),
+        labels[11]: rate(f"{age} = {sql_literal(params.labels['minor'])}", None),
+        labels[12]: rate(f"{age} = {sql_literal(params.labels['adult'])}", None),
+    }
+    wide = seg_raw.agg(*[F.expr(f"CAST({e} AS DOUBLE) AS _m{i}") for i, e in enumerate(exprs.values())])
+    main = long_metrics(wide, [(lbl, f"_m{i}") for i, lbl in enumerate(exprs)])
+    distinct = long_metrics(integrity_check(seg_raw, cmap.key), [(labels[1], "distinct_keys")])
+    return main.unionByName(distinct)
 
 
 def _expected_frame(spark, expected: Expected) -> DataFrame:
