@@ -108,6 +108,8 @@ class AuditParams:
     pre: Tuple[int, int] = PRE_WALL_DAYS
     post: Tuple[int, int] = POST_WALL_DAYS
     digits: int = 1
+    # cube cells keep lead days exactly up to lead_cap (walls up to lead_cap + 1)
+    lead_cap: int = 60
     payer: str = "Scholarship"
     rate_card: Tuple[Tuple[int, int], ...] = ((1, SCHOLARSHIP_RATE),)
     default_rate: int = DEFAULT_RATE

@@ -1,18 +1,27 @@
 """ONE-1: the cohort cube — one scan of the events serves every audit.
 
-Every audit measure except the distinct-key count is a function of the row
-count per (cohort keys x outcome x lead day).  ``CohortCube.build`` is one
-``groupBy(keys).count()``: a map-side partial aggregate, then a shuffle of at
-most (cells x map tasks) rows.  The number of cells is bounded by the key
-domains (ten two- or three-valued keys) times the distinct lead days — it
-does not grow with the row count.  Audits then re-aggregate the cells:
-
-* n = sum(cnt); mean lead = sum(cnt * lead) / sum(cnt) (exact integer sums);
+Every audit measure except the distinct-key count is a function of counts
+per cohort cell, so the cube is one aggregate over the events with two
+grouping sets, computed from the same scan:
+
+* **cohort cells**: (10 cohort keys, entity present, outcome, lead band
+  key) -> ``cnt``, ``sum_lead``.  The lead key is the lead day clipped to
+  ``[-1, lead_cap + 1]`` (-1 = negative lead, ``lead_cap + 1`` = beyond the
+  cap); ``sum_lead`` keeps the exact lead sum, so means stay exact, and the
+  wall band stays exact for any wall day up to ``lead_cap + 1``.
+* **curve cells**: (entity present, outcome, exact lead day) -> ``cnt`` —
+  the per-day curve needs every day but none of the cohort keys.
+
+Both sets are bounded by key domains (2^10 x ``lead_cap + 3`` and
+3 x 2 x distinct lead days), never by the row count, so each map task's
+partial aggregate collapses its rows to at most that many cells before the
+shuffle, however the lead days spread.  Audits re-aggregate cells:
+
+* n = sum(cnt); mean lead = sum(sum_lead) / sum(cnt) (exact integer sums);
 * rate = sum(cnt where outcome) / sum(cnt) * 100.
 
-The wall band and acuity tier are derived from cell keys at roll-up time,
-so the wall day can change after the build.  Negative and NULL lead days
-stay in the cube, so scope accounting comes from it too.
+Negative and NULL lead days stay in the cube, so scope accounting comes from
+it too.
 """
 
 from __future__ import annotations
@@ -23,13 +32,16 @@ from typing import Optional, Sequence, Tuple
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import AuditParams, ColumnMap, WAREHOUSE_COLUMNS, as_list, check_scope
-from ..functions.measures import cube_avg, cube_rate, pct, rounded, share_pct
-from ..functions.rules import band_rule, tier_rule
+from ..functions.measures import pct, rounded, share_pct
+from ..functions.rules import band_rule, ident, tier_rule
 from .cohorts import CurveNames, _order
 from .exposure import EXPOSURE_DIMS, rate_expr
 from .prepare import qcol
 
 CNT = "cnt"
+SUM_LEAD = "sum_lead"
+KIND = "cell_kind"
+LEAD_DAY = "lead_day"
 
 
 @dataclass(frozen=True)
@@ -46,19 +58,35 @@ class AuditSpec:
 
 
 def cube_keys(cmap: ColumnMap = WAREHOUSE_COLUMNS, params: AuditParams = AuditParams()) -> Tuple[str, ...]:
+    """The cohort keys of the cube (besides entity presence, outcome and lead)."""
     n = params.names
     h, d, a = params.conditions
-    return (params.payer, params.gender, d, h, a, params.sms, n.disabled, n.age_class,
-            n.entity_present, n.outcome, n.lead)
+    return (params.payer, params.gender, d, h, a, params.sms, n.disabled, n.age_class)
+
+
+def _cell_avg(cond: Optional[Column] = None) -> Column:
+    """Exact mean lead from cells: sum(sum_lead) / sum(cnt) over cells with a lead."""
+    has = F.col(SUM_LEAD).isNotNull()
+    w = has if cond is None else (cond & has)
+    return F.try_divide(F.sum(F.when(w, F.col(SUM_LEAD))), F.sum(F.when(w, F.col(CNT))))
+
+
+def _cell_rate(outcome: Column) -> Column:
+    cnt = F.col(CNT)
+    return pct(F.sum(F.when(outcome, cnt).otherwise(F.lit(0))), F.sum(cnt))
 
 
 class CohortCube:
     """Counts per cohort cell; build once, roll up many times."""
 
-    def __init__(self, cells: DataFrame, cmap: ColumnMap, params: AuditParams):
+    def __init__(self, cells: DataFrame, cmap: ColumnMap, params: AuditParams, lead_cap: Optional[int] = None):
         self.cells = cells
         self.cmap = cmap
         self.params = params
+        self.lead_cap = params.lead_cap if lead_cap is None else lead_cap
+        if params.wall > self.lead_cap + 1:
+            raise ValueError(f"wall day {params.wall} is beyond the cube's lead cap "
+                             f"{self.lead_cap} + 1; rebuild with a larger AuditParams.lead_cap")
 
     # -- build -----------------------------------------------------------
     @classmethod
@@ -70,27 +98,54 @@ class CohortCube:
     ) -> "CohortCube":
         """From ``segment(prepare(df, scope='raw'))``: one aggregate, lazily."""
         n = params.names
-        ent = qcol(cmap.entity).isNotNull() if cmap.entity else F.lit(True)
-        base = seg_raw.withColumn(n.entity_present, ent)
-        cells = base.groupBy(*[qcol(k) for k in cube_keys(cmap, params)]).agg(
-            F.count(F.lit(1)).alias(CNT))
-        return cls(cells, cmap, params)
+        cap = int(params.lead_cap)
+        lead = ident(n.lead)
+        ent = f"{ident(cmap.entity)} IS NOT NULL" if cmap.entity else "TRUE"
+        keys = [ident(k) for k in cube_keys(cmap, params)]
+        base = seg_raw.selectExpr(
+            *keys,
+            f"{ent} AS {ident(n.entity_present)}",
+            ident(n.outcome),
+            f"CASE WHEN {lead} < 0 THEN -1 WHEN {lead} > {cap} THEN {cap + 1} ELSE {lead} END AS {lead}",
+            f"{lead} AS {LEAD_DAY}",
+        )
+        common = [ident(n.entity_present), ident(n.outcome)]
+        cohort_set = keys + common + [lead]
+        curve_set = common + [LEAD_DAY]
+        cells = base.groupingSets([cohort_set, curve_set], *(keys + common + [lead, LEAD_DAY])).agg(
+            F.expr(f"count(1) AS {CNT}"),
+            F.expr(f"sum({LEAD_DAY}) AS {SUM_LEAD}"),
+            F.expr(f"CASE WHEN grouping({LEAD_DAY}) = 1 THEN 'cohort' ELSE 'curve' END AS {KIND}"),
+        )
+        return cls(cells, cmap, params, cap)
+
+    def with_params(self, params: AuditParams) -> "CohortCube":
+        """The same cells read with other labels / wall day (wall <= lead_cap + 1)."""
+        return CohortCube(self.cells, self.cmap, params, self.lead_cap)
 
     def materialize(self) -> "CohortCube":
         """Write the cells to the shared checkpoint folder and read them back from there."""
         from ..sinks.feed import materialize
-        return CohortCube(materialize(self.cells), self.cmap, self.params)
+        return CohortCube(materialize(self.cells), self.cmap, self.params, self.lead_cap)
 
     # -- scoped cells with derived labels -------------------------------
-    def scoped(self, scope: str = "valid") -> DataFrame:
-        check_scope(scope)
-        p, n = self.params, self.params.names
-        c = self.cells
+    def _scope(self, c: DataFrame, lead: str, scope: str) -> DataFrame:
+        n = self.params.names
         if scope != "raw":
-            c = c.where(F.col(n.lead) >= 0)
+            c = c.where(F.col(lead) >= 0)
         if scope == "production":
             c = c.where(F.col(n.entity_present))
-        return self._labels(c)
+        return c
+
+    def scoped(self, scope: str = "valid") -> DataFrame:
+        """Cohort cells of a scope, with band / tier / has_* columns derived."""
+        check_scope(scope)
+        c = self.cells.where(F.col(KIND) == "cohort")
+        return self._labels(self._scope(c, self.params.names.lead, scope))
+
+    def curve_cells(self, scope: str = "valid") -> DataFrame:
+        check_scope(scope)
+        return self._scope(self.cells.where(F.col(KIND) == "curve"), LEAD_DAY, scope)
 
     def _labels(self, c: DataFrame) -> DataFrame:
         p, n = self.params, self.params.names
@@ -105,6 +160,15 @@ class CohortCube:
             "has_alcoholism": qcol(a).cast("int"),
         })
 
+    def _is_curve(self, dims: Sequence[str]) -> bool:
+        n = self.params.names
+        if n.lead not in dims:
+            return False
+        if not set(dims) <= {n.lead, n.outcome, n.entity_present}:
+            raise ValueError(f"cube cells keep exact lead days only with {n.outcome}/{n.entity_present}; "
+                             f"group {list(dims)} directly on the events instead")
+        return True
+
     # -- roll-ups ------------------------------------------------------------
     def summary(self, dims, scope: str = "valid", missed_only: bool = False,
                 volume: Optional[str] = None, avg: Optional[str] = None,
@@ -112,12 +176,14 @@ class CohortCube:
         """Same rows as ``cohort_summary`` over the same scope."""
         n = self.params.names
         dims = as_list(dims)
-        c = self.scoped(scope)
+        if self._is_curve(dims):
+            c = self.curve_cells(scope).withColumn(n.lead, F.col(LEAD_DAY))
+        else:
+            c = self.scoped(scope)
         if missed_only:
             c = c.where(F.col(n.outcome))
-        cnt = F.col(CNT)
-        vol = F.sum(cnt).alias(volume or n.volume)
-        mean = rounded(cube_avg(cnt, F.col(n.lead)), self.params.digits).alias(avg or n.avg_lead)
+        vol = F.sum(CNT).alias(volume or n.volume)
+        mean = rounded(_cell_avg(), self.params.digits).alias(avg or n.avg_lead)
         out = c.groupBy(*[qcol(x) for x in dims]).agg(*([mean, vol] if avg_first else [vol, mean]))
         return _order(out, dims, order)
 
@@ -128,17 +194,16 @@ class CohortCube:
                 volume: str = "total_appointments", order: bool = True) -> DataFrame:
         n = self.params.names
         dims = as_list(dims)
-        cnt = F.col(CNT)
         out = self.scoped(scope).groupBy(*[qcol(x) for x in dims]).agg(
-            rounded(cube_rate(cnt, F.col(n.outcome)), self.params.digits).alias(rate),
-            F.sum(cnt).alias(volume))
+            rounded(_cell_rate(F.col(n.outcome)), self.params.digits).alias(rate),
+            F.sum(CNT).alias(volume))
         return _order(out, dims, order)
 
     def curve(self, scope: str = "valid", names: CurveNames = CurveNames(), order: bool = True) -> DataFrame:
         n = self.params.names
         cnt, o = F.col(CNT), F.col(n.outcome)
         dg = self.params.digits
-        out = self.scoped(scope).groupBy(F.col(n.lead).alias(names.day)).agg(
+        out = self.curve_cells(scope).groupBy(F.col(LEAD_DAY).alias(names.day)).agg(
             F.sum(cnt).alias(names.total),
             F.coalesce(F.sum(F.when(o, cnt)), F.lit(0)).cast("long").alias(names.missed),
             F.coalesce(F.sum(F.when(~o, cnt)), F.lit(0)).cast("long").alias(names.shown),
@@ -156,7 +221,7 @@ class CohortCube:
         def s(cond):
             return F.coalesce(F.sum(F.when(cond, cnt)), F.lit(0)).cast("long")
 
-        return self.cells.agg(
+        return self.cells.where(F.col(KIND) == "cohort").agg(
             F.coalesce(F.sum(cnt), F.lit(0)).cast("long").alias("raw_rows"),
             s(valid).alias("valid_lead_rows"),
             s(valid & ent).alias("production_rows"),
@@ -170,10 +235,9 @@ class CohortCube:
                  order: bool = True) -> DataFrame:
         p, n = self.params, self.params.names
         dims = as_list(dims)
-        cnt = F.col(CNT)
         groups = self.scoped(scope).groupBy(*[qcol(d) for d in dims]).agg(
-            F.sum(cnt).alias(n.volume),
-            rounded(cube_avg(cnt, F.col(n.lead)), p.digits).alias(n.avg_lead))
+            F.sum(CNT).alias(n.volume),
+            rounded(_cell_avg(), p.digits).alias(n.avg_lead))
         total = F.sum(F.col(n.volume)).over(Window.partitionBy())
         out = groups.withColumns({
             impact: (F.col(n.volume) * rate_expr(qcol(p.payer), p.rate_card, p.default_rate)).cast("long"),
@@ -199,30 +263,36 @@ class CohortCube:
         p, n = self.params, self.params.names
         width = max(len(s.dims) for s in specs)
         c = self._labels(self.cells)
-        lead, o = F.col(n.lead), F.col(n.outcome)
-        valid = lead >= 0
-        prod = valid & F.col(n.entity_present)
+        kind, o = F.col(KIND), F.col(n.outcome)
         entries = []
         for s in specs:
-            inc = {"raw": F.lit(True), "valid": valid, "production": prod}[check_scope(s.scope)]
+            scope = check_scope(s.scope)
+            if self._is_curve(s.dims):
+                lead, inc = F.col(LEAD_DAY), kind == "curve"
+                keys = [(F.col(LEAD_DAY) if d == n.lead else qcol(d)).cast("string") for d in s.dims]
+            else:
+                lead, inc = F.col(n.lead), kind == "cohort"
+                keys = [qcol(d).cast("string") for d in s.dims]
+            if scope != "raw":
+                inc = inc & (lead >= 0)
+            if scope == "production":
+                inc = inc & F.col(n.entity_present)
             if s.missed_only:
                 inc = inc & o
-            keys = [qcol(d).cast("string") for d in s.dims]
             keys += [F.lit(None).cast("string")] * (width - len(keys))
             entries.append(F.struct(
                 F.lit(s.name).alias("audit"),
                 *[k.alias(f"key_{i + 1}") for i, k in enumerate(keys)],
                 F.coalesce(inc, F.lit(False)).alias("_in"),
             ))
-        fanned = (c.select(F.col(CNT), lead.alias("_lead"), o.alias("_o"),
-                           F.inline(F.array(*entries)))
+        fanned = (c.select(F.col(CNT), F.col(SUM_LEAD), o.alias("_o"), F.inline(F.array(*entries)))
                    .where(F.col("_in")))
         cnt = F.col(CNT)
         out = fanned.groupBy("audit", *[f"key_{i + 1}" for i in range(width)]).agg(
             F.sum(cnt).alias(n.volume),
             F.coalesce(F.sum(F.when(F.col("_o"), cnt)), F.lit(0)).cast("long").alias("total_noshows"),
-            rounded(cube_avg(cnt, F.col("_lead")), p.digits).alias(n.avg_lead),
-            rounded(cube_rate(cnt, F.col("_o")), p.digits).alias("noshowrate_pct"),
+            rounded(_cell_avg(), p.digits).alias(n.avg_lead),
+            rounded(_cell_rate(F.col("_o")), p.digits).alias("noshowrate_pct"),
         )
         if order:
             out = out.orderBy("audit", *[F.col(f"key_{i + 1}").asc_nulls_first() for i in range(width)])

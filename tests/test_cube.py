@@ -63,3 +63,24 @@ def test_cube_wall_can_move_after_build(spark):
     moved = Audit(audit.events, params=params)
     cube = moved.cube()
     assert cube_audit(cube, "wall_by_payer").collect() == moved.run("wall_by_payer").collect()
+
+
+def test_cube_cells_bounded_by_key_domains_and_cap(spark):
+    # F2 spreads over thousands of lead days; cohort cells still stay under 2^10 x (cap + 3)
+    audit = Audit(shipment_view(spark, SF01))
+    cells = audit.cube().cells
+    cap = audit.params.lead_cap
+    cohort = cells.where("cell_kind = 'cohort'").count()
+    curve = cells.where("cell_kind = 'curve'").count()
+    days = audit.base("raw").select("lead_time").distinct().count()
+    assert cohort <= 2 ** 10 * (cap + 3)
+    assert curve <= 2 * 3 * days
+
+
+def test_wall_beyond_cap_is_refused(spark):
+    audit = Audit(appointment_view(spark, SF01))
+    cube = audit.cube()
+    with pytest.raises(ValueError, match="lead cap"):
+        cube.with_params(audit.params.with_(wall=cube.lead_cap + 2))
+    wide = Audit(audit.events, params=audit.params.with_(wall=100, lead_cap=120))
+    assert cube_audit(wide.cube(), "wall_by_payer").collect() == wide.run("wall_by_payer").collect()
