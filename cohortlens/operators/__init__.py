@@ -5,7 +5,7 @@ from .prepare import flag_has, prepare, qcol
 from .segment import segment
 from .quality import duplicate_keys, integrity_check, load_profile, outcome_report, scope_report
 from .cohorts import (
-    CurveNames, Gap, avg_lead_of, cohort_gaps, cohort_metric, cohort_summary, rate_by,
+    CurveNames, Gap, avg_lead_of, cohort_gaps, cohort_metric, cohort_summary, pick, rate_by,
     rate_curve, rate_of, reference_gaps, share_of, threshold_contrast,
 )
 from .exposure import (

@@ -241,3 +241,34 @@ def share_of(df: DataFrame, where: Union[Column, str], name: str = "pct_of_volum
         F.count(F.lit(1)).alias("total_rows"),
         pct(F.count_if(cond), F.count(F.lit(1))).alias(name),
     )
+
+
+def pick(
+    result: DataFrame,
+    where: Union[Column, str, dict],
+    column: str,
+    how: str = "one",
+    name: Optional[str] = None,
+) -> DataFrame:
+    """Read cells of a result table as a one-row DataFrame (no collect).
+
+    ``where`` is a condition or a ``{column: value}`` conjunction of equalities.
+    ``how='one'``: the value of the single matching row (NULL when none
+    matches — where a positional read would raise); ``how='sum'``: the sum over
+    matching rows (0 when none match).
+    """
+    if isinstance(where, dict):
+        cond = None
+        for k, v in where.items():
+            c = qcol(k).isNull() if v is None else (qcol(k) == F.lit(v))
+            cond = c if cond is None else (cond & c)
+    else:
+        cond = F.expr(where) if isinstance(where, str) else where
+    val = F.when(cond, qcol(column))
+    if how == "one":
+        agg = F.max(val)
+    elif how == "sum":
+        agg = F.coalesce(F.sum(val), F.lit(0))
+    else:
+        raise ValueError("how must be 'one' or 'sum'")
+    return result.agg(agg.alias(name or column))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import AuditParams, ColumnMap, WAREHOUSE_COLUMNS
 from ..operators.cohorts import (
-    CurveNames, cohort_gaps, cohort_metric, cohort_summary, rate_by, rate_curve,
+    CurveNames, cohort_gaps, cohort_metric, cohort_summary, pick, rate_by, rate_curve,
     reference_gaps, share_of, threshold_contrast,
 )
 from ..operators.cube import AuditSpec, CohortCube
@@ -116,10 +116,11 @@ class Audit:
         return cohort_metric(self.base("valid"), cond, self.params, prefix="beyond")
 
     def cohort_volume(self) -> DataFrame:
-        """AUD-2b: size of the male / payer = 1 / missed cohort (scope V)."""
+        """AUD-2b: the male / payer = 1 / missed volume, summed from the gender x payer table."""
         p = self.params
-        cond = ((qcol(p.gender) == F.lit("M")) & (qcol(p.payer) == 1) & F.col(p.names.outcome))
-        return self.base("valid").agg(F.count_if(cond).alias(p.names.volume))
+        table = Audit(self.events, self.cmap, p, order=False).grouped(SPEC_BY_NAME["gender_payer"])
+        cells = {p.gender: "M", p.payer: 1, p.names.outcome: True}
+        return pick(table, cells, p.names.volume, how="sum")
 
     def cohort_gaps(self, digits: Optional[int] = None) -> DataFrame:
         return cohort_gaps(self.base("valid"), reference_gaps(self.params), digits)
@@ -169,6 +170,7 @@ class Audit:
             "exposure_summary": self.exposure,
             "fiscal_leak": self.fiscal_leak,
             "scorecard": self.scorecard,
+            "scorecard_summary": self.scorecard_summary,
         }
         if name not in fn:
             raise KeyError(f"unknown audit {name!r}; known: {sorted(list(fn) + list(SPEC_BY_NAME))}")

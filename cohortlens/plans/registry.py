@@ -56,6 +56,7 @@ def build_queries() -> Dict[str, Query]:
         "exposure_summary": _named("exposure_summary"),
         "fiscal_leak": _named("fiscal_leak"),
         "scorecard": lambda s, d: _f1(s, d).scorecard(digits=COMPARE_DIGITS),
+        "scorecard_summary": _named("scorecard_summary"),
         "full_audit_cube": lambda s, d: _f1(s, d).cube().full_audit(FULL_AUDIT_SPECS),
         # the volume fixture (a real join, thousands of lead days)
         "shipment_lead_day_curve": lambda s, d: _f2(s, d).lead_day_curve(),

@@ -334,6 +334,9 @@ SELECT Scholarship,
   CAST(COALESCE(SUM(CASE WHEN no_show_status THEN modeled_revenue_impact END), 0) AS BIGINT) AS fiscal_leak
 FROM exposure GROUP BY Scholarship""",
         "scorecard": _scorecard(),
+        "scorecard_summary": f"""WITH sc AS ({_scorecard()})
+SELECT CAST(COUNT_IF(ok) AS BIGINT) AS passed, COUNT(*) AS total, COUNT_IF(ok) = COUNT(*) AS all_ok
+FROM sc""",
         "full_audit_cube": _full_audit(F1),
         "shipment_lead_day_curve": _curve(F2),
         "shipment_exposure_summary": f"""{F2},
