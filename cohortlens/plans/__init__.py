@@ -2,5 +2,7 @@
 
 from .audit import FULL_AUDIT_SPECS, GROUPED_AUDITS, SPEC_BY_NAME, Audit, cube_audit
 from .registry import build_queries
+from .views import audit_views, register_audit_views
 
-__all__ = ["Audit", "cube_audit", "FULL_AUDIT_SPECS", "GROUPED_AUDITS", "SPEC_BY_NAME", "build_queries"]
+__all__ = ["Audit", "cube_audit", "FULL_AUDIT_SPECS", "GROUPED_AUDITS", "SPEC_BY_NAME", "build_queries", "audit_views",
+           "register_audit_views"]

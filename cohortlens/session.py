@@ -77,3 +77,23 @@ def check_utc(spark: SparkSession) -> None:
         raise ValueError(
             f"session time zone is {tz!r}; timestamp columns must be cast to dates in UTC "
             "(set spark.sql.session.timeZone=UTC), otherwise same-day bookings can get lead -1")
+
+
+def scale_conf(rows: int, key_bytes: int = 8, target_partition_bytes: int = 256 << 20,
+               scan_partition_bytes: int = 256 << 20) -> dict:
+    """Shuffle and scan sizing for an audit over ``rows`` events.
+
+    The largest shuffle of a full audit is the key-only integrity shuffle
+    (every other audit shuffles pre-aggregated cohort rows), so the partition
+    count is sized from it: rows x (key + count + row overhead) / target size.
+    AQE coalesces the tiny cohort shuffles back down at run time.
+    """
+    per_row = key_bytes + 8 + 16
+    partitions = max(1, -(-rows * per_row // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(scan_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+    }

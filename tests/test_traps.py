@@ -220,3 +220,10 @@ def test_load_profile(spark):
     from cohortlens import load_profile
     r = load_profile(frame(spark, [row(1), row(2)])).first()
     assert (r.rows, r.columns) == (2, 13)
+
+
+def test_scale_conf_sizes_the_key_shuffle():
+    from cohortlens.session import scale_conf
+    c = scale_conf(rows=10 ** 12)  # ~100 TB of events
+    assert int(c["spark.sql.shuffle.partitions"]) == -(-(10 ** 12) * 32 // (256 << 20))
+    assert scale_conf(rows=1000)["spark.sql.shuffle.partitions"] == "1"
