@@ -43,16 +43,23 @@ def cohort_summary(
     digits: Optional[int] = None,
     order: bool = True,
     avg_first: bool = False,
+    drop_null_keys: bool = False,
+    count_of: Optional[str] = None,
 ) -> DataFrame:
     """Per cohort: row count (``COUNT(*)``) and mean lead time rounded to 1 dp.
 
-    NULL keys form their own cohort (SQL rule).  ``avg_first`` puts the mean
-    before the count, as the condition-combination audit does.
+    NULL keys form their own cohort (SQL rule); ``drop_null_keys=True`` drops
+    them instead (the dataframe-library rule).  ``count_of`` counts the
+    non-NULL values of one column instead of rows.  ``avg_first`` puts the
+    mean before the count, as the condition-combination audit does.
     """
     n = params.names
     dims = as_list(dims)
     digits = params.digits if digits is None else digits
-    cnt = F.expr(f"count(1) AS {ident(volume or n.volume)}")
+    if drop_null_keys and dims:
+        df = df.where(" AND ".join(f"{ident(d)} IS NOT NULL" for d in dims))
+    counted = "1" if count_of is None else ident(count_of)
+    cnt = F.expr(f"count({counted}) AS {ident(volume or n.volume)}")
     mean = F.expr(f"{_round_sql(f'avg({ident(n.lead)})', digits)} AS {ident(avg or n.avg_lead)}")
     measures = [mean, cnt] if avg_first else [cnt, mean]
     out = df.groupBy(*[ident(d) for d in dims]).agg(*measures)
@@ -102,18 +109,24 @@ def rate_curve(
     names: CurveNames = CurveNames(),
     digits: Optional[int] = None,
     order: bool = True,
+    shows: str = "countif",
 ) -> DataFrame:
     """AUD-5A: per lead day — rows, misses, shows, and both rates (n / d * 100, 1 dp).
 
-    Shows are ``COUNTIF(outcome = FALSE)``, so a NULL outcome is in neither count.
+    ``shows='countif'`` counts ``outcome = FALSE``, so a NULL outcome is in
+    neither count (SQL rule); ``shows='complement'`` takes rows - misses, so a
+    NULL outcome counts as shown (the subtraction variant).
     """
     bucket = bucket or params.names.lead
     digits = params.digits if digits is None else digits
     o = ident(params.names.outcome)
+    if shows not in ("countif", "complement"):
+        raise ValueError("shows must be 'countif' or 'complement'")
+    shown = f"count_if(NOT {o})" if shows == "countif" else f"count(1) - count_if({o})"
     out = (df.groupBy(F.expr(f"{ident(bucket)} AS {ident(names.day)}"))
              .agg(F.expr(f"count(1) AS {ident(names.total)}"),
                   F.expr(f"count_if({o}) AS {ident(names.missed)}"),
-                  F.expr(f"count_if(NOT {o}) AS {ident(names.shown)}")))
+                  F.expr(f"{shown} AS {ident(names.shown)}")))
 
     def rate(num: str) -> str:  # n / d * 100, the audit's order; NULL if d = 0
         return _round_sql(f"try_divide({ident(num)}, {ident(names.total)}) * CAST(100 AS DOUBLE)", digits)

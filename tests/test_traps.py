@@ -227,3 +227,21 @@ def test_scale_conf_sizes_the_key_shuffle():
     c = scale_conf(rows=10 ** 12)  # ~100 TB of events
     assert int(c["spark.sql.shuffle.partitions"]) == -(-(10 ** 12) * 32 // (256 << 20))
     assert scale_conf(rows=1000)["spark.sql.shuffle.partitions"] == "1"
+
+
+def test_agg9_shows_by_subtraction_counts_null_outcome_as_shown(spark):
+    schema = StructType([StructField("AppointmentID", LongType()), StructField("ScheduledDay", DateType()),
+                         StructField("AppointmentDay", DateType()), StructField("No-show", BooleanType())])
+    df = spark.createDataFrame([(1, D0, D0, True), (2, D0, D0, None), (3, D0, D0, False)], schema)
+    base = prepare(df, WAREHOUSE_COLUMNS.with_(entity=None, attributes=()))
+    assert rate_curve(base).first().total_shows == 1
+    assert rate_curve(base, shows="complement").first().total_shows == 2
+
+
+def test_agg14_drop_null_keys_and_agg4_count_of_column(spark):
+    df = prepare(frame(spark, [row(1, 2, gender=None), row(None, 4, gender="M"), row(3, 4, gender="M")]))
+    got = {r.Gender: r.total_patient_volume for r in cohort_summary(df, ["Gender"], drop_null_keys=True).collect()}
+    assert got == {"M": 2}
+    got = {r.Gender: r.total_patient_volume
+           for r in cohort_summary(df, ["Gender"], count_of="AppointmentID").collect()}
+    assert got == {None: 1, "M": 1}
