@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import AuditParams, ColumnMap, WAREHOUSE_COLUMNS, as_list, check_scope
 from ..functions.measures import pct, rounded, share_pct
-from ..functions.rules import band_rule, ident, tier_rule
+from ..functions.rules import band_rule, ident, sql_literal, tier_rule
 from .cohorts import CurveNames, _order
 from .exposure import EXPOSURE_DIMS, rate_expr
 from .prepare import qcol
@@ -150,15 +150,16 @@ class CohortCube:
     def _labels(self, c: DataFrame) -> DataFrame:
         p, n = self.params, self.params.names
         h, d, a = p.conditions
-        tier = tier_rule(p).column()
-        return c.withColumns({
-            n.band: band_rule(p).column(),
-            n.tier: tier,
-            "patient_acuity": tier,
-            "has_diabetes": qcol(d).cast("int"),
-            "has_hypertension": qcol(h).cast("int"),
-            "has_alcoholism": qcol(a).cast("int"),
-        })
+        tier = tier_rule(p).sql()
+        return c.selectExpr(
+            "*",
+            f"{band_rule(p).sql()} AS {ident(n.band)}",
+            f"{tier} AS {ident(n.tier)}",
+            f"{tier} AS patient_acuity",
+            f"CAST({ident(d)} AS INT) AS has_diabetes",
+            f"CAST({ident(h)} AS INT) AS has_hypertension",
+            f"CAST({ident(a)} AS INT) AS has_alcoholism",
+        )
 
     def _is_curve(self, dims: Sequence[str]) -> bool:
         n = self.params.names
@@ -263,36 +264,37 @@ class CohortCube:
         p, n = self.params, self.params.names
         width = max(len(s.dims) for s in specs)
         c = self._labels(self.cells)
-        kind, o = F.col(KIND), F.col(n.outcome)
+        o = ident(n.outcome)
         entries = []
         for s in specs:
             scope = check_scope(s.scope)
             if self._is_curve(s.dims):
-                lead, inc = F.col(LEAD_DAY), kind == "curve"
-                keys = [(F.col(LEAD_DAY) if d == n.lead else qcol(d)).cast("string") for d in s.dims]
+                lead, conds = LEAD_DAY, [f"{KIND} = 'curve'"]
+                keys = [LEAD_DAY if d == n.lead else ident(d) for d in s.dims]
             else:
-                lead, inc = F.col(n.lead), kind == "cohort"
-                keys = [qcol(d).cast("string") for d in s.dims]
+                lead, conds = ident(n.lead), [f"{KIND} = 'cohort'"]
+                keys = [ident(d) for d in s.dims]
             if scope != "raw":
-                inc = inc & (lead >= 0)
+                conds.append(f"{lead} >= 0")
             if scope == "production":
-                inc = inc & F.col(n.entity_present)
+                conds.append(ident(n.entity_present))
             if s.missed_only:
-                inc = inc & o
-            keys += [F.lit(None).cast("string")] * (width - len(keys))
-            entries.append(F.struct(
-                F.lit(s.name).alias("audit"),
-                *[k.alias(f"key_{i + 1}") for i, k in enumerate(keys)],
-                F.coalesce(inc, F.lit(False)).alias("_in"),
-            ))
-        fanned = (c.select(F.col(CNT), F.col(SUM_LEAD), o.alias("_o"), F.inline(F.array(*entries)))
-                   .where(F.col("_in")))
-        cnt = F.col(CNT)
+                conds.append(o)
+            cols = [f"CAST({k} AS STRING) AS key_{i + 1}" for i, k in enumerate(keys)]
+            cols += [f"CAST(NULL AS STRING) AS key_{i + 1}" for i in range(len(keys), width)]
+            entries.append(f"struct({sql_literal(s.name)} AS audit, {', '.join(cols)}, "
+                           f"coalesce({' AND '.join(conds)}, FALSE) AS _in)")
+        fanned = (c.selectExpr(CNT, SUM_LEAD, f"{o} AS _o", f"inline(array({', '.join(entries)}))")
+                   .where("_in"))
+        rate = f"try_divide(sum(CASE WHEN _o THEN {CNT} ELSE 0 END), sum({CNT})) * CAST(100 AS DOUBLE)"
+        mean = (f"try_divide(sum(CASE WHEN {SUM_LEAD} IS NOT NULL THEN {SUM_LEAD} END), "
+                f"sum(CASE WHEN {SUM_LEAD} IS NOT NULL THEN {CNT} END))")
+        dg = p.digits
         out = fanned.groupBy("audit", *[f"key_{i + 1}" for i in range(width)]).agg(
-            F.sum(cnt).alias(n.volume),
-            F.coalesce(F.sum(F.when(F.col("_o"), cnt)), F.lit(0)).cast("long").alias("total_noshows"),
-            rounded(_cell_avg(), p.digits).alias(n.avg_lead),
-            rounded(_cell_rate(F.col("_o")), p.digits).alias("noshowrate_pct"),
+            F.expr(f"sum({CNT}) AS {ident(n.volume)}"),
+            F.expr(f"CAST(coalesce(sum(CASE WHEN _o THEN {CNT} END), 0) AS BIGINT) AS total_noshows"),
+            F.expr(f"{mean if dg is None else f'round({mean}, {dg})'} AS {ident(n.avg_lead)}"),
+            F.expr(f"{rate if dg is None else f'round({rate}, {dg})'} AS noshowrate_pct"),
         )
         if order:
             out = out.orderBy("audit", *[F.col(f"key_{i + 1}").asc_nulls_first() for i in range(width)])

@@ -32,11 +32,9 @@ EXPECTED_SCHEMA = StructType([
 
 def long_metrics(wide: DataFrame, labels: Sequence[Tuple[str, str]]) -> DataFrame:
     """(label, actual DOUBLE) rows from a one-row frame; ``labels`` = (label, column)."""
-    rows = F.array(*[
-        F.struct(F.lit(lbl).alias("label"), qcol(c).cast("double").alias("actual"))
-        for lbl, c in labels
-    ])
-    return wide.select(F.inline(rows))
+    rows = ", ".join(f"struct({sql_literal(lbl)} AS label, CAST({ident(c)} AS DOUBLE) AS actual)"
+                     for lbl, c in labels)
+    return wide.selectExpr(f"inline(array({rows}))")
 
 
 def metrics_frame(df: DataFrame, metrics: Sequence[Tuple[str, Column]]) -> DataFrame:
@@ -116,10 +114,10 @@ def reconcile(
     """
     exp = _expected_frame(actuals.sparkSession, expected)
     joined = exp.join(actuals, on="label", how="left")
-    actual = rounded(F.col("actual"), digits)
-    out = joined.select(
-        "seq", "label", actual.alias("actual"), "expected", "tol",
-        F.coalesce(F.abs(actual - F.col("expected")) <= F.col("tol"), F.lit(False)).alias("ok"),
+    actual = "actual" if digits is None else f"round(actual, {int(digits)})"
+    out = joined.selectExpr(
+        "seq", "label", f"{actual} AS actual", "expected", "tol",
+        f"coalesce(abs({actual} - expected) <= tol, FALSE) AS ok",
     )
     if order:
         out = out.orderBy("seq")
