@@ -12,7 +12,7 @@ from typing import Callable, Dict
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import AuditParams, WAREHOUSE_COLUMNS
-from ..operators.quality import duplicate_keys, integrity_check
+from ..operators.quality import duplicate_keys, integrity_check, load_profile
 from ..sources.fixtures import appointment_view, line_keys, shipment_view
 from .audit import FULL_AUDIT_SPECS, GROUPED_AUDITS, Audit
 
@@ -42,6 +42,7 @@ def build_queries() -> Dict[str, Query]:
         "duplicate_keys_lineitem": lambda s, d: duplicate_keys(line_keys(s, d), ["l_orderkey", "l_linenumber"]),
         "scope_report": _named("scope_report"),
         "outcome_report": _named("outcome_report"),
+        "load_profile": lambda s, d: load_profile(appointment_view(s, d)),
     }
     for spec in GROUPED_AUDITS:
         q[spec.name] = _named(spec.name)

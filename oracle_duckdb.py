@@ -281,6 +281,8 @@ SELECT COUNT(*) AS raw_rows,
   CAST(COUNT_IF(lead_time IS NULL) AS BIGINT) AS null_lead_rows,
   CAST(COUNT_IF(lead_time >= 0 AND PatientId IS NULL) AS BIGINT) AS null_entity_rows
 FROM raw""",
+        "load_profile": f"""{F1}
+SELECT COUNT(*) AS rows, CAST(13 AS INTEGER) AS columns FROM appt""",
         "outcome_report": f"""{F1}
 SELECT COUNT(*) AS rows,
   CAST(COUNT_IF("No-show") AS BIGINT) AS outcome_true,
