@@ -5,9 +5,10 @@ from .prepare import flag_has, prepare, qcol
 from .segment import segment
 from .quality import duplicate_keys, integrity_check, load_profile, outcome_report, scope_report
 from .cohorts import (
-    CurveNames, Gap, avg_lead_of, cohort_gaps, cohort_metric, cohort_summary, pick, rate_by,
-    rate_curve, rate_of, reference_gaps, share_of, threshold_contrast,
+    CurveNames, Gap, cohort_gaps, cohort_metric, cohort_summary, pick, rate_by,
+    rate_curve, reference_gaps, share_of, threshold_contrast,
 )
+from .metrics import Metric, evaluate, metrics_long, reference_checkpoint_metrics
 from .exposure import (
     EXPOSURE_DIMS, exposure_summary, fiscal_leak, fiscal_leak_total, rate_card_pairs,
     rate_expr, validate_rate_card,

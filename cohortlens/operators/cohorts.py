@@ -14,10 +14,9 @@ from typing import Optional, Sequence, Tuple, Union
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import AuditParams, as_list
-from ..functions.measures import (
-    avg_where, avg_where_sql, pct, rate_where, rate_where_sql, round_sql, rounded,
-)
+from ..functions.measures import avg_where, pct, rounded
 from ..functions.rules import ident, sql_literal
+from .metrics import Metric, evaluate
 from .prepare import qcol
 
 Dims = Union[str, Sequence[str]]
@@ -171,53 +170,40 @@ def threshold_contrast(
 
 def cohort_metric(
     df: DataFrame,
-    where: Union[Column, str],
+    where: str,
     params: AuditParams = AuditParams(),
     prefix: str = "cohort",
     digits: Optional[int] = None,
+    cells: bool = False,
 ) -> DataFrame:
-    """One cohort's size, misses and miss rate (%), one row; NULL rate if empty."""
-    cond = F.expr(where) if isinstance(where, str) else where
-    o = F.col(params.names.outcome)
-    return df.agg(
-        F.count_if(cond).alias(f"{prefix}_total"),
-        F.count_if(cond & o).alias(f"{prefix}_noshows"),
-        rounded(rate_where(o, cond), digits).alias(f"{prefix}_rate"),
-    )
+    """One cohort's size, misses and miss rate (%), one row; NULL rate if empty.
+
+    ``where`` is a SQL condition; ``cells=True`` evaluates over cube cells.
+    """
+    o = ident(params.names.outcome)
+    ms = [Metric(f"{prefix}_total", "count", where),
+          Metric(f"{prefix}_noshows", "count", f"({where}) AND {o}"),
+          Metric(f"{prefix}_rate", "rate", where, digits)]
+    wide = evaluate(df, ms, params, cells)
+    return wide.selectExpr(f"CAST(_m0 AS BIGINT) AS {ident(ms[0].label)}",
+                           f"CAST(_m1 AS BIGINT) AS {ident(ms[1].label)}", f"_m2 AS {ident(ms[2].label)}")
 
 
 @dataclass(frozen=True)
 class Gap:
-    """Two figures of one audit compared: ``gap = a - b``, ``gap_pct = gap / b * 100``.
-
-    ``a`` and ``b`` are aggregate expressions (SQL text or ``Column``).
-    """
+    """Two figures of one audit compared: ``gap = a - b``, ``gap_pct = gap / b * 100``."""
 
     label: str
-    a: Union[Column, str]
-    b: Union[Column, str]
-
-
-def _agg_col(e: Union[Column, str]) -> Column:
-    return F.expr(e) if isinstance(e, str) else e
-
+    a: Metric
+    b: Metric
 
-def avg_lead_of(where: str, params: AuditParams = AuditParams(), digits: Optional[int] = 1) -> str:
-    """Rounded mean lead time of a cohort (as read from a rounded audit table)."""
-    return round_sql(avg_where_sql(ident(params.names.lead), where), digits)
 
-
-def rate_of(where: str, params: AuditParams = AuditParams(), digits: Optional[int] = None) -> str:
-    return round_sql(rate_where_sql(ident(params.names.outcome), where), digits)
-
-
-def cohort_gaps(df: DataFrame, gaps: Sequence[Gap], digits: Optional[int] = None) -> DataFrame:
+def cohort_gaps(df: DataFrame, gaps: Sequence[Gap], digits: Optional[int] = None,
+                params: AuditParams = AuditParams(), cells: bool = False) -> DataFrame:
     """All gaps from ONE aggregate pass, returned long: label, a, b, gap, gap_pct."""
-    aggs = []
-    for i, g in enumerate(gaps):
-        aggs += [_agg_col(g.a).cast("double").alias(f"_a{i}"), _agg_col(g.b).cast("double").alias(f"_b{i}")]
-    wide = df.agg(*aggs)
-    rows = ", ".join(f"struct({sql_literal(g.label)} AS label, _a{i} AS a, _b{i} AS b)"
+    ms = [m for g in gaps for m in (g.a, g.b)]
+    wide = evaluate(df, ms, params, cells)
+    rows = ", ".join(f"struct({sql_literal(g.label)} AS label, _m{2 * i} AS a, _m{2 * i + 1} AS b)"
                      for i, g in enumerate(gaps))
     long = wide.selectExpr(f"inline(array({rows}))")
     r = (lambda e: e) if digits is None else (lambda e: f"round({e}, {int(digits)})")
@@ -226,34 +212,43 @@ def cohort_gaps(df: DataFrame, gaps: Sequence[Gap], digits: Optional[int] = None
 
 
 def reference_gaps(params: AuditParams = AuditParams()) -> Tuple[Gap, ...]:
-    """The audit's published comparisons (AUD-4A-b, 6A-b, 6b, 7b, 8b) over a segmented V-scope frame."""
+    """The audit's published comparisons (AUD-4A-b, 6A-b, 6b, 7b, 8b) over a V-scope frame.
+
+    Figures read from rounded audit tables are rounded to 1 dp first, as there.
+    """
     n = params.names
     o = ident(n.outcome)
     h, d, a = (ident(c) for c in params.conditions)
     sms, dis, age = ident(params.sms), ident(n.disabled), ident(n.age_class)
-    minor = f"{age} = {sql_literal(params.labels['minor'])}"
-    adult = f"{age} = {sql_literal(params.labels['adult'])}"
+    dg = params.digits
+
+    def missed_lead(label, cond):
+        return Metric(label, "mean_lead", f"{o} AND {cond}", dg)
+
     return (
         Gap("condition_compression",
-            avg_lead_of(f"{o} AND {d} = 0 AND {h} = 0 AND {a} = 0", params),
-            avg_lead_of(f"{o} AND {d} = 1 AND {h} = 1 AND {a} = 1", params)),
-        Gap("reminder_penalty", rate_of(f"{sms} = 1", params, 1), rate_of(f"{sms} = 0", params, 1)),
-        Gap("reminded_missed_lead_vs_wall", avg_lead_of(f"{o} AND {sms} = 1", params),
-            f"CAST({int(params.wall)} AS DOUBLE)"),
-        Gap("disability_compression", avg_lead_of(f"{o} AND {dis} = 0", params),
-            avg_lead_of(f"{o} AND {dis} = 1", params)),
-        Gap("advocacy_gap", rate_of(minor, params), rate_of(adult, params)),
+            missed_lead("no_conditions", f"{d} = 0 AND {h} = 0 AND {a} = 0"),
+            missed_lead("all_conditions", f"{d} = 1 AND {h} = 1 AND {a} = 1")),
+        Gap("reminder_penalty", Metric("sms_rate", "rate", f"{sms} = 1", dg),
+            Metric("no_sms_rate", "rate", f"{sms} = 0", dg)),
+        Gap("reminded_missed_lead_vs_wall", missed_lead("sms_missed_lead", f"{sms} = 1"),
+            Metric("wall", "const", value=float(params.wall))),
+        Gap("disability_compression", missed_lead("not_disabled", f"{dis} = 0"),
+            missed_lead("disabled", f"{dis} = 1")),
+        Gap("advocacy_gap",
+            Metric("minor_rate", "rate", f"{age} = {sql_literal(params.labels['minor'])}"),
+            Metric("adult_rate", "rate", f"{age} = {sql_literal(params.labels['adult'])}")),
     )
 
 
-def share_of(df: DataFrame, where: Union[Column, str], name: str = "pct_of_volume") -> DataFrame:
+def share_of(df: DataFrame, where: str, name: str = "pct_of_volume",
+             params: AuditParams = AuditParams(), cells: bool = False) -> DataFrame:
     """AUD-7b: one cohort's share of all rows in % (mean of a 0/1 flag x 100)."""
-    cond = F.expr(where) if isinstance(where, str) else where
-    return df.agg(
-        F.count_if(cond).alias("cohort_rows"),
-        F.count(F.lit(1)).alias("total_rows"),
-        pct(F.count_if(cond), F.count(F.lit(1))).alias(name),
-    )
+    ms = [Metric("cohort_rows", "count", where), Metric("total_rows", "count"),
+          Metric(name, "share", where)]
+    wide = evaluate(df, ms, params, cells)
+    return wide.selectExpr("CAST(_m0 AS BIGINT) AS cohort_rows", "CAST(_m1 AS BIGINT) AS total_rows",
+                           f"_m2 AS {ident(name)}")
 
 
 def pick(

@@ -143,6 +143,17 @@ class CohortCube:
         c = self.cells.where(F.col(KIND) == "cohort")
         return self._labels(self._scope(c, self.params.names.lead, scope))
 
+    def unified(self, scope: str = "valid") -> DataFrame:
+        """All cells of a scope with one lead column (exact on curve cells, clipped on
+        cohort cells) and the derived labels — the frame ``Metric`` cell translators read."""
+        check_scope(scope)
+        n = self.params.names
+        lead = ident(n.lead)
+        c = self.cells.selectExpr(
+            *[ident(x) for x in self.cells.columns if x not in (n.lead,)],
+            f"CASE WHEN {KIND} = 'curve' THEN {LEAD_DAY} ELSE {lead} END AS {lead}")
+        return self._labels(self._scope(c, n.lead, scope))
+
     def curve_cells(self, scope: str = "valid") -> DataFrame:
         check_scope(scope)
         return self._scope(self.cells.where(F.col(KIND) == "curve"), LEAD_DAY, scope)

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..config import AuditParams, ColumnMap, REFERENCE_CHECKPOINTS, WAREHOUSE_COLUMNS
-from ..functions.measures import avg_where_sql, rate_where_sql, round_sql, rounded
+from ..functions.measures import rounded
 from ..functions.rules import ident, sql_literal
+from .metrics import metrics_long, reference_checkpoint_metrics
 from .prepare import qcol
 from .quality import integrity_check
 
@@ -47,45 +48,21 @@ def reference_metrics(
     seg_raw: DataFrame,
     cmap: ColumnMap = WAREHOUSE_COLUMNS,
     params: AuditParams = AuditParams(),
+    cells: Optional[DataFrame] = None,
 ) -> DataFrame:
     """The 13 published checkpoints' actual values, from a raw-scope segmented frame.
 
-    Twelve come from one global aggregate (map-side partials, a one-row
-    exchange).  The distinct-key count comes from ``integrity_check``, which
-    shuffles the key column alone — folding a distinct count into the big
-    aggregate would drag every other partial buffer through a per-key shuffle.
+    Twelve come from one aggregate pass — over the rows, or over cube cells
+    when ``cells`` is given.  The distinct-key count comes from
+    ``integrity_check``, which shuffles the key column alone — folding a
+    distinct count into the big aggregate would drag every other partial
+    buffer through a per-key shuffle.
     """
-    n = params.names
-    lead, o = ident(n.lead), ident(n.outcome)
-    valid = f"{lead} >= 0"
-    h, d, a = (ident(c) for c in params.conditions)
-    sms, dis, age = ident(params.sms), ident(n.disabled), ident(n.age_class)
-    dg = params.digits
-
-    def lead_of(cond):
-        return round_sql(avg_where_sql(lead, f"{valid} AND {o} AND {cond}"), dg)
-
-    def rate(cond, digits=dg):
-        return round_sql(rate_where_sql(o, f"{valid} AND {cond}"), digits)
-
-    labels = [lbl for lbl, _, _ in REFERENCE_CHECKPOINTS]
-    exprs = {
-        labels[0]: "count(1)",
-        labels[2]: f"count_if({valid})",
-        labels[3]: lead_of(f"{d} = 1 AND {h} = 1 AND {a} = 1"),
-        labels[4]: lead_of(f"{d} = 0 AND {h} = 0 AND {a} = 0"),
-        labels[5]: rate(f"{lead} = {int(params.wall)}"),
-        labels[6]: rate(f"{sms} = 1"),
-        labels[7]: rate(f"{sms} = 0"),
-        labels[8]: lead_of(f"{sms} = 1"),
-        labels[9]: lead_of(f"{dis} = 1"),
-        labels[10]: lead_of(f"{dis} = 0"),
-        labels[11]: rate(f"{age} = {sql_literal(params.labels['minor'])}", None),
-        labels[12]: rate(f"{age} = {sql_literal(params.labels['adult'])}", None),
-    }
-    wide = seg_raw.agg(*[F.expr(f"CAST({e} AS DOUBLE) AS _m{i}") for i, e in enumerate(exprs.values())])
-    main = long_metrics(wide, [(lbl, f"_m{i}") for i, lbl in enumerate(exprs)])
-    distinct = long_metrics(integrity_check(seg_raw, cmap.key), [(labels[1], "distinct_keys")])
+    ms = reference_checkpoint_metrics(params)
+    main = (metrics_long(seg_raw, ms, params) if cells is None
+            else metrics_long(cells, ms, params, cells=True))
+    label = REFERENCE_CHECKPOINTS[1][0]
+    distinct = long_metrics(integrity_check(seg_raw, cmap.key), [(label, "distinct_keys")])
     return main.unionByName(distinct)
 
 

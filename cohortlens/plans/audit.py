@@ -19,7 +19,7 @@ from ..operators.cohorts import (
 )
 from ..operators.cube import AuditSpec, CohortCube
 from ..operators.exposure import EXPOSURE_DIMS, exposure_summary, fiscal_leak, fiscal_leak_total
-from ..functions.rules import reference_segments
+from ..functions.rules import ident, reference_segments, sql_literal
 from ..operators.prepare import has_flags, prepare, qcol
 from ..operators.quality import duplicate_keys, integrity_check, outcome_report, scope_report
 from ..operators.reconcile import reconcile, reference_metrics, scorecard_summary
@@ -54,6 +54,21 @@ FULL_AUDIT_SPECS: Tuple[AuditSpec, ...] = GROUPED_AUDITS + (
 SPEC_BY_NAME = {s.name: s for s in GROUPED_AUDITS}
 
 
+# every named audit the cube can serve (all but integrity / duplicates / outcome mapping,
+# which need the event keys themselves)
+CUBE_SERVED: Tuple[str, ...] = tuple(SPEC_BY_NAME) + (
+    "reminder_rate", "lead_day_curve", "wall_contrast", "scope_report", "exposure_summary",
+    "fiscal_leak", "beyond_wall", "disabled_share", "cohort_gaps", "cohort_volume")
+
+
+def beyond_condition(params: AuditParams) -> str:
+    return f"{ident(params.names.band)} = {sql_literal(params.labels['beyond'])}"
+
+
+def disabled_condition(params: AuditParams) -> str:
+    return f"{ident(params.names.disabled)} = 1"
+
+
 class Audit:
     """All audits over one events table."""
 
@@ -111,9 +126,7 @@ class Audit:
 
     def beyond_wall(self) -> DataFrame:
         """AUD-5b: rows, misses and miss rate beyond the wall (scope V)."""
-        n = self.params.names
-        cond = F.col(n.band) == F.lit(self.params.labels["beyond"])
-        return cohort_metric(self.base("valid"), cond, self.params, prefix="beyond")
+        return cohort_metric(self.base("valid"), beyond_condition(self.params), self.params, prefix="beyond")
 
     def cohort_volume(self) -> DataFrame:
         """AUD-2b: the male / payer = 1 / missed volume, summed from the gender x payer table."""
@@ -123,10 +136,10 @@ class Audit:
         return pick(table, cells, p.names.volume, how="sum")
 
     def cohort_gaps(self, digits: Optional[int] = None) -> DataFrame:
-        return cohort_gaps(self.base("valid"), reference_gaps(self.params), digits)
+        return cohort_gaps(self.base("valid"), reference_gaps(self.params), digits, self.params)
 
     def disabled_share(self) -> DataFrame:
-        return share_of(self.base("valid"), F.col(self.params.names.disabled) == 1)
+        return share_of(self.base("valid"), disabled_condition(self.params), params=self.params)
 
     # -- exposure ------------------------------------------------------------------
     def exposure(self) -> DataFrame:
@@ -140,12 +153,15 @@ class Audit:
         return fiscal_leak_total(self.fiscal_leak())
 
     # -- reconciliation ---------------------------------------------------------------
-    def metrics(self) -> DataFrame:
-        return reference_metrics(self.base("raw"), self.cmap, self.params)
+    def metrics(self, cube: Optional[CohortCube] = None) -> DataFrame:
+        """Checkpoint actuals; with ``cube``, twelve come from its cells (no extra event scan)."""
+        cells = None if cube is None else cube.unified("raw")
+        return reference_metrics(self.base("raw"), self.cmap, self.params, cells)
 
-    def scorecard(self, expected=None, digits: Optional[int] = None) -> DataFrame:
+    def scorecard(self, expected=None, digits: Optional[int] = None,
+                  cube: Optional[CohortCube] = None) -> DataFrame:
         from ..config import REFERENCE_CHECKPOINTS
-        return reconcile(self.metrics(), REFERENCE_CHECKPOINTS if expected is None else expected,
+        return reconcile(self.metrics(cube), REFERENCE_CHECKPOINTS if expected is None else expected,
                          digits=digits, order=self.order)
 
     def scorecard_summary(self, expected=None) -> DataFrame:
@@ -193,4 +209,14 @@ def cube_audit(cube: CohortCube, name: str, order: bool = True) -> DataFrame:
         return cube.exposure(order=order)
     if name == "fiscal_leak":
         return fiscal_leak(cube.exposure(order=False), cube.params, order=order)
+    p = cube.params
+    if name == "beyond_wall":
+        return cohort_metric(cube.unified("valid"), beyond_condition(p), p, prefix="beyond", cells=True)
+    if name == "disabled_share":
+        return share_of(cube.unified("valid"), disabled_condition(p), params=p, cells=True)
+    if name == "cohort_gaps":
+        return cohort_gaps(cube.unified("valid"), reference_gaps(p), params=p, cells=True)
+    if name == "cohort_volume":
+        table = cube.spec(SPEC_BY_NAME["gender_payer"], order=False)
+        return pick(table, {p.gender: "M", p.payer: 1, p.names.outcome: True}, p.names.volume, how="sum")
     raise KeyError(f"audit {name!r} is not served by the cube")

@@ -6,8 +6,7 @@ from cohortlens import Audit, appointment_view, shipment_view
 from cohortlens.plans.audit import FULL_AUDIT_SPECS, GROUPED_AUDITS, cube_audit
 from tests.conftest import SF01
 
-CUBE_SERVED = [s.name for s in GROUPED_AUDITS] + [
-    "reminder_rate", "lead_day_curve", "wall_contrast", "scope_report", "exposure_summary", "fiscal_leak"]
+from cohortlens.plans.audit import CUBE_SERVED
 
 
 @pytest.fixture(scope="module", params=["F1", "F2"])
@@ -84,3 +83,8 @@ def test_wall_beyond_cap_is_refused(spark):
         cube.with_params(audit.params.with_(wall=cube.lead_cap + 2))
     wide = Audit(audit.events, params=audit.params.with_(wall=100, lead_cap=120))
     assert cube_audit(wide.cube(), "wall_by_payer").collect() == wide.run("wall_by_payer").collect()
+
+
+def test_scorecard_from_cube_equals_direct(pair):
+    audit, cube = pair
+    assert audit.scorecard(cube=cube).collect() == audit.scorecard().collect()

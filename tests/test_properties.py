@@ -93,8 +93,10 @@ def test_invariants_and_cube(spark, events):
     # the cube gives the direct answers
     cube = a.cube()
     for name in ("gender_payer", "condition_combinations", "age_class_band", "lead_day_curve",
-                 "reminder_rate", "scope_report", "exposure_summary", "fiscal_leak"):
+                 "reminder_rate", "scope_report", "exposure_summary", "fiscal_leak", "cohort_gaps",
+                 "beyond_wall", "disabled_share"):
         assert cube_audit(cube, name).collect() == a.run(name).collect(), name
+    assert a.scorecard(cube=cube).collect() == a.scorecard().collect()
 
 
 def test_empty_input_gives_empty_or_null_not_errors(spark):

@@ -101,7 +101,7 @@ def test_t7_nulls_fall_to_else(spark):
 
 def test_t9_t10_empty_cohort_null_metric_and_failed_check(spark):
     df = prepare(frame(spark, [row(1, 3)]))
-    m = cohort_metric(df, F.col("Gender") == "X").first()
+    m = cohort_metric(df, "Gender = 'X'").first()
     assert m.cohort_total == 0 and m.cohort_rate is None
     actual = df.agg(F.avg(F.when(F.col("Gender") == "X", F.col("lead_time"))).alias("actual")) \
         .select(F.lit("empty").alias("label"), "actual")
