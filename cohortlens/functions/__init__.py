@@ -3,12 +3,9 @@
 from .dates import lead_days, to_utc_date
 from .outcome import outcome_flag, unmapped_outcome
 from .rules import Segment, reference_segments
-from .measures import (
-    avg_where, count_where, cube_avg, cube_rate, pct, rate_where, rounded, share_pct,
-)
+from .measures import avg_where, pct, rounded, share_pct
 
 __all__ = [
     "lead_days", "to_utc_date", "outcome_flag", "unmapped_outcome", "Segment",
-    "reference_segments", "avg_where", "count_where", "cube_avg", "cube_rate", "pct",
-    "rate_where", "rounded", "share_pct",
+    "reference_segments", "avg_where", "pct", "rounded", "share_pct",
 ]

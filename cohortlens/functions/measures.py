@@ -1,9 +1,10 @@
-"""Aggregate-expression builders shared by direct audits and cube roll-ups.
+"""Column-form measure helpers shared by the DataFrame operators.
 
 Arithmetic order follows each audit (``n / d * 100`` for rates,
 ``100.0 * n / total`` for shares) and every literal is a DOUBLE, never a
 decimal, so results stay DOUBLE.  Ratios that can meet an empty cohort use
-``try_divide`` and give NULL instead of failing under ANSI mode.
+``try_divide`` and give NULL instead of failing under ANSI mode.  Single
+figures over rows or cube cells are ``operators.metrics.Metric`` specs.
 """
 
 from __future__ import annotations
@@ -17,10 +18,6 @@ def rounded(col: Column, digits: Optional[int]) -> Column:
     return col if digits is None else F.round(col, digits)
 
 
-def count_where(cond: Column) -> Column:
-    return F.count_if(cond)
-
-
 def avg_where(x: Column, cond: Column) -> Column:
     return F.avg(F.when(cond, x))
 
@@ -30,42 +27,6 @@ def pct(num: Column, den: Column) -> Column:
     return F.try_divide(num, den) * F.lit(100.0)
 
 
-def rate_where(outcome: Column, cond: Optional[Column] = None) -> Column:
-    """Outcome rate in % over rows matching ``cond``; NULL outcomes count as rows."""
-    if cond is None:
-        return pct(F.count_if(outcome), F.count(F.lit(1)))
-    return pct(F.count_if(cond & outcome), F.count_if(cond))
-
-
 def share_pct(n: Column, total: Column) -> Column:
     """100.0 * n / total (share-of-volume order)."""
     return F.try_divide(F.lit(100.0) * n, total)
-
-
-def cube_avg(cnt: Column, x: Column, cond: Optional[Column] = None) -> Column:
-    """avg(x) recovered from cube cells: exact integer sums, one division."""
-    w = x.isNotNull() if cond is None else (cond & x.isNotNull())
-    return F.try_divide(F.sum(F.when(w, cnt * x)), F.sum(F.when(w, cnt)))
-
-
-def cube_rate(cnt: Column, outcome: Column, cond: Optional[Column] = None) -> Column:
-    if cond is None:
-        return pct(F.sum(F.when(outcome, cnt).otherwise(F.lit(0))), F.sum(cnt))
-    return pct(F.sum(F.when(cond & outcome, cnt).otherwise(F.lit(0))),
-               F.sum(F.when(cond, cnt).otherwise(F.lit(0))))
-
-
-# SQL-text forms (one ``expr`` call each instead of a chain of Column calls)
-def round_sql(expr: str, digits: Optional[int]) -> str:
-    return expr if digits is None else f"round({expr}, {int(digits)})"
-
-
-def avg_where_sql(x: str, cond: str) -> str:
-    return f"avg(CASE WHEN {cond} THEN {x} END)"
-
-
-def rate_where_sql(outcome: str, cond: Optional[str] = None) -> str:
-    """Outcome rate in % over rows matching ``cond`` (n / d * 100; NULL when d = 0)."""
-    if cond is None:
-        return f"try_divide(count_if({outcome}), count(1)) * CAST(100 AS DOUBLE)"
-    return f"try_divide(count_if(({cond}) AND {outcome}), count_if({cond})) * CAST(100 AS DOUBLE)"

@@ -13,7 +13,7 @@ from .exposure import (
     EXPOSURE_DIMS, exposure_summary, fiscal_leak, fiscal_leak_total, rate_card_pairs,
     rate_expr, validate_rate_card,
 )
-from .reconcile import long_metrics, metrics_frame, reconcile, reference_metrics, scorecard_summary
+from .reconcile import long_metrics, reconcile, reference_metrics, scorecard_summary
 from .cube import AuditSpec, CohortCube, cube_keys
 
 __all__ = [name for name in dir() if not name.startswith("_")]

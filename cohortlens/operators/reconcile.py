@@ -38,12 +38,6 @@ def long_metrics(wide: DataFrame, labels: Sequence[Tuple[str, str]]) -> DataFram
     return wide.selectExpr(f"inline(array({rows}))")
 
 
-def metrics_frame(df: DataFrame, metrics: Sequence[Tuple[str, Column]]) -> DataFrame:
-    """Evaluate named aggregate expressions in one pass and return them long."""
-    wide = df.agg(*[m.alias(f"_m{i}") for i, (_, m) in enumerate(metrics)])
-    return long_metrics(wide, [(lbl, f"_m{i}") for i, (lbl, _) in enumerate(metrics)])
-
-
 def reference_metrics(
     seg_raw: DataFrame,
     cmap: ColumnMap = WAREHOUSE_COLUMNS,
