@@ -9,6 +9,16 @@ from __future__ import annotations
 
 from typing import Dict, Sequence
 
+from cohortlens.config import (
+    ADULT_AGE, ADULT_LABEL, BASELINE_LABEL, BEYOND_WALL_LABEL, DEFAULT_RATE, HIGH_ACUITY_LABEL,
+    MINOR_LABEL, POST_WALL_DAYS, PRE_WALL_DAYS, REFERENCE_CHECKPOINTS, SAFE_ZONE_LABEL,
+    SCHOLARSHIP_RATE, TRIPLE_THREAT_LABEL, WALL_DAY,
+)
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
 # F1 — one appointment per order (FIXTURES.md).
 _APPT = """
 appt_g AS (
@@ -60,8 +70,12 @@ appt AS (
   FROM ship_g
 )"""
 
+_TIER = (f"CASE WHEN Hipertension = 1 AND Diabetes = 1 AND Alcoholism = 1 THEN {_q(TRIPLE_THREAT_LABEL)} "
+         f"WHEN Hipertension = 1 AND Diabetes = 1 THEN {_q(HIGH_ACUITY_LABEL)} ELSE {_q(BASELINE_LABEL)} END")
+_MINOR, _ADULT, _BEYOND = _q(MINOR_LABEL), _q(ADULT_LABEL), _q(BEYOND_WALL_LABEL)
+
 # base / segmentation / scopes, shared by both fixtures
-_LAYERS = """
+_LAYERS = f"""
 raw AS (
   SELECT *,
     "No-show" AS no_show_status,
@@ -70,14 +84,10 @@ raw AS (
 ),
 seg AS (
   SELECT *,
-    CASE WHEN lead_time >= 10 THEN 'Beyond Trust Wall' ELSE 'Operational Safe Zone' END AS trust_wall_status,
-    CASE WHEN Hipertension = 1 AND Diabetes = 1 AND Alcoholism = 1 THEN 'Triple Threat'
-         WHEN Hipertension = 1 AND Diabetes = 1 THEN 'High-Acuity'
-         ELSE 'Baseline' END AS acuity_tier,
-    CASE WHEN Hipertension = 1 AND Diabetes = 1 AND Alcoholism = 1 THEN 'Triple Threat'
-         WHEN Hipertension = 1 AND Diabetes = 1 THEN 'High-Acuity'
-         ELSE 'Baseline' END AS patient_acuity,
-    CASE WHEN Age < 18 THEN 'Guardian-Advocate (Minor)' ELSE 'Self-Advocate (Adult)' END AS advocacy_type,
+    CASE WHEN lead_time >= {WALL_DAY} THEN {_BEYOND} ELSE {_q(SAFE_ZONE_LABEL)} END AS trust_wall_status,
+    {_TIER} AS acuity_tier,
+    {_TIER} AS patient_acuity,
+    CASE WHEN Age < {ADULT_AGE} THEN {_MINOR} ELSE {_ADULT} END AS advocacy_type,
     CASE WHEN Handcap > 0 THEN 1 ELSE 0 END AS is_disabled,
     CAST(Diabetes AS INTEGER) AS has_diabetes,
     CAST(Hipertension AS INTEGER) AS has_hypertension,
@@ -139,12 +149,12 @@ FROM v GROUP BY lead_time"""
 
 
 def _exposure_cte() -> str:
-    return """exposure AS (
+    return f"""exposure AS (
   SELECT Scholarship, Gender, trust_wall_status, acuity_tier, SMS_received, no_show_status,
     COUNT(*) AS total_patient_volume,
     ROUND(AVG(lead_time), 1) AS avg_lead_time,
-    CAST(CASE WHEN Scholarship = 1 THEN COUNT(*) * 120 ELSE COUNT(*) * 210 END AS BIGINT)
-      AS modeled_revenue_impact,
+    CAST(CASE WHEN Scholarship = 1 THEN COUNT(*) * {SCHOLARSHIP_RATE} ELSE COUNT(*) * {DEFAULT_RATE} END
+      AS BIGINT) AS modeled_revenue_impact,
     ROUND(CAST(100 AS DOUBLE) * COUNT(*) / CAST(SUM(COUNT(*)) OVER () AS DOUBLE), 2)
       AS pct_of_total_volume
   FROM p
@@ -172,22 +182,7 @@ def _full_audit(base: str) -> str:
     return base + "\n" + "\nUNION ALL\n".join(parts)
 
 
-# published checkpoints (label, expected, tol) — must match cohortlens.config
-_CHECKS = [
-    ("Total records (raw)", 110527.0, 0.0),
-    ("Distinct AppointmentIDs", 110527.0, 0.0),
-    ("Post lead-time filter count", 110522.0, 0.0),
-    ("Triple Threat avg lead time (d)", 12.2, 0.5),
-    ("No-conditions avg lead time (d)", 16.1, 0.5),
-    ("Day 10 no-show rate (%)", 31.6, 1.0),
-    ("SMS=1 no-show rate (%)", 27.6, 0.5),
-    ("SMS=0 no-show rate (%)", 16.7, 0.5),
-    ("SMS no-show avg lead time (d)", 20.0, 1.0),
-    ("Disabled no-show avg LT (d)", 13.0, 0.5),
-    ("Baseline no-show avg LT (d)", 15.9, 0.5),
-    ("Minors no-show rate (%)", 21.9, 0.5),
-    ("Adults no-show rate (%)", 19.63, 0.5),
-]
+_CHECKS = REFERENCE_CHECKPOINTS
 
 
 def _scorecard() -> str:
@@ -201,14 +196,14 @@ def _scorecard() -> str:
         "COUNT_IF(lead_time >= 0)",
         lt.format(c="Diabetes = 1 AND Hipertension = 1 AND Alcoholism = 1"),
         lt.format(c="Diabetes = 0 AND Hipertension = 0 AND Alcoholism = 0"),
-        rt.format(c="lead_time = 10"),
+        rt.format(c=f"lead_time = {WALL_DAY}"),
         rt.format(c="SMS_received = 1"),
         rt.format(c="SMS_received = 0"),
         lt.format(c="SMS_received = 1"),
         lt.format(c="is_disabled = 1"),
         lt.format(c="is_disabled = 0"),
-        rt_raw.format(c="advocacy_type = 'Guardian-Advocate (Minor)'"),
-        rt_raw.format(c="advocacy_type = 'Self-Advocate (Adult)'"),
+        rt_raw.format(c=f"advocacy_type = {_MINOR}"),
+        rt_raw.format(c=f"advocacy_type = {_ADULT}"),
     ]
     m = ", ".join(f"CAST({e} AS DOUBLE) AS m{i}" for i, e in enumerate(exprs))
     actuals = "\n  UNION ALL ".join(
@@ -233,10 +228,9 @@ def _gaps() -> str:
          lt.format(c="Diabetes = 0 AND Hipertension = 0 AND Alcoholism = 0"),
          lt.format(c="Diabetes = 1 AND Hipertension = 1 AND Alcoholism = 1")),
         ("reminder_penalty", rt1.format(c="SMS_received = 1"), rt1.format(c="SMS_received = 0")),
-        ("reminded_missed_lead_vs_wall", lt.format(c="SMS_received = 1"), "10.0"),
+        ("reminded_missed_lead_vs_wall", lt.format(c="SMS_received = 1"), f"{float(WALL_DAY)}"),
         ("disability_compression", lt.format(c="is_disabled = 0"), lt.format(c="is_disabled = 1")),
-        ("advocacy_gap", rt.format(c="advocacy_type = 'Guardian-Advocate (Minor)'"),
-         rt.format(c="advocacy_type = 'Self-Advocate (Adult)'")),
+        ("advocacy_gap", rt.format(c=f"advocacy_type = {_MINOR}"), rt.format(c=f"advocacy_type = {_ADULT}")),
     ]
     aggs = ", ".join(f"CAST({a} AS DOUBLE) AS a{i}, CAST({b} AS DOUBLE) AS b{i}"
                      for i, (_, a, b) in enumerate(rows))
@@ -306,17 +300,17 @@ curve AS (
   SELECT lead_time AS d, ROUND({_rate('COUNT_IF(no_show_status)', 'COUNT(*)')}, 1) AS r
   FROM v GROUP BY lead_time
 )
-SELECT ROUND(AVG(CASE WHEN d BETWEEN 1 AND 9 THEN r END), 4) AS pre_wall_rate,
-  ROUND(AVG(CASE WHEN d BETWEEN 10 AND 30 THEN r END), 4) AS post_wall_rate,
-  ROUND(AVG(CASE WHEN d BETWEEN 10 AND 30 THEN r END) - AVG(CASE WHEN d BETWEEN 1 AND 9 THEN r END), 4)
-    AS lift,
-  ROUND(MAX(CASE WHEN d = 10 THEN r END), 4) AS wall_day_rate
+SELECT ROUND(AVG(CASE WHEN d BETWEEN {PRE_WALL_DAYS[0]} AND {PRE_WALL_DAYS[1]} THEN r END), 4) AS pre_wall_rate,
+  ROUND(AVG(CASE WHEN d BETWEEN {POST_WALL_DAYS[0]} AND {POST_WALL_DAYS[1]} THEN r END), 4) AS post_wall_rate,
+  ROUND(AVG(CASE WHEN d BETWEEN {POST_WALL_DAYS[0]} AND {POST_WALL_DAYS[1]} THEN r END)
+        - AVG(CASE WHEN d BETWEEN {PRE_WALL_DAYS[0]} AND {PRE_WALL_DAYS[1]} THEN r END), 4) AS lift,
+  ROUND(MAX(CASE WHEN d = {WALL_DAY} THEN r END), 4) AS wall_day_rate
 FROM curve""",
         "beyond_wall": f"""{F1}
-SELECT CAST(COUNT_IF(trust_wall_status = 'Beyond Trust Wall') AS BIGINT) AS beyond_total,
-  CAST(COUNT_IF(trust_wall_status = 'Beyond Trust Wall' AND no_show_status) AS BIGINT) AS beyond_noshows,
-  {_rate("COUNT_IF(trust_wall_status = 'Beyond Trust Wall' AND no_show_status)",
-         "COUNT_IF(trust_wall_status = 'Beyond Trust Wall')")} AS beyond_rate
+SELECT CAST(COUNT_IF(trust_wall_status = {_BEYOND}) AS BIGINT) AS beyond_total,
+  CAST(COUNT_IF(trust_wall_status = {_BEYOND} AND no_show_status) AS BIGINT) AS beyond_noshows,
+  {_rate(f"COUNT_IF(trust_wall_status = {_BEYOND} AND no_show_status)",
+         f"COUNT_IF(trust_wall_status = {_BEYOND})")} AS beyond_rate
 FROM v""",
         "cohort_volume": f"""{F1}
 SELECT CAST(COUNT_IF(Gender = 'M' AND Scholarship = 1 AND no_show_status) AS BIGINT) AS total_patient_volume
