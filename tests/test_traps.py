@@ -245,3 +245,12 @@ def test_agg14_drop_null_keys_and_agg4_count_of_column(spark):
     got = {r.Gender: r.total_patient_volume
            for r in cohort_summary(df, ["Gender"], count_of="AppointmentID").collect()}
     assert got == {None: 1, "M": 1}
+
+
+def test_d3_leak_beyond_wall_only(spark):
+    rows = [row(1, 12, miss=True, sch=1), row(2, 3, miss=True, sch=1), row(3, 15, miss=True, sch=0),
+            row(4, 15, miss=False, sch=0)]
+    a = Audit(frame(spark, rows))
+    every = {r.Scholarship: r.fiscal_leak for r in a.fiscal_leak().collect()}
+    beyond = {r.Scholarship: r.fiscal_leak for r in a.fiscal_leak(beyond_wall_only=True).collect()}
+    assert every == {0: 210, 1: 240} and beyond == {0: 210, 1: 120}

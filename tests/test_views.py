@@ -24,3 +24,13 @@ def test_sql_over_views(spark):
     assert seg == a.scope_report().first().production_rows
     raw = spark.sql(f"SELECT count(*) AS n FROM {names['raw']}").first().n
     assert raw == 15000
+
+
+def test_sql_ordinals_over_views(spark):
+    events = appointment_view(spark, SF01)
+    names = register_audit_views(spark, events, names={"segmented": "seg_p_ordinals"})
+    by_ordinal = spark.sql(f"""
+        SELECT Scholarship, trust_wall_status, no_show_status, count(*) AS total_patient_volume,
+               round(avg(lead_time), 1) AS avg_lead_time
+        FROM {names['segmented']} GROUP BY 1, 2, 3 ORDER BY 1, 2, 3""")
+    assert by_ordinal.collect() == Audit(events).run("wall_by_payer_prod").collect()
