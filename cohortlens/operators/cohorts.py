@@ -185,8 +185,7 @@ def cohort_metric(
           Metric(f"{prefix}_noshows", "count", f"({where}) AND {o}"),
           Metric(f"{prefix}_rate", "rate", where, digits)]
     wide = evaluate(df, ms, params, cells)
-    return wide.selectExpr(f"CAST(_m0 AS BIGINT) AS {ident(ms[0].label)}",
-                           f"CAST(_m1 AS BIGINT) AS {ident(ms[1].label)}", f"_m2 AS {ident(ms[2].label)}")
+    return wide.selectExpr(*[f"_m{i} AS {ident(m.label)}" for i, m in enumerate(ms)])
 
 
 @dataclass(frozen=True)
@@ -247,8 +246,7 @@ def share_of(df: DataFrame, where: str, name: str = "pct_of_volume",
     ms = [Metric("cohort_rows", "count", where), Metric("total_rows", "count"),
           Metric(name, "share", where)]
     wide = evaluate(df, ms, params, cells)
-    return wide.selectExpr("CAST(_m0 AS BIGINT) AS cohort_rows", "CAST(_m1 AS BIGINT) AS total_rows",
-                           f"_m2 AS {ident(name)}")
+    return wide.selectExpr("_m0 AS cohort_rows", "_m1 AS total_rows", f"_m2 AS {ident(name)}")
 
 
 def pick(

@@ -94,16 +94,21 @@ def cell_sql(m: Metric, params: AuditParams = AuditParams(), kind_col: str = "ce
 
 def evaluate(df: DataFrame, metrics: Sequence[Metric], params: AuditParams = AuditParams(),
              cells: bool = False) -> DataFrame:
-    """One row, one DOUBLE column ``_m<i>`` per metric, from one aggregate."""
+    """One row, one column ``_m<i>`` per metric (counts BIGINT, the rest DOUBLE), one aggregate."""
     tr = cell_sql if cells else row_sql
-    return df.agg(*[F.expr(f"CAST({tr(m, params)} AS DOUBLE) AS _m{i}") for i, m in enumerate(metrics)])
+
+    def typed(m: Metric) -> str:
+        return "BIGINT" if m.kind == "count" else "DOUBLE"
+
+    return df.agg(*[F.expr(f"CAST({tr(m, params)} AS {typed(m)}) AS _m{i}") for i, m in enumerate(metrics)])
 
 
 def metrics_long(df: DataFrame, metrics: Sequence[Metric], params: AuditParams = AuditParams(),
                  cells: bool = False) -> DataFrame:
     """(label, actual) rows for the metrics, from one aggregate pass."""
     wide = evaluate(df, metrics, params, cells)
-    rows = ", ".join(f"struct({sql_literal(m.label)} AS label, _m{i} AS actual)" for i, m in enumerate(metrics))
+    rows = ", ".join(f"struct({sql_literal(m.label)} AS label, CAST(_m{i} AS DOUBLE) AS actual)"
+                     for i, m in enumerate(metrics))
     return wide.selectExpr(f"inline(array({rows}))")
 
 
