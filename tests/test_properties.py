@@ -113,3 +113,26 @@ def test_empty_input_gives_empty_or_null_not_errors(spark):
     assert actual["Total records (raw)"] == 0.0 and actual["Distinct AppointmentIDs"] == 0.0
     assert actual["Day 10 no-show rate (%)"] is None
     assert a.cube().full_audit(FULL_AUDIT_SPECS).collect() == []
+
+
+@given(st.lists(event, min_size=1, max_size=40))
+def test_rates_match_brute_force(spark, events):
+    a = Audit(spark.createDataFrame(to_rows(events), SCHEMA))
+    valid = [e for e in events if e[0] is not None and e[0] >= 0]
+    days = defaultdict(list)
+    for e in valid:
+        days[e[0]].append(e[1])
+    want = {}
+    for d, outs in days.items():
+        k, s, n = sum(1 for o in outs if o is True), sum(1 for o in outs if o is False), len(outs)
+        want[d] = (n, k, s, half_up(k / n * 100), half_up(s / n * 100))
+    got = {r.lead_time_day: (r.total_appointments, r.total_noshows, r.total_shows, r.noshowrate_pct,
+                             r.show_rate_pct) for r in a.run("lead_day_curve").collect()}
+    assert got == want
+    sms = defaultdict(list)
+    for e in valid:
+        sms[e[8]].append(e[1])
+    want = {s: (half_up(sum(1 for o in outs if o is True) / len(outs) * 100), len(outs))
+            for s, outs in sms.items()}
+    got = {r.sms_received: (r.no_show_rate, r.total_appointments) for r in a.run("reminder_rate").collect()}
+    assert got == want
