@@ -33,7 +33,22 @@ def write_feed(
     w.save(path)
 
 
-def save_table(df: DataFrame, name: str, mode: str = "overwrite", files: Optional[int] = 1) -> None:
+def save_table(
+    df: DataFrame,
+    name: str,
+    mode: str = "overwrite",
+    files: Optional[int] = 1,
+    bucket_by: Optional[Sequence[str]] = None,
+    buckets: int = 0,
+) -> None:
+    """Save as a catalog table.  With ``bucket_by``/``buckets`` (an events table
+    keyed by its id), later group-bys and joins on that key read co-located
+    buckets and need no shuffle — e.g. the integrity check."""
+    if bucket_by:
+        if buckets <= 0:
+            raise ValueError("bucket_by needs a positive bucket count")
+        (df.write.mode(mode).bucketBy(buckets, *bucket_by).sortBy(*bucket_by).saveAsTable(name))
+        return
     (df.coalesce(files) if files else df).write.mode(mode).saveAsTable(name)
 
 
