@@ -1,7 +1,8 @@
 """Run audits over an events extract and write each result as a table.
 
-    spark-submit -m cohortlens --events s3://bucket/appointments.csv --format csv \\
-        --out s3://bucket/audit/ --audits all --cube
+    python -m cohortlens --events /data/appointments.csv --format csv \\
+        --out /data/audit/ --audits all --cube
+    spark-submit --py-files cohortlens.zip run_audit.py --events s3://bucket/events/ --out s3://bucket/audit/
 
 ``--format csv`` reads the extract with its explicit schema (outcome as
 Yes/No text); parquet / orc / table inputs use the warehouse layout
