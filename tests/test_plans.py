@@ -62,3 +62,15 @@ def test_shipment_join_is_not_forced_to_broadcast(spark):
     from cohortlens.sources.fixtures import shipment_view
     df = shipment_view(spark, SF01)
     assert "broadcast" not in df._jdf.queryExecution().logical().toString().lower()
+
+
+@pytest.mark.parametrize("name", ["baseline_volume", "full_audit_cube", "exposure_summary", "scorecard"])
+def test_final_plan_operators_run_in_whole_stage_codegen(spark, name):
+    df = QUERIES[name](spark, SF01)
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    ops = ("HashAggregate", "Expand", "Generate", "Project", "Filter")
+    lines = [ln.strip().lstrip("+-: ") for ln in final.splitlines()]
+    for ln in lines:
+        if ln.split("(")[0].split(" ")[0] in ops or any(ln.startswith(op + " ") for op in ops):
+            assert ln.startswith("*("), f"{name}: outside codegen: {ln[:80]}"
