@@ -4,9 +4,12 @@ The batch chain is reused unchanged: ``prepare`` and ``segment`` are
 stateless projections, and the cube is a streaming ``groupBy().count()``
 whose state is the cell table — bounded by the key domains, not by the
 number of events.  Each micro-batch writes the complete cell table as a
-snapshot (``foreachBatch`` + overwrite), so replaying a batch after a failure
-rewrites the same snapshot: the sink is idempotent.  Audits then read the
-snapshot with ``read_cube_snapshot`` and roll up as usual.
+versioned snapshot ``<snapshot_path>/batch=<id>`` (``foreachBatch``);
+replaying a batch after a failure rewrites the same folder with the same
+cells, so the sink is idempotent, and a snapshot being written never hides
+the previous complete one.  ``read_cube_snapshot`` reads the newest snapshot
+that finished (``_SUCCESS`` present) and rolls up as usual.  Old snapshots
+are small and kept; prune them with the storage's own lifecycle rules.
 
 Progress and state live under ``checkpoint_location``; on a cluster it must
 be a shared folder (by default a sub-folder of ``spark.checkpoint.dir``).
@@ -53,7 +56,7 @@ def cube_stream(
 
     def write_snapshot(batch: DataFrame, batch_id: int) -> None:
         # complete mode: every batch carries the whole (small) cell table
-        batch.coalesce(1).write.mode("overwrite").parquet(snapshot_path)
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{snapshot_path.rstrip('/')}/batch={batch_id}")
 
     w = (cells.writeStream.outputMode("complete")
          .option("checkpointLocation", ckpt)
@@ -62,11 +65,29 @@ def cube_stream(
     return w.start()
 
 
+def latest_snapshot(spark: SparkSession, snapshot_path: str) -> str:
+    """Path of the newest complete snapshot (listing through Hadoop's FileSystem API)."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(snapshot_path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    best = None
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("batch="):
+            done = fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))
+            bid = int(name.split("=", 1)[1])
+            if done and (best is None or bid > best[0]):
+                best = (bid, st.getPath().toString())
+    if best is None:
+        raise FileNotFoundError(f"no complete cube snapshot under {snapshot_path}")
+    return best[1]
+
+
 def read_cube_snapshot(
     spark: SparkSession,
     snapshot_path: str,
     cmap: ColumnMap = WAREHOUSE_COLUMNS,
     params: AuditParams = AuditParams(),
 ) -> CohortCube:
-    """The latest cube snapshot as a ``CohortCube`` (batch), ready for roll-ups."""
-    return CohortCube(spark.read.parquet(snapshot_path), cmap, params)
+    """The newest complete cube snapshot as a ``CohortCube`` (batch), ready for roll-ups."""
+    return CohortCube(spark.read.parquet(latest_snapshot(spark, snapshot_path)), cmap, params)

@@ -27,3 +27,6 @@ def test_incremental_cube_matches_batch(spark, tmpdir_path):
     cube = read_cube_snapshot(spark, snap)
     assert _rows(cube.full_audit(FULL_AUDIT_SPECS)) == _rows(Audit(events).cube().full_audit(FULL_AUDIT_SPECS))
     assert cube.scope_report().first().raw_rows == 15000
+    # each micro-batch left its own complete snapshot; the reader took the newest
+    from cohortlens.streaming import latest_snapshot
+    assert latest_snapshot(spark, snap).rsplit("batch=", 1)[1] == "1"
