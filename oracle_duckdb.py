@@ -340,4 +340,8 @@ FROM sc""",
 SELECT * FROM exposure""",
         "shipment_full_audit_cube": _full_audit(F2),
     })
+    # cube-served forms answer with the same rows as the direct forms
+    q["cube_exposure_summary"] = q["exposure_summary"]
+    q["cube_cohort_gaps"] = q["cohort_gaps"]
+    q["cube_scorecard"] = q["scorecard"]
     return q
