@@ -22,11 +22,23 @@ from .prepare import qcol
 Dims = Union[str, Sequence[str]]
 
 
-def _order(df: DataFrame, dims: Sequence[str], order: bool) -> DataFrame:
-    """Ascending on every key, NULLs first (Spark's ascending default)."""
+Order = Union[bool, str]
+
+
+def _order(df: DataFrame, dims: Sequence[str], order: Order) -> DataFrame:
+    """Ascending on every key, NULLs first (Spark's ascending default).
+
+    ``True``/``"global"``: a global sort (range-partitioned; right for any
+    size).  ``"single"``: gather the rows into one partition and sort there —
+    no range-sampling job, for outputs bounded by key domains (a few hundred
+    cohorts), never for per-entity results.
+    """
     if not order or not dims:
         return df
-    return df.orderBy(*[ident(d) for d in dims])
+    keys = [ident(d) for d in dims]
+    if order == "single":
+        return df.repartition(1).sortWithinPartitions(*keys)
+    return df.orderBy(*keys)
 
 
 def _round_sql(expr: str, digits: Optional[int]) -> str:
@@ -40,7 +52,7 @@ def cohort_summary(
     volume: Optional[str] = None,
     avg: Optional[str] = None,
     digits: Optional[int] = None,
-    order: bool = True,
+    order: Order = True,
     avg_first: bool = False,
     drop_null_keys: bool = False,
     count_of: Optional[str] = None,
@@ -72,7 +84,7 @@ def rate_by(
     rate: str = "no_show_rate",
     volume: str = "total_appointments",
     digits: Optional[int] = None,
-    order: bool = True,
+    order: Order = True,
 ) -> DataFrame:
     """AUD-6A: outcome rate (%) per cohort, then the cohort size.
 
@@ -107,7 +119,7 @@ def rate_curve(
     bucket: Optional[str] = None,
     names: CurveNames = CurveNames(),
     digits: Optional[int] = None,
-    order: bool = True,
+    order: Order = True,
     shows: str = "countif",
 ) -> DataFrame:
     """AUD-5A: per lead day — rows, misses, shows, and both rates (n / d * 100, 1 dp).

@@ -77,7 +77,8 @@ class Audit:
         self.events = events
         self.cmap = cmap
         self.params = params
-        self.order = order
+        # catalogue outputs are bounded by key domains: sort them in one partition
+        self.order = "single" if order else False
 
     # -- layers -----------------------------------------------------------------
     def base(self, scope: str = "valid") -> DataFrame:
@@ -193,7 +194,7 @@ class Audit:
         return fn[name]()
 
 
-def cube_audit(cube: CohortCube, name: str, order: bool = True) -> DataFrame:
+def cube_audit(cube: CohortCube, name: str, order="single") -> DataFrame:
     """The same named audits, rolled up from a cube instead of re-scanning."""
     if name in SPEC_BY_NAME:
         return cube.spec(SPEC_BY_NAME[name], order)

@@ -74,3 +74,14 @@ def test_final_plan_operators_run_in_whole_stage_codegen(spark, name):
     for ln in lines:
         if ln.split("(")[0].split(" ")[0] in ops or any(ln.startswith(op + " ") for op in ops):
             assert ln.startswith("*("), f"{name}: outside codegen: {ln[:80]}"
+
+
+def test_catalogue_sorts_bounded_outputs_in_one_partition(spark):
+    from cohortlens import Audit, appointment_view, cohort_summary
+    audit = Audit(appointment_view(spark, SF01))
+    single = audit.run("gender_payer")
+    assert "rangepartitioning" not in plan(single) and "SinglePartition" in plan(single)
+    dims = ["Gender", "Scholarship", "no_show_status"]
+    generic = cohort_summary(audit.base("valid"), dims)  # unbounded-safe default: global sort
+    assert "rangepartitioning" in plan(generic)
+    assert single.collect() == generic.collect()
