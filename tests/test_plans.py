@@ -85,3 +85,18 @@ def test_catalogue_sorts_bounded_outputs_in_one_partition(spark):
     generic = cohort_summary(audit.base("valid"), dims)  # unbounded-safe default: global sort
     assert "rangepartitioning" in plan(generic)
     assert single.collect() == generic.collect()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_only_join_inputs_shuffle_event_rows(spark, name):
+    from cohortlens.planinfo import exchanges
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the plan a large input gets
+    try:
+        ex = exchanges(QUERIES[name](spark, SF01))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
+    raw = [e for e in ex if e["carries"] == "events"]
+    if name.startswith("shipment_"):
+        assert len(raw) == 2 and all("orderkey" in e["line"] for e in raw)
+    else:
+        assert raw == [], raw
