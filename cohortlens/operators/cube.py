@@ -1,27 +1,25 @@
 """ONE-1: the cohort cube — one scan of the events serves every audit.
 
 Every audit measure except the distinct-key count is a function of counts
-per cohort cell, so the cube is one aggregate over the events with two
-grouping sets, computed from the same scan:
-
-* **cohort cells**: (10 cohort keys, entity present, outcome, lead band
-  key) -> ``cnt``, ``sum_lead``.  The lead key is the lead day clipped to
-  ``[-1, lead_cap + 1]`` (-1 = negative lead, ``lead_cap + 1`` = beyond the
-  cap); ``sum_lead`` keeps the exact lead sum, so means stay exact, and the
-  wall band stays exact for any wall day up to ``lead_cap + 1``.
-* **curve cells**: (entity present, outcome, exact lead day) -> ``cnt`` —
-  the per-day curve needs every day but none of the cohort keys.
-
-Both sets are bounded by key domains (2^10 x ``lead_cap + 3`` and
-3 x 2 x distinct lead days), never by the row count, so each map task's
-partial aggregate collapses its rows to at most that many cells before the
-shuffle, however the lead days spread.  Audits re-aggregate cells:
-
-* n = sum(cnt); mean lead = sum(sum_lead) / sum(cnt) (exact integer sums);
-* rate = sum(cnt where outcome) / sum(cnt) * 100.
-
-Negative and NULL lead days stay in the cube, so scope accounting comes from
-it too.
+per cohort cell.  The cube is one aggregate over the events:
+
+* **cohort cells** (every row, once): 10 cohort keys, entity present,
+  outcome, and the lead day clipped to ``[-1, lead_cap + 1]`` (-1 = negative,
+  ``lead_cap + 1`` = beyond the cap) -> ``cnt`` and the exact ``sum_lead``.
+  Means stay exact, the wall band is exact for any wall up to
+  ``lead_cap + 1``, and days 0..``lead_cap`` are exact lead days.
+* **curve cells** (only rows whose lead is outside 0..``lead_cap`` or
+  missing, a second time): entity present, outcome, exact lead day.  With
+  the in-range cohort cells they give every lead day exactly.
+
+Each row is fanned out to its one or two cells inside the scan stage, so
+the map-side partial aggregate sees about one row per event for typical
+lead spreads (a blanket two-set ``GROUPING SETS`` would double every row).
+Both cell sets are bounded by key domains (2^10 x (``lead_cap`` + 3) and
+6 x distinct out-of-range days), never by the row count, so each map task
+collapses its rows to at most that many before the shuffle.  Audits
+re-aggregate cells: n = sum(cnt); mean lead = sum(sum_lead) / sum(cnt);
+rate = sum(cnt where outcome) / sum(cnt) * 100.
 """
 
 from __future__ import annotations
@@ -82,8 +80,8 @@ class CohortCube:
     def __init__(self, cells: DataFrame, cmap: ColumnMap, params: AuditParams, lead_cap: Optional[int] = None):
         self.cells = cells
         self.cmap = cmap
-        self.params = params
         self.lead_cap = params.lead_cap if lead_cap is None else lead_cap
+        self.params = params.with_(lead_cap=self.lead_cap)
         if params.wall > self.lead_cap + 1:
             raise ValueError(f"wall day {params.wall} is beyond the cube's lead cap "
                              f"{self.lead_cap} + 1; rebuild with a larger AuditParams.lead_cap")
@@ -101,21 +99,22 @@ class CohortCube:
         cap = int(params.lead_cap)
         lead = ident(n.lead)
         ent = f"{ident(cmap.entity)} IS NOT NULL" if cmap.entity else "TRUE"
-        keys = [ident(k) for k in cube_keys(cmap, params)]
-        base = seg_raw.selectExpr(
-            *keys,
-            f"{ent} AS {ident(n.entity_present)}",
-            ident(n.outcome),
-            f"CASE WHEN {lead} < 0 THEN -1 WHEN {lead} > {cap} THEN {cap + 1} ELSE {lead} END AS {lead}",
-            f"{lead} AS {LEAD_DAY}",
-        )
-        common = [ident(n.entity_present), ident(n.outcome)]
-        cohort_set = keys + common + [lead]
-        curve_set = common + [LEAD_DAY]
-        cells = base.groupingSets([cohort_set, curve_set], *(keys + common + [lead, LEAD_DAY])).agg(
+        types = {f.name: f.dataType.simpleString() for f in seg_raw.schema.fields}
+        names = list(cube_keys(cmap, params))
+        keys = [ident(k) for k in names]
+        common = [f"{ent} AS {ident(n.entity_present)}", f"{ident(n.outcome)} AS {ident(n.outcome)}"]
+        clipped = f"CASE WHEN {lead} < 0 THEN -1 WHEN {lead} > {cap} THEN {cap + 1} ELSE {lead} END"
+        cohort = ", ".join([f"'cohort' AS {KIND}"] + [f"{k} AS {k}" for k in keys] + common + [
+            f"{clipped} AS {lead}", f"CAST(NULL AS INT) AS {LEAD_DAY}", f"{lead} AS _lead"])
+        curve = ", ".join([f"'curve' AS {KIND}"] + [f"CAST(NULL AS {types[k]}) AS {ident(k)}" for k in names]
+                          + common + [f"CAST(NULL AS INT) AS {lead}", f"{lead} AS {LEAD_DAY}", f"{lead} AS _lead"])
+        in_range = f"coalesce({lead} BETWEEN 0 AND {cap}, FALSE)"
+        fanned = seg_raw.selectExpr(
+            f"inline(CASE WHEN {in_range} THEN array(struct({cohort})) "
+            f"ELSE array(struct({cohort}), struct({curve})) END)")
+        cells = fanned.groupBy(KIND, *keys, ident(n.entity_present), ident(n.outcome), lead, LEAD_DAY).agg(
             F.expr(f"count(1) AS {CNT}"),
-            F.expr(f"sum({LEAD_DAY}) AS {SUM_LEAD}"),
-            F.expr(f"CASE WHEN grouping({LEAD_DAY}) = 1 THEN 'cohort' ELSE 'curve' END AS {KIND}"),
+            F.expr(f"sum(_lead) AS {SUM_LEAD}"),
         )
         return cls(cells, cmap, params, cap)
 
@@ -143,9 +142,14 @@ class CohortCube:
         c = self.cells.where(F.col(KIND) == "cohort")
         return self._labels(self._scope(c, self.params.names.lead, scope))
 
+    def _exact(self) -> str:
+        """Cells whose lead column is an exact lead day (curve cells, in-range cohort cells)."""
+        return f"({KIND} = 'curve' OR {ident(self.params.names.lead)} BETWEEN 0 AND {int(self.lead_cap)})"
+
     def unified(self, scope: str = "valid") -> DataFrame:
-        """All cells of a scope with one lead column (exact on curve cells, clipped on
-        cohort cells) and the derived labels — the frame ``Metric`` cell translators read."""
+        """All cells of a scope with one lead column (exact on curve cells and in-range
+        cohort cells, clipped otherwise) and the derived labels — the frame ``Metric``
+        cell translators read (``exact_day`` metrics keep to ``_exact()`` cells)."""
         check_scope(scope)
         n = self.params.names
         lead = ident(n.lead)
@@ -155,8 +159,13 @@ class CohortCube:
         return self._labels(self._scope(c, n.lead, scope))
 
     def curve_cells(self, scope: str = "valid") -> DataFrame:
+        """Cells carrying exact lead days, with the day in ``lead_day`` (each row counted once)."""
         check_scope(scope)
-        return self._scope(self.cells.where(F.col(KIND) == "curve"), LEAD_DAY, scope)
+        n = self.params.names
+        c = self.cells.where(self._exact()).selectExpr(
+            *[ident(x) for x in self.cells.columns if x != LEAD_DAY],
+            f"CASE WHEN {KIND} = 'curve' THEN {LEAD_DAY} ELSE {ident(n.lead)} END AS {LEAD_DAY}")
+        return self._scope(c, LEAD_DAY, scope)
 
     def _labels(self, c: DataFrame) -> DataFrame:
         p, n = self.params, self.params.names
@@ -274,14 +283,15 @@ class CohortCube:
         """
         p, n = self.params, self.params.names
         width = max(len(s.dims) for s in specs)
-        c = self._labels(self.cells)
+        c = self._labels(self.cells).selectExpr(
+            "*", f"CASE WHEN {KIND} = 'curve' THEN {LEAD_DAY} ELSE {ident(n.lead)} END AS _day")
         o = ident(n.outcome)
         entries = []
         for s in specs:
             scope = check_scope(s.scope)
             if self._is_curve(s.dims):
-                lead, conds = LEAD_DAY, [f"{KIND} = 'curve'"]
-                keys = [LEAD_DAY if d == n.lead else ident(d) for d in s.dims]
+                lead, conds = "_day", [self._exact()]
+                keys = ["_day" if d == n.lead else ident(d) for d in s.dims]
             else:
                 lead, conds = ident(n.lead), [f"{KIND} = 'cohort'"]
                 keys = [ident(d) for d in s.dims]

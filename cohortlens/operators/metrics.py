@@ -12,8 +12,8 @@ A ``Metric`` is a kind of measure over the rows matching a SQL condition:
 the same aggregate over cube cells (``cnt``, ``sum_lead``), where counts
 become sums of ``cnt`` — exact integers, so both give identical doubles.
 Conditions may use any event or label column; a condition that pins an
-exact lead day must set ``exact_day=True`` so the cube reads it from its
-curve cells (cohort cells hold the lead day clipped at the cap).
+exact lead day must set ``exact_day=True`` so the cube reads it from the
+cells that hold exact days (cohort cells clip the lead day at the cap).
 All metrics of a list are evaluated in ONE aggregate pass.
 """
 
@@ -71,8 +71,11 @@ def row_sql(m: Metric, params: AuditParams = AuditParams()) -> str:
 
 def cell_sql(m: Metric, params: AuditParams = AuditParams(), kind_col: str = "cell_kind",
              cnt: str = "cnt", sum_lead: str = "sum_lead") -> str:
-    o = ident(params.names.outcome)
-    kind = f"{kind_col} = {sql_literal('curve' if m.exact_day else 'cohort')}"
+    o, lead = ident(params.names.outcome), ident(params.names.lead)
+    if m.exact_day:  # curve cells, and cohort cells whose (unclipped) lead is an exact day
+        kind = f"{kind_col} = 'curve' OR {lead} BETWEEN 0 AND {int(params.lead_cap)}"
+    else:  # every event once
+        kind = f"{kind_col} = 'cohort'"
     w = _and(kind, m.where)
 
     def total(cond: str) -> str:

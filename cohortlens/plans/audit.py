@@ -156,8 +156,9 @@ class Audit:
     # -- reconciliation ---------------------------------------------------------------
     def metrics(self, cube: Optional[CohortCube] = None) -> DataFrame:
         """Checkpoint actuals; with ``cube``, twelve come from its cells (no extra event scan)."""
-        cells = None if cube is None else cube.unified("raw")
-        return reference_metrics(self.base("raw"), self.cmap, self.params, cells)
+        if cube is None:
+            return reference_metrics(self.base("raw"), self.cmap, self.params)
+        return reference_metrics(self.base("raw"), self.cmap, cube.params, cube.unified("raw"))
 
     def scorecard(self, expected=None, digits: Optional[int] = None,
                   cube: Optional[CohortCube] = None) -> DataFrame:
