@@ -2,10 +2,10 @@
 
 The rate card is applied AFTER aggregation, to group rows (the payer is a
 group key), so nothing is joined to or broadcast with the event rows.  A
-card given as pairs compiles to a CASE expression; a card given as a table
-is joined to the group rows after a bounded validation.  The share of total
-volume is a window over the aggregated rows only, whose number is bounded by
-the key domains, not by the data.
+card given as pairs compiles to a CASE expression; a card kept as a table is
+read with a row cap and validated by ``rate_card_pairs``, then compiled the
+same way.  The share of total volume is a window over the aggregated rows
+only, whose number is bounded by the key domains, not by the data.
 """
 
 from __future__ import annotations
