@@ -1,9 +1,13 @@
 """Sinks for audit results.
 
-Audit outputs are small (one row per cohort), so one output file is the
-natural layout; ``files`` bounds it explicitly instead of inheriting the
-shuffle-partition count.  ``materialize`` cuts lineage through the shared
-checkpoint folder the session names, never through executor-local storage.
+Catalogue outputs arrive in one partition already (ordered audits are
+sorted in a single partition; global aggregates are one row), so they land
+as one file without help.  ``files=n`` asks for n files through
+``repartition(n)`` — a shuffle of the output rows only.  ``coalesce`` is
+never used: it is narrow and would pull the upstream final aggregate (or an
+unbounded result such as the duplicate-key list) into n tasks.
+``materialize`` cuts lineage through the shared checkpoint folder the
+session names, never through executor-local storage.
 """
 
 from __future__ import annotations
@@ -21,10 +25,10 @@ def write_feed(
     fmt: str = "parquet",
     mode: str = "overwrite",
     partition_by: Optional[Sequence[str]] = None,
-    files: Optional[int] = 1,
+    files: Optional[int] = None,
     **options,
 ) -> None:
-    out = df.coalesce(files) if files else df
+    out = df.repartition(files) if files else df
     w = out.write.mode(mode).format(fmt).options(**options)
     if fmt == "csv":
         w = w.option("header", "true")
@@ -37,7 +41,7 @@ def save_table(
     df: DataFrame,
     name: str,
     mode: str = "overwrite",
-    files: Optional[int] = 1,
+    files: Optional[int] = None,
     bucket_by: Optional[Sequence[str]] = None,
     buckets: int = 0,
 ) -> None:
@@ -49,7 +53,7 @@ def save_table(
             raise ValueError("bucket_by needs a positive bucket count")
         (df.write.mode(mode).bucketBy(buckets, *bucket_by).sortBy(*bucket_by).saveAsTable(name))
         return
-    (df.coalesce(files) if files else df).write.mode(mode).saveAsTable(name)
+    (df.repartition(files) if files else df).write.mode(mode).saveAsTable(name)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -56,7 +56,9 @@ def cube_stream(
 
     def write_snapshot(batch: DataFrame, batch_id: int) -> None:
         # complete mode: every batch carries the whole (small) cell table
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{snapshot_path.rstrip('/')}/batch={batch_id}")
+        # one file: repartition (a shuffle of the few cells), not coalesce, which would
+        # collapse the stateful aggregation stage itself into one task
+        batch.repartition(1).write.mode("overwrite").parquet(f"{snapshot_path.rstrip('/')}/batch={batch_id}")
 
     w = (cells.writeStream.outputMode("complete")
          .option("checkpointLocation", ckpt)
