@@ -43,11 +43,12 @@ def local_session(
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
-    # Only a local run may invent its own checkpoint folder, and only if unset.
-    if "spark.checkpoint.dir" not in (extra or {}):
-        b = b.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="cohortlens-ckpt-", dir="/tmp"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    # Read the checkpoint folder from the session; only a local run with none
+    # configured gets a scratch folder of its own.
+    if not checkpoint_dir(spark):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cohortlens-ckpt-", dir="/tmp"))
     return spark
 
 

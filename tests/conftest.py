@@ -15,8 +15,7 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     from cohortlens.session import local_session
     s = local_session(master="local[8]", shuffle_partitions=8,
-                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="cl-test-ckpt-", dir="/tmp"),
-                             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="cl-test-wh-", dir="/tmp")})
+                      extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="cl-test-wh-", dir="/tmp")})
     yield s
     s.stop()
 

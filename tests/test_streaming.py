@@ -12,7 +12,10 @@ def _rows(df):
 
 def test_incremental_cube_matches_batch(spark, tmpdir_path):
     events = appointment_view(spark, SF01)
-    src, snap, ckpt = f"{tmpdir_path}/src", f"{tmpdir_path}/snap", f"{tmpdir_path}/ckpt"
+    src, snap = f"{tmpdir_path}/src", f"{tmpdir_path}/snap"
+    # stream state goes under the session's checkpoint folder (spark.checkpoint.dir)
+    from cohortlens.session import checkpoint_dir
+    ckpt = f"{checkpoint_dir(spark).rstrip('/')}/cube-stream-{tmpdir_path.rsplit('-', 1)[-1]}"
     part1 = events.where("AppointmentID % 2 = 0")
     part2 = events.where("AppointmentID % 2 = 1")
 
