@@ -12,11 +12,14 @@ that finished (``_SUCCESS`` present) and rolls up as usual.  Old snapshots
 are small and kept; prune them with the storage's own lifecycle rules.
 
 Progress and state live under ``checkpoint_location``; on a cluster it must
-be a shared folder (by default a sub-folder of ``spark.checkpoint.dir``).
+be a shared folder (by default a stable sub-folder of the configured
+``spark.checkpoint.dir``, named from the source and snapshot paths, so a
+restarted application resumes where it stopped).
 """
 
 from __future__ import annotations
 
+import hashlib
 from typing import Optional
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,7 +50,7 @@ def cube_stream(
     """
     from ..plans.audit import Audit
 
-    ckpt = checkpoint_location or f"{require_checkpoint_dir(spark).rstrip('/')}/cohort-cube-stream"
+    ckpt = checkpoint_location or default_stream_checkpoint(spark, source_dir, snapshot_path)
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
@@ -67,6 +70,14 @@ def cube_stream(
     return w.start()
 
 
+def default_stream_checkpoint(spark: SparkSession, source_dir: str, snapshot_path: str) -> str:
+    """A stable state folder under the configured ``spark.checkpoint.dir`` (not the
+    per-application sub-folder), so a restarted application resumes the same stream."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or require_checkpoint_dir(spark)
+    tag = hashlib.sha1(f"{source_dir}|{snapshot_path}".encode()).hexdigest()[:12]
+    return f"{base.rstrip('/')}/cohort-cube-stream/{tag}"
+
+
 def latest_snapshot(spark: SparkSession, snapshot_path: str) -> str:
     """Path of the newest complete snapshot (listing through Hadoop's FileSystem API)."""
     jvm = spark.sparkContext._jvm
