@@ -47,7 +47,12 @@ def save_table(
 ) -> None:
     """Save as a catalog table.  With ``bucket_by``/``buckets`` (an events table
     keyed by its id), later group-bys and joins on that key read co-located
-    buckets and need no shuffle — e.g. the integrity check."""
+    buckets and need no shuffle — e.g. the integrity check.
+
+    A bucket is read by one task, so a key that holds a large share of the
+    rows makes that task large; for such data read the table with
+    ``spark.sql.sources.bucketing.enabled=false`` and let the map-side partial
+    aggregate spread the hot key over every scan task instead."""
     if bucket_by:
         if buckets <= 0:
             raise ValueError("bucket_by needs a positive bucket count")
