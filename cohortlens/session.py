@@ -87,7 +87,10 @@ def scale_conf(rows: int, key_bytes: int = 8, target_partition_bytes: int = 256
     The largest shuffle of a full audit is the key-only integrity shuffle
     (every other audit shuffles pre-aggregated cohort rows), so the partition
     count is sized from it: rows x (key + count + row overhead) / target size.
-    AQE coalesces the tiny cohort shuffles back down at run time.
+    AQE coalesces the tiny cohort shuffles back down at run time.  Every
+    map task emits at most one partial row per group (per cube cell), so
+    larger scan splits (``scan_partition_bytes``, e.g. 1 GB) mean fewer partial
+    rows in each audit shuffle.
     """
     per_row = key_bytes + 8 + 16
     partitions = max(1, -(-rows * per_row // target_partition_bytes))
