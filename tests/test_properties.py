@@ -49,7 +49,7 @@ def brute_summary(events, key_fn, scope="valid"):
     return {k: (len(v), half_up(sum(v) / len(v))) for k, v in groups.items()}
 
 
-settings.register_profile("spark", max_examples=5, deadline=None,
+settings.register_profile("spark", max_examples=5, deadline=None, derandomize=True,
                           suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
 settings.load_profile("spark")
 
