@@ -10,7 +10,7 @@ from .cohorts import (
 )
 from .metrics import Metric, evaluate, metrics_long, reference_checkpoint_metrics
 from .exposure import (
-    EXPOSURE_DIMS, exposure_summary, fiscal_leak, fiscal_leak_total, rate_card_pairs,
+    EXPOSURE_DIMS, exposure_dims, exposure_summary, fiscal_leak, fiscal_leak_total, rate_card_pairs,
     rate_expr, validate_rate_card,
 )
 from .reconcile import long_metrics, reconcile, reference_metrics, scorecard_summary

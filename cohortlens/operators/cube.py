@@ -33,7 +33,7 @@ from ..config import AuditParams, ColumnMap, WAREHOUSE_COLUMNS, as_list, check_s
 from ..functions.measures import pct, rounded, share_pct
 from ..functions.rules import band_rule, ident, sql_literal, tier_rule
 from .cohorts import CurveNames, _order
-from .exposure import EXPOSURE_DIMS, rate_expr
+from .exposure import exposure_dims, rate_expr
 from .prepare import qcol
 
 CNT = "cnt"
@@ -251,11 +251,11 @@ class CohortCube:
             s(valid & ~ent).alias("null_entity_rows"),
         )
 
-    def exposure(self, dims: Sequence[str] = EXPOSURE_DIMS, scope: str = "production",
+    def exposure(self, dims: Optional[Sequence[str]] = None, scope: str = "production",
                  impact: str = "modeled_revenue_impact", share: str = "pct_of_total_volume",
                  order: bool = True) -> DataFrame:
         p, n = self.params, self.params.names
-        dims = as_list(dims)
+        dims = exposure_dims(p) if dims is None else as_list(dims)
         groups = self.scoped(scope).groupBy(*[qcol(d) for d in dims]).agg(
             F.sum(CNT).alias(n.volume),
             rounded(_cell_avg(), p.digits).alias(n.avg_lead))

@@ -19,8 +19,13 @@ from ..functions.measures import rounded, share_pct
 from .cohorts import _order
 from .prepare import qcol
 
-EXPOSURE_DIMS = ("Scholarship", "Gender", "trust_wall_status", "acuity_tier",
-                 "SMS_received", "no_show_status")
+def exposure_dims(params: AuditParams = AuditParams()) -> Tuple[str, ...]:
+    """The exposure keys: payer, gender, band, tier, reminder, outcome."""
+    n = params.names
+    return (params.payer, params.gender, n.band, n.tier, params.sms, n.outcome)
+
+
+EXPOSURE_DIMS = exposure_dims()
 
 
 def validate_rate_card(pairs: Iterable[Tuple[object, int]]) -> Tuple[Tuple[object, int], ...]:
@@ -56,7 +61,7 @@ def rate_card_pairs(card: DataFrame, key: str, rate: str, max_rows: int = 10_000
 
 def exposure_summary(
     df: DataFrame,
-    dims: Sequence[str] = EXPOSURE_DIMS,
+    dims: Optional[Sequence[str]] = None,
     params: AuditParams = AuditParams(),
     rate_card: Optional[Sequence[Tuple[object, int]]] = None,
     impact: str = "modeled_revenue_impact",
@@ -69,7 +74,7 @@ def exposure_summary(
     key); ``fiscal_leak`` keeps the missed ones.
     """
     n = params.names
-    dims = as_list(dims)
+    dims = exposure_dims(params) if dims is None else as_list(dims)
     if params.payer not in dims:
         raise ValueError(f"payer column {params.payer!r} must be one of the dims {dims}")
     card = params.rate_card if rate_card is None else rate_card

@@ -18,42 +18,50 @@ from ..operators.cohorts import (
     reference_gaps, share_of, threshold_contrast,
 )
 from ..operators.cube import AuditSpec, CohortCube
-from ..operators.exposure import EXPOSURE_DIMS, exposure_summary, fiscal_leak, fiscal_leak_total
+from ..operators.exposure import exposure_summary, fiscal_leak, fiscal_leak_total
 from ..functions.rules import ident, reference_segments, sql_literal
 from ..operators.prepare import has_flags, prepare, qcol
 from ..operators.quality import duplicate_keys, integrity_check, outcome_report, scope_report
 from ..operators.reconcile import reconcile, reference_metrics, scorecard_summary
 
-N_STATUS = "no_show_status"
-
-# Grouped audits: (name, keys, scope, outcome filter, output names).
-GROUPED_AUDITS: Tuple[AuditSpec, ...] = (
-    AuditSpec("baseline_volume", ("Scholarship", N_STATUS)),
-    AuditSpec("gender_payer", ("Gender", "Scholarship", N_STATUS)),
-    AuditSpec("chronic_conditions", ("Diabetes", "Hipertension", N_STATUS)),
-    AuditSpec("condition_combinations", ("has_diabetes", "has_hypertension", "has_alcoholism"),
-              missed_only=True, volume="total_no_shows", avg="avg_lead_time_no_show", avg_first=True),
-    AuditSpec("acuity_tiers", ("patient_acuity", N_STATUS)),
-    AuditSpec("wall_by_payer", ("Scholarship", "trust_wall_status", N_STATUS)),
-    AuditSpec("wall_by_payer_prod", ("Scholarship", "trust_wall_status", N_STATUS), scope="production"),
-    AuditSpec("reminder_outcome", ("SMS_received", N_STATUS)),
-    AuditSpec("reminder_band", ("SMS_received", "trust_wall_status", N_STATUS), scope="production"),
-    AuditSpec("disability_outcome", ("is_disabled", N_STATUS)),
-    AuditSpec("disability_band", ("is_disabled", "trust_wall_status", N_STATUS), scope="production"),
-    AuditSpec("age_class_outcome", ("advocacy_type", N_STATUS)),
-    AuditSpec("age_class_band", ("advocacy_type", "trust_wall_status", N_STATUS), scope="production"),
-    AuditSpec("lead_by_outcome", (N_STATUS,)),
-)
-
-# Extra long-form members of the full audit: the day curve and the reminder rate.
-FULL_AUDIT_SPECS: Tuple[AuditSpec, ...] = GROUPED_AUDITS + (
-    AuditSpec("lead_day_curve", ("lead_time",)),
-    AuditSpec("reminder_rate", ("SMS_received",)),
-)
-
+def grouped_audits(params: AuditParams = AuditParams()) -> Tuple[AuditSpec, ...]:
+    """The grouped audits: (name, keys, scope, outcome filter, output names).
+
+    Keys come from the parameters, so another dataset's column names work."""
+    n = params.names
+    h, d, a = params.conditions
+    o = n.outcome
+    return (
+        AuditSpec("baseline_volume", (params.payer, o)),
+        AuditSpec("gender_payer", (params.gender, params.payer, o)),
+        AuditSpec("chronic_conditions", (d, h, o)),
+        AuditSpec("condition_combinations", ("has_diabetes", "has_hypertension", "has_alcoholism"),
+                  missed_only=True, volume="total_no_shows", avg="avg_lead_time_no_show", avg_first=True),
+        AuditSpec("acuity_tiers", ("patient_acuity", o)),
+        AuditSpec("wall_by_payer", (params.payer, n.band, o)),
+        AuditSpec("wall_by_payer_prod", (params.payer, n.band, o), scope="production"),
+        AuditSpec("reminder_outcome", (params.sms, o)),
+        AuditSpec("reminder_band", (params.sms, n.band, o), scope="production"),
+        AuditSpec("disability_outcome", (n.disabled, o)),
+        AuditSpec("disability_band", (n.disabled, n.band, o), scope="production"),
+        AuditSpec("age_class_outcome", (n.age_class, o)),
+        AuditSpec("age_class_band", (n.age_class, n.band, o), scope="production"),
+        AuditSpec("lead_by_outcome", (o,)),
+    )
+
+
+def full_audit_specs(params: AuditParams = AuditParams()) -> Tuple[AuditSpec, ...]:
+    """Grouped audits plus the day curve and the reminder rate, for the long form."""
+    return grouped_audits(params) + (
+        AuditSpec("lead_day_curve", (params.names.lead,)),
+        AuditSpec("reminder_rate", (params.sms,)),
+    )
+
+
+GROUPED_AUDITS: Tuple[AuditSpec, ...] = grouped_audits()
+FULL_AUDIT_SPECS: Tuple[AuditSpec, ...] = full_audit_specs()
 SPEC_BY_NAME = {s.name: s for s in GROUPED_AUDITS}
 
-
 # every named audit the cube can serve (all but integrity / duplicates / outcome mapping,
 # which need the event keys themselves)
 CUBE_SERVED: Tuple[str, ...] = tuple(SPEC_BY_NAME) + (
@@ -79,6 +87,7 @@ class Audit:
         self.params = params
         # catalogue outputs are bounded by key domains: sort them in one partition
         self.order = "single" if order else False
+        self.specs = {s.name: s for s in grouped_audits(params)}
 
     # -- layers -----------------------------------------------------------------
     def base(self, scope: str = "valid") -> DataFrame:
@@ -93,6 +102,10 @@ class Audit:
     def cube(self) -> CohortCube:
         return CohortCube.build(self.base("raw"), self.cmap, self.params)
 
+    def full_audit(self, cube: Optional[CohortCube] = None) -> DataFrame:
+        """Every grouped audit, the day curve and the reminder rate, long form, from the cube."""
+        return (cube or self.cube()).full_audit(full_audit_specs(self.params))
+
     # -- AUD-0 / 0b ------------------------------------------------------------
     def integrity(self) -> DataFrame:
         return integrity_check(self.events, self.cmap.key)
@@ -132,7 +145,7 @@ class Audit:
     def cohort_volume(self) -> DataFrame:
         """AUD-2b: the male / payer = 1 / missed volume, summed from the gender x payer table."""
         p = self.params
-        table = Audit(self.events, self.cmap, p, order=False).grouped(SPEC_BY_NAME["gender_payer"])
+        table = Audit(self.events, self.cmap, p, order=False).grouped(self.specs["gender_payer"])
         cells = {p.gender: "M", p.payer: 1, p.names.outcome: True}
         return pick(table, cells, p.names.volume, how="sum")
 
@@ -144,10 +157,10 @@ class Audit:
 
     # -- exposure ------------------------------------------------------------------
     def exposure(self) -> DataFrame:
-        return exposure_summary(self.base("production"), EXPOSURE_DIMS, self.params, order=self.order)
+        return exposure_summary(self.base("production"), None, self.params, order=self.order)
 
     def fiscal_leak(self, beyond_wall_only: bool = False) -> DataFrame:
-        exp = exposure_summary(self.base("production"), EXPOSURE_DIMS, self.params, order=False)
+        exp = exposure_summary(self.base("production"), None, self.params, order=False)
         return fiscal_leak(exp, self.params, beyond_wall_only=beyond_wall_only, order=self.order)
 
     def fiscal_leak_total(self) -> DataFrame:
@@ -171,8 +184,8 @@ class Audit:
 
     # -- dispatch (one output of the chain, the rest never executed) ------------------
     def run(self, name: str) -> DataFrame:
-        if name in SPEC_BY_NAME:
-            return self.grouped(SPEC_BY_NAME[name])
+        if name in self.specs:
+            return self.grouped(self.specs[name])
         fn: Dict[str, Callable[[], DataFrame]] = {
             "integrity": self.integrity,
             "duplicates": self.duplicates,
@@ -191,14 +204,15 @@ class Audit:
             "scorecard_summary": self.scorecard_summary,
         }
         if name not in fn:
-            raise KeyError(f"unknown audit {name!r}; known: {sorted(list(fn) + list(SPEC_BY_NAME))}")
+            raise KeyError(f"unknown audit {name!r}; known: {sorted(list(fn) + list(self.specs))}")
         return fn[name]()
 
 
 def cube_audit(cube: CohortCube, name: str, order="single") -> DataFrame:
     """The same named audits, rolled up from a cube instead of re-scanning."""
-    if name in SPEC_BY_NAME:
-        return cube.spec(SPEC_BY_NAME[name], order)
+    specs = {s.name: s for s in grouped_audits(cube.params)}
+    if name in specs:
+        return cube.spec(specs[name], order)
     if name == "reminder_rate":
         return cube.rate_by([cube.params.sms], order=order).withColumnRenamed(cube.params.sms, "sms_received")
     if name == "lead_day_curve":
@@ -219,6 +233,6 @@ def cube_audit(cube: CohortCube, name: str, order="single") -> DataFrame:
     if name == "cohort_gaps":
         return cohort_gaps(cube.unified("valid"), reference_gaps(p), params=p, cells=True)
     if name == "cohort_volume":
-        table = cube.spec(SPEC_BY_NAME["gender_payer"], order=False)
+        table = cube.spec(specs["gender_payer"], order=False)
         return pick(table, {p.gender: "M", p.payer: 1, p.names.outcome: True}, p.names.volume, how="sum")
     raise KeyError(f"audit {name!r} is not served by the cube")

@@ -52,3 +52,29 @@ def test_rate_card_table_and_custom_card(spark):
         rate_card_pairs(dup, "payer", "rate")
     with pytest.raises(ValueError, match="exceeds"):
         rate_card_pairs(card, "payer", "rate", max_rows=1)
+
+
+RENAMES = {"PatientId": "member_id", "AppointmentID": "visit_id", "Gender": "sex", "ScheduledDay": "booked_on",
+           "AppointmentDay": "due_on", "Age": "age_years", "Scholarship": "plan", "Hipertension": "htn",
+           "Diabetes": "dm", "Alcoholism": "aud", "Handcap": "mobility", "SMS_received": "reminded",
+           "No-show": "missed"}
+
+
+def test_another_datasets_column_names_give_the_same_audits(spark):
+    from cohortlens import ColumnMap
+    from cohortlens.plans.audit import CUBE_SERVED, cube_audit
+    view = appointment_view(spark, SF)
+    renamed = view.withColumnsRenamed(RENAMES)
+    cmap = ColumnMap(key="visit_id", entity="member_id", booked_at="booked_on", due_at="due_on",
+                     outcome="missed", attributes=("sex", "age_years", "plan", "htn", "dm", "aud",
+                                                   "mobility", "reminded"))
+    params = AuditParams(payer="plan", gender="sex", age="age_years", level="mobility", sms="reminded",
+                         conditions=("htn", "dm", "aud"))
+    ours, ref = Audit(renamed, cmap, params), Audit(view)
+    cube = ours.cube()
+    for name in list(CUBE_SERVED) + ["integrity", "scorecard"]:
+        want = [tuple(r) for r in ref.run(name).collect()]
+        assert [tuple(r) for r in ours.run(name).collect()] == want, name
+        if name in CUBE_SERVED and name != "wall_contrast":
+            assert [tuple(r) for r in cube_audit(cube, name).collect()] == want, name
+    assert sorted(map(tuple, ours.full_audit().collect())) == sorted(map(tuple, ref.full_audit().collect()))
