@@ -90,8 +90,23 @@ class Audit:
         self.specs = {s.name: s for s in grouped_audits(params)}
 
     # -- layers -----------------------------------------------------------------
+    def required_columns(self) -> Tuple[str, ...]:
+        c, p = self.cmap, self.params
+        cols = (c.key, c.booked_at, c.due_at, c.outcome, p.payer, p.gender, p.age, p.level, p.sms,
+                *p.conditions) + ((c.entity,) if c.entity else ())
+        return tuple(dict.fromkeys(cols))
+
+    def check_columns(self) -> None:
+        """Fail early, naming what is missing, instead of deep inside plan analysis."""
+        have = set(self.events.columns)
+        missing = [col for col in self.required_columns() if col not in have]
+        if missing:
+            raise ValueError(f"events lack columns {missing}; map the dataset's own names with "
+                             f"ColumnMap (key, dates, outcome, entity) and AuditParams (attributes)")
+
     def base(self, scope: str = "valid") -> DataFrame:
         """prepare -> segment (+ has_* flags, ``patient_acuity``): the enriched view."""
+        self.check_columns()
         p = self.params
         rules = reference_segments(p)
         layers = {name: rule.column() for name, rule in rules.items()}

@@ -78,3 +78,9 @@ def test_another_datasets_column_names_give_the_same_audits(spark):
         if name in CUBE_SERVED and name != "wall_contrast":
             assert [tuple(r) for r in cube_audit(cube, name).collect()] == want, name
     assert sorted(map(tuple, ours.full_audit().collect())) == sorted(map(tuple, ref.full_audit().collect()))
+
+
+def test_missing_columns_are_named(spark):
+    view = appointment_view(spark, SF).drop("Handcap")
+    with pytest.raises(ValueError, match="Handcap"):
+        Audit(view).run("baseline_volume")
