@@ -12,13 +12,14 @@ from .config import (
 )
 from .operators import *  # noqa: F401,F403
 from .operators import __all__ as _ops
-from .plans import Audit, FULL_AUDIT_SPECS, GROUPED_AUDITS, cube_audit
+from .plans import Audit, FULL_AUDIT_SPECS, GROUPED_AUDITS, cube_audit, full_audit_specs, grouped_audits
 from .sources import appointment_view, line_keys, read_events, shipment_view
 from .functions import Segment, reference_segments
 
 __all__ = list(_ops) + [
     "AuditParams", "ColumnMap", "CSV_COLUMNS", "Names", "REFERENCE_CHECKPOINTS",
     "WAREHOUSE_COLUMNS", "Audit", "FULL_AUDIT_SPECS", "GROUPED_AUDITS", "cube_audit",
+    "full_audit_specs", "grouped_audits",
     "appointment_view", "line_keys", "read_events", "shipment_view", "Segment",
     "reference_segments",
 ]
