@@ -16,6 +16,16 @@ def _norm(v):
     return v
 
 
+def _kind(t: str) -> str:
+    t = t.lower()
+    for prefix, kind in (("bigint", "int64"), ("long", "int64"), ("hugeint", "int128"), ("integer", "int32"),
+                         ("int", "int32"), ("double", "float64"), ("varchar", "str"), ("string", "str"),
+                         ("boolean", "bool"), ("date", "date")):
+        if t.startswith(prefix):
+            return kind
+    return t
+
+
 def _rows(cols, rows):
     idx = sorted(range(len(cols)), key=lambda i: cols[i])
     out = [tuple(_norm(r[i]) for i in idx) for r in rows]
@@ -34,6 +44,9 @@ def test_matches_duckdb(spark, duck, name):
     rel = duck.sql(ORACLE[name])
     drows = rel.fetchall()
     assert sorted(df.columns) == sorted(rel.columns)
+    spark_types = {f.name: _kind(f.dataType.simpleString()) for f in df.schema.fields}
+    duck_types = {c: _kind(str(t)) for c, t in zip(rel.columns, rel.types)}
+    assert spark_types == duck_types
     assert len(srows) == len(drows)
     assert _rows(df.columns, srows) == _rows(rel.columns, drows)
 
