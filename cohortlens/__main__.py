@@ -37,6 +37,7 @@ def parse(argv: Optional[List[str]] = None) -> argparse.Namespace:
     ap.add_argument("--out", required=True, help="folder for one table per audit")
     ap.add_argument("--audits", default="all", help="comma-separated names, or 'all'")
     ap.add_argument("--cube", action="store_true", help="serve audits from one materialised cube")
+    ap.add_argument("--save-cube", default=None, help="also keep the cube cells as a table here")
     ap.add_argument("--feed-format", default="parquet", choices=["parquet", "csv", "orc"])
     ap.add_argument("--wall", type=int, default=AuditParams().wall)
     return ap.parse_args(argv)
@@ -59,7 +60,9 @@ def main(argv: Optional[List[str]] = None, spark: Optional[SparkSession] = None)
     unknown = sorted(set(names) - set(ALL_AUDITS))
     if unknown:
         raise SystemExit(f"unknown audits {unknown}; known: {', '.join(ALL_AUDITS)}")
-    cube = audit.cube().materialize() if args.cube else None
+    cube = audit.cube().materialize() if (args.cube or args.save_cube) else None
+    if args.save_cube:
+        cube.save(args.save_cube)
     out = args.out.rstrip("/")
     for name in names:
         if cube is not None and name in CUBE_SERVED:

@@ -122,6 +122,22 @@ class CohortCube:
         """The same cells read with other labels / wall day (wall <= lead_cap + 1)."""
         return CohortCube(self.cells, self.cmap, params, self.lead_cap)
 
+    def save(self, path: str, mode: str = "overwrite") -> None:
+        """Write the cells as a table (with the lead cap they were built with), so later
+        jobs roll audits up without rescanning the events.  Cells are bounded by the key
+        domains, so a handful of files; ``repartition`` keeps the build stage parallel."""
+        (self.cells.withColumn("lead_cap", F.lit(int(self.lead_cap)))
+         .repartition(1).write.mode(mode).parquet(path))
+
+    @classmethod
+    def load(cls, spark, path: str, cmap: ColumnMap = WAREHOUSE_COLUMNS,
+             params: AuditParams = AuditParams()) -> "CohortCube":
+        """A saved cube; its stored lead cap governs which walls it can serve."""
+        table = spark.read.parquet(path)
+        row = table.select("lead_cap").limit(1).collect()
+        cap = int(row[0][0]) if row else params.lead_cap
+        return cls(table.drop("lead_cap"), cmap, params, cap)
+
     def materialize(self) -> "CohortCube":
         """Write the cells to the shared checkpoint folder and read them back from there."""
         from ..sinks.feed import materialize

@@ -12,7 +12,8 @@ def test_cli_direct_and_cube_runs_agree(spark, tmpdir_path):
     src = f"{tmpdir_path}/events"
     appointment_view(spark, "/root/testdata/sf0.001").write.parquet(src)
     direct = main(["--events", src, "--out", f"{tmpdir_path}/direct"], spark=spark)
-    cubed = main(["--events", src, "--out", f"{tmpdir_path}/cube", "--cube"], spark=spark)
+    cubed = main(["--events", src, "--out", f"{tmpdir_path}/cube", "--cube",
+                  "--save-cube", f"{tmpdir_path}/cells"], spark=spark)
     assert direct == cubed == list(ALL_AUDITS)
     audit = Audit(spark.read.parquet(src))
     for name in ALL_AUDITS:
@@ -22,6 +23,10 @@ def test_cli_direct_and_cube_runs_agree(spark, tmpdir_path):
             assert d == c, name
     assert _rows(spark, f"{tmpdir_path}/direct/exposure_summary") == sorted(
         tuple(r) for r in audit.exposure().collect())
+    from cohortlens.operators.cube import CohortCube
+    from cohortlens.plans.audit import cube_audit
+    saved = CohortCube.load(spark, f"{tmpdir_path}/cells")
+    assert cube_audit(saved, "exposure_summary").collect() == audit.exposure().collect()
 
 
 def test_cli_on_csv_extract_layout(spark, tmpdir_path):

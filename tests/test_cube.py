@@ -88,3 +88,14 @@ def test_wall_beyond_cap_is_refused(spark):
 def test_scorecard_from_cube_equals_direct(pair):
     audit, cube = pair
     assert audit.scorecard(cube=cube).collect() == audit.scorecard().collect()
+
+
+def test_saved_cube_serves_the_same_audits(spark, tmpdir_path):
+    from cohortlens.operators.cube import CohortCube
+    audit = Audit(appointment_view(spark, SF01))
+    audit.cube().save(f"{tmpdir_path}/cube")
+    loaded = CohortCube.load(spark, f"{tmpdir_path}/cube")
+    assert loaded.lead_cap == audit.params.lead_cap
+    for name in ("exposure_summary", "lead_day_curve", "cohort_gaps", "wall_by_payer_prod"):
+        assert cube_audit(loaded, name).collect() == audit.run(name).collect(), name
+    assert audit.scorecard(cube=loaded).collect() == audit.scorecard().collect()
