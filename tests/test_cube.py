@@ -2,7 +2,7 @@
 
 import pytest
 
-from cohortlens import Audit, appointment_view, shipment_view
+from cohortlens import Audit, AuditParams, appointment_view, shipment_view
 from cohortlens.plans.audit import FULL_AUDIT_SPECS, GROUPED_AUDITS, cube_audit
 from tests.conftest import SF01
 
@@ -99,3 +99,13 @@ def test_saved_cube_serves_the_same_audits(spark, tmpdir_path):
     for name in ("exposure_summary", "lead_day_curve", "cohort_gaps", "wall_by_payer_prod"):
         assert cube_audit(loaded, name).collect() == audit.run(name).collect(), name
     assert audit.scorecard(cube=loaded).collect() == audit.scorecard().collect()
+
+
+def test_exact_day_metrics_at_the_cap_boundary(spark):
+    # F2 leads spread far beyond the cap: day == cap comes from cohort cells, cap + 1 from curve cells
+    events = shipment_view(spark, SF01)
+    for wall in (AuditParams().lead_cap, AuditParams().lead_cap + 1):
+        audit = Audit(events, params=AuditParams(wall=wall))
+        cube = audit.cube()
+        assert audit.scorecard(cube=cube).collect() == audit.scorecard().collect(), wall
+        assert cube_audit(cube, "wall_by_payer").collect() == audit.run("wall_by_payer").collect(), wall
