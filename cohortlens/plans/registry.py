@@ -61,6 +61,7 @@ def build_queries() -> Dict[str, Query]:
         "reminder_rate": _named("reminder_rate"),
         "lead_day_curve": _named("lead_day_curve"),
         "wall_contrast": lambda s, d: _f1(s, d).wall_contrast(digits=COMPARE_DIGITS),
+        "wall_contrast_weighted": lambda s, d: _f1(s, d).wall_contrast(digits=COMPARE_DIGITS, weighted=True),
         "beyond_wall": _named("beyond_wall"),
         "cohort_volume": _named("cohort_volume"),
         "cohort_gaps": lambda s, d: _f1(s, d).cohort_gaps(digits=COMPARE_DIGITS),

@@ -306,6 +306,23 @@ SELECT ROUND(AVG(CASE WHEN d BETWEEN {PRE_WALL_DAYS[0]} AND {PRE_WALL_DAYS[1]} T
         - AVG(CASE WHEN d BETWEEN {PRE_WALL_DAYS[0]} AND {PRE_WALL_DAYS[1]} THEN r END), 4) AS lift,
   ROUND(MAX(CASE WHEN d = {WALL_DAY} THEN r END), 4) AS wall_day_rate
 FROM curve""",
+        "wall_contrast_weighted": f"""{F1},
+curve AS (
+  SELECT lead_time AS d, COUNT(*) AS t, COUNT_IF(no_show_status) AS m,
+    ROUND({_rate('COUNT_IF(no_show_status)', 'COUNT(*)')}, 1) AS r
+  FROM v GROUP BY lead_time
+),
+w AS (
+  SELECT {_rate(f"SUM(CASE WHEN d BETWEEN {PRE_WALL_DAYS[0]} AND {PRE_WALL_DAYS[1]} THEN m END)",
+                f"SUM(CASE WHEN d BETWEEN {PRE_WALL_DAYS[0]} AND {PRE_WALL_DAYS[1]} THEN t END)")} AS pre,
+    {_rate(f"SUM(CASE WHEN d BETWEEN {POST_WALL_DAYS[0]} AND {POST_WALL_DAYS[1]} THEN m END)",
+           f"SUM(CASE WHEN d BETWEEN {POST_WALL_DAYS[0]} AND {POST_WALL_DAYS[1]} THEN t END)")} AS post,
+    MAX(CASE WHEN d = {WALL_DAY} THEN r END) AS wd
+  FROM curve
+)
+SELECT ROUND(pre, 4) AS pre_wall_rate, ROUND(post, 4) AS post_wall_rate, ROUND(post - pre, 4) AS lift,
+  ROUND(wd, 4) AS wall_day_rate
+FROM w""",
         "beyond_wall": f"""{F1}
 SELECT CAST(COUNT_IF(trust_wall_status = {_BEYOND}) AS BIGINT) AS beyond_total,
   CAST(COUNT_IF(trust_wall_status = {_BEYOND} AND no_show_status) AS BIGINT) AS beyond_noshows,
