@@ -91,11 +91,12 @@ def test_catalogue_sorts_bounded_outputs_in_one_partition(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_only_join_inputs_shuffle_event_rows(spark, name):
     from cohortlens.planinfo import exchanges
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the plan a large input gets
     try:
         ex = exchanges(QUERIES[name](spark, SF01))
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     raw = [e for e in ex if e["carries"] == "events"]
     if name.startswith("shipment_"):
         assert len(raw) == 2 and all("orderkey" in e["line"] for e in raw)
