@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import TimestampType
+from pyspark.sql.types import StringType, TimestampType
 
 from ..config import AuditParams, ColumnMap, WAREHOUSE_COLUMNS, check_scope
 from ..functions.dates import lead_days_sql, to_utc_date_sql
@@ -37,8 +37,9 @@ def prepare(
     for c in (cmap.booked_at, cmap.due_at):
         if c not in types:
             raise ValueError(f"column {c!r} not in input {list(types)}")
-        if isinstance(types[c], TimestampType):
-            # zoned timestamps: the calendar date depends on the session zone
+        if isinstance(types[c], (TimestampType, StringType)):
+            # zoned timestamps (and ISO text parsed into them): the calendar date
+            # depends on the session zone
             check_utc(df.sparkSession)
     booked = to_utc_date_sql(ident(cmap.booked_at), types[cmap.booked_at])
     due = to_utc_date_sql(ident(cmap.due_at), types[cmap.due_at])

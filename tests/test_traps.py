@@ -58,6 +58,19 @@ def test_t1_non_utc_session_is_refused_for_zoned_timestamps(spark):
     assert prepare(df, cmap, "raw").first().lead_time == 0
 
 
+def test_t1_non_utc_session_is_refused_for_iso_text(spark):
+    schema = StructType([StructField("AppointmentID", LongType()), StructField("ScheduledDay", StringType()),
+                         StructField("AppointmentDay", StringType()), StructField("No-show", StringType())])
+    df = spark.createDataFrame([(1, "2016-04-29T18:38:08Z", "2016-04-29T00:00:00Z", "No")], schema)
+    cmap = CSV_COLUMNS.with_(entity=None, attributes=())
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        with pytest.raises(ValueError, match="time zone"):
+            prepare(df, cmap, "raw")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_t2_rounding_tie_half_up(spark):
     df = prepare(frame(spark, [row(1, 1), row(2, 2), row(3, 3), row(4, 3)]))
     assert cohort_summary(df, ["Gender"]).first().avg_lead_time == 2.3  # 9 / 4 = 2.25
