@@ -14,7 +14,6 @@ from typing import Optional, Sequence, Tuple, Union
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import AuditParams, as_list
-from ..functions.measures import avg_where, pct, rounded
 from ..functions.rules import ident, sql_literal
 from .metrics import Metric, evaluate
 from .prepare import qcol
@@ -160,24 +159,25 @@ def threshold_contrast(
     ``pre`` and ``post`` day windows (both inclusive; day 0 falls in
     neither).  ``weighted=True`` pools the counts instead.
     """
-    day, rate = F.col(names.day), F.col(names.missed_pct)
-    pre = day.between(*params.pre)
-    post = day.between(*params.post)
-    if weighted:
-        m, t = F.col(names.missed), F.col(names.total)
-        pre_v = pct(F.sum(F.when(pre, m)), F.sum(F.when(pre, t)))
-        post_v = pct(F.sum(F.when(post, m)), F.sum(F.when(post, t)))
-    else:
-        pre_v, post_v = avg_where(rate, pre), avg_where(rate, post)
+    day, rate = ident(names.day), ident(names.missed_pct)
+    pre = f"{day} BETWEEN {int(params.pre[0])} AND {int(params.pre[1])}"
+    post = f"{day} BETWEEN {int(params.post[0])} AND {int(params.post[1])}"
+    if weighted:  # pooled counts: misses / rows in the window
+        m, t = ident(names.missed), ident(names.total)
+
+        def mean(w):
+            return f"try_divide(sum(CASE WHEN {w} THEN {m} END), sum(CASE WHEN {w} THEN {t} END)) * CAST(100 AS DOUBLE)"
+    else:  # unweighted mean of the daily (already rounded) rates
+        def mean(w):
+            return f"avg(CASE WHEN {w} THEN {rate} END)"
     out = curve.agg(
-        pre_v.alias("pre_wall_rate"),
-        post_v.alias("post_wall_rate"),
-        F.max(F.when(day == F.lit(params.wall), rate)).alias("wall_day_rate"),
-    ).withColumn("lift", F.col("post_wall_rate") - F.col("pre_wall_rate"))
-    out = out.select("pre_wall_rate", "post_wall_rate", "lift", "wall_day_rate")
-    if digits is not None:
-        out = out.select(*[F.round(c, digits).alias(c) for c in out.columns])
-    return out
+        F.expr(f"{mean(pre)} AS pre_wall_rate"),
+        F.expr(f"{mean(post)} AS post_wall_rate"),
+        F.expr(f"max(CASE WHEN {day} = {int(params.wall)} THEN {rate} END) AS wall_day_rate"),
+    )
+    r = (lambda e: e) if digits is None else (lambda e: f"round({e}, {int(digits)})")
+    return out.selectExpr(f"{r('pre_wall_rate')} AS pre_wall_rate", f"{r('post_wall_rate')} AS post_wall_rate",
+                          f"{r('post_wall_rate - pre_wall_rate')} AS lift", f"{r('wall_day_rate')} AS wall_day_rate")
 
 
 def cohort_metric(
