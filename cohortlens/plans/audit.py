@@ -88,6 +88,7 @@ class Audit:
         # catalogue outputs are bounded by key domains: sort them in one partition
         self.order = "single" if order else False
         self.specs = {s.name: s for s in grouped_audits(params)}
+        self._bases: Dict[str, DataFrame] = {}  # lazy plans, reused across audits
 
     # -- layers -----------------------------------------------------------------
     def required_columns(self) -> Tuple[str, ...]:
@@ -106,6 +107,11 @@ class Audit:
 
     def base(self, scope: str = "valid") -> DataFrame:
         """prepare -> segment (+ has_* flags, ``patient_acuity``): the enriched view."""
+        if scope not in self._bases:
+            self._bases[scope] = self._build_base(scope)
+        return self._bases[scope]
+
+    def _build_base(self, scope: str) -> DataFrame:
         self.check_columns()
         p = self.params
         rules = reference_segments(p)
