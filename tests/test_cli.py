@@ -48,3 +48,14 @@ def test_cli_on_csv_extract_layout(spark, tmpdir_path):
     audit = Audit(view)
     for name in names:
         assert _rows(spark, f"{tmpdir_path}/out/{name}") == sorted(tuple(r) for r in audit.run(name).collect()), name
+
+
+def test_cli_reads_a_catalog_table(spark, tmpdir_path):
+    from cohortlens.sinks import save_table
+    view = appointment_view(spark, "/root/testdata/sf0.001")
+    save_table(view, "appointments_raw_cli")
+    main(["--events", "appointments_raw_cli", "--format", "table", "--out", f"{tmpdir_path}/t",
+          "--audits", "baseline_volume,integrity"], spark=spark)
+    audit = Audit(view)
+    for name in ("baseline_volume", "integrity"):
+        assert _rows(spark, f"{tmpdir_path}/t/{name}") == sorted(tuple(r) for r in audit.run(name).collect())
