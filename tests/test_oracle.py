@@ -36,12 +36,23 @@ def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
 
 
+@pytest.fixture(scope="module")
+def duck_small():
+    import duckdb
+    con = duckdb.connect()
+    for t in ("orders", "lineitem", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    return con
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.001"])
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_matches_duckdb(spark, duck, name):
-    from tests.conftest import SF01
-    df = QUERIES[name](spark, SF01)
+def test_matches_duckdb(spark, duck, duck_small, name, scale):
+    from tests.conftest import SF001, SF01
+    sf, con = (SF01, duck) if scale == "sf0.01" else (SF001, duck_small)
+    df = QUERIES[name](spark, sf)
     srows = [tuple(r) for r in df.collect()]
-    rel = duck.sql(ORACLE[name])
+    rel = con.sql(ORACLE[name])
     drows = rel.fetchall()
     assert sorted(df.columns) == sorted(rel.columns)
     spark_types = {f.name: _kind(f.dataType.simpleString()) for f in df.schema.fields}
