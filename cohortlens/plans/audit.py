@@ -152,8 +152,8 @@ class Audit:
         b = self.base("valid").withColumnRenamed(self.params.sms, "sms_received")
         return rate_by(b, ["sms_received"], self.params, order=self.order)
 
-    def lead_day_curve(self) -> DataFrame:
-        return rate_curve(self.base("valid"), self.params, order=self.order)
+    def lead_day_curve(self, shows: str = "countif") -> DataFrame:
+        return rate_curve(self.base("valid"), self.params, order=self.order, shows=shows)
 
     def wall_contrast(self, digits: Optional[int] = None, weighted: bool = False) -> DataFrame:
         curve = rate_curve(self.base("valid"), self.params, order=False)

@@ -60,6 +60,7 @@ def build_queries() -> Dict[str, Query]:
     q.update({
         "reminder_rate": _named("reminder_rate"),
         "lead_day_curve": _named("lead_day_curve"),
+        "lead_day_curve_complement": lambda s, d: _f1(s, d).lead_day_curve(shows="complement"),
         "wall_contrast": lambda s, d: _f1(s, d).wall_contrast(digits=COMPARE_DIGITS),
         "wall_contrast_weighted": lambda s, d: _f1(s, d).wall_contrast(digits=COMPARE_DIGITS, weighted=True),
         "beyond_wall": _named("beyond_wall"),

@@ -295,6 +295,14 @@ SELECT SMS_received AS sms_received,
   COUNT(*) AS total_appointments
 FROM v GROUP BY SMS_received""",
         "lead_day_curve": _curve(F1),
+        "lead_day_curve_complement": f"""{F1}
+SELECT lead_time AS lead_time_day,
+  COUNT(*) AS total_appointments,
+  CAST(COUNT_IF(no_show_status) AS BIGINT) AS total_noshows,
+  CAST(COUNT(*) - COUNT_IF(no_show_status) AS BIGINT) AS total_shows,
+  ROUND({_rate('COUNT_IF(no_show_status)', 'COUNT(*)')}, 1) AS noshowrate_pct,
+  ROUND({_rate('COUNT(*) - COUNT_IF(no_show_status)', 'COUNT(*)')}, 1) AS show_rate_pct
+FROM v GROUP BY lead_time""",
         "wall_contrast": f"""{F1},
 curve AS (
   SELECT lead_time AS d, ROUND({_rate('COUNT_IF(no_show_status)', 'COUNT(*)')}, 1) AS r
