@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from typing import Iterator, List, Optional, Sequence, Tuple
+from typing import Iterator, Tuple
 
 import numpy as np
 import pyarrow as pa
@@ -137,5 +137,22 @@ class Rolling:
             return (self._sum[end] - self._sum[start]) * self._down[start]
 
 
-def arrow_table(names: Sequence[str], arrays: Sequence) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], list(names))
+LOWER_BYTES = np.arange(256, dtype=np.uint8)
+LOWER_BYTES[65:91] += 32
+_IS_TOKEN = np.zeros(256, bool)
+_IS_TOKEN[48:58] = _IS_TOKEN[65:91] = _IS_TOKEN[97:123] = _IS_TOKEN[128:] = True
+
+
+def token_bounds(data: np.ndarray, starts: np.ndarray) -> Tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, first) of the tokens of all texts: runs of letters, digits and non-ASCII bytes.
+
+    Those of text i are first[i]:first[i + 1]."""
+    if len(data) == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(starts), np.int64)
+    is_token = _IS_TOKEN[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[starts] = True
+    before = np.concatenate(([False], is_token[:-1])) & ~edge[:-1]
+    after = np.concatenate((is_token[1:], [False])) & ~edge[1:]
+    begin = np.flatnonzero(is_token & ~before)
+    return begin, np.flatnonzero(is_token & ~after) + 1, np.searchsorted(begin, starts)

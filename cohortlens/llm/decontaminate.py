@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, batches_of, byte_values, mix64, utf8_view
+from .common import LOWER_BYTES, Rolling, batches_of, byte_values, mix64, token_bounds, utf8_view
 
 MASKS = ("1101111", "111100011")
 WINDOW, SIMILARITY, MIN_ITEM = 13, 0.8, 5
@@ -42,25 +42,15 @@ _WIDTH = _SIDE + WINDOW + _SIDE
 _SLOT_BITS, _SEGMENT_BITS = 24, 15
 
 _VALUES = byte_values(5)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_IS_TOKEN = np.zeros(256, bool)
-_IS_TOKEN[48:58] = _IS_TOKEN[65:91] = _IS_TOKEN[97:123] = _IS_TOKEN[128:] = True
 _PLACES = np.random.default_rng(55).integers(1, 2**63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def tokens(data: np.ndarray, starts: np.ndarray) -> Tuple[np.ndarray, np.ndarray]:
     """(token hashes, first): the tokens of text i are first[i]:first[i + 1]."""
-    if len(data) == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
-    is_token = _IS_TOKEN[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[starts] = True
-    before = np.concatenate(([False], is_token[:-1])) & ~edge[:-1]
-    after = np.concatenate((is_token[1:], [False])) & ~edge[1:]
-    begin = np.flatnonzero(is_token & ~before)
-    end = np.flatnonzero(is_token & ~after) + 1
-    return mix64(Rolling(_LOWER[data], _VALUES).of(begin, end)), np.searchsorted(begin, starts)
+    begin, end, first = token_bounds(data, starts)
+    if len(begin) == 0:
+        return np.zeros(0, np.uint64), first
+    return mix64(Rolling(LOWER_BYTES[data], _VALUES).of(begin, end)), first
 
 
 def mask_hashes(tok: np.ndarray, mask: str, salt: int) -> np.ndarray:

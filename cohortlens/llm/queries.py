@@ -7,20 +7,52 @@ from typing import Callable, Dict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, quality_rules, sentencepiece_codec, simhash
-from .common import read_table
+from . import decontaminate, language_id, line_dedup, pii, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity, url_filter
+from .common import held_out, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), digest=True)
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    chain = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, chain).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(read_table(spark, sf_dir, "documents"))
+    base = "filter(spans, s -> s.kind in (" + ", ".join(f"'{k}'" for k in pii.BASE_KINDS) + "))"
+    joined = "array_join(transform({}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+    return found.select(
+        "doc_id", *[F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.BASE_KINDS],
+        F.expr(f"sha2({joined.format(base)}, 256)").alias("base_sha256"),
+        F.expr(joined.format("spans")).alias("spans"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (doc_id, item_id) whose texts overlap."""
     return decontaminate.overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.train(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: ids counted and digested, and whether they decode to the very text."""
-    tokens = sentencepiece_codec.decode(sentencepiece_codec.encode(read_table(spark, sf_dir, "documents")))
+    tokens = sentencepiece_codec.encode(read_table(spark, sf_dir, "documents"), decoded_col="decoded")
     ids = F.coalesce(F.col("ids"), F.array().cast("array<int>"))
     return tokens.select(
         "doc_id", F.size(ids).cast("long").alias("n_tokens"),
@@ -55,8 +87,26 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: Dict[str, Query] = {f.__name__: f for f in (
-    op5_benchmark_decontamination, op7_sentencepiece, op8_quality_rules, op9_line_dedup, op10_simhash, pipeline)}
-
+    op1_suffix_dedup, op2_url_filters, op3_toxicity, op4_pii, op5_benchmark_decontamination, op6_language_id,
+    op7_sentencepiece, op8_quality_rules, op9_line_dedup, op10_simhash, pipeline)}
+
+
+_HOST_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP2_SQL = f"""
+WITH u AS (SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {_HOST_LOWER}) AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r AS (SELECT verdict, rule, split_part(rule, '/', 1) AS h, substr(rule, strpos(rule, '/')) AS p
+      FROM (VALUES {', '.join(f"('{v}', '{r}')" for v, r in url_filter.RULES)}) AS t(verdict, rule)),
+best AS (SELECT page_id, rule, verdict FROM u JOIN r
+         ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+         QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) = 1)
+SELECT u.page_id, host, path, rule,
+       coalesce(verdict, CASE WHEN regexp_matches(host || path, '(?s)^[^/]*spam[^/]*/.*$|/ads/|/tracker/|\\.exe$')
+                              THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN best USING (page_id)
+"""
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -98,4 +148,4 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (drop)
 FROM marked GROUP BY doc_id
 """
 
-LLM_ORACLE: Dict[str, str] = {"op8_quality_rules": OP8_SQL, "op9_line_dedup": OP9_SQL}
+LLM_ORACLE: Dict[str, str] = {"op2_url_filters": OP2_SQL, "op8_quality_rules": OP8_SQL, "op9_line_dedup": OP9_SQL}

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import batches_of
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 _SPACE = "▁"
 
 Vocabulary = Tuple[List[bytes], List[float], List[int], List[int]]
@@ -205,9 +205,11 @@ class Automaton:
         of = self.memo.__getitem__
         return [None if s is None else b"".join(map(of, s)) for s in split]
 
-    def decode(self, ids: Sequence[int]) -> str:
-        text = b"".join(map(self.pieces.__getitem__, ids))
-        return (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace")
+
+def decode_ids(pieces: Sequence[bytes], ids: Sequence[int]) -> str:
+    """The text of some ids, without the space that encoding put before it."""
+    text = b"".join(map(pieces.__getitem__, ids))
+    return (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace")
 
 
 _AUTOMATA: Dict[str, Automaton] = {}
@@ -221,25 +223,31 @@ def _worker_automaton(key: str, shared) -> Automaton:
     return _AUTOMATA[key]
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL) -> DataFrame:
-    """(id_col, text_col, ids): ids is array<int>."""
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL,
+           decoded_col: str = "") -> DataFrame:
+    """(id_col, text_col, ids): ids is array<int>.  ``decoded_col`` adds the text decoded from those ids, in the same task."""
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model))
+    names = [id_col, text_col, "ids"] + [decoded_col] * bool(decoded_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = _worker_automaton(model, shared)
         for big in batches:
-            for b in batches_of(big, 1 << 22):
+            for b in batches_of(big, 1 << 20):
                 packed = auto.encode(b.column(1).to_pylist())
                 sizes = [0 if p is None else len(p) // 4 for p in packed]
                 offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32),
                                    mask=np.array([p is None for p in packed] + [False]))
                 values = pa.array(np.frombuffer(b"".join(p or b"" for p in packed), np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, values)], [id_col, text_col, "ids"])
+                out = [b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, values)]
+                if decoded_col:
+                    out.append(pa.array([None if p is None else decode_ids(auto.pieces, np.frombuffer(p, np.int32).tolist())
+                                         for p in packed], pa.string()))
+                yield pa.RecordBatch.from_arrays(out, names)
 
     src = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
     kind = src.schema[0].dataType.simpleString()
-    return src.mapInArrow(run, f"`{id_col}` {kind}, `{text_col}` string, ids array<int>")
+    more = f", `{decoded_col}` string" if decoded_col else ""
+    return src.mapInArrow(run, f"`{id_col}` {kind}, `{text_col}` string, ids array<int>{more}")
 
 
 def decode(tokens: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model: str = DEFAULT_MODEL) -> DataFrame:
@@ -251,14 +259,6 @@ def decode(tokens: DataFrame, ids_col: str = "ids", out_col: str = "decoded", mo
     def text(ids):
         import pandas as pd
 
-        pieces = shared.value
-
-        def one(x):
-            if x is None:
-                return None
-            t = b"".join(map(pieces.__getitem__, x.tolist()))
-            return (t[1:] if t[:1] == b" " else t).decode("utf-8", "replace")
-
-        return pd.Series([one(x) for x in ids], dtype=object)
+        return pd.Series([None if x is None else decode_ids(shared.value, x.tolist()) for x in ids], dtype=object)
 
     return tokens.withColumn(out_col, text(F.col(ids_col)))

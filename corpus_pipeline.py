@@ -53,7 +53,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, and exact: the ids decode to the very text."""
-    tokens = op7.decode(op7.encode(docs))
+    tokens = op7.encode(docs, decoded_col="decoded")
     return tokens.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
                          F.col("decoded").eqNullSafe(F.col("text")).alias("exact"))
 
