@@ -1,16 +1,19 @@
 """Run audits over an events extract and write each result as a table.
 
     python -m cohortlens --events /data/appointments.csv --format csv \\
-        --out /data/audit/ --audits all --cube
+        --out /data/audit/ --audits all
     spark-submit --py-files cohortlens.zip run_audit.py --events s3://bucket/events/ --out s3://bucket/audit/
 
 ``--format csv`` reads the extract with its explicit schema (outcome as
 Yes/No text); parquet / orc / table inputs use the warehouse layout
-(boolean ``No-show``).  ``--cube`` builds the cohort cube once (one scan),
-materialises it into ``spark.checkpoint.dir`` and rolls every cube-served
-audit up from it; the rest (integrity, duplicates, outcome mapping,
-scorecard's distinct count) read the events directly.  Each audit is written
-to ``<out>/<name>``; the scorecard is also printed.
+(boolean ``No-show``).  The cohort cube is built once (one scan), materialised
+into ``spark.checkpoint.dir``, and serves every audit it can; ``--direct``
+scans the events for each audit instead.  The audits that need the key column
+(integrity, duplicates, the scorecard's distinct count) share one pass of key
+counts, of which only the totals and the repeated keys are written.  Each audit
+goes to ``<out>/<name>``; the scorecard is also printed.
+
+``--rows N`` sizes the shuffle partitions and scan splits for about N events.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from typing import List, Optional
 from pyspark.sql import SparkSession
 
 from .config import CSV_COLUMNS, WAREHOUSE_COLUMNS, AuditParams
+from .session import scale_conf
 from .plans.audit import CUBE_SERVED, SPEC_BY_NAME, Audit, cube_audit
 from .sinks.feed import write_feed
 from .sources.events import REFERENCE_CSV_SCHEMA, normalise_reference_csv, read_events
@@ -36,7 +40,9 @@ def parse(argv: Optional[List[str]] = None) -> argparse.Namespace:
     ap.add_argument("--format", default="parquet", choices=["parquet", "orc", "csv", "table"])
     ap.add_argument("--out", required=True, help="folder for one table per audit")
     ap.add_argument("--audits", default="all", help="comma-separated names, or 'all'")
-    ap.add_argument("--cube", action="store_true", help="serve audits from one materialised cube")
+    ap.add_argument("--cube", action="store_true", help="serve audits from one materialised cube (the default)")
+    ap.add_argument("--direct", action="store_true", help="scan the events for each audit instead")
+    ap.add_argument("--rows", type=int, default=0, help="expected number of events, to size shuffles and scans")
     ap.add_argument("--save-cube", default=None, help="also keep the cube cells as a table here")
     ap.add_argument("--feed-format", default="parquet", choices=["parquet", "csv", "orc"])
     ap.add_argument("--wall", type=int, default=AuditParams().wall)
@@ -48,6 +54,8 @@ def main(argv: Optional[List[str]] = None, spark: Optional[SparkSession] = None)
     spark = spark or SparkSession.builder.appName("cohortlens").getOrCreate()
     # dates of zoned timestamps are taken in UTC; prepare() refuses any other zone
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for key, value in (scale_conf(args.rows) if args.rows else {}).items():
+        spark.conf.set(key, value)
     if args.format == "csv":
         events = normalise_reference_csv(read_events(spark, args.events, "csv", REFERENCE_CSV_SCHEMA))
         cmap = CSV_COLUMNS
@@ -60,21 +68,24 @@ def main(argv: Optional[List[str]] = None, spark: Optional[SparkSession] = None)
     unknown = sorted(set(names) - set(ALL_AUDITS))
     if unknown:
         raise SystemExit(f"unknown audits {unknown}; known: {', '.join(ALL_AUDITS)}")
-    cube = audit.cube().materialize() if (args.cube or args.save_cube) else None
+    cube = audit.cube().materialize() if (args.save_cube or not args.direct) else None
     if args.save_cube:
         cube.save(args.save_cube)
     out = args.out.rstrip("/")
+    keys = audit.key_pass() if {"integrity", "duplicates", "scorecard"} & set(names) and not args.direct else None
     for name in names:
-        if cube is not None and name in CUBE_SERVED:
+        if keys is not None and name in ("integrity", "duplicates"):
+            df = keys.integrity() if name == "integrity" else keys.duplicates()
+        elif cube is not None and name in CUBE_SERVED:
             df = cube_audit(cube, name)
         elif name == "scorecard":
-            df = audit.scorecard(cube=cube)
+            df = audit.scorecard(cube=cube, keys=keys)
         else:
             df = audit.run(name)
         write_feed(df, f"{out}/{name}", args.feed_format)
     if "scorecard" in names:
         spark.read.format(args.feed_format).option("header", "true").load(f"{out}/scorecard") \
-            .show(20, truncate=False)
+            .show(1000, truncate=False)
     return names
 
 

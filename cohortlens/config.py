@@ -108,8 +108,6 @@ class AuditParams:
     pre: Tuple[int, int] = PRE_WALL_DAYS
     post: Tuple[int, int] = POST_WALL_DAYS
     digits: int = 1
-    # cube cells keep lead days exactly up to lead_cap (walls up to lead_cap + 1)
-    lead_cap: int = 60
     payer: str = "Scholarship"
     rate_card: Tuple[Tuple[int, int], ...] = ((1, SCHOLARSHIP_RATE),)
     default_rate: int = DEFAULT_RATE
@@ -118,6 +116,8 @@ class AuditParams:
     conditions: Tuple[str, str, str] = ("Hipertension", "Diabetes", "Alcoholism")
     sms: str = "SMS_received"
     gender: str = "Gender"
+    # the single cohort of cohort_volume: gender and payer values
+    volume_cohort: Tuple[object, object] = ("M", 1)
     labels: Mapping[str, str] = field(default_factory=lambda: {
         "beyond": BEYOND_WALL_LABEL,
         "safe": SAFE_ZONE_LABEL,

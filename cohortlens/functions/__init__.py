@@ -1,11 +1,10 @@
 """Column-expression builders (JVM-side, codegen-friendly; no Python UDFs)."""
 
-from .dates import lead_days, to_utc_date
 from .outcome import outcome_flag, unmapped_outcome
 from .rules import Segment, reference_segments
-from .measures import avg_where, pct, rounded, share_pct
+from .measures import pct, rounded, share_pct
 
 __all__ = [
-    "lead_days", "to_utc_date", "outcome_flag", "unmapped_outcome", "Segment",
-    "reference_segments", "avg_where", "pct", "rounded", "share_pct",
+    "outcome_flag", "unmapped_outcome", "Segment",
+    "reference_segments", "pct", "rounded", "share_pct",
 ]

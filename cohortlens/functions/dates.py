@@ -1,8 +1,7 @@
-"""Timestamp -> date and day-difference expressions (Column and SQL-text forms)."""
+"""Timestamp -> date and day-difference expressions (SQL text)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DataType, DateType, StringType
 
 
@@ -20,18 +19,6 @@ def to_utc_date_sql(expr: str, dtype: DataType) -> str:
     return f"CAST({expr} AS DATE)"
 
 
-def to_utc_date(col: Column, dtype: DataType) -> Column:
-    if isinstance(dtype, DateType):
-        return col
-    if isinstance(dtype, StringType):
-        return F.to_date(F.to_timestamp(col))
-    return col.cast("date")
-
-
 def lead_days_sql(due: str, booked: str) -> str:
     """Whole days from booking to due date (INT, negative when due first)."""
     return f"datediff({due}, {booked})"
-
-
-def lead_days(due_date: Column, booked_date: Column) -> Column:
-    return F.datediff(due_date, booked_date)

@@ -18,10 +18,6 @@ def rounded(col: Column, digits: Optional[int]) -> Column:
     return col if digits is None else F.round(col, digits)
 
 
-def avg_where(x: Column, cond: Column) -> Column:
-    return F.avg(F.when(cond, x))
-
-
 def pct(num: Column, den: Column) -> Column:
     """num / den * 100 (NULL when den = 0)."""
     return F.try_divide(num, den) * F.lit(100.0)

@@ -20,11 +20,8 @@ def outcome_flag(col: Column, values: Optional[Mapping[str, bool]]) -> Column:
     """Boolean outcome.  With a text mapping, values outside it become NULL."""
     if values is None:
         return col.cast("boolean")
-    expr = None
-    for text, flag in values.items():
-        expr = (F.when(col == F.lit(text), F.lit(bool(flag))) if expr is None
-                else expr.when(col == F.lit(text), F.lit(bool(flag))))
-    return expr.otherwise(F.lit(None).cast("boolean"))
+    mapped = F.create_map(*[F.lit(x) for pair in values.items() for x in (pair[0], bool(pair[1]))])
+    return mapped[col]
 
 
 def unmapped_outcome(raw: Column, flag: Column) -> Column:

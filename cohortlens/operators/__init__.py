@@ -1,16 +1,16 @@
 """DataFrame -> DataFrame operators of the audit (lazy; no actions inside,
 except the explicit validation helpers that say so)."""
 
-from .prepare import flag_has, prepare, qcol
+from .prepare import prepare, qcol
 from .segment import segment
-from .quality import duplicate_keys, integrity_check, load_profile, outcome_report, scope_report
+from .quality import duplicate_keys, integrity_check, column_profile, load_profile, outcome_report, scope_report
 from .cohorts import (
     CurveNames, Gap, cohort_gaps, cohort_metric, cohort_summary, pick, rate_by,
     rate_curve, reference_gaps, share_of, threshold_contrast,
 )
 from .metrics import Metric, evaluate, metrics_long, reference_checkpoint_metrics
 from .exposure import (
-    EXPOSURE_DIMS, exposure_dims, exposure_summary, fiscal_leak, fiscal_leak_total, rate_card_pairs,
+    EXPOSURE_DIMS, exposure_dims, exposure_summary, fiscal_leak, fiscal_leak_total, check_rate_table, with_exposure,
     rate_expr, validate_rate_card,
 )
 from .reconcile import long_metrics, reconcile, reference_metrics, scorecard_summary

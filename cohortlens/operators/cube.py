@@ -1,45 +1,39 @@
 """ONE-1: the cohort cube — one scan of the events serves every audit.
 
 Every audit measure except the distinct-key count is a function of counts
-per cohort cell.  The cube is one aggregate over the events:
-
-* **cohort cells** (every row, once): 10 cohort keys, entity present,
-  outcome, and the lead day clipped to ``[-1, lead_cap + 1]`` (-1 = negative,
-  ``lead_cap + 1`` = beyond the cap) -> ``cnt`` and the exact ``sum_lead``.
-  Means stay exact, the wall band is exact for any wall up to
-  ``lead_cap + 1``, and days 0..``lead_cap`` are exact lead days.
-* **curve cells** (only rows whose lead is outside 0..``lead_cap`` or
-  missing, a second time): entity present, outcome, exact lead day.  With
-  the in-range cohort cells they give every lead day exactly.
-
-Each row is fanned out to its one or two cells inside the scan stage, so
-the map-side partial aggregate sees about one row per event for typical
-lead spreads (a blanket two-set ``GROUPING SETS`` would double every row).
-Both cell sets are bounded by key domains (2^10 x (``lead_cap`` + 3) and
-6 x distinct out-of-range days), never by the row count, so each map task
-collapses its rows to at most that many before the shuffle.  Audits
-re-aggregate cells: n = sum(cnt); mean lead = sum(sum_lead) / sum(cnt);
-rate = sum(cnt where outcome) / sum(cnt) * 100.
+per cohort cell.  The cube is one plain aggregate over the events: cohort
+keys x entity present x outcome x exact lead day -> ``cnt`` (and the exact
+``sum_lead`` = lead x cnt).  Any wall day, day window, curve or metric reads
+the same cells; nothing about the lead day is cut off or fixed at build.
+
+The partial aggregate collapses every map task's rows to its cells before
+the shuffle; the cells are bounded by key domains x lead days, never by the
+row count.  Audits re-aggregate cells: n = sum(cnt); mean lead =
+sum(sum_lead) / sum(cnt); rate = sum(cnt where outcome) / sum(cnt) * 100.
+
+Some labels are keys of the cells (age class, level flag).  The cube carries
+what they were built with (``build_tag``); reading it with other values is
+refused, whether in memory, from a table or from a stream's snapshot.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from typing import Optional, Sequence, Tuple
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import AuditParams, ColumnMap, WAREHOUSE_COLUMNS, as_list, check_scope
-from ..functions.measures import pct, rounded, share_pct
+from ..functions.measures import pct, rounded
 from ..functions.rules import band_rule, ident, sql_literal, tier_rule
 from .cohorts import CurveNames, _order
-from .exposure import exposure_dims, rate_expr
+from .exposure import exposure_dims, with_exposure
 from .prepare import qcol
 
 CNT = "cnt"
 SUM_LEAD = "sum_lead"
-KIND = "cell_kind"
-LEAD_DAY = "lead_day"
+TAG = "cube_build"
 
 
 @dataclass(frozen=True)
@@ -74,17 +68,32 @@ def _cell_rate(outcome: Column) -> Column:
     return pct(F.sum(F.when(outcome, cnt).otherwise(F.lit(0))), F.sum(cnt))
 
 
+def build_tag(cmap: ColumnMap = WAREHOUSE_COLUMNS, params: AuditParams = AuditParams()) -> str:
+    """What the cells depend on, as text: keys, source columns, and the labels that are keys."""
+    n, lb = params.names, params.labels
+    return json.dumps({
+        "keys": list(cube_keys(cmap, params)), "entity": cmap.entity, "booked_at": cmap.booked_at, "due_at": cmap.due_at,
+        "outcome": cmap.outcome, "outcome_values": dict(cmap.outcome_values) if cmap.outcome_values else None,
+        "columns": [n.outcome, n.lead, n.entity_present], "age": params.age, "adult_age": params.adult_age,
+        "minor": lb["minor"], "adult": lb["adult"], "level": params.level,
+    }, sort_keys=True)
+
+
 class CohortCube:
-    """Counts per cohort cell; build once, roll up many times."""
+    """Counts per cohort cell; build once, roll up many times.
+
+    ``tag``: what the cells were built with; None takes the given parameters' word for it."""
 
-    def __init__(self, cells: DataFrame, cmap: ColumnMap, params: AuditParams, lead_cap: Optional[int] = None):
+    def __init__(self, cells: DataFrame, cmap: ColumnMap, params: AuditParams, tag: Optional[str] = None):
+        wanted = build_tag(cmap, params)
+        if tag is not None and tag != wanted:
+            have, want = json.loads(tag), json.loads(wanted)
+            differ = {k: (have.get(k), want.get(k)) for k in sorted(have.keys() | want.keys()) if have.get(k) != want.get(k)}
+            raise ValueError(f"the cube was built with other parameters (built, asked): {differ}; rebuild it")
         self.cells = cells
         self.cmap = cmap
-        self.lead_cap = params.lead_cap if lead_cap is None else lead_cap
-        self.params = params.with_(lead_cap=self.lead_cap)
-        if params.wall > self.lead_cap + 1:
-            raise ValueError(f"wall day {params.wall} is beyond the cube's lead cap "
-                             f"{self.lead_cap} + 1; rebuild with a larger AuditParams.lead_cap")
+        self.params = params
+        self.tag = wanted
 
     # -- build -----------------------------------------------------------
     @classmethod
@@ -96,52 +105,41 @@ class CohortCube:
     ) -> "CohortCube":
         """From ``segment(prepare(df, scope='raw'))``: one aggregate, lazily."""
         n = params.names
-        cap = int(params.lead_cap)
         lead = ident(n.lead)
         ent = f"{ident(cmap.entity)} IS NOT NULL" if cmap.entity else "TRUE"
-        types = {f.name: f.dataType.simpleString() for f in seg_raw.schema.fields}
-        names = list(cube_keys(cmap, params))
-        keys = [ident(k) for k in names]
-        common = [f"{ent} AS {ident(n.entity_present)}", f"{ident(n.outcome)} AS {ident(n.outcome)}"]
-        clipped = f"CASE WHEN {lead} < 0 THEN -1 WHEN {lead} > {cap} THEN {cap + 1} ELSE {lead} END"
-        cohort = ", ".join([f"'cohort' AS {KIND}"] + [f"{k} AS {k}" for k in keys] + common + [
-            f"{clipped} AS {lead}", f"CAST(NULL AS INT) AS {LEAD_DAY}", f"{lead} AS _lead"])
-        curve = ", ".join([f"'curve' AS {KIND}"] + [f"CAST(NULL AS {types[k]}) AS {ident(k)}" for k in names]
-                          + common + [f"CAST(NULL AS INT) AS {lead}", f"{lead} AS {LEAD_DAY}", f"{lead} AS _lead"])
-        in_range = f"coalesce({lead} BETWEEN 0 AND {cap}, FALSE)"
-        fanned = seg_raw.selectExpr(
-            f"inline(CASE WHEN {in_range} THEN array(struct({cohort})) "
-            f"ELSE array(struct({cohort}), struct({curve})) END)")
-        cells = fanned.groupBy(KIND, *keys, ident(n.entity_present), ident(n.outcome), lead, LEAD_DAY).agg(
-            F.expr(f"count(1) AS {CNT}"),
-            F.expr(f"sum(_lead) AS {SUM_LEAD}"),
-        )
-        return cls(cells, cmap, params, cap)
+        keys = [ident(k) for k in cube_keys(cmap, params)]
+        cells = (seg_raw.selectExpr(*keys, f"{ent} AS {ident(n.entity_present)}", ident(n.outcome), lead)
+                 .groupBy(*keys, ident(n.entity_present), ident(n.outcome), lead)
+                 .agg(F.expr(f"count(1) AS {CNT}"))
+                 .selectExpr("*", f"CAST({lead} AS BIGINT) * {CNT} AS {SUM_LEAD}"))
+        return cls(cells, cmap, params)
 
     def with_params(self, params: AuditParams) -> "CohortCube":
-        """The same cells read with other labels / wall day (wall <= lead_cap + 1)."""
-        return CohortCube(self.cells, self.cmap, params, self.lead_cap)
+        """The same cells read with another wall, day window, rate card or labels that are no keys."""
+        return CohortCube(self.cells, self.cmap, params, self.tag)
 
     def save(self, path: str, mode: str = "overwrite") -> None:
-        """Write the cells as a table (with the lead cap they were built with), so later
-        jobs roll audits up without rescanning the events.  Cells are bounded by the key
-        domains, so a handful of files; ``repartition`` keeps the build stage parallel."""
-        (self.cells.withColumn("lead_cap", F.lit(int(self.lead_cap)))
-         .repartition(1).write.mode(mode).parquet(path))
+        """Write the cells as a table with their build tag, so later jobs roll audits up without
+        rescanning the events."""
+        self.cells.withColumn(TAG, F.lit(self.tag)).write.mode(mode).parquet(path)
 
     @classmethod
     def load(cls, spark, path: str, cmap: ColumnMap = WAREHOUSE_COLUMNS,
              params: AuditParams = AuditParams()) -> "CohortCube":
-        """A saved cube; its stored lead cap governs which walls it can serve."""
-        table = spark.read.parquet(path)
-        row = table.select("lead_cap").limit(1).collect()
-        cap = int(row[0][0]) if row else params.lead_cap
-        return cls(table.drop("lead_cap"), cmap, params, cap)
+        """A saved cube; refused if any of its cells was built with other parameters."""
+        return cls.from_table(spark.read.parquet(path), cmap, params)
+
+    @classmethod
+    def from_table(cls, table: DataFrame, cmap: ColumnMap, params: AuditParams) -> "CohortCube":
+        low, high = table.agg(F.min(TAG), F.max(TAG)).first()
+        if low != high:
+            raise ValueError("the table mixes cells of cubes built with different parameters")
+        return cls(table.drop(TAG), cmap, params, low)
 
     def materialize(self) -> "CohortCube":
         """Write the cells to the shared checkpoint folder and read them back from there."""
         from ..sinks.feed import materialize
-        return CohortCube(materialize(self.cells), self.cmap, self.params, self.lead_cap)
+        return CohortCube(materialize(self.cells), self.cmap, self.params, self.tag)
 
     # -- scoped cells with derived labels -------------------------------
     def _scope(self, c: DataFrame, lead: str, scope: str) -> DataFrame:
@@ -153,35 +151,9 @@ class CohortCube:
         return c
 
     def scoped(self, scope: str = "valid") -> DataFrame:
-        """Cohort cells of a scope, with band / tier / has_* columns derived."""
+        """Cells of a scope, with band / tier / has_* columns derived."""
         check_scope(scope)
-        c = self.cells.where(F.col(KIND) == "cohort")
-        return self._labels(self._scope(c, self.params.names.lead, scope))
-
-    def _exact(self) -> str:
-        """Cells whose lead column is an exact lead day (curve cells, in-range cohort cells)."""
-        return f"({KIND} = 'curve' OR {ident(self.params.names.lead)} BETWEEN 0 AND {int(self.lead_cap)})"
-
-    def unified(self, scope: str = "valid") -> DataFrame:
-        """All cells of a scope with one lead column (exact on curve cells and in-range
-        cohort cells, clipped otherwise) and the derived labels — the frame ``Metric``
-        cell translators read (``exact_day`` metrics keep to ``_exact()`` cells)."""
-        check_scope(scope)
-        n = self.params.names
-        lead = ident(n.lead)
-        c = self.cells.selectExpr(
-            *[ident(x) for x in self.cells.columns if x not in (n.lead,)],
-            f"CASE WHEN {KIND} = 'curve' THEN {LEAD_DAY} ELSE {lead} END AS {lead}")
-        return self._labels(self._scope(c, n.lead, scope))
-
-    def curve_cells(self, scope: str = "valid") -> DataFrame:
-        """Cells carrying exact lead days, with the day in ``lead_day`` (each row counted once)."""
-        check_scope(scope)
-        n = self.params.names
-        c = self.cells.where(self._exact()).selectExpr(
-            *[ident(x) for x in self.cells.columns if x != LEAD_DAY],
-            f"CASE WHEN {KIND} = 'curve' THEN {LEAD_DAY} ELSE {ident(n.lead)} END AS {LEAD_DAY}")
-        return self._scope(c, LEAD_DAY, scope)
+        return self._labels(self._scope(self.cells, self.params.names.lead, scope))
 
     def _labels(self, c: DataFrame) -> DataFrame:
         p, n = self.params, self.params.names
@@ -197,15 +169,6 @@ class CohortCube:
             f"CAST({ident(a)} AS INT) AS has_alcoholism",
         )
 
-    def _is_curve(self, dims: Sequence[str]) -> bool:
-        n = self.params.names
-        if n.lead not in dims:
-            return False
-        if not set(dims) <= {n.lead, n.outcome, n.entity_present}:
-            raise ValueError(f"cube cells keep exact lead days only with {n.outcome}/{n.entity_present}; "
-                             f"group {list(dims)} directly on the events instead")
-        return True
-
     # -- roll-ups ------------------------------------------------------------
     def summary(self, dims, scope: str = "valid", missed_only: bool = False,
                 volume: Optional[str] = None, avg: Optional[str] = None,
@@ -213,10 +176,7 @@ class CohortCube:
         """Same rows as ``cohort_summary`` over the same scope."""
         n = self.params.names
         dims = as_list(dims)
-        if self._is_curve(dims):
-            c = self.curve_cells(scope).withColumn(n.lead, F.col(LEAD_DAY))
-        else:
-            c = self.scoped(scope)
+        c = self.scoped(scope)
         if missed_only:
             c = c.where(F.col(n.outcome))
         vol = F.sum(CNT).alias(volume or n.volume)
@@ -240,7 +200,7 @@ class CohortCube:
         n = self.params.names
         cnt, o = F.col(CNT), F.col(n.outcome)
         dg = self.params.digits
-        out = self.curve_cells(scope).groupBy(F.col(LEAD_DAY).alias(names.day)).agg(
+        out = self.scoped(scope).groupBy(F.col(n.lead).alias(names.day)).agg(
             F.sum(cnt).alias(names.total),
             F.coalesce(F.sum(F.when(o, cnt)), F.lit(0)).cast("long").alias(names.missed),
             F.coalesce(F.sum(F.when(~o, cnt)), F.lit(0)).cast("long").alias(names.shown),
@@ -258,7 +218,7 @@ class CohortCube:
         def s(cond):
             return F.coalesce(F.sum(F.when(cond, cnt)), F.lit(0)).cast("long")
 
-        return self.cells.where(F.col(KIND) == "cohort").agg(
+        return self.cells.agg(
             F.coalesce(F.sum(cnt), F.lit(0)).cast("long").alias("raw_rows"),
             s(valid).alias("valid_lead_rows"),
             s(valid & ent).alias("production_rows"),
@@ -275,11 +235,7 @@ class CohortCube:
         groups = self.scoped(scope).groupBy(*[qcol(d) for d in dims]).agg(
             F.sum(CNT).alias(n.volume),
             rounded(_cell_avg(), p.digits).alias(n.avg_lead))
-        total = F.sum(F.col(n.volume)).over(Window.partitionBy())
-        out = groups.withColumns({
-            impact: (F.col(n.volume) * rate_expr(qcol(p.payer), p.rate_card, p.default_rate)).cast("long"),
-            share: F.round(share_pct(F.col(n.volume), total), 2),
-        })
+        out = with_exposure(groups, p, impact, share)
         if not order:
             return out
         rest = [d for d in (n.band, n.tier, n.outcome) if d in dims]
@@ -299,18 +255,13 @@ class CohortCube:
         """
         p, n = self.params, self.params.names
         width = max(len(s.dims) for s in specs)
-        c = self._labels(self.cells).selectExpr(
-            "*", f"CASE WHEN {KIND} = 'curve' THEN {LEAD_DAY} ELSE {ident(n.lead)} END AS _day")
+        c = self._labels(self.cells)
         o = ident(n.outcome)
         entries = []
         for s in specs:
             scope = check_scope(s.scope)
-            if self._is_curve(s.dims):
-                lead, conds = "_day", [self._exact()]
-                keys = ["_day" if d == n.lead else ident(d) for d in s.dims]
-            else:
-                lead, conds = ident(n.lead), [f"{KIND} = 'cohort'"]
-                keys = [ident(d) for d in s.dims]
+            lead, conds = ident(n.lead), ["TRUE"]
+            keys = [ident(d) for d in s.dims]
             if scope != "raw":
                 conds.append(f"{lead} >= 0")
             if scope == "production":

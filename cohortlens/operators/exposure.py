@@ -2,17 +2,17 @@
 
 The rate card is applied AFTER aggregation, to group rows (the payer is a
 group key), so nothing is joined to or broadcast with the event rows.  A
-card given as pairs compiles to a CASE expression; a card kept as a table is
-read with a row cap and validated by ``rate_card_pairs``, then compiled the
-same way.  The share of total volume is a window over the aggregated rows
-only, whose number is bounded by the key domains, not by the data.
+card given as pairs compiles to a CASE expression; a card kept as a table,
+of any size, is left-joined to the aggregated cohort rows, after a check
+that it holds no payer twice.  The share of total volume divides by a
+scalar total of the aggregated rows, so no window gathers them in one task.
 """
 
 from __future__ import annotations
 
-from typing import Iterable, Optional, Sequence, Tuple
+from typing import Iterable, Optional, Sequence, Tuple, Union
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import AuditParams, as_list
 from ..functions.measures import rounded, share_pct
@@ -48,22 +48,48 @@ def rate_expr(payer: Column, pairs: Sequence[Tuple[object, int]], default: int)
     return F.lit(default) if expr is None else expr.otherwise(F.lit(default))
 
 
-def rate_card_pairs(card: DataFrame, key: str, rate: str, max_rows: int = 10_000):
-    """Bring a rate-card TABLE to the driver after proving it is small and unique.
+def check_rate_table(card: DataFrame, key: str) -> DataFrame:
+    """The card, whose evaluation fails if a payer stands in it twice (one aggregate, nothing collected).
 
-    Reads at most ``max_rows + 1`` rows; refuses a larger card or duplicate keys.
-    """
-    rows = card.select(qcol(key).alias("k"), qcol(rate).alias("r")).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"rate card exceeds {max_rows} rows")
-    return validate_rate_card((r["k"], int(r["r"])) for r in rows)
+    The failing row names the payer; a NULL payer in the card is ignored, as NULL payers take the default."""
+    k = qcol(key)
+    return (card.where(k.isNotNull()).groupBy(k.alias("_payer"))
+            .agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*[qcol(c) for c in card.columns])).alias("_row"))
+            .withColumn("_ok", F.when(F.col("_n") > 1, F.raise_error(
+                F.concat(F.lit("rate card has duplicate key "), F.col("_payer").cast("string")))).otherwise(F.lit(True)))
+            .where("coalesce(cast(_ok as boolean), true)"))
+
+
+def with_exposure(groups: DataFrame, params: AuditParams, impact: str, share: str,
+                  rate_card: Optional["RateCard"] = None) -> DataFrame:
+    """Aggregated cohort rows with ``impact`` (volume x rate of the payer) and ``share`` of the total volume.
+
+    ``rate_card``: pairs, or (table, key column, rate column)."""
+    n = params.names
+    card = params.rate_card if rate_card is None else rate_card
+    total = groups.agg(F.sum(F.col(n.volume))).scalar()  # a scalar subquery: one value
+    out = groups
+    if len(card) == 3 and isinstance(card[0], DataFrame):
+        table, key, rate = card
+        rates = check_rate_table(table, key).select("_payer", F.col("_row").getField(rate).cast("long").alias("_rate"))
+        out = out.join(rates, qcol(params.payer) == F.col("_payer"), "left")
+        rate_col = F.coalesce(F.col("_rate"), F.lit(params.default_rate))
+    else:
+        rate_col = rate_expr(qcol(params.payer), card, params.default_rate)
+    return out.select(
+        *[qcol(c) for c in groups.columns],
+        (F.col(n.volume) * rate_col).cast("long").alias(impact),
+        F.round(share_pct(F.col(n.volume), total), 2).alias(share))
+
+
+RateCard = Union[Sequence[Tuple[object, int]], Tuple[DataFrame, str, str]]
 
 
 def exposure_summary(
     df: DataFrame,
     dims: Optional[Sequence[str]] = None,
     params: AuditParams = AuditParams(),
-    rate_card: Optional[Sequence[Tuple[object, int]]] = None,
+    rate_card: Optional[RateCard] = None,
     impact: str = "modeled_revenue_impact",
     share: str = "pct_of_total_volume",
     order: bool = True,
@@ -77,16 +103,11 @@ def exposure_summary(
     dims = exposure_dims(params) if dims is None else as_list(dims)
     if params.payer not in dims:
         raise ValueError(f"payer column {params.payer!r} must be one of the dims {dims}")
-    card = params.rate_card if rate_card is None else rate_card
     groups = df.groupBy(*[qcol(d) for d in dims]).agg(
         F.count(F.lit(1)).alias(n.volume),
         rounded(F.avg(F.col(n.lead)), params.digits).alias(n.avg_lead),
     )
-    total = F.sum(F.col(n.volume)).over(Window.partitionBy())
-    out = groups.withColumns({
-        impact: (F.col(n.volume) * rate_expr(qcol(params.payer), card, params.default_rate)).cast("long"),
-        share: F.round(share_pct(F.col(n.volume), total), 2),
-    })
+    out = with_exposure(groups, params, impact, share, rate_card)
     if not order:
         return out
     # payer descending, then band, tier, outcome; the remaining keys break ties

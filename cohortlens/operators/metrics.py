@@ -11,9 +11,7 @@ A ``Metric`` is a kind of measure over the rows matching a SQL condition:
 ``row_sql`` translates it to an aggregate over event rows; ``cell_sql`` to
 the same aggregate over cube cells (``cnt``, ``sum_lead``), where counts
 become sums of ``cnt`` — exact integers, so both give identical doubles.
-Conditions may use any event or label column; a condition that pins an
-exact lead day must set ``exact_day=True`` so the cube reads it from the
-cells that hold exact days (cohort cells clip the lead day at the cap).
+Conditions may use any cohort key, label or the lead day.
 All metrics of a list are evaluated in ONE aggregate pass.
 """
 
@@ -36,7 +34,6 @@ class Metric:
     kind: str
     where: Optional[str] = None
     digits: Optional[int] = None
-    exact_day: bool = False
     value: Optional[float] = None
 
     def __post_init__(self):
@@ -69,14 +66,9 @@ def row_sql(m: Metric, params: AuditParams = AuditParams()) -> str:
     return _round(e, m.digits)
 
 
-def cell_sql(m: Metric, params: AuditParams = AuditParams(), kind_col: str = "cell_kind",
-             cnt: str = "cnt", sum_lead: str = "sum_lead") -> str:
-    o, lead = ident(params.names.outcome), ident(params.names.lead)
-    if m.exact_day:  # curve cells, and cohort cells whose (unclipped) lead is an exact day
-        kind = f"{kind_col} = 'curve' OR {lead} BETWEEN 0 AND {int(params.lead_cap)}"
-    else:  # every event once
-        kind = f"{kind_col} = 'cohort'"
-    w = _and(kind, m.where)
+def cell_sql(m: Metric, params: AuditParams = AuditParams(), cnt: str = "cnt", sum_lead: str = "sum_lead") -> str:
+    o = ident(params.names.outcome)
+    w = _and(m.where)
 
     def total(cond: str) -> str:
         return f"coalesce(sum(CASE WHEN {cond} THEN {cnt} END), 0)"
@@ -89,7 +81,7 @@ def cell_sql(m: Metric, params: AuditParams = AuditParams(), kind_col: str = "ce
     elif m.kind == "rate":
         e = f"try_divide({total(_and(w, o))}, {total(w)}) * CAST(100 AS DOUBLE)"
     elif m.kind == "share":
-        e = f"try_divide({total(w)}, {total(kind)}) * CAST(100 AS DOUBLE)"
+        e = f"try_divide({total(w)}, {total('TRUE')}) * CAST(100 AS DOUBLE)"
     else:
         e = f"CAST({sql_literal(float(m.value))} AS DOUBLE)"
     return _round(e, m.digits)
@@ -134,7 +126,7 @@ def reference_checkpoint_metrics(params: AuditParams = AuditParams()) -> Sequenc
         Metric(lb[2], "count", valid),
         missed_lead(lb[3], f"{d} = 1 AND {h} = 1 AND {a} = 1"),
         missed_lead(lb[4], f"{d} = 0 AND {h} = 0 AND {a} = 0"),
-        Metric(lb[5], "rate", _and(valid, f"{lead} = {int(params.wall)}"), dg, exact_day=True),
+        Metric(lb[5], "rate", _and(valid, f"{lead} = {int(params.wall)}"), dg),
         Metric(lb[6], "rate", _and(valid, f"{sms} = 1"), dg),
         Metric(lb[7], "rate", _and(valid, f"{sms} = 0"), dg),
         missed_lead(lb[8], f"{sms} = 1"),

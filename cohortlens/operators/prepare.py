@@ -46,7 +46,10 @@ def prepare(
     cols = [ident(cmap.key)]
     if cmap.entity:
         cols.append(ident(cmap.entity))
-    cols += [ident(a) for a in cmap.attributes if a in types]
+    absent = [a for a in cmap.attributes if a not in types]
+    if absent:
+        raise ValueError(f"attributes {absent} are not in the input {list(types)}")
+    cols += [ident(a) for a in cmap.attributes]
     cols += [
         f"{outcome_flag_sql(ident(cmap.outcome), cmap.outcome_values)} AS {ident(n.outcome)}",
         f"{booked} AS {ident(n.booked_date)}",
@@ -73,6 +76,3 @@ def has_flags(params: AuditParams = AuditParams()) -> dict:
         "has_alcoholism": F.expr(f"CAST({ident(a)} AS INT)"),
     }
 
-
-def flag_has(df: DataFrame, params: AuditParams = AuditParams()) -> DataFrame:
-    return df.withColumns(has_flags(params))

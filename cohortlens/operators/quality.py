@@ -48,6 +48,42 @@ def integrity_check(df: DataFrame, key: Keys) -> DataFrame:
         "is_unique", (F.col("duplicate_records") == 0) & (F.col("null_key_records") == 0))
 
 
+class KeyPass:
+    """Integrity, duplicates and the distinct count from ONE shuffle of the keys.
+
+    The key counts are reduced in one pass to what the audits read: keys that occur more than once or are NULL, and one
+    row for all the others; that table is written to the shared checkpoint folder."""
+
+    def __init__(self, df: DataFrame, key: Keys):
+        from ..sinks.feed import materialize
+        self.keys = as_list(key)
+        once = (F.col("_cnt") == 1) & ~_null_key(self.keys)
+        blank = [F.when(once, F.lit(None)).otherwise(qcol(k)).alias(k) for k in self.keys]
+        self.table = materialize(
+            _key_counts(df, self.keys).select(*blank, once.alias("_once"), "_cnt")
+            .groupBy(*[qcol(k) for k in self.keys], "_once", "_cnt").agg(F.count(F.lit(1)).alias("_keys")))
+
+    def integrity(self) -> DataFrame:
+        """The same row as ``integrity_check``."""
+        once, cnt, n = F.col("_once"), F.col("_cnt"), F.col("_keys")
+        null_key = ~once & _null_key(self.keys)
+        many = ~once & ~_null_key(self.keys)
+
+        def total(x):
+            return F.coalesce(F.sum(x), F.lit(0)).cast("long")
+
+        out = self.table.agg(
+            total(cnt * n).alias("total_records"), total(F.when(~null_key, n)).alias("distinct_keys"),
+            total(F.when(null_key, cnt * n)).alias("null_key_records"), total(F.when(many, n)).alias("duplicated_keys"),
+            total(F.when(many, (cnt - 1) * n)).alias("duplicate_records"))
+        return out.withColumn("is_unique", (F.col("duplicate_records") == 0) & (F.col("null_key_records") == 0))
+
+    def duplicates(self) -> DataFrame:
+        """The same rows as ``duplicate_keys``."""
+        return (self.table.where(~F.col("_once") & ~_null_key(self.keys))
+                .select(*[qcol(k) for k in self.keys], F.col("_cnt").alias("occurrences")))
+
+
 def duplicate_keys(df: DataFrame, key: Keys) -> DataFrame:
     """The offending keys and how often each occurs (distributed; never collected)."""
     keys = as_list(key)
@@ -89,3 +125,15 @@ def load_profile(df: DataFrame) -> DataFrame:
     """SNK-4: row count and column count in one row (a sample is ``df.limit(3)``)."""
     return df.agg(F.count(F.lit(1)).alias("rows")).withColumn(
         "columns", F.lit(len(df.columns)))
+
+
+def column_profile(df: DataFrame) -> DataFrame:
+    """SNK-4: one row per column, in order: position, name, type, non-null values, smallest value as text.
+
+    One aggregate over the table; the list of columns is turned long afterwards."""
+    aggs = []
+    for i, f in enumerate(df.schema.fields):
+        aggs += [F.count(qcol(f.name)).alias(f"_n{i}"), F.min(qcol(f.name)).cast("string").alias(f"_s{i}")]
+    rows = ", ".join(f"struct({i + 1} AS position, '{f.name}' AS name, '{f.dataType.simpleString()}' AS type, "
+                     f"_n{i} AS non_null, _s{i} AS smallest)" for i, f in enumerate(df.schema.fields))
+    return df.agg(*aggs).selectExpr(f"inline(array({rows}))")

@@ -21,7 +21,8 @@ from ..operators.cube import AuditSpec, CohortCube
 from ..operators.exposure import exposure_summary, fiscal_leak, fiscal_leak_total
 from ..functions.rules import ident, reference_segments, sql_literal
 from ..operators.prepare import has_flags, prepare, qcol
-from ..operators.quality import duplicate_keys, integrity_check, outcome_report, scope_report
+from ..operators.quality import KeyPass, duplicate_keys, integrity_check, outcome_report, scope_report
+from ..operators.segment import segment
 from ..operators.reconcile import reconcile, reference_metrics, scorecard_summary
 
 def grouped_audits(params: AuditParams = AuditParams()) -> Tuple[AuditSpec, ...]:
@@ -101,6 +102,10 @@ class Audit:
         """Fail early, naming what is missing, instead of deep inside plan analysis."""
         have = set(self.events.columns)
         missing = [col for col in self.required_columns() if col not in have]
+        p = self.params
+        unmapped = [a for a in (p.payer, p.gender, p.age, p.level, p.sms, *p.conditions) if a not in self.cmap.attributes]
+        if unmapped:
+            raise ValueError(f"AuditParams use {unmapped}, which ColumnMap.attributes does not list")
         if missing:
             raise ValueError(f"events lack columns {missing}; map the dataset's own names with "
                              f"ColumnMap (key, dates, outcome, entity) and AuditParams (attributes)")
@@ -115,10 +120,8 @@ class Audit:
         self.check_columns()
         p = self.params
         rules = reference_segments(p)
-        layers = {name: rule.column() for name, rule in rules.items()}
-        layers["patient_acuity"] = rules[p.names.tier].column()
-        layers.update(has_flags(p))
-        return prepare(self.events, self.cmap, scope, p).withColumns(layers)
+        rules["patient_acuity"] = rules[p.names.tier]
+        return segment(prepare(self.events, self.cmap, scope, p), rules, p).withColumns(has_flags(p))
 
     def cube(self) -> CohortCube:
         return CohortCube.build(self.base("raw"), self.cmap, self.params)
@@ -134,6 +137,10 @@ class Audit:
     def duplicates(self) -> DataFrame:
         return duplicate_keys(self.events, self.cmap.key)
 
+    def key_pass(self) -> KeyPass:
+        """One shuffle of the keys for integrity, duplicates and the scorecard's distinct count."""
+        return KeyPass(self.events, self.cmap.key)
+
     def scope_report(self) -> DataFrame:
         return scope_report(prepare(self.events, self.cmap, "raw", self.params), self.cmap, self.params)
 
@@ -149,7 +156,7 @@ class Audit:
                               order=self.order, avg_first=spec.avg_first)
 
     def reminder_rate(self) -> DataFrame:
-        b = self.base("valid").withColumnRenamed(self.params.sms, "sms_received")
+        b = self.base("valid").withColumn("sms_received", qcol(self.params.sms))
         return rate_by(b, ["sms_received"], self.params, order=self.order)
 
     def lead_day_curve(self, shows: str = "countif") -> DataFrame:
@@ -164,10 +171,10 @@ class Audit:
         return cohort_metric(self.base("valid"), beyond_condition(self.params), self.params, prefix="beyond")
 
     def cohort_volume(self) -> DataFrame:
-        """AUD-2b: the male / payer = 1 / missed volume, summed from the gender x payer table."""
+        """AUD-2b: the missed volume of ``params.volume_cohort``, summed from the gender x payer table."""
         p = self.params
         table = Audit(self.events, self.cmap, p, order=False).grouped(self.specs["gender_payer"])
-        cells = {p.gender: "M", p.payer: 1, p.names.outcome: True}
+        cells = {p.gender: p.volume_cohort[0], p.payer: p.volume_cohort[1], p.names.outcome: True}
         return pick(table, cells, p.names.volume, how="sum")
 
     def cohort_gaps(self, digits: Optional[int] = None) -> DataFrame:
@@ -177,27 +184,29 @@ class Audit:
         return share_of(self.base("valid"), disabled_condition(self.params), params=self.params)
 
     # -- exposure ------------------------------------------------------------------
-    def exposure(self) -> DataFrame:
-        return exposure_summary(self.base("production"), None, self.params, order=self.order)
+    def exposure(self, rate_card=None) -> DataFrame:
+        """``rate_card``: pairs, or (table, key column, rate column); default the parameters' pairs."""
+        return exposure_summary(self.base("production"), None, self.params, rate_card, order=self.order)
 
     def fiscal_leak(self, beyond_wall_only: bool = False) -> DataFrame:
         exp = exposure_summary(self.base("production"), None, self.params, order=False)
         return fiscal_leak(exp, self.params, beyond_wall_only=beyond_wall_only, order=self.order)
 
-    def fiscal_leak_total(self) -> DataFrame:
-        return fiscal_leak_total(self.fiscal_leak())
+    def fiscal_leak_total(self, beyond_wall_only: bool = False) -> DataFrame:
+        return fiscal_leak_total(self.fiscal_leak(beyond_wall_only))
 
     # -- reconciliation ---------------------------------------------------------------
-    def metrics(self, cube: Optional[CohortCube] = None) -> DataFrame:
-        """Checkpoint actuals; with ``cube``, twelve come from its cells (no extra event scan)."""
+    def metrics(self, cube: Optional[CohortCube] = None, keys: Optional[KeyPass] = None) -> DataFrame:
+        """Checkpoint actuals; ``cube`` serves twelve of them and ``keys`` the distinct count, without a scan."""
+        integrity = None if keys is None else keys.integrity()
         if cube is None:
-            return reference_metrics(self.base("raw"), self.cmap, self.params)
-        return reference_metrics(self.base("raw"), self.cmap, cube.params, cube.unified("raw"))
+            return reference_metrics(self.base("raw"), self.cmap, self.params, integrity=integrity)
+        return reference_metrics(self.base("raw"), self.cmap, cube.params, cube.scoped("raw"), integrity)
 
     def scorecard(self, expected=None, digits: Optional[int] = None,
-                  cube: Optional[CohortCube] = None) -> DataFrame:
+                  cube: Optional[CohortCube] = None, keys: Optional[KeyPass] = None) -> DataFrame:
         from ..config import REFERENCE_CHECKPOINTS
-        return reconcile(self.metrics(cube), REFERENCE_CHECKPOINTS if expected is None else expected,
+        return reconcile(self.metrics(cube, keys), REFERENCE_CHECKPOINTS if expected is None else expected,
                          digits=digits, order=self.order)
 
     def scorecard_summary(self, expected=None) -> DataFrame:
@@ -221,6 +230,7 @@ class Audit:
             "disabled_share": self.disabled_share,
             "exposure_summary": self.exposure,
             "fiscal_leak": self.fiscal_leak,
+            "fiscal_leak_total": self.fiscal_leak_total,
             "scorecard": self.scorecard,
             "scorecard_summary": self.scorecard_summary,
         }
@@ -248,12 +258,12 @@ def cube_audit(cube: CohortCube, name: str, order="single") -> DataFrame:
         return fiscal_leak(cube.exposure(order=False), cube.params, order=order)
     p = cube.params
     if name == "beyond_wall":
-        return cohort_metric(cube.unified("valid"), beyond_condition(p), p, prefix="beyond", cells=True)
+        return cohort_metric(cube.scoped("valid"), beyond_condition(p), p, prefix="beyond", cells=True)
     if name == "disabled_share":
-        return share_of(cube.unified("valid"), disabled_condition(p), params=p, cells=True)
+        return share_of(cube.scoped("valid"), disabled_condition(p), params=p, cells=True)
     if name == "cohort_gaps":
-        return cohort_gaps(cube.unified("valid"), reference_gaps(p), params=p, cells=True)
+        return cohort_gaps(cube.scoped("valid"), reference_gaps(p), params=p, cells=True)
     if name == "cohort_volume":
         table = cube.spec(specs["gender_payer"], order=False)
-        return pick(table, {p.gender: "M", p.payer: 1, p.names.outcome: True}, p.names.volume, how="sum")
+        return pick(table, {p.gender: p.volume_cohort[0], p.payer: p.volume_cohort[1], p.names.outcome: True}, p.names.volume, how="sum")
     raise KeyError(f"audit {name!r} is not served by the cube")

@@ -11,10 +11,11 @@ from typing import Callable, Dict
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..config import AuditParams, WAREHOUSE_COLUMNS
-from ..operators.quality import duplicate_keys, integrity_check, load_profile
-from ..sources.fixtures import appointment_view, line_keys, shipment_view
-from ..operators.cohorts import cohort_gaps, reference_gaps
+from ..config import AuditParams, CSV_COLUMNS, WAREHOUSE_COLUMNS
+from ..operators.metrics import Metric, metrics_long
+from ..operators.quality import column_profile, duplicate_keys, integrity_check, load_profile
+from ..sources.fixtures import appointment_view, clinic_view, line_keys, nation_rates, shipment_view
+from ..operators.cohorts import cohort_gaps, cohort_summary, reference_gaps
 from .audit import FULL_AUDIT_SPECS, GROUPED_AUDITS, Audit, cube_audit
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,9 +33,52 @@ def _f2(spark: SparkSession, sf_dir: str, order: bool = True) -> Audit:
     return Audit(shipment_view(spark, sf_dir), WAREHOUSE_COLUMNS, AuditParams(), order=order)
 
 
+def _f5(spark: SparkSession, sf_dir: str, order: bool = True) -> Audit:
+    return Audit(clinic_view(spark, sf_dir), CSV_COLUMNS, AuditParams(), order=order)
+
+
+def _with(audit: Audit, **params) -> Audit:
+    return Audit(audit.events, audit.cmap, audit.params.with_(**params))
+
+
+# Figures that need lead days far beyond the wall, read from the cube's cells.
+FAR_METRICS = (
+    Metric("rows, lead >= 70", "count", "lead_time >= 70"),
+    Metric("rows, lead = 80", "count", "lead_time = 80"),
+    Metric("rows, lead = 61", "count", "lead_time = 61"),
+    Metric("rows, lead 61 to 200", "count", "lead_time BETWEEN 61 AND 200"),
+    Metric("missed rate, lead >= 70", "rate", "lead_time >= 70", 4),
+    Metric("mean lead, lead >= 70", "mean_lead", "lead_time >= 70", 4),
+)
+
+# The fixture's own anchors at any scale: (label, expected, tolerance).  F1 plants a missed rate of 5 % on days up to
+# 0, 25 % on days 1 to 9 and 33 % from day 10; its lead days are spread evenly over -2..60.
+ANCHORS = (
+    ("Day 10 no-show rate (%)", 33.0, 15.0),
+    ("SMS=1 no-show rate (%)", 32.0, 6.0),
+    ("SMS=0 no-show rate (%)", 31.0, 6.0),
+    ("SMS no-show avg lead time (d)", 32.0, 6.0),
+    ("Adults no-show rate (%)", 31.0, 6.0),
+)
+
+
+def _text_keys(df: DataFrame) -> DataFrame:
+    """Integer and boolean cohort keys as text: they hold NULLs on F5, and a NULL integer has no one form outside Spark."""
+    measures = {"total_patient_volume", "modeled_revenue_impact", "total_no_shows"}
+    return df.selectExpr(*[f"CAST(`{c}` AS STRING) AS `{c}`" if t in ("int", "bigint", "boolean") and c not in measures else f"`{c}`"
+                           for c, t in df.dtypes])
+
+
+def _position(df: DataFrame) -> DataFrame:
+    """The row number in the ordered output, so that a comparison without order can see it.
+
+    Rows of one partition in its order; the ordered catalogue outputs have one partition."""
+    return df.selectExpr("CAST(monotonically_increasing_id() + 1 AS BIGINT) AS position", *[f"`{c}`" for c in df.columns])
+
+
 def _cube_gaps(audit: Audit) -> DataFrame:
     cube = audit.cube()
-    return cohort_gaps(cube.unified("valid"), reference_gaps(audit.params), COMPARE_DIGITS,
+    return cohort_gaps(cube.scoped("valid"), reference_gaps(audit.params), COMPARE_DIGITS,
                        audit.params, cells=True)
 
 
@@ -79,6 +123,30 @@ def build_queries() -> Dict[str, Query]:
         # the volume fixture (a real join, thousands of lead days)
         "shipment_lead_day_curve": lambda s, d: _f2(s, d).lead_day_curve(),
         "shipment_exposure_summary": lambda s, d: _f2(s, d).exposure(),
+        "shipment_cube_scorecard": lambda s, d: _cube_scorecard(_f2(s, d)),
+        "shipment_cube_cohort_gaps": lambda s, d: _cube_gaps(_f2(s, d)),
+        "shipment_cube_wall_365": lambda s, d: cube_audit(_with(_f2(s, d), wall=365).cube(), "wall_by_payer"),
+        "shipment_cube_far_metrics": lambda s, d: metrics_long(_f2(s, d).cube().scoped("valid"), FAR_METRICS, cells=True),
+        "cube_adult_age_40": lambda s, d: cube_audit(_with(_f1(s, d), adult_age=40).cube(), "age_class_outcome"),
+        # figures that no other query shows
+        "fiscal_leak_total": lambda s, d: _f1(s, d).fiscal_leak_total(),
+        "fiscal_leak_beyond_wall": lambda s, d: _f1(s, d).fiscal_leak(beyond_wall_only=True),
+        "exposure_rate_table": lambda s, d: _f1(s, d).exposure((nation_rates(s, d), "payer", "rate")),
+        "lead_day_curve_0_25": lambda s, d: _f1(s, d).lead_day_curve().where("lead_time_day <= 25"),
+        "column_profile": lambda s, d: column_profile(appointment_view(s, d)),
+        "scorecard_anchors": lambda s, d: _f1(s, d).scorecard(ANCHORS, digits=COMPARE_DIGITS),
+        "wall_by_payer_ordered": lambda s, d: _position(_f1(s, d).run("wall_by_payer")),
+        # independent conditions, NULLs in every attribute, text outcome, zoned timestamps
+        "clinic_lead_day_curve": lambda s, d: _f5(s, d).lead_day_curve(),
+        "clinic_lead_day_curve_complement": lambda s, d: _f5(s, d).lead_day_curve(shows="complement"),
+        "clinic_outcome_report": lambda s, d: _f5(s, d).outcome_report(),
+        "clinic_scope_report": lambda s, d: _f5(s, d).scope_report(),
+        "clinic_exposure_summary": lambda s, d: _text_keys(_f5(s, d).exposure()),
+        "clinic_full_audit_cube": lambda s, d: _f5(s, d).cube().full_audit(FULL_AUDIT_SPECS),
+        "clinic_nonnull_counts": lambda s, d: cohort_summary(
+            _f5(s, d).base("valid"), ["Scholarship"], order=False, drop_null_keys=True, count_of="Age"),
         "shipment_full_audit_cube": lambda s, d: _f2(s, d).cube().full_audit(FULL_AUDIT_SPECS),
     })
+    for spec in GROUPED_AUDITS:
+        q[f"clinic_{spec.name}"] = lambda s, d, name=spec.name: _text_keys(_f5(s, d).run(name))
     return q

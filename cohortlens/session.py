@@ -32,6 +32,8 @@ def local_session(
     extra: Optional[dict] = None,
 ) -> SparkSession:
     """A local session for tests and the bench (never used on a cluster)."""
+    if master and not master.startswith("local"):
+        raise ValueError(f"local_session is for local masters, not {master!r}")
     master = master or f"local[{os.environ.get('BENCH_CPUS', '8')}]"
     b = SparkSession.builder.master(master).appName(app_name)
     conf = dict(AUDIT_CONF)
@@ -47,7 +49,7 @@ def local_session(
     spark.sparkContext.setLogLevel("ERROR")
     # Read the checkpoint folder from the session; only a local run with none
     # configured gets a scratch folder of its own.
-    if not checkpoint_dir(spark):
+    if not checkpoint_dir(spark) and spark.sparkContext.master.startswith("local"):
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cohortlens-ckpt-", dir="/tmp"))
     return spark
 

@@ -3,6 +3,7 @@
 F1 ``appointment_view``: one appointment per order with planted effects.
 F2 ``shipment_view``: one appointment per line item, booked on the order
     date and due on the ship date (a real join, real date spread).
+F5 ``clinic_view``: one appointment per order with independent conditions, NULLs, text outcome and zoned timestamps.
 F3 ``line_keys``: line items keyed by (order, line number) — not unique.
 
 Every column is a SQL expression over the scan (one ``selectExpr``), so
@@ -95,6 +96,47 @@ def shipment_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def clinic_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one appointment per order that exercises what F1 cannot: conditions that are independent of each other,
+    NULL in every attribute, Yes/No text with a stray value and NULLs, zoned timestamps with times of day, leads from
+    -2 to 117 days, and missing due dates."""
+    o = read_table(spark, sf_dir, "orders")
+    k, c = "o_orderkey", "o_custkey"
+    g = f"CAST(({k} * 37) % 120 - 2 AS INT)"
+    sched = "CAST(o_orderdate AS DATE)"
+
+    gender = f"CASE WHEN {c} % 3 = 0 THEN 'M' ELSE 'F' END"
+
+    def at(day: str, hours: str) -> str:
+        return f"CAST({day} AS TIMESTAMP) + make_dt_interval(0, CAST({hours} AS INT))"
+
+    def sometimes(every: str, expr: str) -> str:
+        return f"CASE WHEN {every} THEN NULL ELSE {expr} END"
+
+    return o.selectExpr(
+        f"{sometimes(f'{k} % 1000 = 7', c)} AS PatientId",
+        f"{k} AS AppointmentID",
+        f"{sometimes(f'{c} % 37 = 0', gender)} AS Gender",
+        f"{at(sched, f'{k} % 24')} AS ScheduledDay",
+        f"{sometimes(f'{k} % 53 = 0', at(f'date_add({sched}, {g})', f'{k} % 7'))} AS AppointmentDay",
+        f"{sometimes(f'{c} % 23 = 0', f'CAST({c} % 95 AS INT)')} AS Age",
+        f"{sometimes(f'{c} % 31 = 0', f'CASE WHEN {c} % 10 < 3 THEN 1 ELSE 0 END')} AS Scholarship",
+        f"CASE WHEN {c} % 5 < 2 THEN 1 ELSE 0 END AS Hipertension",
+        f"CASE WHEN {c} % 7 < 3 THEN 1 ELSE 0 END AS Diabetes",
+        f"CASE WHEN {c} % 11 < 4 THEN 1 ELSE 0 END AS Alcoholism",
+        f"{sometimes(f'{c} % 29 = 0', f'CAST({c} % 3 AS INT)')} AS Handcap",
+        f"CASE WHEN {g} >= 3 AND {k} % 3 = 0 THEN 1 ELSE 0 END AS SMS_received",
+        f"CASE WHEN {k} % 41 = 0 THEN NULL WHEN {k} % 43 = 0 THEN 'Maybe' "
+        f"WHEN ({k} * 7919) % 100 < {_threshold(g)} THEN 'Yes' ELSE 'No' END AS `No-show`",
+    )
+
+
+def nation_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rate-card table: payer n_nationkey (0 is left to the default rate), rate 100 + 10 x n_nationkey."""
+    nation = spark.read.parquet(f"{sf_dir.rstrip('/')}/nation.parquet")
+    return nation.where("n_nationkey > 0").selectExpr("n_nationkey AS payer", "100 + 10 * n_nationkey AS rate")
+
+
 def line_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the line-item key pair, which holds duplicates."""
     return read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")

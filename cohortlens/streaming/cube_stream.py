@@ -7,8 +7,9 @@ number of events.  Each micro-batch writes the complete cell table as a
 versioned snapshot ``<snapshot_path>/batch=<id>`` (``foreachBatch``);
 replaying a batch after a failure rewrites the same folder with the same
 cells, so the sink is idempotent, and a snapshot being written never hides
-the previous complete one.  ``read_cube_snapshot`` reads the newest snapshot
-that finished (``_SUCCESS`` present) and rolls up as usual.  Old snapshots
+the previous complete one.  A pointer file ``_LATEST`` is then rewritten with
+the batch's number, so ``read_cube_snapshot`` opens the newest snapshot without
+listing the others.  Every snapshot stores the cube's build tag.  Old snapshots
 are small and kept; prune them with the storage's own lifecycle rules.
 
 Progress and state live under ``checkpoint_location``; on a cluster it must
@@ -22,12 +23,12 @@ from __future__ import annotations
 import hashlib
 from typing import Optional
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..config import AuditParams, ColumnMap, WAREHOUSE_COLUMNS
-from ..operators.cube import CohortCube
+from ..operators.cube import TAG, CohortCube, build_tag
 from ..session import require_checkpoint_dir
 
 
@@ -50,18 +51,20 @@ def cube_stream(
     """
     from ..plans.audit import Audit
 
-    ckpt = checkpoint_location or default_stream_checkpoint(spark, source_dir, snapshot_path)
+    ckpt = checkpoint_location or default_stream_checkpoint(spark, source_dir, snapshot_path, build_tag(cmap, params))
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     events = reader.load(source_dir)
-    cells = Audit(events, cmap, params).cube().cells
+    cube = Audit(events, cmap, params).cube()
+    cells = cube.cells.withColumn(TAG, F.lit(cube.tag))
 
     def write_snapshot(batch: DataFrame, batch_id: int) -> None:
         # complete mode: every batch carries the whole (small) cell table
         # one file: repartition (a shuffle of the few cells), not coalesce, which would
         # collapse the stateful aggregation stage itself into one task
         batch.repartition(1).write.mode("overwrite").parquet(f"{snapshot_path.rstrip('/')}/batch={batch_id}")
+        _point_to(spark, snapshot_path, batch_id)
 
     w = (cells.writeStream.outputMode("complete")
          .option("checkpointLocation", ckpt)
@@ -70,30 +73,37 @@ def cube_stream(
     return w.start()
 
 
-def default_stream_checkpoint(spark: SparkSession, source_dir: str, snapshot_path: str) -> str:
+def default_stream_checkpoint(spark: SparkSession, source_dir: str, snapshot_path: str, tag: str = "") -> str:
     """A stable state folder under the configured ``spark.checkpoint.dir`` (not the
-    per-application sub-folder), so a restarted application resumes the same stream."""
+    per-application sub-folder), so a restarted application resumes the same stream; ``tag`` (the cube's build tag)
+    keeps a stream with other parameters from adding to this one's state."""
     base = spark.conf.get("spark.checkpoint.dir", None) or require_checkpoint_dir(spark)
-    tag = hashlib.sha1(f"{source_dir}|{snapshot_path}".encode()).hexdigest()[:12]
-    return f"{base.rstrip('/')}/cohort-cube-stream/{tag}"
+    name = hashlib.sha1(f"{source_dir}|{snapshot_path}|{tag}".encode()).hexdigest()[:12]
+    return f"{base.rstrip('/')}/cohort-cube-stream/{name}"
 
 
-def latest_snapshot(spark: SparkSession, snapshot_path: str) -> str:
-    """Path of the newest complete snapshot (listing through Hadoop's FileSystem API)."""
+def _pointer(spark: SparkSession, snapshot_path: str):
     jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(snapshot_path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    best = None
-    for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("batch="):
-            done = fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))
-            bid = int(name.split("=", 1)[1])
-            if done and (best is None or bid > best[0]):
-                best = (bid, st.getPath().toString())
-    if best is None:
+    path = jvm.org.apache.hadoop.fs.Path(snapshot_path.rstrip("/"), "_LATEST")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _point_to(spark: SparkSession, snapshot_path: str, batch_id: int) -> None:
+    fs, path = _pointer(spark, snapshot_path)
+    out = fs.create(path, True)
+    out.writeLong(batch_id)
+    out.close()
+
+
+def latest_snapshot(spark: SparkSession, snapshot_path: str) -> str:
+    """Path of the newest complete snapshot, from the pointer file (through Hadoop's FileSystem API)."""
+    fs, path = _pointer(spark, snapshot_path)
+    if not fs.exists(path):
         raise FileNotFoundError(f"no complete cube snapshot under {snapshot_path}")
-    return best[1]
+    stream = fs.open(path)
+    batch_id = stream.readLong()
+    stream.close()
+    return f"{snapshot_path.rstrip('/')}/batch={batch_id}"
 
 
 def read_cube_snapshot(
@@ -103,4 +113,4 @@ def read_cube_snapshot(
     params: AuditParams = AuditParams(),
 ) -> CohortCube:
     """The newest complete cube snapshot as a ``CohortCube`` (batch), ready for roll-ups."""
-    return CohortCube(spark.read.parquet(latest_snapshot(spark, snapshot_path)), cmap, params)
+    return CohortCube.from_table(spark.read.parquet(latest_snapshot(spark, snapshot_path)), cmap, params)

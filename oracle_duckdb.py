@@ -9,11 +9,52 @@ from __future__ import annotations
 
 from typing import Dict, Sequence
 
-from cohortlens.config import (
-    ADULT_AGE, ADULT_LABEL, BASELINE_LABEL, BEYOND_WALL_LABEL, DEFAULT_RATE, HIGH_ACUITY_LABEL,
-    MINOR_LABEL, POST_WALL_DAYS, PRE_WALL_DAYS, REFERENCE_CHECKPOINTS, SAFE_ZONE_LABEL,
-    SCHOLARSHIP_RATE, TRIPLE_THREAT_LABEL, WALL_DAY,
+# FIXED VALUES of the published audit, stated here a second time so that a wrong constant in the package shows.
+WALL_DAY, ADULT_AGE = 10, 18
+PRE_WALL_DAYS, POST_WALL_DAYS = (1, 9), (10, 30)
+BEYOND_WALL_LABEL, SAFE_ZONE_LABEL = "Beyond Trust Wall", "Operational Safe Zone"
+TRIPLE_THREAT_LABEL, HIGH_ACUITY_LABEL, BASELINE_LABEL = "Triple Threat", "High-Acuity", "Baseline"
+MINOR_LABEL, ADULT_LABEL = "Guardian-Advocate (Minor)", "Self-Advocate (Adult)"
+SCHOLARSHIP_RATE, DEFAULT_RATE = 120, 210
+CHECKPOINTS = (
+    ("Total records (raw)", 110527.0, 0.0),
+    ("Distinct AppointmentIDs", 110527.0, 0.0),
+    ("Post lead-time filter count", 110522.0, 0.0),
+    ("Triple Threat avg lead time (d)", 12.2, 0.5),
+    ("No-conditions avg lead time (d)", 16.1, 0.5),
+    ("Day 10 no-show rate (%)", 31.6, 1.0),
+    ("SMS=1 no-show rate (%)", 27.6, 0.5),
+    ("SMS=0 no-show rate (%)", 16.7, 0.5),
+    ("SMS no-show avg lead time (d)", 20.0, 1.0),
+    ("Disabled no-show avg LT (d)", 13.0, 0.5),
+    ("Baseline no-show avg LT (d)", 15.9, 0.5),
+    ("Minors no-show rate (%)", 21.9, 0.5),
+    ("Adults no-show rate (%)", 19.63, 0.5),
 )
+ANCHORS = (
+    ("Day 10 no-show rate (%)", 33.0, 15.0),
+    ("SMS=1 no-show rate (%)", 32.0, 6.0),
+    ("SMS=0 no-show rate (%)", 31.0, 6.0),
+    ("SMS no-show avg lead time (d)", 32.0, 6.0),
+    ("Adults no-show rate (%)", 31.0, 6.0),
+)
+
+
+def _text_keys(sql: str, keys: Sequence[str]) -> str:
+    """The query with its cohort keys as text."""
+    return f"SELECT * REPLACE ({', '.join(f'CAST({k} AS VARCHAR) AS {k}' for k in keys)}) FROM ({sql})"
+
+
+def _counts(sql: str) -> str:
+    """COUNT_IF(c) as COUNT(CASE WHEN c THEN 1 END): DuckDB's COUNT_IF is NULL where every condition is NULL, SQL counts 0."""
+    while "COUNT_IF(" in sql:
+        head, _, rest = sql.partition("COUNT_IF(")
+        depth, end = 1, 0
+        while depth:
+            depth += {"(": 1, ")": -1}.get(rest[end], 0)
+            end += 1
+        sql = f"{head}COUNT(CASE WHEN {rest[:end - 1]} THEN 1 END){rest[end:]}"
+    return sql
 
 
 def _q(text: str) -> str:
@@ -74,20 +115,48 @@ _TIER = (f"CASE WHEN Hipertension = 1 AND Diabetes = 1 AND Alcoholism = 1 THEN {
          f"WHEN Hipertension = 1 AND Diabetes = 1 THEN {_q(HIGH_ACUITY_LABEL)} ELSE {_q(BASELINE_LABEL)} END")
 _MINOR, _ADULT, _BEYOND = _q(MINOR_LABEL), _q(ADULT_LABEL), _q(BEYOND_WALL_LABEL)
 
-# base / segmentation / scopes, shared by both fixtures
-_LAYERS = f"""
+# F5 — one appointment per order: independent conditions, NULLs, text outcome, timestamps.
+_CLINIC = """
+clinic_g AS (
+  SELECT o_orderkey AS k, o_custkey AS c, CAST(o_orderdate AS DATE) AS sched,
+         CAST((o_orderkey * 37) % 120 - 2 AS INTEGER) AS g
+  FROM orders
+),
+appt AS (
+  SELECT
+    CASE WHEN k % 1000 = 7 THEN NULL ELSE c END AS PatientId,
+    k AS AppointmentID,
+    CASE WHEN c % 37 = 0 THEN NULL WHEN c % 3 = 0 THEN 'M' ELSE 'F' END AS Gender,
+    sched AS ScheduledDay,
+    CASE WHEN k % 53 = 0 THEN NULL ELSE sched + g END AS AppointmentDay,
+    CASE WHEN c % 23 = 0 THEN NULL ELSE CAST(c % 95 AS INTEGER) END AS Age,
+    CASE WHEN c % 31 = 0 THEN NULL WHEN c % 10 < 3 THEN 1 ELSE 0 END AS Scholarship,
+    CASE WHEN c % 5 < 2 THEN 1 ELSE 0 END AS Hipertension,
+    CASE WHEN c % 7 < 3 THEN 1 ELSE 0 END AS Diabetes,
+    CASE WHEN c % 11 < 4 THEN 1 ELSE 0 END AS Alcoholism,
+    CASE WHEN c % 29 = 0 THEN NULL ELSE CAST(c % 3 AS INTEGER) END AS Handcap,
+    CASE WHEN g >= 3 AND k % 3 = 0 THEN 1 ELSE 0 END AS SMS_received,
+    CASE WHEN k % 41 = 0 THEN NULL WHEN k % 43 = 0 THEN 'Maybe'
+         WHEN (k * 7919) % 100 < CASE WHEN g <= 0 THEN 5 WHEN g < 10 THEN 25 ELSE 33 END THEN 'Yes' ELSE 'No' END AS "No-show"
+  FROM clinic_g
+)"""
+
+
+# base / segmentation / scopes, shared by the fixtures
+def _layers(wall: int = WALL_DAY, adult_age: int = ADULT_AGE, outcome: str = '"No-show"') -> str:
+    return f"""
 raw AS (
   SELECT *,
-    "No-show" AS no_show_status,
+    {outcome} AS no_show_status,
     CAST(date_diff('day', ScheduledDay, AppointmentDay) AS INTEGER) AS lead_time
   FROM appt
 ),
 seg AS (
   SELECT *,
-    CASE WHEN lead_time >= {WALL_DAY} THEN {_BEYOND} ELSE {_q(SAFE_ZONE_LABEL)} END AS trust_wall_status,
+    CASE WHEN lead_time >= {wall} THEN {_BEYOND} ELSE {_q(SAFE_ZONE_LABEL)} END AS trust_wall_status,
     {_TIER} AS acuity_tier,
     {_TIER} AS patient_acuity,
-    CASE WHEN Age < {ADULT_AGE} THEN {_MINOR} ELSE {_ADULT} END AS advocacy_type,
+    CASE WHEN Age < {adult_age} THEN {_MINOR} ELSE {_ADULT} END AS advocacy_type,
     CASE WHEN Handcap > 0 THEN 1 ELSE 0 END AS is_disabled,
     CAST(Diabetes AS INTEGER) AS has_diabetes,
     CAST(Hipertension AS INTEGER) AS has_hypertension,
@@ -102,8 +171,9 @@ def _with(*ctes: str) -> str:
     return "WITH " + ",".join(ctes)
 
 
-F1 = _with(_APPT, _LAYERS)
-F2 = _with(_SHIP, _LAYERS)
+F1 = _with(_APPT, _layers())
+F2 = _with(_SHIP, _layers())
+F5 = _with(_CLINIC, _layers(outcome="""CASE WHEN "No-show" = 'Yes' THEN TRUE WHEN "No-show" = 'No' THEN FALSE END"""))
 
 # grouped audits: name -> (keys, scope view, missed only, volume name, avg name, avg first)
 _GROUPED = [
@@ -124,12 +194,12 @@ _GROUPED = [
 ]
 
 
-def _grouped_sql(keys: Sequence[str], view: str, missed_only: bool) -> str:
+def _grouped_sql(keys: Sequence[str], view: str, missed_only: bool, base: str = F1) -> str:
     k = ", ".join(keys)
     if missed_only:
-        return (f"{F1}\nSELECT {k}, ROUND(AVG(lead_time), 1) AS avg_lead_time_no_show, "
+        return (f"{base}\nSELECT {k}, ROUND(AVG(lead_time), 1) AS avg_lead_time_no_show, "
                 f"COUNT(*) AS total_no_shows FROM {view} WHERE no_show_status GROUP BY {k}")
-    return (f"{F1}\nSELECT {k}, COUNT(*) AS total_patient_volume, "
+    return (f"{base}\nSELECT {k}, COUNT(*) AS total_patient_volume, "
             f"ROUND(AVG(lead_time), 1) AS avg_lead_time FROM {view} GROUP BY {k}")
 
 
@@ -148,13 +218,12 @@ SELECT lead_time AS lead_time_day,
 FROM v GROUP BY lead_time"""
 
 
-def _exposure_cte() -> str:
+def _exposure_cte(rate: str = f"CASE WHEN Scholarship = 1 THEN {SCHOLARSHIP_RATE} ELSE {DEFAULT_RATE} END") -> str:
     return f"""exposure AS (
   SELECT Scholarship, Gender, trust_wall_status, acuity_tier, SMS_received, no_show_status,
     COUNT(*) AS total_patient_volume,
     ROUND(AVG(lead_time), 1) AS avg_lead_time,
-    CAST(CASE WHEN Scholarship = 1 THEN COUNT(*) * {SCHOLARSHIP_RATE} ELSE COUNT(*) * {DEFAULT_RATE} END
-      AS BIGINT) AS modeled_revenue_impact,
+    CAST(COUNT(*) * {rate} AS BIGINT) AS modeled_revenue_impact,
     ROUND(CAST(100 AS DOUBLE) * COUNT(*) / CAST(SUM(COUNT(*)) OVER () AS DOUBLE), 2)
       AS pct_of_total_volume
   FROM p
@@ -182,10 +251,7 @@ def _full_audit(base: str) -> str:
     return base + "\n" + "\nUNION ALL\n".join(parts)
 
 
-_CHECKS = REFERENCE_CHECKPOINTS
-
-
-def _scorecard() -> str:
+def _scorecard(base: str = F1, checks=CHECKPOINTS) -> str:
     lt = "ROUND(AVG(CASE WHEN lead_time >= 0 AND no_show_status AND {c} THEN lead_time END), 1)"
     rt = "ROUND(" + _rate("COUNT_IF(lead_time >= 0 AND {c} AND no_show_status)",
                           "COUNT_IF(lead_time >= 0 AND {c})") + ", 1)"
@@ -207,10 +273,10 @@ def _scorecard() -> str:
     ]
     m = ", ".join(f"CAST({e} AS DOUBLE) AS m{i}" for i, e in enumerate(exprs))
     actuals = "\n  UNION ALL ".join(
-        f"SELECT '{lbl}' AS label, m{i} AS actual FROM m" for i, (lbl, _, _) in enumerate(_CHECKS))
+        f"SELECT '{lbl}' AS label, m{i} AS actual FROM m" for i, (lbl, _, _) in enumerate(CHECKPOINTS))
     exp = ", ".join(f"({i}, '{lbl}', CAST({e} AS DOUBLE), CAST({t} AS DOUBLE))"
-                    for i, (lbl, e, t) in enumerate(_CHECKS))
-    return f"""{F1},
+                    for i, (lbl, e, t) in enumerate(checks))
+    return f"""{base},
 m AS (SELECT {m} FROM seg),
 actuals AS ({actuals}),
 expected(seq, label, expected, tol) AS (VALUES {exp})
@@ -219,7 +285,7 @@ SELECT e.label, ROUND(a.actual, 4) AS actual, e.expected, e.tol,
 FROM expected e LEFT JOIN actuals a ON a.label = e.label"""
 
 
-def _gaps() -> str:
+def _gaps(base: str = F1) -> str:
     lt = "ROUND(AVG(CASE WHEN no_show_status AND {c} THEN lead_time END), 1)"
     rt1 = "ROUND(" + _rate("COUNT_IF({c} AND no_show_status)", "COUNT_IF({c})") + ", 1)"
     rt = _rate("COUNT_IF({c} AND no_show_status)", "COUNT_IF({c})")
@@ -236,7 +302,7 @@ def _gaps() -> str:
                      for i, (_, a, b) in enumerate(rows))
     sel = "\n  UNION ALL ".join(
         f"SELECT '{lbl}' AS label, a{i} AS a, b{i} AS b FROM w" for i, (lbl, _, _) in enumerate(rows))
-    return f"""{F1},
+    return f"""{base},
 w AS (SELECT {aggs} FROM v),
 g AS ({sel})
 SELECT label, ROUND(a, 4) AS a, ROUND(b, 4) AS b, ROUND(a - b, 4) AS gap,
@@ -276,13 +342,13 @@ SELECT COUNT(*) AS raw_rows,
   CAST(COUNT_IF(lead_time >= 0 AND PatientId IS NULL) AS BIGINT) AS null_entity_rows
 FROM raw""",
         "load_profile": f"""{F1}
-SELECT COUNT(*) AS rows, CAST(13 AS INTEGER) AS columns FROM appt""",
+SELECT COUNT(*) AS rows, CAST((SELECT COUNT(*) FROM (DESCRIBE SELECT * FROM appt)) AS INTEGER) AS columns FROM appt""",
         "outcome_report": f"""{F1}
 SELECT COUNT(*) AS rows,
   CAST(COUNT_IF("No-show") AS BIGINT) AS outcome_true,
   CAST(COUNT_IF(NOT "No-show") AS BIGINT) AS outcome_false,
   CAST(COUNT_IF("No-show" IS NULL) AS BIGINT) AS null_outcomes,
-  CAST(0 AS BIGINT) AS unmapped_outcomes
+  CAST(COUNT_IF("No-show" IS NOT NULL AND "No-show" NOT IN (TRUE, FALSE)) AS BIGINT) AS unmapped_outcomes
 FROM appt""",
     }
     for name, keys, view, missed in _GROUPED:
@@ -365,8 +431,56 @@ FROM sc""",
 SELECT * FROM exposure""",
         "shipment_full_audit_cube": _full_audit(F2),
     })
+    leak = """SELECT CAST(COALESCE(SUM(CASE WHEN {c} THEN total_patient_volume END), 0) AS BIGINT) AS missed_volume,
+  CAST(COALESCE(SUM(CASE WHEN {c} THEN modeled_revenue_impact END), 0) AS BIGINT) AS fiscal_leak"""
+    beyond = f"no_show_status AND trust_wall_status = {_BEYOND}"
+    far = "\n  UNION ALL ".join(f"SELECT '{label}' AS label, CAST({e} AS DOUBLE) AS actual FROM v" for label, e in (
+        ("rows, lead >= 70", "COUNT_IF(lead_time >= 70)"), ("rows, lead = 80", "COUNT_IF(lead_time = 80)"),
+        ("rows, lead = 61", "COUNT_IF(lead_time = 61)"), ("rows, lead 61 to 200", "COUNT_IF(lead_time BETWEEN 61 AND 200)"),
+        ("missed rate, lead >= 70", f"ROUND({_rate('COUNT_IF(lead_time >= 70 AND no_show_status)', 'COUNT_IF(lead_time >= 70)')}, 4)"),
+        ("mean lead, lead >= 70", "ROUND(AVG(CASE WHEN lead_time >= 70 THEN lead_time END), 4)")))
+    types = [("PatientId", "bigint"), ("AppointmentID", "bigint"), ("Gender", "string"), ("ScheduledDay", "date"),
+             ("AppointmentDay", "date"), ("Age", "int"), ("Scholarship", "int"), ("Hipertension", "int"), ("Diabetes", "int"),
+             ("Alcoholism", "int"), ("Handcap", "int"), ("SMS_received", "int"), ("No-show", "boolean")]
+    profile = "\nUNION ALL ".join(
+        f"SELECT CAST({i + 1} AS INTEGER) AS position, '{c}' AS name, '{t}' AS type, COUNT(\"{c}\") AS non_null, "
+        f"CAST(MIN(\"{c}\") AS VARCHAR) AS smallest FROM appt" for i, (c, t) in enumerate(types))
+    q.update({
+        "shipment_cube_scorecard": _scorecard(F2),
+        "shipment_cube_cohort_gaps": _gaps(F2),
+        "shipment_cube_wall_365": _grouped_sql(["Scholarship", "trust_wall_status", "no_show_status"], "v", False,
+                                               _with(_SHIP, _layers(wall=365))),
+        "shipment_cube_far_metrics": f"{F2}\n{far}",
+        "cube_adult_age_40": _grouped_sql(["advocacy_type", "no_show_status"], "v", False, _with(_APPT, _layers(adult_age=40))),
+        "fiscal_leak_total": f"{F1},\n{_exposure_cte()}\n{leak.format(c='no_show_status')} FROM exposure",
+        "fiscal_leak_beyond_wall": f"{F1},\n{_exposure_cte()}\n{leak.format(c=beyond).replace('SELECT', 'SELECT Scholarship,', 1)} "
+                                   "FROM exposure GROUP BY Scholarship",
+        "exposure_rate_table": f"{F1},\n" + _exposure_cte(
+            f"COALESCE(MAX((SELECT 100 + 10 * n_nationkey FROM nation WHERE n_nationkey > 0 AND n_nationkey = Scholarship)), {DEFAULT_RATE})")
+            + "\nSELECT * FROM exposure",
+        "lead_day_curve_0_25": _curve(F1).replace("FROM v GROUP", "FROM v WHERE lead_time <= 25 GROUP"),
+        "column_profile": f"{F1}\n{profile}",
+        "scorecard_anchors": _scorecard(F1, ANCHORS),
+        "wall_by_payer_ordered": f"SELECT ROW_NUMBER() OVER (ORDER BY Scholarship NULLS FIRST, trust_wall_status NULLS FIRST, "
+                                 f"no_show_status NULLS FIRST) AS position, * FROM ({q['wall_by_payer']})",
+        "clinic_lead_day_curve": _curve(F5),
+        "clinic_lead_day_curve_complement": q["lead_day_curve_complement"].replace(F1, F5),
+        "clinic_outcome_report": f"""{F5}
+SELECT COUNT(*) AS rows, CAST(COUNT_IF("No-show" = 'Yes') AS BIGINT) AS outcome_true,
+  CAST(COUNT_IF("No-show" = 'No') AS BIGINT) AS outcome_false, CAST(COUNT_IF("No-show" IS NULL) AS BIGINT) AS null_outcomes,
+  CAST(COUNT_IF("No-show" NOT IN ('Yes', 'No')) AS BIGINT) AS unmapped_outcomes
+FROM appt""",
+        "clinic_scope_report": q["scope_report"].replace(F1, F5),
+        "clinic_exposure_summary": _text_keys(f"{F5},\n{_exposure_cte()}\nSELECT * FROM exposure",
+                                              ["Scholarship", "SMS_received", "no_show_status"]),
+        "clinic_full_audit_cube": _full_audit(F5),
+        "clinic_nonnull_counts": f"{F5}\nSELECT Scholarship, COUNT(Age) AS total_patient_volume, "
+                                 "ROUND(AVG(lead_time), 1) AS avg_lead_time FROM v WHERE Scholarship IS NOT NULL GROUP BY Scholarship",
+    })
+    for name, keys, view, missed in _GROUPED:
+        q[f"clinic_{name}"] = _text_keys(_grouped_sql(keys, view, missed, F5), keys)
     # cube-served forms answer with the same rows as the direct forms
     q["cube_exposure_summary"] = q["exposure_summary"]
     q["cube_cohort_gaps"] = q["cohort_gaps"]
     q["cube_scorecard"] = q["scorecard"]
-    return q
+    return {name: _counts(sql) for name, sql in q.items()}

@@ -24,7 +24,7 @@ def spark():
 def duck():
     import duckdb
     con = duckdb.connect()
-    for t in ("orders", "lineitem", "customer"):
+    for t in ("orders", "lineitem", "customer", "nation"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF01}/{t}.parquet')")
     return con
 

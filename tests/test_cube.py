@@ -6,6 +6,7 @@ from cohortlens import Audit, AuditParams, appointment_view, shipment_view
 from cohortlens.plans.audit import FULL_AUDIT_SPECS, GROUPED_AUDITS, cube_audit
 from tests.conftest import SF01
 
+from cohortlens.operators.cube import CohortCube
 from cohortlens.plans.audit import CUBE_SERVED
 
 
@@ -64,25 +65,33 @@ def test_cube_wall_can_move_after_build(spark):
     assert cube_audit(cube, "wall_by_payer").collect() == moved.run("wall_by_payer").collect()
 
 
-def test_cube_cells_bounded_by_key_domains_and_cap(spark):
-    # F2 spreads over thousands of lead days; cohort cells still stay under 2^10 x (cap + 3)
-    audit = Audit(shipment_view(spark, SF01))
-    cells = audit.cube().cells
-    cap = audit.params.lead_cap
-    cohort = cells.where("cell_kind = 'cohort'").count()
-    curve = cells.where("cell_kind = 'curve'").count()
-    days = audit.base("raw").select("lead_time").distinct().count()
-    assert cohort <= 2 ** 10 * (cap + 3)
-    assert curve <= 2 * 3 * days
+@pytest.mark.parametrize("wall", [0, 61, 365, 5000])
+def test_any_wall_and_window(spark, wall):
+    audit = Audit(shipment_view(spark, SF01), params=AuditParams(wall=wall, pre=(50, 90), post=(61, 400)))
+    cube = audit.cube()
+    assert cube_audit(cube, "wall_by_payer").collect() == audit.run("wall_by_payer").collect()
+    assert audit.scorecard(cube=cube).collect() == audit.scorecard().collect()
+    a, b = cube_audit(cube, "wall_contrast").first(), audit.run("wall_contrast").first()
+    assert all(x == y or x == pytest.approx(y, abs=1e-9) for x, y in zip(a, b))
 
 
-def test_wall_beyond_cap_is_refused(spark):
+def test_other_build_parameters_are_refused(spark, tmpdir_path):
     audit = Audit(appointment_view(spark, SF01))
     cube = audit.cube()
-    with pytest.raises(ValueError, match="lead cap"):
-        cube.with_params(audit.params.with_(wall=cube.lead_cap + 2))
-    wide = Audit(audit.events, params=audit.params.with_(wall=100, lead_cap=120))
-    assert cube_audit(wide.cube(), "wall_by_payer").collect() == wide.run("wall_by_payer").collect()
+    labels = {**audit.params.labels, "minor": "under age"}
+    for other in (audit.params.with_(adult_age=40), audit.params.with_(labels=labels)):
+        with pytest.raises(ValueError, match="other parameters"):
+            cube.with_params(other)
+    cube.with_params(audit.params.with_(wall=99, labels={**audit.params.labels, "beyond": "late"}))  # no keys: honoured
+    cube.save(f"{tmpdir_path}/mixed")
+    old = Audit(audit.events, params=audit.params.with_(adult_age=40))
+    old.cube().save(f"{tmpdir_path}/old")
+    with pytest.raises(ValueError, match="other parameters"):
+        CohortCube.load(spark, f"{tmpdir_path}/old")
+    old.cube().save(f"{tmpdir_path}/mixed", mode="append")
+    with pytest.raises(ValueError, match="mixes"):
+        CohortCube.load(spark, f"{tmpdir_path}/mixed")
+    assert cube_audit(old.cube(), "age_class_outcome").collect() == old.run("age_class_outcome").collect()
 
 
 def test_scorecard_from_cube_equals_direct(pair):
@@ -91,21 +100,10 @@ def test_scorecard_from_cube_equals_direct(pair):
 
 
 def test_saved_cube_serves_the_same_audits(spark, tmpdir_path):
-    from cohortlens.operators.cube import CohortCube
     audit = Audit(appointment_view(spark, SF01))
     audit.cube().save(f"{tmpdir_path}/cube")
     loaded = CohortCube.load(spark, f"{tmpdir_path}/cube")
-    assert loaded.lead_cap == audit.params.lead_cap
+    assert loaded.tag == audit.cube().tag
     for name in ("exposure_summary", "lead_day_curve", "cohort_gaps", "wall_by_payer_prod"):
         assert cube_audit(loaded, name).collect() == audit.run(name).collect(), name
     assert audit.scorecard(cube=loaded).collect() == audit.scorecard().collect()
-
-
-def test_exact_day_metrics_at_the_cap_boundary(spark):
-    # F2 leads spread far beyond the cap: day == cap comes from cohort cells, cap + 1 from curve cells
-    events = shipment_view(spark, SF01)
-    for wall in (AuditParams().lead_cap, AuditParams().lead_cap + 1):
-        audit = Audit(events, params=AuditParams(wall=wall))
-        cube = audit.cube()
-        assert audit.scorecard(cube=cube).collect() == audit.scorecard().collect(), wall
-        assert cube_audit(cube, "wall_by_payer").collect() == audit.run("wall_by_payer").collect(), wall

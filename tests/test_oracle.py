@@ -4,10 +4,11 @@ import math
 
 import pytest
 
-import __spark_entry__ as E
+from cohortlens.plans.registry import build_queries
+from oracle_duckdb import build_oracle
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES = build_queries()
+ORACLE = build_oracle()
 
 
 def _norm(v):
@@ -40,7 +41,7 @@ def test_every_query_has_an_oracle():
 def duck_small():
     import duckdb
     con = duckdb.connect()
-    for t in ("orders", "lineitem", "customer"):
+    for t in ("orders", "lineitem", "customer", "nation"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
     return con
 
