@@ -67,7 +67,9 @@ def with_exposure(groups: DataFrame, params: AuditParams, impact: str, share: st
     ``rate_card``: pairs, or (table, key column, rate column)."""
     n = params.names
     card = params.rate_card if rate_card is None else rate_card
-    total = groups.agg(F.sum(F.col(n.volume))).scalar()  # a scalar subquery: one value
+    # A scalar subquery, one value.  It reads the mean as well, so that its aggregate is the very one of ``groups``
+    # and the executed plan reuses that exchange instead of scanning the events again.
+    total = groups.agg(F.struct(F.sum(F.col(n.volume)).alias("t"), F.count(F.col(n.avg_lead)))).scalar().getField("t")
     out = groups
     if len(card) == 3 and isinstance(card[0], DataFrame):
         table, key, rate = card

@@ -70,6 +70,12 @@ CUBE_SERVED: Tuple[str, ...] = tuple(SPEC_BY_NAME) + (
     "fiscal_leak", "beyond_wall", "disabled_share", "cohort_gaps", "cohort_volume")
 
 
+def catalogue_order(params: AuditParams):
+    """How audit outputs are sorted.  The catalogue's own keys have a handful of values, so their rows are gathered and
+    sorted in one partition; keys that a caller names may have any number, so those get a global, ranged sort."""
+    return "single" if grouped_audits(params) == GROUPED_AUDITS else True
+
+
 def beyond_condition(params: AuditParams) -> str:
     return f"{ident(params.names.band)} = {sql_literal(params.labels['beyond'])}"
 
@@ -86,8 +92,7 @@ class Audit:
         self.events = events
         self.cmap = cmap
         self.params = params
-        # catalogue outputs are bounded by key domains: sort them in one partition
-        self.order = "single" if order else False
+        self.order = catalogue_order(params) if order else False
         self.specs = {s.name: s for s in grouped_audits(params)}
         self._bases: Dict[str, DataFrame] = {}  # lazy plans, reused across audits
 
@@ -239,8 +244,9 @@ class Audit:
         return fn[name]()
 
 
-def cube_audit(cube: CohortCube, name: str, order="single") -> DataFrame:
+def cube_audit(cube: CohortCube, name: str, order=None) -> DataFrame:
     """The same named audits, rolled up from a cube instead of re-scanning."""
+    order = catalogue_order(cube.params) if order is None else order
     specs = {s.name: s for s in grouped_audits(cube.params)}
     if name in specs:
         return cube.spec(specs[name], order)

@@ -60,10 +60,8 @@ def cube_stream(
     cells = cube.cells.withColumn(TAG, F.lit(cube.tag))
 
     def write_snapshot(batch: DataFrame, batch_id: int) -> None:
-        # complete mode: every batch carries the whole (small) cell table
-        # one file: repartition (a shuffle of the few cells), not coalesce, which would
-        # collapse the stateful aggregation stage itself into one task
-        batch.repartition(1).write.mode("overwrite").parquet(f"{snapshot_path.rstrip('/')}/batch={batch_id}")
+        # complete mode: every batch carries the whole cell table
+        batch.write.mode("overwrite").parquet(f"{snapshot_path.rstrip('/')}/batch={batch_id}")
         _point_to(spark, snapshot_path, batch_id)
 
     w = (cells.writeStream.outputMode("complete")

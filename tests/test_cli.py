@@ -11,7 +11,7 @@ def _rows(spark, path):
 def test_cli_direct_and_cube_runs_agree(spark, tmpdir_path):
     src = f"{tmpdir_path}/events"
     appointment_view(spark, "/root/testdata/sf0.001").write.parquet(src)
-    direct = main(["--events", src, "--out", f"{tmpdir_path}/direct"], spark=spark)
+    direct = main(["--events", src, "--out", f"{tmpdir_path}/direct", "--direct"], spark=spark)
     cubed = main(["--events", src, "--out", f"{tmpdir_path}/cube", "--cube",
                   "--save-cube", f"{tmpdir_path}/cells"], spark=spark)
     assert direct == cubed == list(ALL_AUDITS)

@@ -33,3 +33,14 @@ def test_incremental_cube_matches_batch(spark, tmpdir_path):
     # each micro-batch left its own complete snapshot; the reader took the newest
     from cohortlens.streaming import latest_snapshot
     assert latest_snapshot(spark, snap).rsplit("batch=", 1)[1] == "1"
+    # a reader with other build parameters is refused, and such a stream would keep its own state
+    import pytest
+
+    from cohortlens import AuditParams, WAREHOUSE_COLUMNS
+    from cohortlens.operators.cube import build_tag
+    from cohortlens.streaming.cube_stream import default_stream_checkpoint
+    older = AuditParams(adult_age=40)
+    with pytest.raises(ValueError, match="other parameters"):
+        read_cube_snapshot(spark, snap, params=older)
+    folders = {default_stream_checkpoint(spark, src, snap, build_tag(WAREHOUSE_COLUMNS, p)) for p in (AuditParams(), older)}
+    assert len(folders) == 2

@@ -11,8 +11,8 @@ import sys
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-import __spark_entry__ as E  # noqa: E402
-from cohortlens.planinfo import exchanges, shape  # noqa: E402
+from cohortlens.plans.registry import build_queries  # noqa: E402
+from tools.planinfo import exchanges, shape  # noqa: E402
 from cohortlens.session import local_session  # noqa: E402
 
 
@@ -20,7 +20,7 @@ def main(sf_dir: str = "/root/testdata/sf0.01") -> None:
     spark = local_session(extra={"spark.sql.autoBroadcastJoinThreshold": "-1",
                                  "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"})
     rows = []
-    for name, q in E.queries().items():
+    for name, q in build_queries().items():
         df = q(spark, sf_dir)
         sh = shape(df)
         kinds = ", ".join(f"{e['kind']}:{e['carries']}" for e in exchanges(df))
