@@ -209,7 +209,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         keep = keep | ((F.col("toxic") == toxic) & (draw < int(min(1.0, sample_docs / n) * (1 << 30))))
     chosen = want.where(keep).select("id", "toxic", draw.alias("draw"))
     texts = docs.select(F.col(id_col).alias("did"), F.col(text_col).cast("string").alias("text"))
-    sample = chosen.join(texts, F.col("id") == F.col("did")).select("toxic", "text", "draw")
+    # about sample_docs rows of three numbers per class, whatever the tables' size: broadcast, so no text is shuffled
+    sample = texts.join(F.broadcast(chosen), F.col("id") == F.col("did")).select("toxic", "text", "draw")
     return per.get(1, 0), per.get(0, 0), sample
 
 
