@@ -72,8 +72,8 @@ def _text_keys(df: DataFrame) -> DataFrame:
 def _position(df: DataFrame) -> DataFrame:
     """The row number in the ordered output, so that a comparison without order can see it.
 
-    Rows of one partition in its order; the ordered catalogue outputs have one partition."""
-    return df.selectExpr("CAST(monotonically_increasing_id() + 1 AS BIGINT) AS position", *[f"`{c}`" for c in df.columns])
+    The audit's few rows are gathered without a shuffle, which keeps the order of a ranged sort's partitions."""
+    return df.coalesce(1).selectExpr("CAST(monotonically_increasing_id() + 1 AS BIGINT) AS position", *[f"`{c}`" for c in df.columns])
 
 
 def _cube_gaps(audit: Audit) -> DataFrame:
@@ -136,6 +136,8 @@ def build_queries() -> Dict[str, Query]:
         "column_profile": lambda s, d: column_profile(appointment_view(s, d)),
         "scorecard_anchors": lambda s, d: _f1(s, d).scorecard(ANCHORS, digits=COMPARE_DIGITS),
         "wall_by_payer_ordered": lambda s, d: _position(_f1(s, d).run("wall_by_payer")),
+        "lead_day_curve_ordered": lambda s, d: _position(_f1(s, d).lead_day_curve()),
+        "exposure_summary_ordered": lambda s, d: _position(_f1(s, d).exposure()),
         # independent conditions, NULLs in every attribute, text outcome, zoned timestamps
         "clinic_lead_day_curve": lambda s, d: _f5(s, d).lead_day_curve(),
         "clinic_lead_day_curve_complement": lambda s, d: _f5(s, d).lead_day_curve(shows="complement"),

@@ -463,6 +463,9 @@ SELECT * FROM exposure""",
         "scorecard_anchors": _scorecard(F1, ANCHORS),
         "wall_by_payer_ordered": f"SELECT ROW_NUMBER() OVER (ORDER BY Scholarship NULLS FIRST, trust_wall_status NULLS FIRST, "
                                  f"no_show_status NULLS FIRST) AS position, * FROM ({q['wall_by_payer']})",
+        "lead_day_curve_ordered": f"SELECT ROW_NUMBER() OVER (ORDER BY lead_time_day) AS position, * FROM ({_curve(F1)})",
+        "exposure_summary_ordered": f"SELECT ROW_NUMBER() OVER (ORDER BY Scholarship DESC NULLS LAST, trust_wall_status, acuity_tier, "
+                                    f"no_show_status, Gender, SMS_received) AS position, * FROM ({q['exposure_summary']})",
         "clinic_lead_day_curve": _curve(F5),
         "clinic_lead_day_curve_complement": q["lead_day_curve_complement"].replace(F1, F5),
         "clinic_outcome_report": f"""{F5}
