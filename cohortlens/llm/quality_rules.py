@@ -30,7 +30,7 @@ RULES: Tuple[Tuple[str, str], ...] = (
     ("few_words", "n_words < 50"),
     ("repeated_trigrams", "100 * n_repeat_words > 50 * n_words"),
     ("symbols", "10 * n_symbols > 3 * n_words"),
-    ("duplicate_lines", "n_lines > 1 AND 10 * n_dup_lines > 3 * n_lines"),
+    ("duplicate_lines", "n_dup_lines >= 5 AND 10 * n_dup_lines > 3 * n_lines"),
     ("mean_word_length", "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words)"),
     ("huge_word", "longest_word > 1000"),
 )

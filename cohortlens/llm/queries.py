@@ -129,7 +129,7 @@ m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
       FROM d LEFT JOIN covered USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 10 * n_symbols > 3 * n_words OR (n_lines > 1 AND 10 * n_dup_lines > 3 * n_lines)
+       NOT (base_failed OR 10 * n_symbols > 3 * n_words OR (n_dup_lines >= 5 AND 10 * n_dup_lines > 3 * n_lines)
             OR (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words)) OR longest > 1000) AS kept
 FROM b
 """

@@ -11,7 +11,7 @@ def test_pipeline_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     rows = [(i, t) for i, t in rows for m in [test_quality_rules.brute(t)] if not (
-        m[0] < 50 or 100 * m[4] > 50 * m[0] or 10 * m[2] > 3 * m[0] or (m[5] > 1 and 10 * m[3] > 3 * m[5])
+        m[0] < 50 or 100 * m[4] > 50 * m[0] or 10 * m[2] > 3 * m[0] or (m[3] >= 5 and 10 * m[3] > 3 * m[5])
         or (m[0] and not 2 * m[0] <= m[1] <= 20 * m[0]) or m[6] > 1000)]
     rows = sorted((int(i), t) for i, _, _, t in test_line_dedup.brute(rows))
     keep = test_simhash.classes([test_simhash.slow_fingerprint(t) for _, t in rows])
