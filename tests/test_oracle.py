@@ -46,8 +46,11 @@ def duck_small():
     return con
 
 
-@pytest.mark.parametrize("scale", ["sf0.01", "sf0.001"])
-@pytest.mark.parametrize("name", sorted(QUERIES))
+# F5 has one row per order with every NULL and label at either scale: one scale shows it
+CASES = [(n, sf) for n in sorted(QUERIES) for sf in ("sf0.01", "sf0.001") if sf == "sf0.001" or not n.startswith("clinic_")]
+
+
+@pytest.mark.parametrize("name,scale", CASES)
 def test_matches_duckdb(spark, duck, duck_small, name, scale):
     from tests.conftest import SF001, SF01
     sf, con = (SF01, duck) if scale == "sf0.01" else (SF001, duck_small)
