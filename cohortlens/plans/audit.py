@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import AuditParams, ColumnMap, WAREHOUSE_COLUMNS
 from ..operators.cohorts import (
-    CurveNames, cohort_gaps, cohort_metric, cohort_summary, pick, rate_by, rate_curve,
+    cohort_gaps, cohort_metric, cohort_summary, pick, rate_by, rate_curve,
     reference_gaps, share_of, threshold_contrast,
 )
 from ..operators.cube import AuditSpec, CohortCube
