@@ -52,7 +52,7 @@ LENGTH, K = 100, 32
 _VALUES = byte_values(1)
 _PIECE = 1 << 20  # windows handled at once
 _PLACE_BITS = 21
-_FLUSH = 32 << 20  # text bytes after which a map task sends its entries
+_FLUSH = 16 << 20  # text bytes after which a map task sends its entries
 ENTRY, SPAN, PARTIAL = 0, 1, 2
 NULL_ID = -(1 << 63)
 # fields and stored bytes of a packed block
@@ -196,7 +196,7 @@ def _rows(found: List[Tuple[int, int, bytes]], source: int = 0) -> pa.RecordBatc
         ["kind", "part", "source", "payload"])
 
 
-def _index(parts: int):
+def _index(parts: int, buckets: int):
     """Arrow function (id, text) -> packed entries by shard, and spans of repeats within the task by document bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +207,7 @@ def _index(parts: int):
             first, repeat, _ = first_places(e)
             kept, gone = _take(e, first), _as_spans(_take(e, repeat))
             kept = _take(kept, np.argsort(kept["key"]))
-            return _rows([*_dealt(kept, ENTRY, _by_hash(kept["key"], parts)), *_dealt(gone, SPAN, _by_hash(gone["doc"], parts))])
+            return _rows([*_dealt(kept, ENTRY, _by_hash(kept["key"], parts)), *_dealt(gone, SPAN, _by_hash(gone["doc"], buckets))])
 
         for batch in batches:
             for block, n in _entries(batch):
@@ -222,7 +222,7 @@ def _index(parts: int):
     return run
 
 
-def _merge_scan(parts: int):
+def _merge_scan(buckets: int):
     """Group function of one (kind, part): merges levels and batch; spans pass through."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -240,8 +240,8 @@ def _merge_scan(parts: int):
         gone = _as_spans(_take(e, repeat & fresh))
         level = _take(e, first)
         level = _take(level, np.argsort(level["key"]))
-        out = [(ENTRY, int(pdf["part"].iat[0]), pack(level, ENTRY)), *_dealt(gone, SPAN, _by_hash(gone["doc"], parts)),
-               *_dealt({f: some[f] for f, _ in _FIELDS[PARTIAL]}, PARTIAL, _by_hash(some["doc"], parts))]
+        out = [(ENTRY, int(pdf["part"].iat[0]), pack(level, ENTRY)), *_dealt(gone, SPAN, _by_hash(gone["doc"], buckets)),
+               *_dealt({f: some[f] for f, _ in _FIELDS[PARTIAL]}, PARTIAL, _by_hash(some["doc"], buckets))]
         return pd.DataFrame({"kind": np.array([k for k, _, _ in out], np.int32), "part": np.array([p for _, p, _ in out], np.int32),
                              "source": np.zeros(len(out), np.int32), "payload": [x for _, _, x in out]})
 
@@ -252,16 +252,18 @@ class SuffixIndex:
     """The levels, and the spans found so far.  Documents must be ingested in batches of rising id."""
 
     def __init__(self, spark, parts: Optional[int] = None):
-        self.parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # key shards, and document buckets; a shard sends each bucket one block, so their product bounds the blocks
+        self.parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = max(1, self.parts // 2)
         self.levels: List[Tuple[int, DataFrame]] = []  # (batches it stands for, packed entries), largest first
         self.found: List[DataFrame] = []  # spans and partial entries of every batch
 
     def ingest(self, docs: DataFrame, last: bool = False) -> None:
         """Index (id, text) and scan it against every level.  last: no later batch needs the merged level."""
-        rows = docs.mapInArrow(_index(self.parts), _ROW)
+        rows = docs.mapInArrow(_index(self.parts, self.buckets), _ROW)
         for i, (_, level) in enumerate(self.levels):
             rows = rows.union(level.withColumn("source", F.lit(i + 1)))
-        out = rows.groupBy("kind", "part").applyInPandas(_merge_scan(self.parts), _ROW)
+        out = rows.groupBy("kind", "part").applyInPandas(_merge_scan(self.buckets), _ROW)
         if last:
             self.found.append(stage_table(out.where(F.col("kind") != ENTRY), "suffix-found"))
             return
@@ -279,17 +281,17 @@ class SuffixIndex:
         found = self.found[0]
         for f in self.found[1:]:
             found = found.union(f)
-        texts = docs.mapInArrow(_texts(self.parts), "part int, id long, tag int, blob binary")
+        texts = docs.mapInArrow(_texts(self.buckets), "part int, id long, tag int, blob binary")
         wanted = found.where(F.col("kind") == PARTIAL).select("part", "payload")
         rows = texts.groupBy("part").cogroup(wanted.groupBy("part")).applyInPandas(
             _contents, "key long, doc long, pos long, n int, a int, content binary")
         partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         dealt = rows.repartition(partitions, "key").sortWithinPartitions("key", "doc", "pos")
-        settled = dealt.mapInArrow(_settle(self.parts), _ROW)
+        settled = dealt.mapInArrow(_settle(self.buckets), _ROW)
         return found.where(F.col("kind") == SPAN).union(settled).select("part", "payload")
 
 
-def _texts(parts: int):
+def _texts(buckets: int):
     def run(batches):
         codec = pa.Codec("zstd", compression_level=1)
         for big in batches:
@@ -301,7 +303,7 @@ def _texts(parts: int):
                 # the length before the compressed bytes: the codec needs it back
                 blobs = [len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_by_hash(ids.view(np.uint64), parts).astype(np.int32)), pa.array(ids),
+                    [pa.array(_by_hash(ids.view(np.uint64), buckets).astype(np.int32)), pa.array(ids),
                      pa.array([text_tag(t) for t in texts], pa.int32()), pa.array(blobs, pa.binary())], ["part", "id", "tag", "blob"])
 
     return run
@@ -329,7 +331,7 @@ def _contents(texts: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
                          "n": n.astype(np.int32), "a": e["a"].astype(np.int32), "content": content})
 
 
-def _settle(parts: int):
+def _settle(buckets: int):
     """Stream entries sorted by key and place; send the windows that equal an earlier one, as spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,13 +365,13 @@ def _settle(parts: int):
                 h, t = np.flatnonzero(head), np.flatnonzero(tail)
                 spans = {"doc": doc[row[h]], "pos": pos[row[h]] + (i[h].astype(np.uint64) << np.uint64(16)),
                          "len": (t - h + LENGTH).astype(np.uint64)}
-                yield _rows(list(_dealt(spans, SPAN, _by_hash(spans["doc"], parts))))
+                yield _rows(list(_dealt(spans, SPAN, _by_hash(spans["doc"], buckets))))
 
     return run
 
 
-def _remove(texts: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
-    """Per document of a bucket: its remaining bytes and what was removed."""
+def _remove(texts: pd.DataFrame, spans: pd.DataFrame, name: str = "kept", finish=bytes) -> pd.DataFrame:
+    """Per document of a bucket: what was removed, and ``finish`` of its remaining bytes (one text at a time)."""
     s = _concat([unpack(x, SPAN) for x in spans["payload"]], SPAN)
     tag, start = (s["pos"] & np.uint64(0xFFFF)).astype(np.int64), (s["pos"] >> np.uint64(16)).astype(np.int64)
     doc, end = s["doc"].view(np.int64), start + s["len"].astype(np.int64)
@@ -392,16 +394,14 @@ def _remove(texts: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
             if b > at:
                 removed += b - at
                 at = b
-        rest = b"".join(kept) + raw[at:]
-        out.append((None if i == NULL_ID else i, len(raw), removed, runs, rest))
+        kept.append(raw[at:])
+        out.append((None if i == NULL_ID else i, len(raw), removed, runs, finish(b"".join(kept))))
     return pd.DataFrame({"doc_id": pd.array([x[0] for x in out], dtype="Int64"), "n_bytes": [x[1] for x in out], "n_removed": [x[2] for x in out],
-                         "n_spans": [x[3] for x in out], "kept": [x[4] for x in out]})
+                         "n_spans": [x[3] for x in out], name: [x[4] for x in out]})
 
 
 def _digests(texts: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
-    out = _remove(texts, spans)
-    out["kept_sha256"] = [hashlib.sha256(x).hexdigest() for x in out.pop("kept")]
-    return out
+    return _remove(texts, spans, "kept_sha256", lambda rest: hashlib.sha256(rest).hexdigest())
 
 
 def id_batches(docs: DataFrame, batches: int) -> List[DataFrame]:
@@ -430,6 +430,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for i, part in enumerate(parts):
         index.ingest(part, last=i == len(parts) - 1)
     spans = index.spans(src)
-    texts = src.mapInArrow(_texts(index.parts), "part int, id long, tag int, blob binary")
+    texts = src.mapInArrow(_texts(index.buckets), "part int, id long, tag int, blob binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary")
     return texts.groupBy("part").cogroup(spans.groupBy("part")).applyInPandas(_digests if digest else _remove, schema)
