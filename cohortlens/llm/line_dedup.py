@@ -133,8 +133,9 @@ def drop_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = (src.join(per_doc.withColumnRenamed("id", "sid"), F.col("id").eqNullSafe(F.col("sid")))
              .select("id", F.expr(f"explode(filter({long_keys}, k -> array_contains(hs, xxhash64(k))))").alias("key")))
     pairs = stage_table(lines.distinct(), "line-pairs")
-    repeated = (pairs.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("id").alias("last"))
-                .where(F.col("docs") >= min_docs).select("key", "last"))
+    # written, so that both sides of the join are exchanges and a hot key of ``pairs`` can be split
+    repeated = stage_table(pairs.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("id").alias("last"))
+                           .where(F.col("docs") >= min_docs).select("key", "last"), "line-repeated")
     return pairs.join(repeated, "key").where(~F.col("id").eqNullSafe(F.col("last"))).select("id", "key")
 
 
