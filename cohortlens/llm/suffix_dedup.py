@@ -52,7 +52,7 @@ LENGTH, K = 100, 32
 _VALUES = byte_values(1)
 _PIECE = 1 << 20  # windows handled at once
 _PLACE_BITS = 21
-_FLUSH = 16 << 20  # text bytes after which a map task sends its entries
+_FLUSH = 8 << 20  # text bytes after which a map task sends its entries
 ENTRY, SPAN, PARTIAL = 0, 1, 2
 NULL_ID = -(1 << 63)
 # fields and stored bytes of a packed block
@@ -126,7 +126,7 @@ def text_tag(text: bytes) -> int:
 
 def _entries(batch: pa.RecordBatch) -> Iterator[Tuple[Block, int]]:
     """Entries of a batch (id, text), and the text bytes they stand for."""
-    for b in batches_of(batch, 1 << 20):
+    for b in batches_of(batch, 1 << 19):
         data, starts = utf8_view(b.column(1))
         ids = np.asarray(b.column(0).fill_null(NULL_ID)).astype(np.int64)
         raw = data.tobytes()
@@ -253,8 +253,8 @@ class SuffixIndex:
 
     def __init__(self, spark, parts: Optional[int] = None):
         # key shards, and document buckets; a shard sends each bucket one block, so their product bounds the blocks
-        self.parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.buckets = max(1, self.parts // 2)
+        self.parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = max(1, self.parts // 4)
         self.levels: List[Tuple[int, DataFrame]] = []  # (batches it stands for, packed entries), largest first
         self.found: List[DataFrame] = []  # spans and partial entries of every batch
 
