@@ -370,7 +370,7 @@ def _settle(buckets: int):
     return run
 
 
-def _remove(texts: pd.DataFrame, spans: pd.DataFrame, name: str = "kept", finish=bytes) -> pd.DataFrame:
+def _remove(texts: pd.DataFrame, spans: pd.DataFrame, name: str, finish) -> pd.DataFrame:
     """Per document of a bucket: what was removed, and ``finish`` of its remaining bytes (one text at a time)."""
     s = _concat([unpack(x, SPAN) for x in spans["payload"]], SPAN)
     tag, start = (s["pos"] & np.uint64(0xFFFF)).astype(np.int64), (s["pos"] >> np.uint64(16)).astype(np.int64)
@@ -400,6 +400,10 @@ def _remove(texts: pd.DataFrame, spans: pd.DataFrame, name: str = "kept", finish
                          "n_spans": [x[3] for x in out], name: [x[4] for x in out]})
 
 
+def _kept(texts: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
+    return _remove(texts, spans, "kept", bytes)
+
+
 def _digests(texts: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
     return _remove(texts, spans, "kept_sha256", lambda rest: hashlib.sha256(rest).hexdigest())
 
@@ -432,4 +436,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = index.spans(src)
     texts = src.mapInArrow(_texts(index.buckets), "part int, id long, tag int, blob binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary")
-    return texts.groupBy("part").cogroup(spans.groupBy("part")).applyInPandas(_digests if digest else _remove, schema)
+    return texts.groupBy("part").cogroup(spans.groupBy("part")).applyInPandas(_digests if digest else _kept, schema)
