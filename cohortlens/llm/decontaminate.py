@@ -4,7 +4,10 @@ Tokens are runs of letters, digits and non-ASCII bytes, A-Z lower-cased.  A
 mask hashes the marked tokens of a span and ignores the rest, so a substituted
 token under an ignored position leaves the hash unchanged.  ``MASKS`` find
 every stretch of ``WINDOW`` tokens with at most two substitutions (tested over
-all 78 placements).
+all 78 placements).  An item shorter than WINDOW is also hashed whole, once for
+every placement of its allowed substitutions that MASKS would miss
+(``whole_masks``), so items of every length are searched as sparsely as they
+are compared.
 
 1. Benchmark items are hashed under every mask, at every position.
 2. Training documents are hashed alike in numpy over whole Arrow batches; a
@@ -17,15 +20,17 @@ all 78 placements).
    least ``SIMILARITY`` of them.
 
 Defined results: null or empty texts and items have no tokens and match
-nothing; items of fewer than ``MIN_ITEM`` tokens define no overlap; shorter
-items than WINDOW are hashed whole as well; repeated rows and ties give one
+nothing; items of fewer than ``MIN_ITEM`` tokens overlap only where all their
+tokens do (0.8 of them allows no substitution); repeated rows and ties give one
 row per (document, item) with the best count; a null document id is kept as
 null; empty tables give an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-from typing import Iterator, List, Sequence, Tuple
+from itertools import combinations
+from math import ceil
+from typing import Iterator, List, NamedTuple, Sequence, Tuple
 
 import numpy as np
 import pandas as pd
@@ -65,6 +70,21 @@ def mask_hashes(tok: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return mix64(h)
 
 
+class Mask(NamedTuple):
+    marks: str
+    salt: int
+    whole: bool  # only for items of that very length
+
+
+def whole_masks(n: int) -> List[str]:
+    """Whole-length masks of an item of n < WINDOW tokens: one for each placement of as many
+    substitutions as SIMILARITY allows that no mask of MASKS survives at any position."""
+    spare = n - ceil(SIMILARITY * n - 1e-9)
+    spans = [{at + o for o, marked in enumerate(m) if marked == "1"} for m in MASKS for at in range(n - len(m) + 1)]
+    return ["".join("0" if o in bad else "1" for o in range(n))
+            for bad in combinations(range(n), spare) if all(s & set(bad) for s in spans)]
+
+
 def contexts(tok: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray) -> np.ndarray:
     """(len(at), _WIDTH) 32-bit tokens from at - _SIDE on; 0 outside first:last of the text."""
     where = at[:, None] + np.arange(-_SIDE, _WIDTH - _SIDE)[None, :]
@@ -73,10 +93,8 @@ def contexts(tok: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarra
     return np.where(inside, short[np.clip(where, 0, max(len(tok) - 1, 0))], np.uint32(0))
 
 
-def _seeds(masks: Sequence[Tuple[str, int]], bitmap=None, whole: bool = False):
-    """Arrow function (id, text) -> (h, id, context, n_tokens). bitmap: only hashes it holds.
-
-    whole: masks longer than 0 tokens without a gap apply only to texts of that very length."""
+def _seeds(masks: Sequence[Mask], bitmap=None):
+    """Arrow function (id, text) -> (h, id, context, n_tokens) of items; with a bitmap of documents: only hashes it holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint8) if bitmap is not None else None
@@ -87,16 +105,20 @@ def _seeds(masks: Sequence[Tuple[str, int]], bitmap=None, whole: bool = False):
                     continue
                 row = np.repeat(np.arange(b.num_rows), np.diff(first))
                 end = first[1:][row]
-                for mask, salt in masks:
+                for mask, salt, whole in masks:
                     h = mask_hashes(tok, mask, salt)
                     at = np.arange(len(h))
                     ok = at + len(mask) <= end[: len(h)]
-                    if whole and "0" not in mask:
+                    if whole and bits is None:
                         ok &= (end - first[:-1][row] == len(mask))[: len(h)]
                     if bits is not None:
                         slot = (h >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
                         ok &= (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1) != 0
                     at = at[ok]
+                    if whole and "0" not in mask and len(at):  # no context decides: one place of a text is enough
+                        order = np.lexsort((at, h[at], row[at]))
+                        r, g = row[at][order], h[at][order]
+                        at = at[order[np.concatenate(([True], (r[1:] != r[:-1]) | (g[1:] != g[:-1])))]]
                     for lo in range(0, len(at), 65536):
                         some = at[lo: lo + 65536]
                         r = row[some]
@@ -158,13 +180,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
              item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, matched, of_tokens): one row per document and item that overlap."""
     spark = docs.sparkSession
-    masks: List[Tuple[str, int]] = [(m, i + 1) for i, m in enumerate(MASKS)]
-    masks += [("1" * n, 100 + n) for n in range(MIN_ITEM, max(map(len, MASKS)) + 4)]  # short items, whole
+    masks = [Mask(m, i + 1, False) for i, m in enumerate(MASKS)]
+    masks += [Mask(m, 100 + i, True) for i, m in enumerate(m for n in range(1, WINDOW) for m in whole_masks(n))]
     seed_schema = "h long, id long, ctx binary, n int"
     items = benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string"))
-    seeds = items.mapInArrow(_seeds(masks, whole=True), seed_schema).where(F.col("n") >= MIN_ITEM)
+    seeds = items.mapInArrow(_seeds(masks), seed_schema)
     lengths = {r["n"] for r in seeds.where(F.col("n") < WINDOW).select("n").distinct().collect()}  # below 13 values
-    used = [m for m in masks if "0" in m[0] or len(m[0]) in lengths]
+    used = [m for m in masks if not m.whole or len(m.marks) in lengths]
     bitmap = spark.sparkContext.broadcast(_bitmap(seeds))
     hits = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
         _seeds(used, bitmap), seed_schema)

@@ -75,3 +75,31 @@ def test_empty(spark, empty, documents):
     assert D.overlaps(documents, none).collect() == []
     assert D.overlaps(empty, spark.read.parquet(f"{SF}/benchmark.parquet")).collect() == []
     assert D.decontaminate(documents, none).count() == documents.count()
+
+
+def test_short_items_with_every_placement(spark):
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in range(1, D.WINDOW + 1)]
+    docs, want = [], set()
+    for n, t in items:
+        spare = n - int(np.ceil(D.SIMILARITY * n - 1e-9))
+        for subs in range(spare + 2):
+            for bad in itertools.combinations(range(n), subs):
+                v = [f"changed{o}" if o in bad else x for o, x in enumerate(t.split())]
+                docs.append((len(docs), " ".join(["before", *v, "after", "the", "end"])))
+                if subs <= spare:
+                    want.add((docs[-1][0], n))
+    docs += [(10_000, "w1x0 " * 50 + "w2x0 w2x1 " * 50), (10_001, "w2x0 and w2x1, w3x0 w3x1"), (None, "W1X0!")]
+    want |= {(10_000, 1), (10_000, 2), (None, 1)}
+    got = D.overlaps(spark.createDataFrame(docs, "doc_id long, text string"),
+                     spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+
+
+def test_short_items_against_brute_force(spark):
+    rnd = random.Random(11)
+    text = lambda n: " ".join(rnd.choice("abc") for _ in range(n))
+    items = [(k, text(5 + k % 8)) for k in range(32)]
+    docs = [(k, text(30)) for k in range(40)]
+    got = D.overlaps(spark.createDataFrame(docs, "doc_id long, text string"),
+                     spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == brute(docs, items)
