@@ -179,25 +179,35 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, matched, of_tokens): one row per document and item that overlap."""
+    return _overlaps(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), "long", benchmark, item_col, item_text_col)
+
+
+def _overlaps(docs: DataFrame, id_type: str, benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    """The overlaps of docs (id, text), whose id may be of any type that can be grouped."""
     spark = docs.sparkSession
     masks = [Mask(m, i + 1, False) for i, m in enumerate(MASKS)]
     masks += [Mask(m, 100 + i, True) for i, m in enumerate(m for n in range(1, WINDOW) for m in whole_masks(n))]
-    seed_schema = "h long, id long, ctx binary, n int"
+    seed_schema = "h long, id {}, ctx binary, n int"
     items = benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string"))
-    seeds = items.mapInArrow(_seeds(masks), seed_schema)
+    seeds = items.mapInArrow(_seeds(masks), seed_schema.format("long"))
     lengths = {r["n"] for r in seeds.where(F.col("n") < WINDOW).select("n").distinct().collect()}  # below 13 values
     used = [m for m in masks if not m.whole or len(m.marks) in lengths]
     bitmap = spark.sparkContext.broadcast(_bitmap(seeds))
-    hits = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
-        _seeds(used, bitmap), seed_schema)
+    hits = docs.mapInArrow(_seeds(used, bitmap), seed_schema.format(id_type))
     pairs = (hits.select("h", F.col("id").alias("doc_id"), F.col("ctx").alias("doc_ctx"))
              .join(seeds.select("h", F.col("id").alias("item_id"), F.col("ctx").alias("item_ctx"), "n"), "h")
              .select("doc_id", "doc_ctx", "item_id", "item_ctx", "n"))
-    found = pairs.mapInArrow(_verify, "doc_id long, item_id long, matched int, of_tokens int")
+    found = pairs.mapInArrow(_verify, f"doc_id {id_type}, item_id long, matched int, of_tokens int")
     return found.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("of_tokens").alias("of_tokens"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that overlap no benchmark item."""
-    dirty = overlaps(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(dirty, docs[id_col].eqNullSafe(dirty["_dirty"]), "left_anti")
+    """The rows of ``docs`` that overlap no benchmark item.
+
+    Rows that share an id are one document and go together; a row without an id is a document of its own and
+    goes by its own text (known again by a 64-bit hash)."""
+    own = F.when(docs[id_col].isNull(), F.xxhash64(docs[text_col].cast("string")))
+    keyed = docs.select(F.struct(docs[id_col].cast("long").alias("id"), own.alias("own")), docs[text_col].cast("string"))
+    dirty = (_overlaps(keyed, "struct<id: long, own: long>", benchmark, "item_id", "text")
+             .select(F.col("doc_id.id").alias("_dirty"), F.col("doc_id.own").alias("_own")).distinct())
+    return docs.join(dirty, docs[id_col].eqNullSafe(dirty["_dirty"]) & own.eqNullSafe(dirty["_own"]), "left_anti")

@@ -11,7 +11,8 @@ the last return the columns of documents.
 5. sentencepiece: token ids, their number, and whether they decode to the text.
 
 Nulls: a null text counts as empty (the quality rules reject it); rows that
-share an id are one document where a stage decides by id.
+share an id are one document where a stage decides by id, and a row without an
+id is a document of its own.
 """
 
 from __future__ import annotations

@@ -103,3 +103,14 @@ def test_short_items_against_brute_force(spark):
     got = D.overlaps(spark.createDataFrame(docs, "doc_id long, text string"),
                      spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == brute(docs, items)
+
+
+def test_rows_without_an_id_go_by_their_own_text(spark):
+    leak = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    docs = [(None, leak), (None, f"Again: {leak}!"), (None, leak), (None, "clean text of the first row"), (None, "clean too"),
+            (None, "clean too"), (None, None), (None, ""), (1, "clean"), (2, leak), (0, "zero is an id")]
+    d = spark.createDataFrame([(i, t, "x", "y") for i, t in docs], "doc_id long, text string, _dirty string, own string")
+    kept = D.decontaminate(d, spark.createDataFrame([(1, leak)], "item_id long, text string"))
+    assert kept.columns == d.columns
+    want = [r for r in docs if "twelve" not in (r[1] or "")]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, want))
