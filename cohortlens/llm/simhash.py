@@ -34,7 +34,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import stage_table
 
@@ -69,15 +68,18 @@ def majority(h: np.ndarray) -> int:
     return bits
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                 hashed: bool = False) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long; ``hashed`` adds th, a 64-bit hash of the text."""
+    extra = ["th"] if hashed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], ["doc_id", "fp", *extra])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, fp long")
+    th = [F.xxhash64(text_col) for _ in extra]
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col), *th).mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", "fp", *extra]))
 
 
 # --- partitions and thresholds ------------------------------------------------
@@ -315,26 +317,43 @@ def components(edges: DataFrame, name: str = "simhash") -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id), one row per input row."""
-    fp = stage_table(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
+    return _classes(fingerprints(docs, id_col, text_col, shingle), max_bits, ["doc_id", "fp", "component_id"])
+
+
+def _classes(fp: DataFrame, max_bits: int, columns: List[str]) -> DataFrame:
+    """The rows of ``fingerprints`` with their class: component_id, and root (one fingerprint of the class)."""
+    fp = stage_table(fp, "simhash-fp")
     nodes = stage_table(fp.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
     roots = components(links(nodes, max_bits))
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = stage_table(rooted.join(lows, "root").select(F.col("fp").alias("nfp"), "component_id"), "simhash-components")
-    return fp.join(of, F.col("fp") == F.col("nfp")).select("doc_id", "fp", "component_id")
+    of = stage_table(rooted.join(lows, "root").select(F.col("fp").alias("nfp"), *[c for c in ("component_id", "root") if c in columns]),
+                     "simhash-components")
+    return fp.join(of, F.col("fp") == F.col("nfp")).select(*columns)
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each class is kept: the one with the class's id.
 
-    Rows that share an id are one document, of which the row with the smallest text stays; a row without an id
-    cannot be chosen by it and stays."""
-    chosen = (near_duplicates(docs, id_col, text_col, shingle, max_bits)
-              .where("component_id is not null").select(F.col("component_id").alias("_chosen")).distinct())
-    row = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
-                      F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
-    named = row.where("_id is not null").join(chosen, F.col("_id") == F.col("_chosen"), "left_semi")
-    first = (named.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy("_text")))
-             .where("_n = 1").select("_row.*"))
-    return first.union(row.where("_id is null").select("_row.*"))
+    The choice is by class and row, so a row stays for its own class whatever other text its id has; of several
+    rows of a class with its id the one with the smallest text stays.  A row without an id cannot be chosen by it:
+    of those of a class the one with the smallest text stays too."""
+    fp = fingerprints(docs, id_col, text_col, shingle, hashed=True)
+    near = _classes(fp, max_bits, ["doc_id", "th", "component_id", "root"])
+    able = stage_table(near.where("doc_id is null or doc_id = component_id").select(
+        "root", "th", F.coalesce("doc_id", F.lit(0)).alias("k"), F.isnull("doc_id").alias("unnamed")).distinct(), "simhash-able")
+    key = F.col(id_col).cast("long")
+    row = docs.select(F.coalesce(key, F.lit(0)).alias("k"), F.isnull(key).alias("unnamed"), F.xxhash64(text_col).alias("th"),
+                      F.col(text_col).alias("_text"), F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
+    place = ["root", "k", "unnamed"]
+    count = able.groupBy(*place).agg(F.min("th").alias("th"), F.count(F.lit(1)).alias("n"))
+    chosen = count.where("n = 1").select("k", "unnamed", "th")
+    many = count.where("n > 1").select(*place)
+    if not many.isEmpty():  # texts of one class and id: only these are compared
+        least = F.min_by("th", F.struct("_text")).alias("th")  # in a struct, a null text is the smallest
+        tied = row.select("k", "unnamed", "th", "_text").join(able.join(many, place), ["k", "unnamed", "th"])
+        chosen = chosen.union(tied.groupBy(*place).agg(least).select("k", "unnamed", "th"))
+    # an inner join, as a semi-join would be moved below the aggregate, which is to collapse copies in the map tasks
+    one = row.groupBy("k", "unnamed", "th").agg(F.first("_row").alias("_row"))
+    return one.join(chosen, ["k", "unnamed", "th"]).select("_row.*")

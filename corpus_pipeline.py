@@ -43,8 +43,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: its smallest id, and of rows that share that id the one with the
-    smallest text.  A class without any id keeps nothing to choose by and stays whole."""
+    """One document of each class stays: its smallest id, and of its rows that share that id the one with the
+    smallest text.  Of a class's rows without an id the one with the smallest text stays as well."""
     return op10.representatives(docs)
 
 

@@ -98,3 +98,17 @@ def test_edges(spark, edge, empty):
     assert kept.count() == len(named) + ids.count(None)
     assert sorted(named) == sorted({v for v in low.values() if v is not None})
     assert S.near_duplicates(empty).collect() == [] and S.representatives(empty).collect() == []
+
+
+def test_representatives_of_shared_and_missing_ids(spark, texts):
+    long = sorted((t for t in texts.values() if len(t.split()) > 60), key=len)
+    a, b, c, d = (next(t for t in long if t[0].isalpha() and slow_fingerprint(t) % 8 == k) for k in (0, 1, 2, 3))
+    near = next(v for k in range(len(c.split())) for w in [c.split()] for v in [" ".join(w[:k] + ["other"] + w[k + 1:])]
+                if 0 < (slow_fingerprint(v) ^ slow_fingerprint(c)).bit_count() <= 4)
+    assert len(set(classes([slow_fingerprint(t) for t in (a, b, c, d)]))) == 4
+    for x, y in ((a, b), (b, a)):  # the text that has a copy elsewhere is once the smaller, once the larger
+        rows = [(3, x), (5, x), (5, y), (None, d), (None, d), (None, d), (7, c), (7, near), (7, c), (9, near), (0, d + " tail " * 50)]
+        rows += [(None, "z " + d[::-1]), (11, a[::-1]), (11, b[::-1])]
+        got = S.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+        want = [(3, x), (5, y), (None, d), (7, min(c, near)), (0, d + " tail " * 50), (None, "z " + d[::-1]), (11, a[::-1]), (11, b[::-1])]
+        assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, want))
