@@ -29,7 +29,7 @@ with very many variants is streamed in order, keeping only the windows seen.
 
 Defined results: a null text is empty, 0 bytes; texts shorter than LENGTH
 lose nothing; rows that share an id (null ids share one, the smallest) are one
-document whose rows are told apart by a hash of the text, so identical rows
+document whose rows are told apart by a 64-bit hash of the text, so identical rows
 are judged alike and do not remove each other; an empty table gives an empty
 table; other columns are not read.
 """
@@ -55,11 +55,11 @@ _PLACE_BITS = 21
 _FLUSH = 8 << 20  # text bytes after which a map task sends its entries
 ENTRY, SPAN, PARTIAL = 0, 1, 2
 NULL_ID = -(1 << 63)
-# fields and stored bytes of a packed block
+# fields and stored bytes of a packed block; pos is the place << 16, tag tells the rows of one id apart
 _FIELDS = {
-    ENTRY: (("key", 8), ("sk", 6), ("doc", 8), ("pos", 8), ("n", 1), ("a", 1)),
-    SPAN: (("doc", 8), ("pos", 8), ("len", 4)),
-    PARTIAL: (("key", 8), ("doc", 8), ("pos", 8), ("n", 1), ("a", 1)),
+    ENTRY: (("key", 8), ("sk", 6), ("doc", 8), ("tag", 8), ("pos", 6), ("n", 1), ("a", 1)),
+    SPAN: (("doc", 8), ("tag", 8), ("pos", 6), ("len", 4)),
+    PARTIAL: (("key", 8), ("doc", 8), ("tag", 8), ("pos", 6), ("n", 1), ("a", 1)),
 }
 Block = Dict[str, np.ndarray]
 
@@ -74,9 +74,12 @@ def unpack(raw: bytes, kind: int) -> Block:
     planes = np.frombuffer(raw, np.uint8).reshape(width, -1)
     out, at = {}, 0
     for f, w in _FIELDS[kind]:
-        full = np.zeros((planes.shape[1], 8), np.uint8)
-        full[:, :w] = planes[at: at + w].T
-        out[f] = full.view("<u8").ravel()
+        if w == 1:
+            out[f] = planes[at].copy()
+        else:
+            full = np.zeros((planes.shape[1], 8), np.uint8)
+            full[:, :w] = planes[at: at + w].T
+            out[f] = full.view("<u8").ravel()
         at += w
     return out
 
@@ -120,8 +123,9 @@ def minimiser_runs(data: np.ndarray, starts: np.ndarray):
 
 
 def text_tag(text: bytes) -> int:
-    """16 bits that tell rows of one id apart."""
-    return xxhash.xxh32_intdigest(text) & 0xFFFF
+    """64 bits, signed, that tell rows of one id apart."""
+    h = xxhash.xxh64_intdigest(text)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def _entries(batch: pa.RecordBatch) -> Iterator[Tuple[Block, int]]:
@@ -144,7 +148,7 @@ def _entries(batch: pa.RecordBatch) -> Iterator[Tuple[Block, int]]:
             row = row0 + np.searchsorted(edges, first, side="right") - 1
             place = first - edges[row - row0] + shift
             yield {"key": key.astype(np.uint64), "sk": content.astype(np.uint64) >> np.uint64(16), "doc": ids[row].view(np.uint64),
-                   "pos": ((place << 16) | tags[row]).astype(np.uint64), "n": n.astype(np.uint64), "a": offset.astype(np.uint64)}, len(part)
+                   "tag": tags[row].view(np.uint64), "pos": (place << 16).astype(np.uint64), "n": n.astype(np.uint8), "a": offset.astype(np.uint8)}, len(part)
 
 
 def first_places(e: Block) -> Tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,12 +161,12 @@ def first_places(e: Block) -> Tuple[np.ndarray, np.ndarray, np.ndarray]:
     some = order[grouped]
     if len(some) == 0:
         return first, repeat, varied
-    some = some[np.lexsort((e["pos"][some], e["doc"][some].view(np.int64), e["sk"][some], e["key"][some]))]
+    some = some[np.lexsort((e["tag"][some].view(np.int64), e["pos"][some], e["doc"][some].view(np.int64), e["sk"][some], e["key"][some]))]
     key, sk = e["key"][some], e["sk"][some]
     new_key = np.concatenate(([True], key[1:] != key[:-1]))
     new = new_key | np.concatenate(([True], sk[1:] != sk[:-1]))
     head = some[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    elsewhere = (e["doc"][some] != e["doc"][head]) | (e["pos"][some] != e["pos"][head])  # not an identical row
+    elsewhere = (e["doc"][some] != e["doc"][head]) | (e["pos"][some] != e["pos"][head]) | (e["tag"][some] != e["tag"][head])  # not an identical row
     first[some] = new
     repeat[some] = ~new & elsewhere
     group = np.cumsum(new_key) - 1
@@ -171,7 +175,7 @@ def first_places(e: Block) -> Tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _as_spans(e: Block) -> Block:
-    return {"doc": e["doc"], "pos": e["pos"], "len": e["n"] + np.uint64(LENGTH - 1)}
+    return {"doc": e["doc"], "tag": e["tag"], "pos": e["pos"], "len": e["n"] + np.uint64(LENGTH - 1)}
 
 
 def _dealt(block: Block, kind: int, part: np.ndarray) -> Iterator[Tuple[int, int, bytes]]:
@@ -281,12 +285,12 @@ class SuffixIndex:
         found = self.found[0]
         for f in self.found[1:]:
             found = found.union(f)
-        texts = docs.mapInArrow(_texts(self.buckets), "part int, id long, tag int, blob binary")
+        texts = docs.mapInArrow(_texts(self.buckets), "part int, id long, tag long, blob binary")
         wanted = found.where(F.col("kind") == PARTIAL).select("part", "payload")
         rows = texts.groupBy("part").cogroup(wanted.groupBy("part")).applyInPandas(
-            _contents, "key long, doc long, pos long, n int, a int, content binary")
+            _contents, "key long, doc long, pos long, tag long, n int, a int, content binary")
         partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = rows.repartition(partitions, "key").sortWithinPartitions("key", "doc", "pos")
+        dealt = rows.repartition(partitions, "key").sortWithinPartitions("key", "doc", "pos", "tag")
         settled = dealt.mapInArrow(_settle(self.buckets), _ROW)
         return found.where(F.col("kind") == SPAN).union(settled).select("part", "payload")
 
@@ -304,7 +308,7 @@ def _texts(buckets: int):
                 blobs = [len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(_by_hash(ids.view(np.uint64), buckets).astype(np.int32)), pa.array(ids),
-                     pa.array([text_tag(t) for t in texts], pa.int32()), pa.array(blobs, pa.binary())], ["part", "id", "tag", "blob"])
+                     pa.array([text_tag(t) for t in texts], pa.int64()), pa.array(blobs, pa.binary())], ["part", "id", "tag", "blob"])
 
     return run
 
@@ -317,9 +321,9 @@ def _text(blob: bytes) -> bytes:
 def _contents(texts: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
     """Bytes of the partly repeated entries of a bucket's documents."""
     e = _concat([unpack(x, PARTIAL) for x in wanted["payload"]], PARTIAL)
-    e = _take(e, np.unique(np.stack([e["doc"], e["pos"]], 1), axis=0, return_index=True)[1])
+    e = _take(e, np.unique(np.stack([e["doc"], e["tag"], e["pos"]], 1), axis=0, return_index=True)[1])
     where: Dict[Tuple[int, int], bytes] = {(i, t): b for i, t, b in zip(texts["id"], texts["tag"], texts["blob"])}
-    doc, tag = e["doc"].view(np.int64), (e["pos"] & np.uint64(0xFFFF)).astype(np.int64)
+    doc, tag = e["doc"].view(np.int64), e["tag"].view(np.int64)
     start, n = (e["pos"] >> np.uint64(16)).astype(np.int64), e["n"].astype(np.int64)
     content: List[bytes] = []
     open_, raw = None, b""
@@ -327,7 +331,7 @@ def _contents(texts: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if (d, t) != open_:
             open_, raw = (d, t), _text(where[(d, t)])
         content.append(raw[s: s + k + LENGTH - 1])
-    return pd.DataFrame({"key": e["key"].view(np.int64), "doc": doc, "pos": e["pos"].view(np.int64),
+    return pd.DataFrame({"key": e["key"].view(np.int64), "doc": doc, "pos": e["pos"].view(np.int64), "tag": tag,
                          "n": n.astype(np.int32), "a": e["a"].astype(np.int32), "content": content})
 
 
@@ -337,11 +341,12 @@ def _settle(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, seen = None, np.zeros(0, np.uint64)
         for big in batches:
-            for b in batches_of(big, 1 << 21, text_at=5):
+            for b in batches_of(big, 1 << 21, text_at=6):
                 key = np.asarray(b.column(0)).view(np.uint64)
                 doc, pos = np.asarray(b.column(1)).view(np.uint64), np.asarray(b.column(2)).view(np.uint64)
-                n, a = np.asarray(b.column(3)).astype(np.int64), np.asarray(b.column(4)).astype(np.int64)
-                data, starts = utf8_view(b.column(5))
+                tag = np.asarray(b.column(3)).view(np.uint64)
+                n, a = np.asarray(b.column(4)).astype(np.int64), np.asarray(b.column(5)).astype(np.int64)
+                data, starts = utf8_view(b.column(6))
                 if len(data) == 0:
                     continue
                 row = np.repeat(np.arange(len(n)), n)
@@ -363,7 +368,7 @@ def _settle(buckets: int):
                 head = again & ~np.concatenate(([False], again[:-1] & (row[1:] == row[:-1])))
                 tail = again & ~np.concatenate((again[1:] & (row[1:] == row[:-1]), [False]))
                 h, t = np.flatnonzero(head), np.flatnonzero(tail)
-                spans = {"doc": doc[row[h]], "pos": pos[row[h]] + (i[h].astype(np.uint64) << np.uint64(16)),
+                spans = {"doc": doc[row[h]], "tag": tag[row[h]], "pos": pos[row[h]] + (i[h].astype(np.uint64) << np.uint64(16)),
                          "len": (t - h + LENGTH).astype(np.uint64)}
                 yield _rows(list(_dealt(spans, SPAN, _by_hash(spans["doc"], buckets))))
 
@@ -373,7 +378,7 @@ def _settle(buckets: int):
 def _remove(texts: pd.DataFrame, spans: pd.DataFrame, name: str, finish) -> pd.DataFrame:
     """Per document of a bucket: what was removed, and ``finish`` of its remaining bytes (one text at a time)."""
     s = _concat([unpack(x, SPAN) for x in spans["payload"]], SPAN)
-    tag, start = (s["pos"] & np.uint64(0xFFFF)).astype(np.int64), (s["pos"] >> np.uint64(16)).astype(np.int64)
+    tag, start = s["tag"].view(np.int64), (s["pos"] >> np.uint64(16)).astype(np.int64)
     doc, end = s["doc"].view(np.int64), start + s["len"].astype(np.int64)
     order = np.lexsort((start, tag, doc))
     doc, tag, start, end = doc[order], tag[order], start[order], end[order]
@@ -434,6 +439,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for i, part in enumerate(parts):
         index.ingest(part, last=i == len(parts) - 1)
     spans = index.spans(src)
-    texts = src.mapInArrow(_texts(index.buckets), "part int, id long, tag int, blob binary")
+    texts = src.mapInArrow(_texts(index.buckets), "part int, id long, tag long, blob binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary")
     return texts.groupBy("part").cogroup(spans.groupBy("part")).applyInPandas(_digests if digest else _kept, schema)

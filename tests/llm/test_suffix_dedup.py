@@ -80,3 +80,16 @@ def test_pieces_of_a_very_long_text(spark, monkeypatch):
     windows = np.concatenate([np.concatenate([np.arange(p >> 16, (p >> 16) + n) for p, n in zip(e["pos"].tolist(), e["n"].tolist())])
                               for e, _ in S._entries(batch)])
     assert sorted(windows.tolist()) == list(range(9000 - 99))
+
+
+def test_many_rows_without_an_id(spark):
+    rng = np.random.default_rng(6)
+    word = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    docs = []
+    for k in range(1500):  # each repeats a passage of its own, at places that differ from row to row
+        passage = word(130)
+        docs.append((None, word(k % 50) + passage + word(20 + k % 70) + passage + word(10)))
+    table = brute(docs)
+    want = sorted(table[(i, t.encode())] for i, t in docs)
+    got = S.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), digest=True).collect()
+    assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
