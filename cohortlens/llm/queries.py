@@ -7,7 +7,7 @@ from typing import Callable, Dict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, pii, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity, url_filter
+from . import decontaminate, language_id, line_dedup, periodic_runs, pii, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity, url_filter
 from .common import held_out, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document with its planted period: the number of runs, the longest, and digests of all runs and the rest."""
+    found = periodic_runs.find_runs(periodic_runs.plant(read_table(spark, sf_dir, "documents")))
+    # The greatest length, then the smallest start, then the smallest period.
+    best = F.array_max(F.expr("transform(runs, r -> struct(r.length as length, -r.start as start, -r.period as period))"))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.expr("sha2(array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, chr(10))), ''), 256)").alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,7 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES: Dict[str, Query] = {f.__name__: f for f in (
     op1_suffix_dedup, op2_url_filters, op3_toxicity, op4_pii, op5_benchmark_decontamination, op6_language_id,
-    op7_sentencepiece, op8_quality_rules, op9_line_dedup, op10_simhash, pipeline)}
+    op7_sentencepiece, op8_quality_rules, op9_line_dedup, op10_simhash, op12_periodic_runs, pipeline)}
 
 
 _HOST_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -148,4 +161,30 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (drop)
 FROM marked GROUP BY doc_id
 """
 
-LLM_ORACLE: Dict[str, str] = {"op2_url_filters": OP2_SQL, "op8_quality_rules": OP8_SQL, "op9_line_dedup": OP9_SQL}
+# Words q apart that are equal form islands; an island of m such pairs is a run of m + q words.  crc32 goes bit by bit.
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(CAST(4294967295 AS BIGINT), list_reduce(
+        list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+            lambda c: list_concat([CAST(ascii(c) AS BIGINT)], [CAST(-1 AS BIGINT) FOR i IN range(8)])))),
+        lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, (s & 1) * 3988292384) END)) AS h FROM documents),
+a AS (SELECT *, CAST(len(w) AS BIGINT) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+words AS (SELECT r, u.i AS i, CASE WHEN h % 10 = 0 AND u.i >= a THEN w[a + (u.i - a) % p + 1] ELSE w[u.i + 1] END AS x
+          FROM p, unnest(range(n)) AS u(i)),
+same AS (SELECT f.r, s.i - f.i AS q, f.i FROM words f JOIN words s ON f.r = s.r AND f.x = s.x AND f.i < s.i),
+islands AS (SELECT r, q, min(i) AS start, count(*) AS m
+            FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM same) GROUP BY r, q, g),
+runs AS (SELECT r, start, m + q AS length, min(q) AS period FROM islands WHERE m + q >= greatest(12, 2 * q) GROUP BY ALL),
+lists AS (SELECT r, count(*) AS n_runs, first(struct_pack(s := start, l := length, p := period) ORDER BY length DESC, start, period) AS best,
+                 string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, i FROM runs, unnest(range(start + period, start + length)) AS u(i)),
+kept AS (SELECT words.r, string_agg(x, ' ' ORDER BY words.i) AS t FROM words ANTI JOIN gone USING (r, i) GROUP BY words.r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(best.l AS BIGINT) AS length,
+       CAST(best.p AS BIGINT) AS period, CAST(1000 * best.l // best.p AS BIGINT) AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM d LEFT JOIN lists USING (r) LEFT JOIN kept USING (r)
+"""
+
+LLM_ORACLE: Dict[str, str] = {"op2_url_filters": OP2_SQL, "op8_quality_rules": OP8_SQL, "op9_line_dedup": OP9_SQL,
+                              "op12_periodic_runs": OP12_SQL}
