@@ -7,7 +7,7 @@ from typing import Callable, Dict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, periodic_runs, pii, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity, url_filter
+from . import decontaminate, hard_negatives, language_id, line_dedup, periodic_runs, pii, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity, url_filter
 from .common import held_out, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose id is divisible by 100; every seventh row has a wrong label."""
+    wrong = F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings").withColumn("label", wrong), "vec_id % 100 = 0")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,7 +107,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES: Dict[str, Query] = {f.__name__: f for f in (
     op1_suffix_dedup, op2_url_filters, op3_toxicity, op4_pii, op5_benchmark_decontamination, op6_language_id,
-    op7_sentencepiece, op8_quality_rules, op9_line_dedup, op10_simhash, op12_periodic_runs, pipeline)}
+    op7_sentencepiece, op8_quality_rules, op9_line_dedup, op10_simhash, op12_periodic_runs, op13_hard_negatives, pipeline)}
 
 
 _HOST_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -186,5 +192,21 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.s AS BIGINT) AS start, C
 FROM d LEFT JOIN lists USING (r) LEFT JOIN kept USING (r)
 """
 
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+             CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, p.other_id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, p.other_id ORDER BY s.score DESC, s.other_id) AS INTEGER) AS rank,
+       s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10
+"""
+
 LLM_ORACLE: Dict[str, str] = {"op2_url_filters": OP2_SQL, "op8_quality_rules": OP8_SQL, "op9_line_dedup": OP9_SQL,
-                              "op12_periodic_runs": OP12_SQL}
+                              "op12_periodic_runs": OP12_SQL, "op13_hard_negatives": OP13_SQL}
