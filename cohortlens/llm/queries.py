@@ -7,7 +7,7 @@ from typing import Callable, Dict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hard_negatives, language_id, line_dedup, periodic_runs, pii, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity, url_filter
+from . import decontaminate, hard_negatives, language_id, line_dedup, mixing, periodic_runs, pii, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity, url_filter
 from .common import held_out, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document with its planted period: the number of runs, the longest, and digests of all runs and the rest."""
     found = periodic_runs.find_runs(periodic_runs.plant(read_table(spark, sf_dir, "documents")))
@@ -107,7 +111,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES: Dict[str, Query] = {f.__name__: f for f in (
     op1_suffix_dedup, op2_url_filters, op3_toxicity, op4_pii, op5_benchmark_decontamination, op6_language_id,
-    op7_sentencepiece, op8_quality_rules, op9_line_dedup, op10_simhash, op12_periodic_runs, op13_hard_negatives, pipeline)}
+    op7_sentencepiece, op8_quality_rules, op9_line_dedup, op10_simhash, op11_mixing, op12_periodic_runs, op13_hard_negatives, pipeline)}
 
 
 _HOST_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
