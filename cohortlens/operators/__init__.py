@@ -8,12 +8,16 @@ from .cohorts import (
     CurveNames, Gap, cohort_gaps, cohort_metric, cohort_summary, pick, rate_by,
     rate_curve, reference_gaps, share_of, threshold_contrast,
 )
+from .bitmaps import (
+    BitmapPass, bitmap_integrity, count_bitmaps, dense_integer_key, distinct_bitmaps, merge_bitmaps,
+)
+from .ordering import in_position, with_position
 from .metrics import Metric, evaluate, metrics_long, reference_checkpoint_metrics
 from .exposure import (
     EXPOSURE_DIMS, exposure_dims, exposure_summary, fiscal_leak, fiscal_leak_total, check_rate_table, with_exposure,
     rate_expr, validate_rate_card,
 )
-from .reconcile import long_metrics, reconcile, reference_metrics, scorecard_summary
+from .reconcile import long_metrics, one_pass_metrics, reconcile, reference_metrics, scorecard_summary
 from .cube import AuditSpec, CohortCube, cube_keys
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -87,6 +87,26 @@ def cell_sql(m: Metric, params: AuditParams = AuditParams(), cnt: str = "cnt", s
     return _round(e, m.digits)
 
 
+def partial_sql(m: Metric, i: int, params: AuditParams = AuditParams()) -> tuple:
+    """(partials, final): row aggregates [(alias, SQL)] whose sums over any groups give the metric by the SQL ``final``.
+
+    All partials are counts and sums of integers, so the figure does not depend on how the rows are grouped."""
+    lead, o = ident(params.names.lead), ident(params.names.outcome)
+    w = _and(m.where)
+    a, b = f"_p{i}a", f"_p{i}b"
+    if m.kind == "const":
+        return [], row_sql(m, params)
+    if m.kind == "count":
+        parts, e = [(a, f"count_if({w})")], a
+    elif m.kind == "mean_lead":
+        parts, e = [(a, f"sum(CASE WHEN {w} THEN {lead} END)"), (b, f"count(CASE WHEN {w} THEN {lead} END)")], f"try_divide({a}, {b})"
+    elif m.kind == "rate":
+        parts, e = [(a, f"count_if({_and(m.where, o)})"), (b, f"count_if({w})")], f"try_divide({a}, {b}) * CAST(100 AS DOUBLE)"
+    else:
+        parts, e = [(a, f"count_if({w})"), (b, "count(1)")], f"try_divide({a}, {b}) * CAST(100 AS DOUBLE)"
+    return parts, _round(e, m.digits)
+
+
 def evaluate(df: DataFrame, metrics: Sequence[Metric], params: AuditParams = AuditParams(),
              cells: bool = False) -> DataFrame:
     """One row, one column ``_m<i>`` per metric (counts BIGINT, the rest DOUBLE), one aggregate."""

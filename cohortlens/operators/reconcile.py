@@ -16,7 +16,8 @@ from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField,
 
 from ..config import AuditParams, ColumnMap, REFERENCE_CHECKPOINTS, WAREHOUSE_COLUMNS
 from ..functions.rules import ident, sql_literal
-from .metrics import metrics_long, reference_checkpoint_metrics
+from .bitmaps import bucket_totals, key_buckets
+from .metrics import metrics_long, partial_sql, reference_checkpoint_metrics
 from .quality import integrity_check
 
 Expected = Union[DataFrame, Sequence[Tuple[str, float, float]]]
@@ -59,6 +60,26 @@ def reference_metrics(
     return main.unionByName(distinct)
 
 
+def one_pass_metrics(
+    seg_raw: DataFrame,
+    cmap: ColumnMap = WAREHOUSE_COLUMNS,
+    params: AuditParams = AuditParams(),
+) -> DataFrame:
+    """All 13 checkpoints' actual values, the distinct count too, from ONE pass over the rows and one shuffle.
+
+    Rows are first reduced per bucket of the integer key: its bitmap of keys beside the partial sums of the other twelve
+    figures.  The distinct count so shuffles with them, without a row per key."""
+    ms = reference_checkpoint_metrics(params)
+    parts = [partial_sql(m, i, params) for i, m in enumerate(ms)]
+    names = [(alias, sql) for p, _ in parts for alias, sql in p]
+    buckets = key_buckets(seg_raw, cmap.key, *[F.expr(f"{sql} AS {alias}") for alias, sql in names])
+    totals = bucket_totals(buckets, *[F.expr(f"sum({alias}) AS {alias}") for alias, _ in names])
+    figures = [(m.label, final if m.kind != "count" else f"coalesce({final}, 0)") for m, (_, final) in zip(ms, parts)]
+    rows = ", ".join(f"struct({sql_literal(label)} AS label, CAST({final} AS DOUBLE) AS actual)"
+                     for label, final in [*figures, (REFERENCE_CHECKPOINTS[1][0], "distinct_keys")])
+    return totals.selectExpr(f"inline(array({rows}))")
+
+
 def _expected_frame(spark, expected: Expected) -> DataFrame:
     if isinstance(expected, DataFrame):
         cols = expected.columns

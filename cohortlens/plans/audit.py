@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import AuditParams, ColumnMap, WAREHOUSE_COLUMNS
 from ..operators.cohorts import (
-    cohort_gaps, cohort_metric, cohort_summary, pick, rate_by, rate_curve,
+    Order, cohort_gaps, cohort_metric, cohort_summary, pick, rate_by, rate_curve,
     reference_gaps, share_of, threshold_contrast,
 )
 from ..operators.cube import AuditSpec, CohortCube
@@ -23,7 +23,8 @@ from ..functions.rules import ident, reference_segments, sql_literal
 from ..operators.prepare import has_flags, prepare, qcol
 from ..operators.quality import KeyPass, duplicate_keys, integrity_check, outcome_report, scope_report
 from ..operators.segment import segment
-from ..operators.reconcile import reconcile, reference_metrics, scorecard_summary
+from ..operators.bitmaps import BitmapPass, bitmap_integrity, dense_integer_key
+from ..operators.reconcile import one_pass_metrics, reconcile, reference_metrics, scorecard_summary
 
 def grouped_audits(params: AuditParams = AuditParams()) -> Tuple[AuditSpec, ...]:
     """The grouped audits: (name, keys, scope, outcome filter, output names).
@@ -88,11 +89,12 @@ class Audit:
     """All audits over one events table."""
 
     def __init__(self, events: DataFrame, cmap: ColumnMap = WAREHOUSE_COLUMNS,
-                 params: AuditParams = AuditParams(), order: bool = True):
+                 params: AuditParams = AuditParams(), order: Order = True):
+        """``order``: True sorts as the catalogue's keys allow, "global" always by a ranged sort, False not at all."""
         self.events = events
         self.cmap = cmap
         self.params = params
-        self.order = catalogue_order(params) if order else False
+        self.order = order if order == "global" else catalogue_order(params) if order else False
         self.specs = {s.name: s for s in grouped_audits(params)}
         self._bases: Dict[str, DataFrame] = {}  # lazy plans, reused across audits
 
@@ -142,9 +144,15 @@ class Audit:
     def duplicates(self) -> DataFrame:
         return duplicate_keys(self.events, self.cmap.key)
 
-    def key_pass(self) -> KeyPass:
-        """One shuffle of the keys for integrity, duplicates and the scorecard's distinct count."""
-        return KeyPass(self.events, self.cmap.key)
+    def bitmap_integrity(self) -> DataFrame:
+        """The integrity row (without ``duplicated_keys``) by bitmaps of the integer key."""
+        return bitmap_integrity(self.events, self.cmap.key)
+
+    def key_pass(self):
+        """One pass over the keys for integrity, duplicates and the scorecard's distinct count: by bitmaps where the key
+        is an integer whose values lie close, else by one shuffle of the keys."""
+        dense = dense_integer_key(self.events, self.cmap.key)
+        return (BitmapPass if dense else KeyPass)(self.events, self.cmap.key)
 
     def scope_report(self) -> DataFrame:
         return scope_report(prepare(self.events, self.cmap, "raw", self.params), self.cmap, self.params)
@@ -214,6 +222,12 @@ class Audit:
         return reconcile(self.metrics(cube, keys), REFERENCE_CHECKPOINTS if expected is None else expected,
                          digits=digits, order=self.order)
 
+    def scorecard_one_pass(self, expected=None, digits: Optional[int] = None) -> DataFrame:
+        """The scorecard from one pass over the events: the distinct count (integer key) comes as bitmaps beside the rest."""
+        from ..config import REFERENCE_CHECKPOINTS
+        return reconcile(one_pass_metrics(self.base("raw"), self.cmap, self.params),
+                         REFERENCE_CHECKPOINTS if expected is None else expected, digits=digits, order=self.order)
+
     def scorecard_summary(self, expected=None) -> DataFrame:
         return scorecard_summary(self.scorecard(expected))
 

@@ -15,7 +15,9 @@ from ..config import AuditParams, CSV_COLUMNS, WAREHOUSE_COLUMNS
 from ..operators.metrics import Metric, metrics_long
 from ..operators.quality import column_profile, duplicate_keys, integrity_check, load_profile
 from ..sources.fixtures import appointment_view, clinic_view, line_keys, nation_rates, shipment_view
-from ..operators.cohorts import cohort_gaps, cohort_summary, reference_gaps
+from ..operators.bitmaps import bitmap_integrity, count_bitmaps, distinct_bitmaps
+from ..operators.ordering import in_position
+from ..operators.cohorts import Order, cohort_gaps, cohort_summary, reference_gaps
 from .audit import FULL_AUDIT_SPECS, GROUPED_AUDITS, Audit, cube_audit
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,15 +27,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 COMPARE_DIGITS = 4
 
 
-def _f1(spark: SparkSession, sf_dir: str, order: bool = True) -> Audit:
+def _f1(spark: SparkSession, sf_dir: str, order: Order = True) -> Audit:
     return Audit(appointment_view(spark, sf_dir), WAREHOUSE_COLUMNS, AuditParams(), order=order)
 
 
-def _f2(spark: SparkSession, sf_dir: str, order: bool = True) -> Audit:
+def _f2(spark: SparkSession, sf_dir: str, order: Order = True) -> Audit:
     return Audit(shipment_view(spark, sf_dir), WAREHOUSE_COLUMNS, AuditParams(), order=order)
 
 
-def _f5(spark: SparkSession, sf_dir: str, order: bool = True) -> Audit:
+def _f5(spark: SparkSession, sf_dir: str, order: Order = True) -> Audit:
     return Audit(clinic_view(spark, sf_dir), CSV_COLUMNS, AuditParams(), order=order)
 
 
@@ -69,13 +71,6 @@ def _text_keys(df: DataFrame) -> DataFrame:
                            for c, t in df.dtypes])
 
 
-def _position(df: DataFrame) -> DataFrame:
-    """The row number in the ordered output, so that a comparison without order can see it.
-
-    The audit's few rows are gathered without a shuffle, which keeps the order of a ranged sort's partitions."""
-    return df.coalesce(1).selectExpr("CAST(monotonically_increasing_id() + 1 AS BIGINT) AS position", *[f"`{c}`" for c in df.columns])
-
-
 def _cube_gaps(audit: Audit) -> DataFrame:
     cube = audit.cube()
     return cohort_gaps(cube.scoped("valid"), reference_gaps(audit.params), COMPARE_DIGITS,
@@ -135,9 +130,18 @@ def build_queries() -> Dict[str, Query]:
         "lead_day_curve_0_25": lambda s, d: _f1(s, d).lead_day_curve().where("lead_time_day <= 25"),
         "column_profile": lambda s, d: column_profile(appointment_view(s, d)),
         "scorecard_anchors": lambda s, d: _f1(s, d).scorecard(ANCHORS, digits=COMPARE_DIGITS),
-        "wall_by_payer_ordered": lambda s, d: _position(_f1(s, d).run("wall_by_payer")),
-        "lead_day_curve_ordered": lambda s, d: _position(_f1(s, d).lead_day_curve()),
-        "exposure_summary_ordered": lambda s, d: _position(_f1(s, d).exposure()),
+        "wall_by_payer_ordered": lambda s, d: in_position(_f1(s, d, order="global").run("wall_by_payer")),
+        "lead_day_curve_ordered": lambda s, d: in_position(_f1(s, d, order="global").lead_day_curve()),
+        "exposure_summary_ordered": lambda s, d: in_position(_f1(s, d, order="global").exposure()),
+        # the distinct count as bitmaps: alone, beside the checkpoints, and merged over cohorts
+        "integrity_orders_bitmap": lambda s, d: _f1(s, d).bitmap_integrity(),
+        "integrity_shipment_bitmap": lambda s, d: _f2(s, d).bitmap_integrity(),
+        "integrity_lineitem_bitmap": lambda s, d: bitmap_integrity(line_keys(s, d), ["l_orderkey", "l_linenumber"]),
+        "shipment_scorecard_one_pass": lambda s, d: _f2(s, d).scorecard_one_pass(digits=COMPARE_DIGITS),
+        "clinic_scorecard_one_pass": lambda s, d: _f5(s, d).scorecard_one_pass(digits=COMPARE_DIGITS),
+        "distinct_patients_by_payer": lambda s, d: count_bitmaps(
+            distinct_bitmaps(_f1(s, d).base("valid"), ["Scholarship", "trust_wall_status", "no_show_status"], "PatientId"),
+            ["Scholarship"], "distinct_patients"),
         # independent conditions, NULLs in every attribute, text outcome, zoned timestamps
         "clinic_lead_day_curve": lambda s, d: _f5(s, d).lead_day_curve(),
         "clinic_lead_day_curve_complement": lambda s, d: _f5(s, d).lead_day_curve(shows="complement"),

@@ -480,6 +480,17 @@ FROM appt""",
         "clinic_nonnull_counts": f"{F5}\nSELECT Scholarship, COUNT(Age) AS total_patient_volume, "
                                  "ROUND(AVG(lead_time), 1) AS avg_lead_time FROM v WHERE Scholarship IS NOT NULL GROUP BY Scholarship",
     })
+    def bitmap(sql: str) -> str:
+        return f"SELECT * EXCLUDE (duplicated_keys) FROM ({sql})"
+
+    q.update({
+        "integrity_orders_bitmap": bitmap(q["integrity_orders"]),
+        "integrity_lineitem_bitmap": bitmap(q["integrity_lineitem"]),
+        "integrity_shipment_bitmap": bitmap(_integrity(F2, "appt", ["AppointmentID"])),
+        "shipment_scorecard_one_pass": _scorecard(F2),
+        "clinic_scorecard_one_pass": _scorecard(F5),
+        "distinct_patients_by_payer": f"{F1}\nSELECT Scholarship, COUNT(DISTINCT PatientId) AS distinct_patients FROM v GROUP BY Scholarship",
+    })
     for name, keys, view, missed in _GROUPED:
         q[f"clinic_{name}"] = _text_keys(_grouped_sql(keys, view, missed, F5), keys)
     # cube-served forms answer with the same rows as the direct forms
