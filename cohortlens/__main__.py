@@ -13,6 +13,11 @@ scans the events for each audit instead.  The audits that need the key column
 counts, of which only the totals and the repeated keys are written.  Each audit
 goes to ``<out>/<name>``; the scorecard is also printed.
 
+``--one-job`` writes all audits in one job instead, as one table split by audit
+under ``<out>/runs/``, and publishes them together by the pointer
+``<out>/_LATEST`` (read them with ``sinks.publish.Published``).  The scope and
+outcome reports are counted on the pass that writes the cube.
+
 ``--rows N`` sizes the shuffle partitions and scan splits for about N events.
 """
 
@@ -21,12 +26,13 @@ from __future__ import annotations
 import argparse
 from typing import List, Optional
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .config import CSV_COLUMNS, WAREHOUSE_COLUMNS, AuditParams
 from .session import scale_conf
-from .plans.audit import CUBE_SERVED, SPEC_BY_NAME, Audit, cube_audit
+from .plans.audit import CUBE_SERVED, SPEC_BY_NAME, Audit, cube_audit, publish_cube
 from .sinks.feed import write_feed
+from .sinks.publish import Published
 from .sources.events import REFERENCE_CSV_SCHEMA, normalise_reference_csv, read_events
 
 ALL_AUDITS = ("integrity", "duplicates", "outcome_report") + tuple(SPEC_BY_NAME) + (
@@ -45,6 +51,8 @@ def parse(argv: Optional[List[str]] = None) -> argparse.Namespace:
     ap.add_argument("--rows", type=int, default=0, help="expected number of events, to size shuffles and scans")
     ap.add_argument("--save-cube", default=None, help="also keep the cube cells as a table here")
     ap.add_argument("--feed-format", default="parquet", choices=["parquet", "csv", "orc"])
+    ap.add_argument("--one-job", action="store_true",
+                    help="write all audits of the cube in one job, split by audit, and publish them by one pointer")
     ap.add_argument("--wall", type=int, default=AuditParams().wall)
     return ap.parse_args(argv)
 
@@ -68,24 +76,32 @@ def main(argv: Optional[List[str]] = None, spark: Optional[SparkSession] = None)
     unknown = sorted(set(names) - set(ALL_AUDITS))
     if unknown:
         raise SystemExit(f"unknown audits {unknown}; known: {', '.join(ALL_AUDITS)}")
-    cube = audit.cube().materialize() if (args.save_cube or not args.direct) else None
+    cube, reports = audit.observed_cube() if (args.save_cube or not args.direct) else (None, {})
     if args.save_cube:
         cube.save(args.save_cube)
     out = args.out.rstrip("/")
     keys = audit.key_pass() if {"integrity", "duplicates", "scorecard"} & set(names) and not args.direct else None
-    for name in names:
+    def table(name: str) -> DataFrame:
         if keys is not None and name in ("integrity", "duplicates"):
-            df = keys.integrity() if name == "integrity" else keys.duplicates()
-        elif cube is not None and name in CUBE_SERVED:
-            df = cube_audit(cube, name)
-        elif name == "scorecard":
-            df = audit.scorecard(cube=cube, keys=keys)
-        else:
-            df = audit.run(name)
-        write_feed(df, f"{out}/{name}", args.feed_format)
-    if "scorecard" in names:
-        spark.read.format(args.feed_format).option("header", "true").load(f"{out}/scorecard") \
-            .show(1000, truncate=False)
+            return keys.integrity() if name == "integrity" else keys.duplicates()
+        if name in reports and not args.direct:
+            return reports[name]
+        if cube is not None and not args.direct and name in CUBE_SERVED:
+            return cube_audit(cube, name)
+        return audit.scorecard(cube=None if args.direct else cube, keys=keys) if name == "scorecard" else audit.run(name)
+
+    if args.one_job:
+        if args.direct or args.feed_format != "parquet":
+            raise SystemExit("--one-job writes the cube's audits as parquet")
+        publish_cube(cube, out, {name: table(name) for name in names if name not in CUBE_SERVED or name in reports})
+        scorecard = Published(spark, out).table("scorecard") if "scorecard" in names else None
+    else:
+        for name in names:
+            write_feed(table(name), f"{out}/{name}", args.feed_format)
+        scorecard = (spark.read.format(args.feed_format).option("header", "true").load(f"{out}/scorecard")
+                     if "scorecard" in names else None)
+    if scorecard is not None:
+        scorecard.show(scorecard.count(), truncate=False)
     return names
 
 

@@ -11,6 +11,9 @@ the shuffle; the cells are bounded by key domains x lead days, never by the
 row count.  Audits re-aggregate cells: n = sum(cnt); mean lead =
 sum(sum_lead) / sum(cnt); rate = sum(cnt where outcome) / sum(cnt) * 100.
 
+Counts are mergeable: cubes of days add up cell by cell, and a day taken back is
+its cells counted -1 times (``sinks.cube_store`` keeps such deltas).
+
 Some labels are keys of the cells (age class, level flag).  The cube carries
 what they were built with (``build_tag``); reading it with other values is
 refused, whether in memory, from a table or from a stream's snapshot.
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import reduce
 from typing import Optional, Sequence, Tuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -243,47 +247,90 @@ class CohortCube:
         return out.orderBy(qcol(p.payer).desc_nulls_last(),
                            *[qcol(d).asc_nulls_first() for d in rest + tail])
 
+    # -- merging ---------------------------------------------------------------
+    def times(self, sign: int) -> "CohortCube":
+        """The same cells counted ``sign`` times; -1 takes them back when merged."""
+        return CohortCube(self.cells.withColumns({CNT: F.col(CNT) * sign, SUM_LEAD: F.col(SUM_LEAD) * sign}),
+                          self.cmap, self.params, self.tag)
+
+    @classmethod
+    def merge(cls, cubes: Sequence["CohortCube"]) -> "CohortCube":
+        """One cube of several: counts add up cell by cell, and cells that come to nothing go."""
+        first = cubes[0]
+        if any(c.tag != first.tag for c in cubes):
+            raise ValueError("cubes built with different parameters cannot be merged")
+        return cls(add_cells(reduce(DataFrame.unionByName, [c.cells for c in cubes]), first.cmap, first.params), first.cmap, first.params, first.tag)
+
     # -- the whole catalogue in one pass over the cells ----------------------
+    def grouped_sets(self, specs: Sequence[AuditSpec]) -> DataFrame:
+        """Many grouped audits from ONE pass over the cells, by the engine's grouping sets.
+
+        Columns: audit; every key of any audit with its own type (NULL where the audit has not got it); then
+        total_patient_volume, total_noshows, avg_lead_time, noshowrate_pct.  Audits with the same keys share a grouping
+        set; scopes and outcome filters are FILTERs of its sums."""
+        rows, cols = self._sets(specs)
+        entries = [f"struct({sql_literal(s.name)} AS audit, {self._figures(s, specs)}, {self._member(s, cols, specs)} AS _in)" for s in specs]
+        return (rows.selectExpr(*[ident(c) for c in cols], f"inline(array({', '.join(entries)}))").where("_in")
+                .select("audit", *[qcol(c) for c in cols], *[qcol(f) for f in self._figure_names()]))
+
+    def _figure_names(self) -> Tuple[str, ...]:
+        n = self.params.names
+        return n.volume, "total_noshows", n.avg_lead, "noshowrate_pct"
+
+    @staticmethod
+    def _selections(specs: Sequence[AuditSpec]) -> list:
+        """The distinct (scope, missed only) of the audits."""
+        return list(dict.fromkeys((check_scope(s.scope), s.missed_only) for s in specs))
+
+    def _sets(self, specs: Sequence[AuditSpec]) -> Tuple[DataFrame, list]:
+        """(one row per group of every grouping set, the grouping columns)."""
+        n = self.params.names
+        lead, o, ent = ident(n.lead), ident(n.outcome), ident(n.entity_present)
+        cols = list(dict.fromkeys(d for s in specs for d in s.dims))
+        sums = []
+        for i, (scope, missed) in enumerate(self._selections(specs)):
+            conds = ([f"{lead} >= 0"] if scope != "raw" else []) + ([ent] if scope == "production" else []) + ([o] if missed else [])
+            w = " AND ".join(conds) or "TRUE"
+            sums += [F.expr(f"sum({CNT}) FILTER (WHERE {w}) AS _n{i}"), F.expr(f"sum({CNT}) FILTER (WHERE {w} AND {o}) AS _m{i}"),
+                     F.expr(f"sum({SUM_LEAD}) FILTER (WHERE {w}) AS _s{i}"),
+                     F.expr(f"sum({CNT}) FILTER (WHERE {w} AND {SUM_LEAD} IS NOT NULL) AS _l{i}")]
+        sets = dict.fromkeys(tuple(c for c in cols if c in s.dims) for s in specs)
+        rows = (self._labels(self.cells).groupingSets([[qcol(c) for c in x] for x in sets], *[qcol(c) for c in cols])
+                .agg(F.grouping_id().alias("_set"), *sums))
+        return rows, cols
+
+    def _member(self, s: AuditSpec, cols: Sequence[str], specs: Sequence[AuditSpec]) -> str:
+        """SQL: the group belongs to the audit (a bit of the grouping id is 1 where the column is not in the set)."""
+        number = sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in s.dims)
+        i = self._selections(specs).index((s.scope, s.missed_only))
+        return f"_set = {number} AND coalesce(_n{i} > 0, FALSE)"
+
+    def _figures(self, s: AuditSpec, specs: Sequence[AuditSpec]) -> str:
+        i, dg = self._selections(specs).index((s.scope, s.missed_only)), self.params.digits
+        volume, missed, avg, rate = (ident(x) for x in self._figure_names())
+        mean, share = f"try_divide(_s{i}, _l{i})", f"try_divide(coalesce(_m{i}, 0), _n{i}) * CAST(100 AS DOUBLE)"
+        if dg is not None:
+            mean, share = f"round({mean}, {dg})", f"round({share}, {dg})"
+        return f"_n{i} AS {volume}, coalesce(_m{i}, 0) AS {missed}, {mean} AS {avg}, {share} AS {rate}"
+
     def full_audit(self, specs: Sequence[AuditSpec], order: bool = False) -> DataFrame:
-        """Long form of many grouped audits from ONE pass over the cells.
-
-        Each cell is fanned out once per audit it belongs to (a hand-made
-        Expand over the small cell table, never over event rows), then one
-        aggregate keyed by (audit, key_1..key_k) finishes every audit.
-        Columns: audit, key_1.., total_patient_volume, total_noshows,
-        avg_lead_time, noshowrate_pct.
-        """
-        p, n = self.params, self.params.names
+        """``grouped_sets`` in one long form: audit, key_1.. as text (the audit's keys in its own order), the figures."""
+        rows, cols = self._sets(specs)
         width = max(len(s.dims) for s in specs)
-        c = self._labels(self.cells)
-        o = ident(n.outcome)
         entries = []
         for s in specs:
-            scope = check_scope(s.scope)
-            lead, conds = ident(n.lead), ["TRUE"]
-            keys = [ident(d) for d in s.dims]
-            if scope != "raw":
-                conds.append(f"{lead} >= 0")
-            if scope == "production":
-                conds.append(ident(n.entity_present))
-            if s.missed_only:
-                conds.append(o)
-            cols = [f"CAST({k} AS STRING) AS key_{i + 1}" for i, k in enumerate(keys)]
-            cols += [f"CAST(NULL AS STRING) AS key_{i + 1}" for i in range(len(keys), width)]
-            entries.append(f"struct({sql_literal(s.name)} AS audit, {', '.join(cols)}, "
-                           f"coalesce({' AND '.join(conds)}, FALSE) AS _in)")
-        fanned = (c.selectExpr(CNT, SUM_LEAD, f"{o} AS _o", f"inline(array({', '.join(entries)}))")
-                   .where("_in"))
-        rate = f"try_divide(sum(CASE WHEN _o THEN {CNT} ELSE 0 END), sum({CNT})) * CAST(100 AS DOUBLE)"
-        mean = (f"try_divide(sum(CASE WHEN {SUM_LEAD} IS NOT NULL THEN {SUM_LEAD} END), "
-                f"sum(CASE WHEN {SUM_LEAD} IS NOT NULL THEN {CNT} END))")
-        dg = p.digits
-        out = fanned.groupBy("audit", *[f"key_{i + 1}" for i in range(width)]).agg(
-            F.expr(f"sum({CNT}) AS {ident(n.volume)}"),
-            F.expr(f"CAST(coalesce(sum(CASE WHEN _o THEN {CNT} END), 0) AS BIGINT) AS total_noshows"),
-            F.expr(f"{mean if dg is None else f'round({mean}, {dg})'} AS {ident(n.avg_lead)}"),
-            F.expr(f"{rate if dg is None else f'round({rate}, {dg})'} AS noshowrate_pct"),
-        )
+            keys = [f"CAST({ident(d)} AS STRING)" for d in s.dims] + ["CAST(NULL AS STRING)"] * (width - len(s.dims))
+            keys = ", ".join(f"{k} AS key_{i + 1}" for i, k in enumerate(keys))
+            entries.append(f"struct({sql_literal(s.name)} AS audit, {keys}, {self._figures(s, specs)}, {self._member(s, cols, specs)} AS _in)")
+        out = rows.selectExpr(f"inline(array({', '.join(entries)}))").where("_in").drop("_in")
         if order:
             out = out.orderBy("audit", *[F.col(f"key_{i + 1}").asc_nulls_first() for i in range(width)])
         return out
+
+
+def add_cells(cells: DataFrame, cmap: ColumnMap, params: AuditParams) -> DataFrame:
+    """Cells of several cubes (signed counts) added up; cells that come to nothing go."""
+    n = params.names
+    keys = [*cube_keys(cmap, params), n.entity_present, n.outcome, n.lead]
+    return (cells.groupBy(*[qcol(k) for k in keys]).agg(F.sum(CNT).alias(CNT)).where(f"{CNT} <> 0")
+            .withColumn(SUM_LEAD, qcol(n.lead).cast("bigint") * F.col(CNT)))

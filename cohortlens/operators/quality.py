@@ -9,11 +9,12 @@ from a global aggregate over the per-key counts.
 from __future__ import annotations
 
 from functools import reduce
-from typing import Sequence, Union
+from typing import List, Sequence, Union
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import AuditParams, ColumnMap, WAREHOUSE_COLUMNS, as_list
+from ..functions.rules import sql_literal
 from ..functions.outcome import outcome_flag, unmapped_outcome
 from .prepare import qcol
 
@@ -92,33 +93,43 @@ def duplicate_keys(df: DataFrame, key: Keys) -> DataFrame:
             .withColumnRenamed("_cnt", "occurrences"))
 
 
-def scope_report(prepared_raw: DataFrame, cmap: ColumnMap = WAREHOUSE_COLUMNS,
-                 params: AuditParams = AuditParams()) -> DataFrame:
-    """Rows kept and removed by each scope rule, from a ``prepare(scope='raw')`` frame."""
+def scope_counts(cmap: ColumnMap = WAREHOUSE_COLUMNS, params: AuditParams = AuditParams()) -> List[Column]:
+    """Aggregates over a ``prepare(scope='raw')`` frame: rows kept and removed by each scope rule."""
     lead = F.col(params.names.lead)
     valid = lead >= 0
     ent = qcol(cmap.entity).isNotNull() if cmap.entity else F.lit(True)
-    return prepared_raw.agg(
+    return [
         F.count(F.lit(1)).alias("raw_rows"),
         F.count_if(valid).alias("valid_lead_rows"),
         F.count_if(valid & ent).alias("production_rows"),
         F.count_if(lead < 0).alias("negative_lead_rows"),
         F.count_if(lead.isNull()).alias("null_lead_rows"),
         F.count_if(valid & ~ent).alias("null_entity_rows"),
-    )
+    ]
 
 
-def outcome_report(df: DataFrame, cmap: ColumnMap = WAREHOUSE_COLUMNS) -> DataFrame:
-    """Outcome values that are missing, or present but outside the mapping."""
+def scope_report(prepared_raw: DataFrame, cmap: ColumnMap = WAREHOUSE_COLUMNS,
+                 params: AuditParams = AuditParams()) -> DataFrame:
+    """Rows kept and removed by each scope rule, from a ``prepare(scope='raw')`` frame."""
+    return prepared_raw.agg(*scope_counts(cmap, params))
+
+
+def outcome_counts(cmap: ColumnMap = WAREHOUSE_COLUMNS) -> List[Column]:
+    """Aggregates over the events: outcome values that are missing, or present but outside the mapping."""
     raw = qcol(cmap.outcome)
     flag = outcome_flag(raw, cmap.outcome_values)
-    return df.agg(
+    return [
         F.count(F.lit(1)).alias("rows"),
         F.count_if(flag).alias("outcome_true"),
         F.count_if(~flag).alias("outcome_false"),
         F.count_if(raw.isNull()).alias("null_outcomes"),
         F.count_if(unmapped_outcome(raw, flag)).alias("unmapped_outcomes"),
-    )
+    ]
+
+
+def outcome_report(df: DataFrame, cmap: ColumnMap = WAREHOUSE_COLUMNS) -> DataFrame:
+    """Outcome values that are missing, or present but outside the mapping."""
+    return df.agg(*outcome_counts(cmap))
 
 
 def load_profile(df: DataFrame) -> DataFrame:
@@ -134,6 +145,6 @@ def column_profile(df: DataFrame) -> DataFrame:
     aggs = []
     for i, f in enumerate(df.schema.fields):
         aggs += [F.count(qcol(f.name)).alias(f"_n{i}"), F.min(qcol(f.name)).cast("string").alias(f"_s{i}")]
-    rows = ", ".join(f"struct({i + 1} AS position, '{f.name}' AS name, '{f.dataType.simpleString()}' AS type, "
+    rows = ", ".join(f"struct({i + 1} AS position, {sql_literal(f.name)} AS name, {sql_literal(f.dataType.simpleString())} AS type, "
                      f"_n{i} AS non_null, _s{i} AS smallest)" for i, f in enumerate(df.schema.fields))
     return df.agg(*aggs).selectExpr(f"inline(array({rows}))")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from typing import Callable, Dict, Optional, Tuple
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..config import AuditParams, ColumnMap, WAREHOUSE_COLUMNS
 from ..operators.cohorts import (
@@ -21,8 +21,11 @@ from ..operators.cube import AuditSpec, CohortCube
 from ..operators.exposure import exposure_summary, fiscal_leak, fiscal_leak_total
 from ..functions.rules import ident, reference_segments, sql_literal
 from ..operators.prepare import has_flags, prepare, qcol
-from ..operators.quality import KeyPass, duplicate_keys, integrity_check, outcome_report, scope_report
+from ..operators.quality import (
+    KeyPass, duplicate_keys, integrity_check, outcome_counts, outcome_report, scope_counts, scope_report,
+)
 from ..operators.segment import segment
+from ..sinks.publish import publish
 from ..operators.bitmaps import BitmapPass, bitmap_integrity, dense_integer_key
 from ..operators.reconcile import one_pass_metrics, reconcile, reference_metrics, scorecard_summary
 
@@ -133,6 +136,22 @@ class Audit:
     def cube(self) -> CohortCube:
         return CohortCube.build(self.base("raw"), self.cmap, self.params)
 
+    def observed_cube(self) -> Tuple[CohortCube, Dict[str, DataFrame]]:
+        """The materialised cube, and the scope and outcome reports counted on the very pass that writes it.
+
+        The counts ride along as observed metrics, so the reports cost no scan.  A stage that ran again after a lost
+        executor could count rows twice: the cells' own total shows that, and then the reports are read anew."""
+        outcomes, scopes = Observation(), Observation()
+        narrow = self.events.select(*[qcol(c) for c in self.required_columns()])
+        watched = Audit(narrow.observe(outcomes, *outcome_counts(self.cmap)), self.cmap, self.params)
+        cube = CohortCube.build(watched.base("raw").observe(scopes, *scope_counts(self.cmap, self.params)), self.cmap, self.params).materialize()
+        spark, total = self.events.sparkSession, cube.scope_report().first()["raw_rows"]
+        # An input that is known to be empty is never run, so nothing was observed.
+        counts = {"scope_report": scopes.get, "outcome_report": outcomes.get} if total else {}
+        if not counts or any(c[k] != total for c, k in ((counts["scope_report"], "raw_rows"), (counts["outcome_report"], "rows"))):
+            return cube, {"scope_report": cube.scope_report(), "outcome_report": self.outcome_report()}
+        return cube, {name: spark.range(1).select(*[F.lit(v).cast("long").alias(k) for k, v in row.items()]) for name, row in counts.items()}
+
     def full_audit(self, cube: Optional[CohortCube] = None) -> DataFrame:
         """Every grouped audit, the day curve and the reminder rate, long form, from the cube."""
         return (cube or self.cube()).full_audit(full_audit_specs(self.params))
@@ -287,3 +306,16 @@ def cube_audit(cube: CohortCube, name: str, order=None) -> DataFrame:
         table = cube.spec(specs["gender_payer"], order=False)
         return pick(table, {p.gender: p.volume_cohort[0], p.payer: p.volume_cohort[1], p.names.outcome: True}, p.names.volume, how="sum")
     raise KeyError(f"audit {name!r} is not served by the cube")
+
+
+def publish_cube(cube: CohortCube, path: str, extra: Optional[Dict[str, DataFrame]] = None) -> str:
+    """Every audit the cube serves, and ``extra`` tables, written by one job and published together (``sinks.publish``).
+
+    The grouped audits come from one pass of grouping sets; the others are further branches of the same job."""
+    n, specs = cube.params.names, grouped_audits(cube.params)
+    columns = {}
+    for s in specs:
+        figures = [(n.volume, s.volume or n.volume), (n.avg_lead, s.avg or n.avg_lead)]
+        columns[s.name] = [(d, d) for d in s.dims] + (figures[::-1] if s.avg_first else figures)
+    frames = {name: cube_audit(cube, name, order=False) for name in CUBE_SERVED if name not in columns}
+    return publish(cube.cells.sparkSession, {**frames, **(extra or {})}, path, cube.grouped_sets(specs), columns)

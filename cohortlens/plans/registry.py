@@ -7,9 +7,10 @@ whole tables of that folder.  F1 = ``appointment_view`` (orders), F2 =
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable, Dict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import AuditParams, CSV_COLUMNS, WAREHOUSE_COLUMNS
 from ..operators.metrics import Metric, metrics_long
@@ -18,7 +19,11 @@ from ..sources.fixtures import appointment_view, clinic_view, line_keys, nation_
 from ..operators.bitmaps import bitmap_integrity, count_bitmaps, distinct_bitmaps
 from ..operators.ordering import in_position
 from ..operators.cohorts import Order, cohort_gaps, cohort_summary, reference_gaps
-from .audit import FULL_AUDIT_SPECS, GROUPED_AUDITS, Audit, cube_audit
+from ..operators.cube import CohortCube
+from ..session import require_checkpoint_dir
+from ..sinks.cube_store import CubeStore
+from ..sinks.publish import Published
+from .audit import FULL_AUDIT_SPECS, GROUPED_AUDITS, Audit, cube_audit, publish_cube
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,6 +86,36 @@ def _cube_scorecard(audit: Audit) -> DataFrame:
     return audit.scorecard(digits=COMPARE_DIGITS, cube=audit.cube())
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of the session's shared checkpoint folder."""
+    return f"{require_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _stored_cube(spark: SparkSession, sf_dir: str) -> CohortCube:
+    """F1 as a store of daily batches that came out of order, one of them twice and one first with wrong outcomes."""
+    audit = _f1(spark, sf_dir)
+    store = CubeStore(spark, _scratch(spark, "cube-store"), audit.cmap, audit.params)
+
+    def batch(i: int, flip: bool = False) -> CohortCube:
+        rows = audit.events.where(f"dayofmonth(ScheduledDay) % 4 = {i}")
+        return Audit(rows.withColumn("No-show", ~F.col("`No-show`")) if flip else rows, audit.cmap, audit.params).cube()
+
+    store.add("batch 2", batch(2))
+    store.add("batch 1", batch(1, flip=True))
+    store.add("batch 2", batch(2))
+    store.compact()
+    store.add("batch 3", batch(3))
+    store.replace("batch 1", "batch 1, corrected", batch(1))
+    store.add("batch 0", batch(0))
+    return store.cube()
+
+
+def _published(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    path = _scratch(spark, "published")
+    publish_cube(_f1(spark, sf_dir).cube().materialize(), path)
+    return Published(spark, path).table(name)
+
+
 def _named(name: str) -> Query:
     return lambda spark, sf_dir: _f1(spark, sf_dir).run(name)
 
@@ -142,6 +177,15 @@ def build_queries() -> Dict[str, Query]:
         "distinct_patients_by_payer": lambda s, d: count_bitmaps(
             distinct_bitmaps(_f1(s, d).base("valid"), ["Scholarship", "trust_wall_status", "no_show_status"], "PatientId"),
             ["Scholarship"], "distinct_patients"),
+        # the grouped audits with their own key types, from grouping sets over the cube
+        "grouped_audits_typed": lambda s, d: _f1(s, d).cube().grouped_sets(FULL_AUDIT_SPECS),
+        "clinic_grouped_audits_typed": lambda s, d: _f5(s, d).cube().grouped_sets(FULL_AUDIT_SPECS),
+        # a cube of batches added, corrected and compacted; all audits by one job; reports counted while the cube is written
+        "cube_store_full_audit": lambda s, d: _stored_cube(s, d).full_audit(FULL_AUDIT_SPECS),
+        "published_condition_combinations": lambda s, d: _published(s, d, "condition_combinations"),
+        "published_fiscal_leak": lambda s, d: _published(s, d, "fiscal_leak"),
+        "observed_scope_report": lambda s, d: _f1(s, d).observed_cube()[1]["scope_report"],
+        "clinic_observed_outcome_report": lambda s, d: _f5(s, d).observed_cube()[1]["outcome_report"],
         # independent conditions, NULLs in every attribute, text outcome, zoned timestamps
         "clinic_lead_day_curve": lambda s, d: _f5(s, d).lead_day_curve(),
         "clinic_lead_day_curve_complement": lambda s, d: _f5(s, d).lead_day_curve(shows="complement"),

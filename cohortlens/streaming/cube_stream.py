@@ -4,12 +4,12 @@ The batch chain is reused unchanged: ``prepare`` and ``segment`` are
 stateless projections, and the cube is a streaming ``groupBy().count()``
 whose state is the cell table — bounded by the key domains, not by the
 number of events.  Each micro-batch writes the complete cell table as a
-versioned snapshot ``<snapshot_path>/batch=<id>`` (``foreachBatch``);
-replaying a batch after a failure rewrites the same folder with the same
-cells, so the sink is idempotent, and a snapshot being written never hides
-the previous complete one.  A pointer file ``_LATEST`` is then rewritten with
-the batch's number, so ``read_cube_snapshot`` opens the newest snapshot without
-listing the others.  Every snapshot stores the cube's build tag.  Old snapshots
+versioned snapshot ``<snapshot_path>/batch=<id>-<attempt>`` (``foreachBatch``);
+replaying a batch after a failure writes the same cells to a folder of its own,
+so a folder that readers may have open is never touched.  The pointer file
+``_LATEST`` is then replaced (written aside and renamed), so that
+``read_cube_snapshot`` opens the newest complete snapshot without listing the
+others and never meets half a pointer.  Every snapshot stores the cube's build tag.  Old snapshots
 are small and kept; prune them with the storage's own lifecycle rules.
 
 Progress and state live under ``checkpoint_location``; on a cluster it must
@@ -21,6 +21,7 @@ restarted application resumes where it stopped).
 from __future__ import annotations
 
 import hashlib
+import uuid
 from typing import Optional
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -30,6 +31,7 @@ from pyspark.sql.types import StructType
 from ..config import AuditParams, ColumnMap, WAREHOUSE_COLUMNS
 from ..operators.cube import TAG, CohortCube, build_tag
 from ..session import require_checkpoint_dir
+from ..sinks.atomic import read_text, replace_text
 
 
 def cube_stream(
@@ -61,8 +63,9 @@ def cube_stream(
 
     def write_snapshot(batch: DataFrame, batch_id: int) -> None:
         # complete mode: every batch carries the whole cell table
-        batch.write.mode("overwrite").parquet(f"{snapshot_path.rstrip('/')}/batch={batch_id}")
-        _point_to(spark, snapshot_path, batch_id)
+        folder = f"batch={batch_id}-{uuid.uuid4().hex}"
+        batch.write.parquet(f"{snapshot_path.rstrip('/')}/{folder}")
+        replace_text(spark, f"{snapshot_path.rstrip('/')}/_LATEST", folder)
 
     w = (cells.writeStream.outputMode("complete")
          .option("checkpointLocation", ckpt)
@@ -80,28 +83,12 @@ def default_stream_checkpoint(spark: SparkSession, source_dir: str, snapshot_pat
     return f"{base.rstrip('/')}/cohort-cube-stream/{name}"
 
 
-def _pointer(spark: SparkSession, snapshot_path: str):
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(snapshot_path.rstrip("/"), "_LATEST")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
-def _point_to(spark: SparkSession, snapshot_path: str, batch_id: int) -> None:
-    fs, path = _pointer(spark, snapshot_path)
-    out = fs.create(path, True)
-    out.writeLong(batch_id)
-    out.close()
-
-
 def latest_snapshot(spark: SparkSession, snapshot_path: str) -> str:
-    """Path of the newest complete snapshot, from the pointer file (through Hadoop's FileSystem API)."""
-    fs, path = _pointer(spark, snapshot_path)
-    if not fs.exists(path):
+    """Path of the newest complete snapshot, from the pointer file."""
+    folder = read_text(spark, f"{snapshot_path.rstrip('/')}/_LATEST")
+    if folder is None:
         raise FileNotFoundError(f"no complete cube snapshot under {snapshot_path}")
-    stream = fs.open(path)
-    batch_id = stream.readLong()
-    stream.close()
-    return f"{snapshot_path.rstrip('/')}/batch={batch_id}"
+    return f"{snapshot_path.rstrip('/')}/{folder}"
 
 
 def read_cube_snapshot(

@@ -231,16 +231,20 @@ def _exposure_cte(rate: str = f"CASE WHEN Scholarship = 1 THEN {SCHOLARSHIP_RATE
 )"""
 
 
-def _full_audit(base: str) -> str:
+def _full_audit(base: str, typed: bool = False) -> str:
+    """All grouped audits in one table, keys as text in key_1.., or (typed) each key in a column of its own."""
     specs = [(n, k, v, m) for n, k, v, m in _GROUPED] + [
         ("lead_day_curve", ["lead_time"], "v", False),
         ("reminder_rate", ["SMS_received"], "v", False),
     ]
     width = max(len(k) for _, k, _, _ in specs)
+    every = list(dict.fromkeys(k for _, keys, _, _ in specs for k in keys))
     parts = []
     for name, keys, view, missed in specs:
         cols = [f"CAST({k} AS VARCHAR) AS key_{i + 1}" for i, k in enumerate(keys)]
         cols += [f"CAST(NULL AS VARCHAR) AS key_{i + 1}" for i in range(len(keys), width)]
+        if typed:
+            cols = [k if k in keys else f"NULL AS {k}" for k in every]
         where = " WHERE no_show_status" if missed else ""
         parts.append(
             f"SELECT '{name}' AS audit, {', '.join(cols)}, COUNT(*) AS total_patient_volume, "
@@ -487,6 +491,13 @@ FROM appt""",
         "integrity_orders_bitmap": bitmap(q["integrity_orders"]),
         "integrity_lineitem_bitmap": bitmap(q["integrity_lineitem"]),
         "integrity_shipment_bitmap": bitmap(_integrity(F2, "appt", ["AppointmentID"])),
+        "cube_store_full_audit": q["full_audit_cube"],
+        "published_condition_combinations": q["condition_combinations"],
+        "published_fiscal_leak": q["fiscal_leak"],
+        "observed_scope_report": q["scope_report"],
+        "clinic_observed_outcome_report": q["clinic_outcome_report"],
+        "grouped_audits_typed": _full_audit(F1, typed=True),
+        "clinic_grouped_audits_typed": _full_audit(F5, typed=True),
         "shipment_scorecard_one_pass": _scorecard(F2),
         "clinic_scorecard_one_pass": _scorecard(F5),
         "distinct_patients_by_payer": f"{F1}\nSELECT Scholarship, COUNT(DISTINCT PatientId) AS distinct_patients FROM v GROUP BY Scholarship",

@@ -32,7 +32,7 @@ def test_incremental_cube_matches_batch(spark, tmpdir_path):
     assert cube.scope_report().first().raw_rows == 15000
     # each micro-batch left its own complete snapshot; the reader took the newest
     from cohortlens.streaming import latest_snapshot
-    assert latest_snapshot(spark, snap).rsplit("batch=", 1)[1] == "1"
+    assert latest_snapshot(spark, snap).rsplit("batch=", 1)[1].startswith("1-")
     # a reader with other build parameters is refused, and such a stream would keep its own state
     import pytest
 
