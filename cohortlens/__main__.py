@@ -4,8 +4,9 @@
         --out /data/audit/ --audits all
     spark-submit --py-files cohortlens.zip run_audit.py --events s3://bucket/events/ --out s3://bucket/audit/
 
-``--format csv`` reads the extract with its explicit schema (outcome as
-Yes/No text); parquet / orc / table inputs use the warehouse layout
+``--format csv`` reads the extract with its explicit types (outcome as Yes/No
+text) in one pass; rows with a value that cannot be read go to ``<out>/rejects``
+and count in no audit, and more than ``--max-rejects`` of them end the run; parquet / orc / table inputs use the warehouse layout
 (boolean ``No-show``).  The cohort cube is built once (one scan), materialised
 into ``spark.checkpoint.dir``, and serves every audit it can; ``--direct``
 scans the events for each audit instead.  The audits that need the key column
@@ -24,16 +25,18 @@ outcome reports are counted on the pass that writes the cube.
 from __future__ import annotations
 
 import argparse
+import uuid
 from typing import List, Optional
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .config import CSV_COLUMNS, WAREHOUSE_COLUMNS, AuditParams
-from .session import scale_conf
+from .session import require_checkpoint_dir, scale_conf
 from .plans.audit import CUBE_SERVED, SPEC_BY_NAME, Audit, cube_audit, publish_cube
 from .sinks.feed import write_feed
 from .sinks.publish import Published
-from .sources.events import REFERENCE_CSV_SCHEMA, normalise_reference_csv, read_events
+from .sources.csv_load import load_csv
+from .sources.events import REFERENCE_CSV_TYPES, read_events
 
 ALL_AUDITS = ("integrity", "duplicates", "outcome_report") + tuple(SPEC_BY_NAME) + (
     "reminder_rate", "lead_day_curve", "wall_contrast", "scope_report", "exposure_summary",
@@ -53,6 +56,7 @@ def parse(argv: Optional[List[str]] = None) -> argparse.Namespace:
     ap.add_argument("--feed-format", default="parquet", choices=["parquet", "csv", "orc"])
     ap.add_argument("--one-job", action="store_true",
                     help="write all audits of the cube in one job, split by audit, and publish them by one pointer")
+    ap.add_argument("--max-rejects", type=float, default=0.01, help="share of CSV rows that may be rejected before the run fails")
     ap.add_argument("--wall", type=int, default=AuditParams().wall)
     return ap.parse_args(argv)
 
@@ -65,8 +69,11 @@ def main(argv: Optional[List[str]] = None, spark: Optional[SparkSession] = None)
     for key, value in (scale_conf(args.rows) if args.rows else {}).items():
         spark.conf.set(key, value)
     if args.format == "csv":
-        events = normalise_reference_csv(read_events(spark, args.events, "csv", REFERENCE_CSV_SCHEMA))
-        cmap = CSV_COLUMNS
+        staged = f"{require_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+        loaded = load_csv(spark, args.events, REFERENCE_CSV_TYPES, staged, CSV_COLUMNS.key, max_reject_share=args.max_rejects)
+        write_feed(loaded.rejects, f"{args.out.rstrip('/')}/rejects", args.feed_format)
+        print(f"{loaded.rejected_rows} of {loaded.total_rows} rows rejected")
+        events, cmap = loaded.rows, CSV_COLUMNS
     else:
         events = read_events(spark, args.events, args.format)
         cmap = WAREHOUSE_COLUMNS

@@ -10,12 +10,13 @@ def to_utc_date_sql(expr: str, dtype: DataType) -> str:
 
     Dates pass through; timestamps are cast in the session time zone (which
     ``prepare`` requires to be UTC for zoned timestamps); ISO text such as
-    ``2016-04-29T18:38:08Z`` is parsed first, keeping its offset.
+    ``2016-04-29T18:38:08Z`` is parsed first, keeping its offset; text that is
+    no timestamp gives NULL (a NULL lead, which the scope report counts).
     """
     if isinstance(dtype, DateType):
         return expr
     if isinstance(dtype, StringType):
-        return f"to_date(to_timestamp({expr}))"
+        return f"to_date(try_to_timestamp({expr}))"
     return f"CAST({expr} AS DATE)"
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import AuditParams, CSV_COLUMNS, WAREHOUSE_COLUMNS
 from ..operators.metrics import Metric, metrics_long
 from ..operators.quality import column_profile, duplicate_keys, integrity_check, load_profile
+from ..sources.csv_load import CsvLoad, load_csv
+from ..sources.events import REFERENCE_CSV_TYPES
 from ..sources.fixtures import appointment_view, clinic_view, line_keys, nation_rates, shipment_view
 from ..operators.bitmaps import bitmap_integrity, count_bitmaps, distinct_bitmaps
 from ..operators.ordering import in_position
@@ -116,6 +118,32 @@ def _published(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return Published(spark, path).table(name)
 
 
+def _clinic_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5 as the text of an extract, with faults: every 97th age, 101st patient and 103rd booking is no number or day."""
+    iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+    k = "AppointmentID"
+    return clinic_view(spark, sf_dir).selectExpr(
+        f"CASE WHEN {k} % 101 = 3 THEN 'abc' ELSE concat(PatientId, '.0') END AS PatientId", f"CAST({k} AS STRING) AS {k}", "Gender",
+        f"CASE WHEN {k} % 103 = 4 THEN 'some day' ELSE date_format(ScheduledDay, \"{iso}\") END AS ScheduledDay",
+        f"date_format(AppointmentDay, \"{iso}\") AS AppointmentDay",
+        f"CASE WHEN {k} % 97 = 5 THEN 'abc' ELSE CAST(Age AS STRING) END AS Age", "'CENTRO' AS Neighbourhood",
+        "Scholarship", "Hipertension", "Diabetes", "Alcoholism", "Handcap", "SMS_received", "`No-show`")
+
+
+def _clinic_csv(spark: SparkSession, sf_dir: str) -> CsvLoad:
+    source = _scratch(spark, "clinic-csv")
+    _clinic_text(spark, sf_dir).write.option("header", "true").csv(source)
+    return load_csv(spark, source, REFERENCE_CSV_TYPES, _scratch(spark, "clinic-staged"), "AppointmentID", max_reject_share=0.05)
+
+
+def _clinic_iso(spark: SparkSession, sf_dir: str) -> Audit:
+    """F5 with its days as ISO text, some of which is none."""
+    iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+    booked = F.when(F.expr("AppointmentID % 103 = 4"), F.lit("some day")).otherwise(F.date_format("ScheduledDay", iso))
+    rows = clinic_view(spark, sf_dir).withColumns({"ScheduledDay": booked, "AppointmentDay": F.date_format("AppointmentDay", iso)})
+    return Audit(rows, CSV_COLUMNS, AuditParams())
+
+
 def _named(name: str) -> Query:
     return lambda spark, sf_dir: _f1(spark, sf_dir).run(name)
 
@@ -186,6 +214,12 @@ def build_queries() -> Dict[str, Query]:
         "published_fiscal_leak": lambda s, d: _published(s, d, "fiscal_leak"),
         "observed_scope_report": lambda s, d: _f1(s, d).observed_cube()[1]["scope_report"],
         "clinic_observed_outcome_report": lambda s, d: _f5(s, d).observed_cube()[1]["outcome_report"],
+        # a CSV with faults, loaded in one pass; days as text
+        "csv_rejects": lambda s, d: _clinic_csv(s, d).report(),
+        "csv_age_class_outcome": lambda s, d: _text_keys(Audit(_clinic_csv(s, d).rows, CSV_COLUMNS).run("age_class_outcome")),
+        "csv_lead_day_curve": lambda s, d: Audit(_clinic_csv(s, d).rows, CSV_COLUMNS).lead_day_curve(),
+        "text_timestamp_scope_report": lambda s, d: _clinic_iso(s, d).scope_report(),
+        "text_timestamp_lead_day_curve": lambda s, d: _clinic_iso(s, d).lead_day_curve(),
         # independent conditions, NULLs in every attribute, text outcome, zoned timestamps
         "clinic_lead_day_curve": lambda s, d: _f5(s, d).lead_day_curve(),
         "clinic_lead_day_curve_complement": lambda s, d: _f5(s, d).lead_day_curve(shows="complement"),

@@ -13,9 +13,10 @@ from typing import Optional
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.rules import sql_literal
 from ..operators.prepare import qcol
 from pyspark.sql.types import (
-    IntegerType, LongType, StringType, StructField, StructType,
+    IntegerType, LongType, StringType, StructField, StructType, TimestampType,
 )
 
 # Column layout of the public appointment extract (CSV with header).
@@ -36,6 +37,11 @@ REFERENCE_CSV_SCHEMA = StructType([
     StructField("No-show", StringType()),
 ])
 
+# The same columns as their own types, for ``load_csv``: ids as BIGINT (also where written 2.98e13), days as timestamps.
+REFERENCE_CSV_TYPES = StructType([
+    StructField(f.name, {"PatientId": LongType(), "ScheduledDay": TimestampType(), "AppointmentDay": TimestampType()}.get(f.name, f.dataType))
+    for f in REFERENCE_CSV_SCHEMA.fields])
+
 
 def read_events(
     spark: SparkSession,
@@ -80,7 +86,7 @@ def csv_cast_report(text: DataFrame, schema: StructType) -> DataFrame:
         c = qcol(f.name)
         aggs += [F.count_if(c.isNull()).alias(f"_n{i}"),
                  F.count_if(c.isNotNull() & c.try_cast(f.dataType).isNull()).alias(f"_f{i}")]
-    rows = ", ".join(f"struct({i + 1} AS position, '{f.name}' AS name, _rows AS rows, _n{i} AS nulls, _f{i} AS cast_failures)"
+    rows = ", ".join(f"struct({i + 1} AS position, {sql_literal(f.name)} AS name, _rows AS rows, _n{i} AS nulls, _f{i} AS cast_failures)"
                      for i, f in enumerate(schema.fields))
     return text.agg(F.count(F.lit(1)).alias("_rows"), *aggs).selectExpr(f"inline(array({rows}))")
 

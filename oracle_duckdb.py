@@ -174,6 +174,9 @@ def _with(*ctes: str) -> str:
 F1 = _with(_APPT, _layers())
 F2 = _with(_SHIP, _layers())
 F5 = _with(_CLINIC, _layers(outcome="""CASE WHEN "No-show" = 'Yes' THEN TRUE WHEN "No-show" = 'No' THEN FALSE END"""))
+# F5 without the rows whose extract has a fault, and F5 where some booking days are no days
+F5_CLEAN = F5.replace("FROM clinic_g\n", "FROM clinic_g WHERE NOT (k % 97 = 5 OR k % 101 = 3 OR k % 103 = 4)\n")
+F5_TEXT = F5.replace("sched AS ScheduledDay", "CASE WHEN k % 103 = 4 THEN NULL ELSE sched END AS ScheduledDay")
 
 # grouped audits: name -> (keys, scope view, missed only, volume name, avg name, avg first)
 _GROUPED = [
@@ -496,6 +499,16 @@ FROM appt""",
         "published_fiscal_leak": q["fiscal_leak"],
         "observed_scope_report": q["scope_report"],
         "clinic_observed_outcome_report": q["clinic_outcome_report"],
+        "csv_rejects": """SELECT * FROM (VALUES
+  ('Age', 'not a int', (SELECT COUNT(*) FROM orders WHERE o_orderkey % 97 = 5)),
+  ('PatientId', 'not a bigint', (SELECT COUNT(*) FROM orders WHERE o_orderkey % 101 = 3)),
+  ('ScheduledDay', 'not a timestamp', (SELECT COUNT(*) FROM orders WHERE o_orderkey % 103 = 4))) AS t("column", reason, faults)
+WHERE faults > 0""",
+        "csv_age_class_outcome": _text_keys(_grouped_sql(["advocacy_type", "no_show_status"], "v", False, F5_CLEAN),
+                                            ["advocacy_type", "no_show_status"]),
+        "csv_lead_day_curve": _curve(F5_CLEAN),
+        "text_timestamp_scope_report": q["scope_report"].replace(F1, F5_TEXT),
+        "text_timestamp_lead_day_curve": _curve(F5_TEXT),
         "grouped_audits_typed": _full_audit(F1, typed=True),
         "clinic_grouped_audits_typed": _full_audit(F5, typed=True),
         "shipment_scorecard_one_pass": _scorecard(F2),
