@@ -3,7 +3,7 @@ except the explicit validation helpers that say so)."""
 
 from .prepare import prepare, qcol
 from .segment import segment
-from .quality import duplicate_keys, integrity_check, column_profile, load_profile, outcome_report, scope_report
+from .quality import duplicate_keys, integrity_check, column_profile, load_profile, outcome_report, sample_rows, scope_report
 from .cohorts import (
     CurveNames, Gap, cohort_gaps, cohort_metric, cohort_summary, pick, rate_by,
     rate_curve, reference_gaps, share_of, threshold_contrast,

@@ -148,3 +148,13 @@ def column_profile(df: DataFrame) -> DataFrame:
     rows = ", ".join(f"struct({i + 1} AS position, {sql_literal(f.name)} AS name, {sql_literal(f.dataType.simpleString())} AS type, "
                      f"_n{i} AS non_null, _s{i} AS smallest)" for i, f in enumerate(df.schema.fields))
     return df.agg(*aggs).selectExpr(f"inline(array({rows}))")
+
+
+def sample_rows(df: DataFrame, n: int, key: Keys, seed: int = 0) -> DataFrame:
+    """SNK-4: ``n`` rows that look random and are the same in every run: those with the smallest hash of key and seed.
+
+    Neither row order nor partitioning matters; equal hashes are told apart by the key and then the whole row.  Spark
+    takes the first ``n`` per task before anything moves."""
+    keys = [qcol(k) for k in as_list(key)]
+    rest = [qcol(c).cast("string") for c in df.columns]
+    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys, *rest).limit(n)

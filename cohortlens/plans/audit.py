@@ -131,7 +131,11 @@ class Audit:
         p = self.params
         rules = reference_segments(p)
         rules["patient_acuity"] = rules[p.names.tier]
-        return segment(prepare(self.events, self.cmap, scope, p), rules, p).withColumns(has_flags(p))
+        return segment(prepare(self.events_of(scope), self.cmap, scope, p), rules, p).withColumns(has_flags(p))
+
+    def events_of(self, scope: str) -> DataFrame:
+        """The events that a scope's rows come from; a source that can prune gives fewer."""
+        return self.events
 
     def cube(self) -> CohortCube:
         return CohortCube.build(self.base("raw"), self.cmap, self.params)

@@ -17,6 +17,7 @@ from ..operators.metrics import Metric, metrics_long
 from ..operators.quality import column_profile, duplicate_keys, integrity_check, load_profile
 from ..sources.csv_load import CsvLoad, load_csv
 from ..sources.events import REFERENCE_CSV_TYPES
+from ..sources.layout import LayoutAudit, write_layout
 from ..sources.fixtures import appointment_view, clinic_view, line_keys, nation_rates, shipment_view
 from ..operators.bitmaps import bitmap_integrity, count_bitmaps, distinct_bitmaps
 from ..operators.ordering import in_position
@@ -24,8 +25,10 @@ from ..operators.cohorts import Order, cohort_gaps, cohort_summary, reference_ga
 from ..operators.cube import CohortCube
 from ..session import require_checkpoint_dir
 from ..sinks.cube_store import CubeStore
+from ..sinks.feed import write_feed
 from ..sinks.publish import Published
 from .audit import FULL_AUDIT_SPECS, GROUPED_AUDITS, Audit, cube_audit, publish_cube
+from .views import register_audit_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -144,6 +147,26 @@ def _clinic_iso(spark: SparkSession, sf_dir: str) -> Audit:
     return Audit(rows, CSV_COLUMNS, AuditParams())
 
 
+def _laid_out(spark: SparkSession, sf_dir: str, **window) -> LayoutAudit:
+    path = _scratch(spark, "layout")
+    write_layout(clinic_view(spark, sf_dir), path, CSV_COLUMNS)
+    return LayoutAudit(spark, path, CSV_COLUMNS, **window)
+
+
+def _by_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline audit as SQL over the temp views, grouped and ordered by position, with the 0/1 outcome."""
+    register_audit_views(spark, appointment_view(spark, sf_dir))
+    return spark.sql("""SELECT Scholarship, missed_appointment AS no_show, COUNT(*) AS total_patient_volume,
+        ROUND(AVG(lead_time), 1) AS avg_lead_time FROM appointments_enriched_v2 GROUP BY 1, 2 ORDER BY 1, 2""")
+
+
+def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dashboard feed as it is read back from the sink."""
+    path = _scratch(spark, "feed")
+    write_feed(_f1(spark, sf_dir).exposure(), path, partition_by=["Scholarship"])
+    return spark.read.parquet(path)
+
+
 def _named(name: str) -> Query:
     return lambda spark, sf_dir: _f1(spark, sf_dir).run(name)
 
@@ -198,7 +221,7 @@ def build_queries() -> Dict[str, Query]:
         "exposure_summary_ordered": lambda s, d: in_position(_f1(s, d, order="global").exposure()),
         # the distinct count as bitmaps: alone, beside the checkpoints, and merged over cohorts
         "integrity_orders_bitmap": lambda s, d: _f1(s, d).bitmap_integrity(),
-        "integrity_shipment_bitmap": lambda s, d: _f2(s, d).bitmap_integrity(),
+        "shipment_integrity_bitmap": lambda s, d: _f2(s, d).bitmap_integrity(),
         "integrity_lineitem_bitmap": lambda s, d: bitmap_integrity(line_keys(s, d), ["l_orderkey", "l_linenumber"]),
         "shipment_scorecard_one_pass": lambda s, d: _f2(s, d).scorecard_one_pass(digits=COMPARE_DIGITS),
         "clinic_scorecard_one_pass": lambda s, d: _f5(s, d).scorecard_one_pass(digits=COMPARE_DIGITS),
@@ -220,6 +243,12 @@ def build_queries() -> Dict[str, Query]:
         "csv_lead_day_curve": lambda s, d: Audit(_clinic_csv(s, d).rows, CSV_COLUMNS).lead_day_curve(),
         "text_timestamp_scope_report": lambda s, d: _clinic_iso(s, d).scope_report(),
         "text_timestamp_lead_day_curve": lambda s, d: _clinic_iso(s, d).lead_day_curve(),
+        # events stored by lead day; a seeded sample; the feed read back; SQL over the views with ordinals
+        "layout_lead_day_curve_0_25": lambda s, d: _laid_out(s, d, low=0, high=25).lead_day_curve(),
+        "layout_wall_by_payer_prod": lambda s, d: _text_keys(_laid_out(s, d).run("wall_by_payer_prod")),
+        "layout_scope_report": lambda s, d: _laid_out(s, d).scope_report(),
+        "feed_exposure_summary": lambda s, d: _feed(s, d),
+        "baseline_by_ordinal": lambda s, d: _by_ordinal(s, d),
         # independent conditions, NULLs in every attribute, text outcome, zoned timestamps
         "clinic_lead_day_curve": lambda s, d: _f5(s, d).lead_day_curve(),
         "clinic_lead_day_curve_complement": lambda s, d: _f5(s, d).lead_day_curve(shows="complement"),

@@ -493,7 +493,7 @@ FROM appt""",
     q.update({
         "integrity_orders_bitmap": bitmap(q["integrity_orders"]),
         "integrity_lineitem_bitmap": bitmap(q["integrity_lineitem"]),
-        "integrity_shipment_bitmap": bitmap(_integrity(F2, "appt", ["AppointmentID"])),
+        "shipment_integrity_bitmap": bitmap(_integrity(F2, "appt", ["AppointmentID"])),
         "cube_store_full_audit": q["full_audit_cube"],
         "published_condition_combinations": q["condition_combinations"],
         "published_fiscal_leak": q["fiscal_leak"],
@@ -509,6 +509,14 @@ WHERE faults > 0""",
         "csv_lead_day_curve": _curve(F5_CLEAN),
         "text_timestamp_scope_report": q["scope_report"].replace(F1, F5_TEXT),
         "text_timestamp_lead_day_curve": _curve(F5_TEXT),
+        "layout_lead_day_curve_0_25": _curve(F5).replace("FROM v GROUP", "FROM v WHERE lead_time <= 25 GROUP"),
+        "layout_wall_by_payer_prod": _text_keys(_grouped_sql(["Scholarship", "trust_wall_status", "no_show_status"], "p", False, F5),
+                                                ["Scholarship", "trust_wall_status", "no_show_status"]),
+        "layout_scope_report": q["clinic_scope_report"],
+        "feed_exposure_summary": q["exposure_summary"],
+        "baseline_by_ordinal": f"""{F1}
+SELECT Scholarship, CAST(no_show_status AS INTEGER) AS no_show, COUNT(*) AS total_patient_volume, ROUND(AVG(lead_time), 1) AS avg_lead_time
+FROM v GROUP BY 1, 2""",
         "grouped_audits_typed": _full_audit(F1, typed=True),
         "clinic_grouped_audits_typed": _full_audit(F5, typed=True),
         "shipment_scorecard_one_pass": _scorecard(F2),
