@@ -11,21 +11,27 @@ them.
 2. A shard task passes its blocks through a once-seen Bloom filter into a
    twice-seen one, then tests the same hashes against the twice-seen filter.
    The filters' size follows the shard's own count of hashes; the number of
-   shards follows the shuffle partitions.
+   shards follows the count of all hashes (``SHARD_HASHES``).
 3. Only lines whose hash is suspected shuffle, as text: exact confirmation
    counts distinct documents per key and takes the largest id.  A false
    positive of the filters costs a shuffled line, never a wrong result.
-4. The keys to drop are gathered per document and joined to the texts.
+4. The places of the lines to drop are gathered per text and joined to it.
+
+Lines are looked up by their place in the text all along, so the work is linear
+in the lines of a text, however many of them are suspected or dropped.
 
 Hot keys: a hash leaves a map task at most twice; (key, document) pairs are
 made distinct before they are counted, and both key joins are equi-joins of
 small rows that adaptive execution splits.
 
 Defined results: a null text counts as empty, one empty line; an empty text
-stays one empty line; rows that share an id are one document for counting and
-each loses the same keys; a null id is a document of its own, smaller than all
-others; an empty table gives an empty table; other columns pass through
-``drop_lines`` untouched whatever their names.
+stays one empty line; a text of any length is split whole; rows that share an
+id are one document for counting, and a key they keep stays in all of them; a
+row without an id is a document of its own, known by its text (equal ones are
+one), smaller than all that have an id, and among such rows the one with the
+largest hash of its text keeps the line; repeated rows give equal rows; an empty
+table gives an empty table; other columns pass through ``drop_lines`` untouched
+whatever their names.
 """
 
 from __future__ import annotations
@@ -35,12 +41,13 @@ from typing import Iterator, Tuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE_CHARS, UPPER, mix64, stage_table
 
 MIN_CHARS, MIN_DOCS = 20, 3
+SHARD_HASHES = 2_000_000
 _TRIM = "concat(" + ", ".join(f"chr({ord(c)})" for c in SPACE_CHARS) + ")"
 
 
@@ -117,42 +124,52 @@ def suspected_hashes(keys: DataFrame, shards: int) -> DataFrame:
     return blocks.groupBy("shard").applyInPandas(_suspects, "h long")
 
 
-def drop_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(id, key): a document and a key all of whose lines it loses."""
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _same(left: DataFrame, id_col: str, tag_col: str) -> Column:
+    """Rows of ``left`` and those of a (pid, ptag) table that stand for the same text."""
+    return left[id_col].eqNullSafe(F.col("pid")) & (left[tag_col] == F.col("ptag"))
+
+
+def drop_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(pid, ptag, gone): an id, the hash of a text under it, and the places (from 0) of the lines that the text loses."""
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    long_keys = (f"array_distinct(filter(transform({lines_sql('text')}, l -> {key_sql('l')}),"
-                 f" k -> char_length(k) >= {int(min_chars)}))")
-    hashed = src.select("id", F.expr(f"explode(transform({long_keys}, k -> xxhash64(k)))").alias("h"))
-    hashed = stage_table(hashed, "line-hashes")  # 16 bytes a line, read twice
-    suspects = stage_table(suspected_hashes(hashed, shards), "line-suspects")
-    # an id with all its suspected hashes; a document holds no more than it has lines
-    per_doc = hashed.join(suspects, "h").groupBy("id").agg(F.collect_set("h").alias("hs"))
-    lines = (src.join(per_doc.withColumnRenamed("id", "sid"), F.col("id").eqNullSafe(F.col("sid")))
-             .select("id", F.expr(f"explode(filter({long_keys}, k -> array_contains(hs, xxhash64(k))))").alias("key")))
-    pairs = stage_table(lines.distinct(), "line-pairs")
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _text_hash(text_col).alias("tag"))
+    long_hash = f"transform({lines_sql('text')}, l -> if(char_length({key_sql('l')}) >= {int(min_chars)}, xxhash64({key_sql('l')}), null))"
+    # 8 bytes a line, read twice
+    hashed = stage_table(src.select("id", "tag", F.expr(long_hash).alias("hs")), "line-hashes")
+    count = hashed.agg(F.sum(F.size("hs"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // SHARD_HASHES))
+    distinct = hashed.select(F.expr("explode(array_distinct(filter(hs, h -> h is not null)))").alias("h"))
+    suspects = stage_table(suspected_hashes(distinct, shards), "line-suspects")
+    places = (hashed.select(F.col("id").alias("pid"), F.col("tag").alias("ptag"), F.posexplode("hs").alias("pos", "h"))
+              .where("h is not null").join(suspects, "h").groupBy("pid", "ptag").agg(F.collect_set("pos").alias("places")))
+    split = src.withColumn("lines", F.expr(lines_sql("text"))).join(places, _same(src, "id", "tag"))
+    line = F.expr(f"explode(transform(places, p -> struct(p as pos, {key_sql('lines[p]')} as key)))")
+    pairs = stage_table(split.select("pid", "ptag", line.alias("line")).select("pid", "ptag", "line.*"), "line-pairs")
     # written, so that both sides of the join are exchanges and a hot key of ``pairs`` can be split
-    repeated = stage_table(pairs.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("id").alias("last"))
-                           .where(F.col("docs") >= min_docs).select("key", "last"), "line-repeated")
-    return pairs.join(repeated, "key").where(~F.col("id").eqNullSafe(F.col("last"))).select("id", "key")
+    holders = pairs.select("key", F.col("pid").alias("last"), F.expr("if(pid is null, ptag, null)").alias("last_tag")).distinct()
+    repeated = stage_table(holders.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("last").alias("last"), F.max("last_tag").alias("last_tag"))
+                           .where(F.col("docs") >= min_docs).drop("docs"), "line-repeated")
+    keeps = F.expr("if(last is null, pid is null and ptag = last_tag, coalesce(pid = last, false))")
+    return pairs.join(repeated, "key").where(~keeps).groupBy("pid", "ptag").agg(F.collect_set("pos").alias("gone"))
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, counts: Tuple[str, str] = ()) -> DataFrame:
     """The input with ``text_col`` rewritten; ``counts`` names optional columns for lines before and lines dropped."""
-    drops = drop_pairs(docs, id_col, text_col, min_chars, min_docs)
-    per_doc = drops.groupBy(F.col("id").alias("_did")).agg(F.collect_list("key").alias("_gone"))
-    cols = [F.col(c) for c in docs.columns]
-    base = docs.select(F.col(id_col).alias("_id"), F.struct(*cols).alias("_row"), F.col(text_col).alias("_text"))
-    joined = base.join(per_doc, F.col("_id").eqNullSafe(F.col("_did")), "left")
-    kept = (f"if(_gone is null, {lines_sql('_text')},"
-            f" filter({lines_sql('_text')}, l -> NOT array_contains(_gone, {key_sql('l')})))")
-    split = joined.select("_row", "_gone", "_text", F.expr(kept).alias("_kept"))
-    text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join("_kept", "\n"))
+    drops = drop_places(docs, id_col, text_col, min_chars, min_docs)
+    base = docs.select(F.col(id_col).alias("_id"), _text_hash(text_col).alias("_tag"),
+                       F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))
+    lines = base.join(drops, _same(base, "_id", "_tag"), "left").withColumn("_lines", F.expr(lines_sql("_text")))
+    # Set difference and look-up by place: linear, where a test per line against a list would not be.
+    kept = "if(gone is null, _lines, transform(array_except(sequence(0, size(_lines) - 1), gone), i -> _lines[i]))"
+    split = lines.select("_row", "gone", "_text", F.expr("cast(size(_lines) as bigint)").alias("_n"), F.expr(kept).alias("_kept"))
+    text = F.when(F.col("gone").isNull(), F.col("_text")).otherwise(F.array_join("_kept", "\n"))
     out = [(text if c == text_col else F.col("_row").getField(c)).alias(c) for c in docs.columns]
     if counts:
-        n = F.expr(f"cast(size({lines_sql('_text')}) as bigint)")
-        out += [n.alias(counts[0]), (n - F.size("_kept")).alias(counts[1])]
+        out += [F.col("_n").alias(counts[0]), (F.col("_n") - F.size("_kept")).alias(counts[1])]
     return split.select(*out)

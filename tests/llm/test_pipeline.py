@@ -34,18 +34,17 @@ def test_stages_keep_columns_and_bear_edges(spark, edge, empty):
 def test_registered_queries_and_oracles():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names
-    assert {n for n in range(1, 11)} == {int(x[2:].split("_")[0]) for x in names if x.startswith("op")}
+    assert set(range(1, 14)) == {int(x[2:].split("_")[0]) for x in names if x.startswith("op")}
 
 
 def test_sql_oracles(spark, duck):
     from cohortlens.llm.queries import LLM_ORACLE, LLM_QUERIES
 
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         duck.execute(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     for name, sql in LLM_ORACLE.items():
-        got = LLM_QUERIES[name](spark, SF)
-        want = duck.execute(sql).fetch_df()
-        cols = sorted(got.columns)
-        assert cols == sorted(want.columns)
-        rows = lambda f: sorted(map(str, f[cols].astype(object).replace({np.nan: None}).itertuples(index=False, name=None)))
-        assert rows(got.toPandas()) == rows(want), name
+        got, want = LLM_QUERIES[name](spark, SF), duck.execute(sql)
+        cols, names = sorted(got.columns), [d[0] for d in want.description]
+        assert cols == sorted(names)
+        rows = sorted((tuple(r[names.index(c)] for c in cols) for r in want.fetchall()), key=repr)
+        assert sorted((tuple(r[c] for c in cols) for r in got.collect()), key=repr) == rows, name
