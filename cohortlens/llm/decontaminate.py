@@ -11,8 +11,13 @@ are compared.
 
 1. Benchmark items are hashed under every mask, at every position.
 2. Training documents are hashed alike in numpy over whole Arrow batches; a
-   bitmap of fixed size (2 MB, whatever the benchmark's size) lets pass the
-   positions whose hash the benchmark may hold, each with the tokens around it.
+   bitmap lets pass the positions whose hash the benchmark may hold, each with
+   the tokens around it.  Its size follows the number of benchmark hashes (16
+   bits each, at least 2 MB), up to 32 MB for 16 million of them; a larger
+   benchmark fills it more, which costs shuffled positions, not results.
+   Places of one text with the same hash and the same tokens around them are
+   one place, on both sides: whatever repeats inside a text is sent and
+   compared once, not once per pair of places.
 3. Both sides join on the hash (a plain equi-join: nothing is broadcast by
    hint, and adaptive execution splits a hash that many documents share).
 4. Around each hit the aligned tokens are compared: a pair is an overlap if
@@ -20,7 +25,7 @@ are compared.
    least ``SIMILARITY`` of them.
 
 Defined results: null or empty texts and items have no tokens and match
-nothing; items of fewer than ``MIN_ITEM`` tokens overlap only where all their
+nothing; texts of any length are searched whole; items of fewer than ``MIN_ITEM`` tokens overlap only where all their
 tokens do (0.8 of them allows no substitution); repeated rows and ties give one
 row per (document, item) with the best count; a null document id is kept as
 null; empty tables give an empty result; other columns are not read.
@@ -38,13 +43,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, Rolling, batches_of, byte_values, mix64, token_bounds, utf8_view
+from .common import LOWER_BYTES, Rolling, batches_of, byte_values, mix64, stage_table, token_bounds, utf8_view
 
 MASKS = ("1101111", "111100011")
 WINDOW, SIMILARITY, MIN_ITEM = 13, 0.8, 5
 _SIDE = WINDOW - 1
 _WIDTH = _SIDE + WINDOW + _SIDE
-_SLOT_BITS, _SEGMENT_BITS = 24, 15
+_LEAST_BITS, _MOST_BITS, _SEGMENT_BITS = 24, 28, 15
 
 _VALUES = byte_values(5)
 _PLACES = np.random.default_rng(55).integers(1, 2**63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -93,7 +98,21 @@ def contexts(tok: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarra
     return np.where(inside, short[np.clip(where, 0, max(len(tok) - 1, 0))], np.uint32(0))
 
 
-def _seeds(masks: Sequence[Mask], bitmap=None):
+class _Places:
+    """Tells the first place of each (text, hash, context) of a batch."""
+
+    def __init__(self):
+        self._seen = set()
+
+    def new(self, row: np.ndarray, h: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+        whole = np.ascontiguousarray(np.concatenate((row[:, None].view(np.uint32), h[:, None].view(np.uint32), ctx), axis=1))
+        keys, at = np.unique(whole.view(np.dtype((np.void, whole.shape[1] * 4)))[:, 0], return_index=True)
+        fresh = [i for key, i in zip(keys.tolist(), at.tolist()) if key not in self._seen]
+        self._seen.update(keys.tolist())
+        return np.array(sorted(fresh), np.int64)
+
+
+def _seeds(masks: Sequence[Mask], bitmap=None, slot_bits: int = 0):
     """Arrow function (id, text) -> (h, id, context, n_tokens) of items; with a bitmap of documents: only hashes it holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,17 +131,19 @@ def _seeds(masks: Sequence[Mask], bitmap=None):
                     if whole and bits is None:
                         ok &= (end - first[:-1][row] == len(mask))[: len(h)]
                     if bits is not None:
-                        slot = (h >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+                        slot = (h >> np.uint64(64 - slot_bits)).astype(np.int64)
                         ok &= (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1) != 0
                     at = at[ok]
                     if whole and "0" not in mask and len(at):  # no context decides: one place of a text is enough
                         order = np.lexsort((at, h[at], row[at]))
                         r, g = row[at][order], h[at][order]
                         at = at[order[np.concatenate(([True], (r[1:] != r[:-1]) | (g[1:] != g[:-1])))]]
+                    places = _Places()
                     for lo in range(0, len(at), 65536):
                         some = at[lo: lo + 65536]
-                        r = row[some]
-                        ctx = contexts(tok, first[:-1][r], first[1:][r], some)
+                        ctx = contexts(tok, first[:-1][row[some]], first[1:][row[some]], some)
+                        new = places.new(row[some], h[some], ctx)
+                        some, ctx, r = some[new], ctx[new], row[some][new]
                         ctx_col = pa.FixedSizeBinaryArray.from_buffers(
                             pa.binary(_WIDTH * 4), len(some), [None, pa.py_buffer(np.ascontiguousarray(ctx))]).cast(pa.binary())
                         yield pa.RecordBatch.from_arrays(
@@ -139,13 +160,18 @@ def _segment(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"segment": [int(slot[0]) >> _SEGMENT_BITS], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
 
-def _bitmap(seeds: DataFrame) -> bytes:
-    """2^24 bits, one per leading 24 bits of a benchmark hash: at most 512 rows of 4 KB come to the driver."""
-    slots = seeds.select(F.shiftrightunsigned("h", 64 - _SLOT_BITS).alias("slot")).distinct()
+def _slot_bits(hashes: int) -> int:
+    """The bitmap has 2^bits bits: 16 for each hash, between 2 MB and 32 MB."""
+    return min(_MOST_BITS, max(_LEAST_BITS, (16 * hashes).bit_length()))
+
+
+def _bitmap(seeds: DataFrame, bits: int) -> bytes:
+    """2^bits bits, one per leading ``bits`` bits of a benchmark hash: at most 2^(bits - 15) rows of 4 KB come to the driver."""
+    slots = seeds.select(F.shiftrightunsigned("h", 64 - bits).alias("slot")).distinct()
     rows = (slots.withColumn("segment", F.shiftright("slot", _SEGMENT_BITS))
             .groupBy("segment").applyInPandas(_segment, "segment long, bits binary").collect())
     size = (1 << _SEGMENT_BITS) // 8
-    out = bytearray((1 << _SLOT_BITS) // 8)
+    out = bytearray((1 << bits) // 8)
     for r in rows:
         out[r["segment"] * size: (r["segment"] + 1) * size] = r["bits"]
     return bytes(out)
@@ -189,11 +215,12 @@ def _overlaps(docs: DataFrame, id_type: str, benchmark: DataFrame, item_col: str
     masks += [Mask(m, 100 + i, True) for i, m in enumerate(m for n in range(1, WINDOW) for m in whole_masks(n))]
     seed_schema = "h long, id {}, ctx binary, n int"
     items = benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string"))
-    seeds = items.mapInArrow(_seeds(masks), seed_schema.format("long"))
+    seeds = stage_table(items.mapInArrow(_seeds(masks), seed_schema.format("long")), "benchmark-seeds")  # read four times
     lengths = {r["n"] for r in seeds.where(F.col("n") < WINDOW).select("n").distinct().collect()}  # below 13 values
     used = [m for m in masks if not m.whole or len(m.marks) in lengths]
-    bitmap = spark.sparkContext.broadcast(_bitmap(seeds))
-    hits = docs.mapInArrow(_seeds(used, bitmap), seed_schema.format(id_type))
+    bits = _slot_bits(seeds.count())
+    bitmap = spark.sparkContext.broadcast(_bitmap(seeds, bits))
+    hits = docs.mapInArrow(_seeds(used, bitmap, bits), seed_schema.format(id_type))
     pairs = (hits.select("h", F.col("id").alias("doc_id"), F.col("ctx").alias("doc_ctx"))
              .join(seeds.select("h", F.col("id").alias("item_id"), F.col("ctx").alias("item_ctx"), "n"), "h")
              .select("doc_id", "doc_ctx", "item_id", "item_ctx", "n"))

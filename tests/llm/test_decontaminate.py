@@ -114,3 +114,25 @@ def test_rows_without_an_id_go_by_their_own_text(spark):
     assert kept.columns == d.columns
     want = [r for r in docs if "twelve" not in (r[1] or "")]
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, want))
+
+
+def test_repeated_words_on_both_sides(spark, monkeypatch):
+    """A word that a long document and an item repeat: what is compared does not grow with the product of their lengths."""
+    real = D._verify
+
+    def counted(batches):
+        for b in batches:
+            compared_rows.add(b.num_rows)
+            yield from real(iter([b]))
+
+    compared_rows = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(D, "_verify", counted)
+    docs = spark.createDataFrame([(1, "na " * 8_000), (2, "la na " * 4_000), (3, "clean words only, none of them repeated here")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "na " * 300), (8, "la la na " * 100)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["matched"] for r in D.overlaps(docs, items).collect()}
+    assert got == {(1, 7): 13}
+    assert 0 < compared_rows.value < 100_000
+
+
+def test_bitmap_size_follows_the_benchmark():
+    assert [D._slot_bits(n) for n in (0, 1 << 20, 1 << 21, 1 << 23, 1 << 40)] == [24, 25, 26, 28, 28]
