@@ -1,8 +1,10 @@
 """Operator 4 — personal data: patterns propose, checksums confirm, context adjusts.
 
 Patterns find spans kind by kind, leftmost and without overlap; a proposal that
-fails its kind's check (octets at most 255, Luhn, digit counts, mod-97) is
-dropped, with no retry inside it.  A confirmed span's score starts from its
+fails its kind's check (octets at most 255, Luhn, digit counts, mod-97, entropy)
+is dropped, with no retry inside it.  Beyond the base kinds there are bank
+account numbers (iban) and secrets: the value that a text assigns to a name such
+as token or password, if its characters are as varied as a random key's.  A confirmed span's score starts from its
 kind and rises with a context word of that kind within ``NEAR`` code points
 before it; the score never removes a span.  Every pattern reads a text once:
 e-mail addresses are found from their ``@`` outwards, and digit runs are taken
@@ -16,6 +18,8 @@ rows; an empty table gives an empty table; other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from math import log2
 from typing import Iterator, List, Tuple
 
 import pyarrow as pa
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = BASE_KINDS + ("iban",)
+KINDS = BASE_KINDS + ("iban", "secret")
 NEAR = 40
 
 Span = Tuple[str, int, int, float]
@@ -35,6 +39,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9])(?:token|secret|passwo?r?d|pwd|(?:api|access|private|secret|auth)[_-]?key|auth)(?![A-Za-z0-9])"
+                     r"[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([A-Za-z0-9+/_=.-]{12,512}+)", re.I)
 _DIGITS = re.compile(r"[0-9]")
 _CONTEXT = {
     "email": re.compile(r"e-?mail|contact|write to", re.I),
@@ -42,8 +48,9 @@ _CONTEXT = {
     "card": re.compile(r"card|visa|credit|payment", re.I),
     "phone": re.compile(r"phone|tel|call|mobile", re.I),
     "iban": re.compile(r"iban|bank|account|konto", re.I),
+    "secret": re.compile(r"secret|api|auth|private|bearer|credential|login", re.I),
 }
-_PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.5, "iban": 0.9}
+_PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.5, "iban": 0.9, "secret": 0.7}
 
 
 def luhn(digits: str) -> bool:
@@ -59,6 +66,13 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def random_like(value: str) -> bool:
+    """A key rather than a word or a name: digits and letters, at least 2.8 bits of entropy a character."""
+    n = len(value)
+    bits = -sum(c / n * log2(c / n) for c in Counter(value).values())
+    return bits >= 2.8 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+
+
 def _octet(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) <= 3 and int(part or "0") <= 255
@@ -95,6 +109,7 @@ def spans(text) -> List[Span]:
             found += [("phone", m.start(), m.end()) for m in _PHONE.finditer(text)
                       if 9 <= len(_DIGITS.findall(m[0])) <= 15]
         found += [("iban", m.start(), m.end()) for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+        found += [("secret", m.start(1), m.end(1)) for m in _SECRET.finditer(text) if random_like(m[1])]
     return [(k, a, b, min(1.0, _PRIOR[k] + (0.1 if k in ("email", "iban") else 0.2)
                           if _CONTEXT[k].search(text, max(0, a - NEAR), a) else _PRIOR[k])) for k, a, b in found]
 

@@ -34,9 +34,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = "filter(spans, s -> s.kind in (" + ", ".join(f"'{k}'" for k in pii.BASE_KINDS) + "))"
     joined = "array_join(transform({}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
     return found.select(
-        "doc_id", *[F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.BASE_KINDS],
+        "doc_id", *[F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.KINDS],
         F.expr(f"sha2({joined.format(base)}, 256)").alias("base_sha256"),
-        F.expr(joined.format("spans")).alias("spans"))
+        F.expr(joined.format("spans")).alias("spans"),
+        F.expr("array_join(transform(spans, s -> format_number(s.score, '0.00')), ',')").alias("scores"))
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

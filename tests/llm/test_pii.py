@@ -1,8 +1,10 @@
+import hashlib
 import re
 
 from cohortlens.llm import pii as P
+from cohortlens.llm.queries import LLM_QUERIES
 
-from .conftest import edge_rows
+from .conftest import SF, edge_rows
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -31,7 +33,7 @@ CASES = ["a@b@c.d", "a@b.c@d.e.f-", "x..%@-.-", "@a.b", "a@b", "1.2.3.4.5.6.7.8"
 
 def test_against_plain_patterns(documents, texts):
     for t in [*CASES, *texts.values()]:
-        assert [s[:3] for s in P.spans(t) if s[0] != "iban"] == brute(t)
+        assert [s[:3] for s in P.spans(t) if s[0] in P.BASE_KINDS] == brute(t)
     got = P.find_spans(documents).collect()
     assert {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in got} == {i: [s[:3] for s in P.spans(t)] for i, t in texts.items()}
 
@@ -51,3 +53,34 @@ def test_edges(edge, empty):
     assert {"email", "ip", "card", "phone", "iban"} <= set(kinds)
     assert all(r["spans"] == [] for r in got if r["doc_id"] in (1, 2, 3))
     assert P.find_spans(empty).collect() == []
+
+
+def test_secrets():
+    found = lambda t: [t[s[1]:s[2]] for s in P.spans(t) if s[0] == "secret"]
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    for text in (f'token = "{key}" x', f"TOKEN: {key}", f"api_key='{key}'", f'"password": "{key}"', f"my secret={key}."):
+        assert [x.rstrip(".") for x in found(text)] == [key], text
+    for text in ('token = "correcthorsebattery"', "token = 111111111111", "token = aaaa1aaaa1aaaa", f"the number {key}", f"broken={key}", "password: short1"):
+        assert found(text) == [], text
+    near, far = (P.spans(f"{w} token = {key}")[-1][3] for w in ("secret login", "some other"))
+    assert near > far
+    assert found("token=" + "ab1" * 100_000) == [] and found("token=" * 50_000) == []
+
+
+def test_registered_query(spark):
+    sf = SF.replace("0.001", "0.01")  # the smallest table holds no secret
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in LLM_QUERIES["op4_pii"](spark, sf).collect()}
+    assert got.keys() == texts.keys()
+    planted = 0
+    for i, t in texts.items():
+        base, every, r = brute(t), P.spans(t), got[i]
+        join = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert [r[f"n_{k}"] for k in P.BASE_KINDS] == [sum(s[0] == k for s in base) for k in P.BASE_KINDS]
+        assert r["base_sha256"] == hashlib.sha256(join(base).encode()).hexdigest()
+        assert r["spans"] == join([s[:3] for s in every]) and r["spans"].startswith(join(base))
+        assert r["scores"] == ",".join(f"{s[3]:.2f}" for s in every)
+        hidden = re.findall(r'token = "([0-9a-f]{40})"', t)
+        planted += len(hidden)
+        assert r["n_secret"] >= len(hidden)
+    assert planted

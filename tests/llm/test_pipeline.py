@@ -1,4 +1,3 @@
-import numpy as np
 
 import __spark_entry__
 import corpus_pipeline
