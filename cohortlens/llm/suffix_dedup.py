@@ -15,8 +15,9 @@ Logarithmic family.  Documents arrive in batches of rising id.  A new batch's
 array is merge-scanned, shard by shard, against every level: an entry whose
 key and bytes are already there (or earlier in the batch) repeats in all its
 windows; an entry whose key is there with other bytes may repeat in part.
-Levels are binary-counter sized: batch and levels of equal size merge into the
-next level, which keeps only the first place of every distinct entry.
+What is new in the batch, the first place of every entry that no level holds,
+becomes a level of its own; only levels of equal size merge, as a binary counter
+carries, and the others stay as they were written.
 
 Partly repeated entries are settled exactly: the documents give their bytes,
 those of one key are compared window by window, and a window that an earlier
@@ -24,8 +25,10 @@ one equals is removed.  A hash stands for its bytes at 64 bits (entries: 112).
 
 Bounded work: a map task collapses its own repeats first, so a group of copies
 sends at most one entry per task and distinct string; a shard holds distinct
-entries only, and shards grow in number with the shuffle partitions.  A key
-with very many variants is streamed in order, keeping only the windows seen.
+entries only.  Shards and document buckets grow in number with the bytes of the
+texts, about ``TASK_BYTES`` each.  A key with very many variants is streamed in
+order, keeping only the windows seen.  A text of any length is indexed whole, in
+overlapping pieces.
 
 Defined results: a null text is empty, 0 bytes; texts shorter than LENGTH
 lose nothing; rows that share an id (null ids share one, the smallest) are one
@@ -37,7 +40,7 @@ table; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from typing import Dict, Iterator, List, Optional, Tuple
+from typing import Dict, Iterator, List, Tuple
 
 import numpy as np
 import pandas as pd
@@ -50,6 +53,7 @@ from .common import Rolling, batches_of, byte_values, mix64, stage_table, utf8_v
 
 LENGTH, K = 100, 32
 _VALUES = byte_values(1)
+TASK_BYTES = 32 << 20  # packed entries of a shard, and text of a document bucket
 _PIECE = 1 << 20  # windows handled at once
 _PLACE_BITS = 21
 _FLUSH = 8 << 20  # text bytes after which a map task sends its entries
@@ -242,7 +246,7 @@ def _merge_scan(buckets: int):
         touched = np.isin(e["key"], e["key"][partial & fresh]) if (partial & fresh).any() else np.zeros(len(fresh), bool)
         some = _take(e, partial & touched)
         gone = _as_spans(_take(e, repeat & fresh))
-        level = _take(e, first)
+        level = _take(e, first & fresh)
         level = _take(level, np.argsort(level["key"]))
         out = [(ENTRY, int(pdf["part"].iat[0]), pack(level, ENTRY)), *_dealt(gone, SPAN, _by_hash(gone["doc"], buckets)),
                *_dealt({f: some[f] for f, _ in _FIELDS[PARTIAL]}, PARTIAL, _by_hash(some["doc"], buckets))]
@@ -252,13 +256,24 @@ def _merge_scan(buckets: int):
     return run
 
 
+def _merge_arrays(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One sorted array of a shard from those of several levels, which share no entry."""
+    level = _concat([unpack(x, ENTRY) for x in pdf["payload"]], ENTRY)
+    level = _take(level, np.argsort(level["key"], kind="stable"))
+    return pd.DataFrame({"kind": np.array([ENTRY], np.int32), "part": pdf["part"].to_numpy()[:1].astype(np.int32),
+                         "source": np.zeros(1, np.int32), "payload": [pack(level, ENTRY)]})
+
+
 class SuffixIndex:
-    """The levels, and the spans found so far.  Documents must be ingested in batches of rising id."""
+    """The levels, and the spans found so far.  Documents must be ingested in batches of rising id.
 
-    def __init__(self, spark, parts: Optional[int] = None):
-        # key shards, and document buckets; a shard sends each bucket one block, so their product bounds the blocks
-        self.parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.buckets = max(1, self.parts // 4)
+    ``text_bytes``: the bytes of all texts that are to come, from which shards and buckets are sized."""
+
+    def __init__(self, text_bytes: int):
+        # An entry of 38 bytes stands for about 32 bytes of text.  A shard sends each bucket one block at most.
+        self.parts = max(1, -(-text_bytes * 5 // (4 * TASK_BYTES)))
+        self.buckets = max(1, -(-text_bytes // TASK_BYTES))
+        self.tasks = max(self.parts, self.buckets)
         self.levels: List[Tuple[int, DataFrame]] = []  # (batches it stands for, packed entries), largest first
         self.found: List[DataFrame] = []  # spans and partial entries of every batch
 
@@ -267,18 +282,27 @@ class SuffixIndex:
         rows = docs.mapInArrow(_index(self.parts, self.buckets), _ROW)
         for i, (_, level) in enumerate(self.levels):
             rows = rows.union(level.withColumn("source", F.lit(i + 1)))
-        out = rows.groupBy("kind", "part").applyInPandas(_merge_scan(self.buckets), _ROW)
+        out = rows.repartition(self.tasks, "kind", "part").groupBy("kind", "part").applyInPandas(_merge_scan(self.buckets), _ROW)
         if last:
             self.found.append(stage_table(out.where(F.col("kind") != ENTRY), "suffix-found"))
             return
-        merged = stage_table(out, "suffix-level")
-        # the scan saw the batch and all levels; as a binary counter, equal sizes merge into one level
-        self.found.append(merged.where(F.col("kind") != ENTRY))
-        size = 1
-        keep = list(self.levels)
-        while keep and keep[-1][0] == size:
-            size += keep.pop()[0]
-        self.levels = keep + [(size, merged.where(F.col("kind") == ENTRY))]
+        batch = stage_table(out, "suffix-batch")
+        self.found.append(batch.where(F.col("kind") != ENTRY))
+        # as a binary counter carries: the batch's array merges with levels of equal size only
+        size, level, equal = 1, batch.where(F.col("kind") == ENTRY), []
+        while self.levels and self.levels[-1][0] == size:
+            n, other = self.levels.pop()
+            size, equal = size + n, [*equal, other]
+        if equal:
+            for other in equal:
+                level = level.union(other)
+            level = stage_table(level.repartition(self.tasks, "part").groupBy("part").applyInPandas(_merge_arrays, _ROW), "suffix-level")
+        self.levels.append((size, level))
+
+    def together(self, texts: DataFrame, spans: DataFrame):
+        """Both sides by document bucket, in as many tasks as there are buckets."""
+        a, b = (df.repartition(self.buckets, "part").groupBy("part") for df in (texts, spans))
+        return a.cogroup(b)
 
     def spans(self, docs: DataFrame) -> DataFrame:
         """All packed spans: those found whole, and those of partly repeated entries, settled from ``docs`` (id, text)."""
@@ -287,9 +311,9 @@ class SuffixIndex:
             found = found.union(f)
         texts = docs.mapInArrow(_texts(self.buckets), "part int, id long, tag long, blob binary")
         wanted = found.where(F.col("kind") == PARTIAL).select("part", "payload")
-        rows = texts.groupBy("part").cogroup(wanted.groupBy("part")).applyInPandas(
+        rows = self.together(texts, wanted).applyInPandas(
             _contents, "key long, doc long, pos long, tag long, n int, a int, content binary")
-        partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        partitions = max(self.tasks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         dealt = rows.repartition(partitions, "key").sortWithinPartitions("key", "doc", "pos", "tag")
         settled = dealt.mapInArrow(_settle(self.buckets), _ROW)
         return found.where(F.col("kind") == SPAN).union(settled).select("part", "payload")
@@ -413,10 +437,11 @@ def _digests(texts: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
     return _remove(texts, spans, "kept_sha256", lambda rest: hashlib.sha256(rest).hexdigest())
 
 
-def id_batches(docs: DataFrame, batches: int) -> List[DataFrame]:
-    """(id, text) split into ranges of rising id; null ids come first."""
-    cuts = docs.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)] or [1.0])).first()[0] or []
-    cuts = sorted(set(cuts)) if batches > 1 else []
+def id_batches(docs: DataFrame, batches: int) -> Tuple[List[DataFrame], int]:
+    """((id, text) split into ranges of rising id, null ids first; the bytes of all texts)."""
+    at, size = docs.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)] or [1.0]),
+                        F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    cuts = sorted(set(at or [])) if batches > 1 else []
     edges = [None, *cuts, None]
     out = []
     for lo, hi in zip(edges[:-1], edges[1:]):
@@ -426,7 +451,7 @@ def id_batches(docs: DataFrame, batches: int) -> List[DataFrame]:
         if hi is not None:
             part = part.where(F.col("id").isNull() | (F.col("id") <= hi)) if lo is None else part.where(F.col("id") <= hi)
         out.append(part)
-    return out
+    return out, size
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 3, digest: bool = False) -> DataFrame:
@@ -434,11 +459,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``digest`` gives kept_sha256 (lowercase hex) instead of kept."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    index = SuffixIndex(docs.sparkSession)
-    parts = id_batches(src, batches)
+    parts, text_bytes = id_batches(src, batches)
+    index = SuffixIndex(text_bytes)
     for i, part in enumerate(parts):
         index.ingest(part, last=i == len(parts) - 1)
     spans = index.spans(src)
     texts = src.mapInArrow(_texts(index.buckets), "part int, id long, tag long, blob binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary")
-    return texts.groupBy("part").cogroup(spans.groupBy("part")).applyInPandas(_digests if digest else _kept, schema)
+    return index.together(texts, spans).applyInPandas(_digests if digest else _kept, schema)

@@ -52,14 +52,35 @@ def test_kept_bytes_and_empty(documents, texts, empty):
     assert S.remove_repeats(empty).collect() == []
 
 
-def test_levels_merge_like_a_binary_counter(spark, documents):
-    index = S.SuffixIndex(spark, parts=4)
+def test_levels_merge_like_a_binary_counter(spark, documents, monkeypatch):
+    """Only levels of equal size merge: the files of the others stay the same, and no entry stands in two levels."""
+    monkeypatch.setattr(S, "TASK_BYTES", 1 << 16)
     src = documents.selectExpr("doc_id as id", "text")
-    sizes = []
-    for part in S.id_batches(src, 5):
+    parts, size = S.id_batches(src, 5)
+    index = S.SuffixIndex(size)
+    assert size == sum(len(r["text"].encode()) for r in documents.collect()) and index.parts > index.buckets > 4
+    sizes, files = [], []
+    for part in parts:
         index.ingest(part)
         sizes.append([n for n, _ in index.levels])
+        files.append([sorted(level.inputFiles()) for _, level in index.levels])
     assert sizes == [[1], [2], [2, 1], [4], [4, 1]]
+    assert files[1][0] == files[2][0] and files[3][0] == files[4][0]
+    entries = []
+    for _, level in index.levels:
+        for r in level.collect():
+            e = S.unpack(r["payload"], S.ENTRY)
+            assert (np.diff(e["key"].astype(np.float64)) >= 0).all()
+            entries += zip(e["key"].tolist(), e["sk"].tolist())
+    assert len(entries) == len(set(entries)) > 1000
+
+
+@pytest.mark.parametrize("batches", [1, 5])
+def test_many_shards_and_buckets(documents, texts, batches, monkeypatch):
+    monkeypatch.setattr(S, "TASK_BYTES", 1 << 16)
+    want = {i: v for (i, _), v in brute(texts.items()).items()}
+    got = S.remove_repeats(documents, batches=batches, digest=True).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
 
 
 def test_blocks_round_trip():
