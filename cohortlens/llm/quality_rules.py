@@ -130,6 +130,12 @@ def apply_policy(led: DataFrame, policy: Policy) -> DataFrame:
     return led.where(passes(policy))
 
 
+def only_rule(policy: Policy):
+    """Column over a ledger: the one rule of the policy that rejects the document, NULL where none or several do."""
+    names = " ".join(f"when {BITS[r]} then '{r}'" for r in policy.rules)
+    return F.expr(f"case failed & {policy.mask}L {names} end")
+
+
 def ablation(led: DataFrame, policy: Policy) -> DataFrame:
     """Per rule of a policy: documents it fails, and documents only it rejects.
 

@@ -67,7 +67,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~quality_rules.passes(quality_rules.BASE)).alias("base_failed"),
-        (quality_rules.passes(quality_rules.BASE) & quality_rules.passes(quality_rules.STRICT)).alias("kept"))
+        (quality_rules.passes(quality_rules.BASE) & quality_rules.passes(quality_rules.STRICT)).alias("kept"),
+        # the ledger itself: failure bits, the policy judged by, and the rule without which it would keep the document
+        "failed", F.lit(quality_rules.STRICT.version).alias("policy"), quality_rules.only_rule(quality_rules.STRICT).alias("only_rule"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,8 +156,14 @@ m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > 3 * n_words OR (n_dup_lines >= 5 AND 10 * n_dup_lines > 3 * n_lines)
-            OR (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words)) OR longest > 1000) AS kept
-FROM b
+            OR (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words)) OR longest > 1000) AS kept,
+       failed, 'v1' AS policy,
+       CASE failed WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_trigrams' WHEN 4 THEN 'symbols' WHEN 8 THEN 'duplicate_lines'
+                   WHEN 16 THEN 'mean_word_length' WHEN 32 THEN 'huge_word' END AS only_rule
+FROM (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > 3 * n_words)::INT
+                     + 8 * (n_dup_lines >= 5 AND 10 * n_dup_lines > 3 * n_lines)::INT
+                     + 16 * (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words))::INT
+                     + 32 * (longest > 1000)::INT AS BIGINT) AS failed FROM b)
 """
 
 _KEY = ("translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),"

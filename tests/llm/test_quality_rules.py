@@ -41,6 +41,13 @@ def test_policies_and_ablation(documents, texts):
     assert got == {name: (sum(bool(r["failed"] & b) for r in rows.values()), sum(r["failed"] == b for r in rows.values())) for name, b in Q.BITS.items()}
 
 
+def test_only_rule_is_the_ablation_by_document(documents):
+    led = Q.ledger(documents)
+    for policy in (Q.STRICT, Q.BASE):
+        alone = {r[0]: r[1] for r in led.select(Q.only_rule(policy).alias("r")).where("r is not null").groupBy("r").count().collect()}
+        assert alone == {r["rule"]: r["n_only"] for r in Q.ablation(led, policy).collect() if r["n_only"]}
+
+
 def test_no_python_and_no_shuffle(documents):
     plan = Q.apply_policy(Q.ledger(documents), Q.STRICT)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
