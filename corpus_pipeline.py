@@ -12,7 +12,11 @@ the last return the columns of documents.
 
 Nulls: a null text counts as empty (the quality rules reject it); rows that
 share an id are one document where a stage decides by id, and a row without an
-id is a document of its own.
+id is a document of its own, known by its text.  Empty texts are rejected; texts
+of any length are worked on whole; ties are settled by the smaller id, then the
+smaller text; repeated rows are judged alike (near_duplicates keeps one); empty
+tables give an empty result; other columns pass through to the last stage,
+whatever their names.
 """
 
 from __future__ import annotations
