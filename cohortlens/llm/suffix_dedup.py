@@ -53,7 +53,9 @@ from .common import Rolling, batches_of, byte_values, mix64, stage_table, utf8_v
 
 LENGTH, K = 100, 32
 _VALUES = byte_values(1)
-TASK_BYTES = 32 << 20  # packed entries of a shard, and text of a document bucket
+# Packed entries of a shard, and text of a document bucket.  A task unpacks and sorts a shard in about 20 times its size;
+# larger executors take larger shards, and fewer of them.
+TASK_BYTES = 8 << 20
 _PIECE = 1 << 20  # windows handled at once
 _PLACE_BITS = 21
 _FLUSH = 8 << 20  # text bytes after which a map task sends its entries
@@ -269,10 +271,11 @@ class SuffixIndex:
 
     ``text_bytes``: the bytes of all texts that are to come, from which shards and buckets are sized."""
 
-    def __init__(self, text_bytes: int):
+    def __init__(self, text_bytes: int, task_bytes: int = 0):
+        task_bytes = task_bytes or TASK_BYTES
         # An entry of 38 bytes stands for about 32 bytes of text.  A shard sends each bucket one block at most.
-        self.parts = max(1, -(-text_bytes * 5 // (4 * TASK_BYTES)))
-        self.buckets = max(1, -(-text_bytes // TASK_BYTES))
+        self.parts = max(1, -(-text_bytes * 5 // (4 * task_bytes)))
+        self.buckets = max(1, -(-text_bytes // task_bytes))
         self.tasks = max(self.parts, self.buckets)
         self.levels: List[Tuple[int, DataFrame]] = []  # (batches it stands for, packed entries), largest first
         self.found: List[DataFrame] = []  # spans and partial entries of every batch
@@ -454,13 +457,14 @@ def id_batches(docs: DataFrame, batches: int) -> Tuple[List[DataFrame], int]:
     return out, size
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 3, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 3, digest: bool = False,
+                   task_bytes: int = 0) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept), one row per input row; kept: the remaining bytes.
 
-    ``digest`` gives kept_sha256 (lowercase hex) instead of kept."""
+    ``task_bytes``: see TASK_BYTES, the default; ``digest`` gives kept_sha256 (lowercase hex) instead of kept."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     parts, text_bytes = id_batches(src, batches)
-    index = SuffixIndex(text_bytes)
+    index = SuffixIndex(text_bytes, task_bytes)
     for i, part in enumerate(parts):
         index.ingest(part, last=i == len(parts) - 1)
     spans = index.spans(src)
