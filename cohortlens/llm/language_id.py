@@ -1,32 +1,46 @@
 """Operator 6 — language identification by interpolated Kneser-Ney character models.
 
-Text is reduced to lower-cased letters with one blank between words.  For each
-language a character model of order ``ORDER`` is estimated with interpolated
-Kneser-Ney smoothing (absolute discounts per order, continuation counts below
-the top).  All languages share one sorted array of hashed n-grams per order,
+Text is reduced to lower-cased letters and the marks that combine with them, as
+whole code points, with one blank between words.  For each language a character
+model of order ``ORDER`` is estimated with interpolated Kneser-Ney smoothing
+(absolute discounts per order, continuation counts below the top).  n-grams are
+64-bit hashes (two of a language's n-grams collide with a chance of 10^-6 at
+10^7 of them).  ``BLOCK`` languages share one sorted array of hashes per order,
 found through a directory of leading hash bits; a hit gives the final
-log-probabilities of all languages, a miss adds the context's back-off weights
-and looks one order down.  A text's language has the lowest cross-entropy per
-character; the score is that language's share in a softmax of the length-normalised
-log-likelihoods.  Rejection is calibrated: a text is ``rejected`` if its
-cross-entropy lies above the ``QUANTILE`` of its language on labelled rows that
-did not train the model.
-
-Learning uses a bounded sample: of each language's labelled rows outside the
-held-out fold, those whose id hash falls below the fraction that gives about
-``SAMPLE_DOCS`` documents (whole texts).  n-gram counts are summed by Spark;
-the driver receives the sample's distinct n-grams.  Prediction covers every
-whole text and never reads lang, source or the id.
+log-probabilities of the block's languages, a miss adds the context's back-off
+weights and looks one order down.  A text's language has the lowest
+cross-entropy per character.
+
+The score is that language's share in a softmax of -entropy x sqrt(characters):
+characters depend on their neighbours, so a text carries less evidence than as
+many independent draws, and the full length would give 1 for every text of a line.
+
+Rejection is calibrated on labelled rows that trained no model: a language's
+limit is the smallest of their cross-entropies that a further row of that
+language exceeds with a chance of at most ``REJECT`` (rank ceil((m + 1)(1 -
+REJECT)) of m rows; no limit below 1 / REJECT - 1 rows).  A text above the limit
+of its language is ``rejected``.
+
+Learning uses a bounded sample of the labelled rows outside the held-out fold,
+drawn by a hash of id and text: of each language about ``SAMPLE_DOCS`` whole
+texts train (at most ``TRAIN_SHARE`` of its rows), about ``CALIBRATION_DOCS``
+others calibrate; a language of fewer than ``FEW`` rows trains on all and has no
+limit.  n-gram counts are summed by Spark; the driver receives the sample's
+distinct n-grams, and the model's size is that number times ``BLOCK``, however
+many languages there are.  Prediction covers every whole text and never reads
+lang, source or the id.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
-without any labelled row every text is ``und``; ties go to the language that
-sorts first; repeated rows are scored alike; rows without a language do not
-train; an empty table gives an empty table; other columns are not read.
+without any labelled row every text is ``und``; texts of any length are scored
+whole, in linear time; ties go to the language that sorts first; repeated rows
+are scored alike; rows without a language or a text do not train; an empty table
+gives an empty table; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from typing import Dict, Iterator, List, Tuple
+import unicodedata
+from typing import Dict, Iterator, List, Optional, Tuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,48 +49,61 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, held_out, mix64
 
-ORDER, SAMPLE_DOCS, QUANTILE = 5, 600, 0.999
-_BITS = np.uint64(12)
+ORDER, BLOCK = 5, 8
+SAMPLE_DOCS, CALIBRATION_DOCS, TRAIN_SHARE, FEW = 600, 1000, 0.7, 50
+REJECT = 0.01
 _EDGE = 1  # code of the mark between texts
 _MARK = "\x01" * (ORDER - 1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _TABLE: List[np.ndarray] = []
 
 
-def _codes_table() -> np.ndarray:
-    """Code of every code point: 0 for what is no letter, else 2..4095 (lower-cased; rare scripts fold together)."""
+def _tables() -> List[np.ndarray]:
+    """Per code point: its code (0 for what is no letter or mark, else the lower-cased code point), and whether it is
+    a letter."""
     if not _TABLE:
-        table = np.zeros(0x110000, np.uint16)
+        code, letter = np.zeros(0x110000, np.int32), np.zeros(0x110000, bool)
         for cp in range(0x110000):
             c = chr(cp)
             if c.isalpha():
-                low = c.lower()
-                v = ord(low[0])
-                table[cp] = v if v < 0xC00 else 0xC00 + v % 0x400
-        table[1] = _EDGE
-        _TABLE.append(table)
-    return _TABLE[0]
+                code[cp], letter[cp] = ord(c.lower()[0]), True
+            elif unicodedata.category(c)[0] == "M":
+                code[cp] = cp
+        _TABLE.extend((code, letter))
+    return _TABLE
 
 
 def characters(texts: List[str]) -> Tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(codes, first, letters): text i is codes[first[i]:first[i + 1]] after its leading marks; letters per text."""
-    joined = "".join(_MARK + t for t in texts)
-    raw = _codes_table()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    code, letter = _tables()
+    points = np.frombuffer("".join(_MARK + t for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     begin = np.cumsum([0] + [len(t) + len(_MARK) for t in texts])
-    n_letters = np.add.reduceat(np.concatenate((raw > 1, [False])).astype(np.int64), begin[:-1]) if texts else np.zeros(0, int)
+    n_letters = np.add.reduceat(np.concatenate((letter[points], [False])).astype(np.int64), begin[:-1]) if texts else np.zeros(0, int)
+    raw = code[points]
+    raw[(begin[:-1, None] + np.arange(len(_MARK))).ravel()] = _EDGE
     keep = np.ones(len(raw), bool)
     keep[1:] = (raw[1:] != 0) | (raw[:-1] != 0)
     first = np.concatenate(([0], np.cumsum(keep)))[begin]
     return raw[keep], first, n_letters
 
 
-def grams(codes: np.ndarray, order: int) -> np.ndarray:
-    """The n-gram that ends at every position from order - 1 on, 12 bits a character, the last one lowest."""
-    n = len(codes) - order + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(order):
-        out = (out << _BITS) | codes[j: j + n].astype(np.uint64)
+def windows(values: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """(positions, order): the characters of the n-gram that ends at every position from order - 1 on."""
+    if len(values) < order:
+        return np.zeros((0, order), values.dtype)
+    return np.lib.stride_tricks.sliding_window_view(values, order)
+
+
+def spread(codes: np.ndarray) -> np.ndarray:
+    """A 64-bit value per code, the terms of n-gram hashes."""
+    return mix64(codes.astype(np.uint64) + np.uint64(1))
+
+
+def gram_hash(grams: np.ndarray) -> np.ndarray:
+    """Hash of every row of spread codes."""
+    out = np.zeros(len(grams), np.uint64)
+    for j in range(grams.shape[1]):
+        out = out * _BASE + grams[:, j]
     return out
 
 
@@ -107,38 +134,39 @@ class HashTable:
 
 
 class Model:
-    """Interpolated Kneser-Ney for several languages; build from (language, n-gram, count) of the top order."""
+    """Interpolated Kneser-Ney for a block of languages; build from (language, n-gram, count) of the top order.
+
+    ``grams`` has a row of ``ORDER`` codes per n-gram; ``vocabulary`` is the number of characters that all blocks share."""
 
-    def __init__(self, langs: List[str], lang_of: np.ndarray, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, langs: List[str], lang_of: np.ndarray, grams: np.ndarray, counts: np.ndarray, vocabulary: Optional[int] = None):
         self.langs = langs
         n_langs = len(langs)
         self.tables: Dict[int, Tuple[HashTable, np.ndarray]] = {}  # order -> n-grams, log-probabilities
         self.backoff: Dict[int, Tuple[HashTable, np.ndarray]] = {}  # order -> contexts of order - 1, log weights
         # counts per order: the top's own, below it the number of distinct one-longer n-grams
-        level = {ORDER: (lang_of, keys, counts.astype(np.float64))}
+        level = {ORDER: (lang_of, spread(grams), counts.astype(np.float64))}
         for n in range(ORDER - 1, 0, -1):
-            lg, k, _ = level[n + 1]
-            short = k & np.uint64((1 << (12 * n)) - 1)
-            pair, types = np.unique(np.stack([lg.astype(np.uint64), short], 1), axis=0, return_counts=True)
-            level[n] = (pair[:, 0].astype(np.int64), pair[:, 1], types.astype(np.float64))
-        vocabulary = max(2, len(np.unique(level[1][1])) + 1)
-        self.floor = np.full(n_langs, -np.log(vocabulary), np.float32)
+            lg, g, _ = level[n + 1]
+            short = gram_hash(g[:, 1:])
+            _, at, types = np.unique(np.stack([lg.astype(np.uint64), short], 1), axis=0, return_index=True, return_counts=True)
+            level[n] = (lg[at], g[at, 1:], types.astype(np.float64))
+        size = vocabulary or vocabulary_size(grams)
+        self.floor = np.full(n_langs, -np.log(size), np.float32)
         for n in range(1, ORDER + 1):
-            lg, k, c = level[n]
-            every = np.unique(k)
-            row = np.searchsorted(every, k)
+            lg, g, c = level[n]
+            every, at, row = np.unique(gram_hash(g), return_index=True, return_inverse=True)
+            unique = g[at]
             count = np.zeros((len(every), n_langs))
             count[row, lg] = c
             discount = np.array([self._discount(c[lg == l]) for l in range(n_langs)])
-            ctx = every >> _BITS
-            contexts, of = np.unique(ctx, return_inverse=True)
+            contexts, of = np.unique(gram_hash(unique[:, :-1]), return_inverse=True)
             total = np.zeros((len(contexts), n_langs))
             kinds = np.zeros((len(contexts), n_langs))
             np.add.at(total, of, count)
             np.add.at(kinds, of, count > 0)
             seen = total > 0
             weight = np.where(seen, discount * kinds / np.where(seen, total, 1), 1.0)
-            lower = np.exp(self._logp(every, n - 1)) if n > 1 else np.full((len(every), n_langs), 1.0 / vocabulary)
+            lower = np.exp(self._logp(unique, n - 1)) if n > 1 else np.full((len(every), n_langs), 1.0 / size)
             p = np.where(seen[of], np.maximum(count - discount, 0) / np.where(seen, total, 1)[of], 0) + weight[of] * lower
             table, context_table = HashTable(every), HashTable(contexts)
             self.tables[n] = (table, np.log(p)[table.order].astype(np.float32))
@@ -149,33 +177,51 @@ class Model:
         ones, twos = (c == 1).sum(), (c == 2).sum()
         return float(np.clip(ones / (ones + 2 * twos), 0.1, 0.95)) if ones else 0.5
 
-    def _logp(self, keys: np.ndarray, order: int) -> np.ndarray:
-        """(keys, languages) log-probability of each n-gram's last character after the ones before it."""
+    def _logp(self, grams: np.ndarray, order: int) -> np.ndarray:
+        """(rows, languages) log-probability of each row's last character after the order - 1 before it."""
         if order == 0:
-            return np.tile(self.floor, (len(keys), 1))
-        keys = keys & np.uint64((1 << (12 * order)) - 1)
+            return np.tile(self.floor, (len(grams), 1))
+        own = grams[:, grams.shape[1] - order:]
         table, logp = self.tables[order]
-        at = table.find(keys)
+        at = table.find(gram_hash(own))
         out = logp[at]  # row -1 is replaced below
         miss = np.flatnonzero(at < 0)
         if len(miss):
             contexts, weight = self.backoff[order]
-            c = contexts.find(keys[miss] >> _BITS)
-            out[miss] = np.where((c >= 0)[:, None], weight[c], 0) + self._logp(keys[miss], order - 1)
+            rest = own[miss]
+            c = contexts.find(gram_hash(rest[:, :-1]))
+            out[miss] = np.where((c >= 0)[:, None], weight[c], 0) + self._logp(rest, order - 1)
         return out
 
+
+def vocabulary_size(grams: np.ndarray) -> int:
+    """Distinct last characters of n-grams, and one for all others."""
+    return max(2, len(np.unique(grams[:, -1])) + 1)
+
+
+class Models:
+    """All languages, in blocks that share their arrays."""
+
+    def __init__(self, langs: List[str], lang_of: np.ndarray, grams: np.ndarray, counts: np.ndarray):
+        self.langs = langs
+        size = vocabulary_size(grams)
+        self.blocks = []
+        for lo in range(0, len(langs), BLOCK):
+            own = (lang_of >= lo) & (lang_of < lo + BLOCK)
+            self.blocks.append(Model(langs[lo: lo + BLOCK], lang_of[own] - lo, grams[own], counts[own], size))
+
     def cross_entropy(self, texts: List[str]) -> Tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(entropies per text and language, scored characters, letters)."""
         codes, first, letters = characters(texts)
-        if not texts or len(codes) < ORDER:
-            return np.zeros((len(texts), len(self.langs))), np.zeros(len(texts)), letters
-        g = grams(codes, ORDER)
         total = np.zeros((len(texts), len(self.langs)))
+        if not texts:
+            return total, np.zeros(0), letters
+        g = windows(spread(codes))
         size = np.diff(first) - (ORDER - 1)  # a text's characters, after its marks
         start = first[:-1]  # gram i ends at i + ORDER - 1: a text's first character's gram is at its first mark
         some = size > 0
         for lo in range(0, len(g), 1 << 18):
-            part = self._logp(g[lo: lo + (1 << 18)], ORDER)
+            part = np.concatenate([m._logp(g[lo: lo + (1 << 18)], ORDER) for m in self.blocks], axis=1)
             a = np.clip(start - lo, 0, len(part))
             b = np.clip(start + size - lo, 0, len(part))
             sums = np.concatenate((np.zeros((1, part.shape[1])), np.cumsum(part, axis=0, dtype=np.float64)))
@@ -183,6 +229,9 @@ class Model:
         return -total / np.maximum(size, 1)[:, None], size, letters
 
 
+_GRAM = [f"c{j}" for j in range(ORDER)]
+
+
 def _count(lang_at: Dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -191,55 +240,71 @@ def _count(lang_at: Dict[str, int]):
                 texts = b.column(1).to_pylist()
                 for l in np.unique(langs[langs >= 0]):
                     codes, _, _ = characters([t or "" for t, x in zip(texts, langs) if x == l])
-                    g = grams(codes, ORDER)
-                    key, n = np.unique(g[codes[ORDER - 1:] != _EDGE], return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(key), l, np.int32)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))],
-                        ["l", "key", "n"])
+                    g = windows(codes)
+                    g = g[g[:, -1] != _EDGE]
+                    _, at, n = np.unique(gram_hash(spread(g)), return_index=True, return_counts=True)
+                    cols = [pa.array(np.ascontiguousarray(c)) for c in g[at].T]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), l, np.int32)), *cols, pa.array(n.astype(np.int64))],
+                                                     ["l", *_GRAM, "n"])
 
     return run
 
 
-def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int) -> Tuple[List[str], DataFrame]:
-    """Languages, and (lang, text, part) of about ``sample_docs`` rows of each; part in 0..9."""
+def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int,
+                    calibration_docs: int) -> Tuple[List[str], DataFrame]:
+    """Languages, and (lang, text, trains) of about ``sample_docs`` training and ``calibration_docs`` other rows of each."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"),
                        F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
     rows = rows.where(~held_out(F.col("id")))
     per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(per)
-    draw = F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(1 << 30))
-    keep = F.lit(False)
+    if not langs:
+        return [], rows
+    shares = []
     for lang, n in per.items():
-        keep = keep | ((F.col("lang") == lang) & (draw < int(min(1.0, sample_docs / n) * (1 << 30))))
-    return langs, rows.where(keep).select("lang", "text", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(10)).alias("part"))
+        train_share = 1.0 if n < FEW else min(TRAIN_SHARE, sample_docs / n)
+        shares.append((lang, int(train_share * (1 << 30)), int(min(1.0, train_share + calibration_docs / n) * (1 << 30))))
+    # a row or two per language, joined by the engine's own choice
+    share = docs.sparkSession.createDataFrame(shares, "lang string, train long, either long")
+    draw = F.pmod(F.xxhash64("id", "text", F.lit("language sample")), F.lit(1 << 30))
+    drawn = rows.join(share, "lang").where(draw < F.col("either"))
+    return langs, drawn.select("lang", "text", (draw < F.col("train")).alias("trains"))
+
+
+def rejection_limit(entropies: np.ndarray) -> float:
+    """What a further row of the language exceeds with a chance of at most ``REJECT``; infinite where too few rows tell."""
+    rank = int(np.ceil((len(entropies) + 1) * (1 - REJECT)))
+    return float(np.sort(entropies)[rank - 1]) if rank <= len(entropies) else float("inf")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          sample_docs: int = SAMPLE_DOCS):
-    """(model, rejection threshold per language); (None, {}) without labelled rows."""
-    langs, sample = labelled_sample(docs, id_col, text_col, lang_col, sample_docs)
+          sample_docs: int = SAMPLE_DOCS, calibration_docs: int = CALIBRATION_DOCS):
+    """(models, rejection limit per language); (None, {}) without labelled rows."""
+    langs, sample = labelled_sample(docs, id_col, text_col, lang_col, sample_docs, calibration_docs)
     if not langs:
         return None, {}
     at = {l: i for i, l in enumerate(langs)}
-    counted = (sample.where("part > 0 or lang is null").select("lang", "text")
-               .mapInArrow(_count(at), "l int, key long, n long").groupBy("l", "key").agg(F.sum("n").alias("n")).toPandas())
+    counted = (sample.where("trains").select("lang", "text")
+               .mapInArrow(_count(at), "l int, " + ", ".join(f"{c} int" for c in _GRAM) + ", n long")
+               .groupBy("l", *_GRAM).agg(F.sum("n").alias("n")).toPandas())
     if not len(counted):
         return None, {}
-    model = Model(langs, counted["l"].to_numpy().astype(np.int64), counted["key"].to_numpy().view(np.uint64),
-                  counted["n"].to_numpy())
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    models = Models(langs, counted["l"].to_numpy().astype(np.int64), counted[_GRAM].to_numpy().astype(np.int64),
+                    counted["n"].to_numpy())
+    shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def entropies(batches):
-        for b in batches:
-            names = np.array([at[x] for x in b.column(0).to_pylist()], np.int64)
-            h, size, letters = shared.value.cross_entropy(b.column(1).to_pylist())
-            ok = letters > 0
-            yield pa.RecordBatch.from_arrays([pa.array(names[ok].astype(np.int32)), pa.array(h[np.arange(len(h)), names][ok])], ["l", "h"])
-
-    cal = (sample.where("part = 0").select("lang", "text").mapInArrow(entropies, "l int, h double")
-           .groupBy("l").agg(F.percentile_approx("h", QUANTILE).alias("q")).collect())
-    limit = {r["l"]: r["q"] for r in cal}
-    return shared, {i: limit.get(i, float("inf")) for i in range(len(langs))}
+        for big in batches:
+            for b in batches_of(big, 1 << 22):
+                names = np.array([at[x] for x in b.column(0).to_pylist()], np.int64)
+                h, size, letters = shared.value.cross_entropy(b.column(1).to_pylist())
+                ok = letters > 0
+                yield pa.RecordBatch.from_arrays([pa.array(names[ok].astype(np.int32)), pa.array(h[np.arange(len(h)), names][ok])], ["l", "h"])
+
+    # two numbers for each of about calibration_docs rows a language
+    cal = sample.where("not trains").select("lang", "text").mapInArrow(entropies, "l int, h double").toPandas()
+    l, h = cal["l"].to_numpy(), cal["h"].to_numpy(dtype=np.float64)
+    return shared, {i: rejection_limit(h[l == i]) for i in range(len(langs))}
 
 
 def predict(docs: DataFrame, trained, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -43,21 +43,52 @@ def slow_kneser_ney(texts, order):
     return p
 
 
-def test_probabilities_against_the_recursion():
-    texts = ["The cat sat on the mat.", "a cat, a hat", "that THE at"]
+def counted(texts, lang=0):
     codes = L.characters(texts)[0]
-    g = L.grams(codes, L.ORDER)
-    key, n = np.unique(g[codes[L.ORDER - 1:] != L._EDGE], return_counts=True)
-    model = L.Model(["x"], np.zeros(len(key), np.int64), key, n)
+    g = L.windows(codes)
+    grams, n = np.unique(g[g[:, -1] != L._EDGE], axis=0, return_counts=True)
+    return np.full(len(n), lang), grams, n
+
+
+def test_probabilities_against_the_recursion():
+    texts = ["The cat sat on the mat.", "a cat, a hat", "that THE at", "\u4e2d\u6587\u5b57 \u0915\u093f\u0924\u093e\u092c"]
+    models = L.Models(["x"], *counted(texts))
     p = slow_kneser_ney(texts, L.ORDER)
-    for probe in ["the cat", "xyz the", "hat at"]:
+    for probe in ["the cat", "xyz the", "hat at", "\u4e2d\u6587 \u0915\u093f"]:
         codes = L.characters([probe])[0]
         want = [p(tuple(codes[i - L.ORDER + 1:i + 1].tolist())) for i in range(L.ORDER - 1, len(codes))]
-        assert np.allclose(model._logp(L.grams(codes, L.ORDER), L.ORDER)[:, 0], np.log(want), atol=1e-4)
-        h, size, letters = model.cross_entropy([probe, "", probe])
+        assert np.allclose(models.blocks[0]._logp(L.windows(L.spread(codes)), L.ORDER)[:, 0], np.log(want), atol=1e-4)
+        h, size, letters = models.cross_entropy([probe, "", probe])
         assert np.allclose(h[[0, 2], 0], -np.mean(np.log(want)), atol=1e-4) and size[0] == len(probe) and letters[1] == 0
 
 
+def test_code_points_are_not_folded():
+    low = {c.lower()[0] for c in map(chr, range(0x110000)) if c.isalpha()}
+    codes, _, letters = L.characters(["".join(sorted(low))])
+    assert len(set(codes.tolist()) - {L._EDGE}) == len(low) == letters[0]
+    codes, _, letters = L.characters(["\u0915\u093f", "\u093f", "\x01a"])  # a vowel sign stays, yet is no letter
+    assert codes.tolist() == [1] * 4 + [0x915, 0x93f] + [1] * 4 + [0x93f] + [1] * 4 + [0, 97] and letters.tolist() == [1, 0, 1]
+
+
+def test_many_languages_in_blocks():
+    """Twenty languages in three blocks: each one's entropies are those of a model of it alone with the same vocabulary."""
+    rng = np.random.default_rng(3)
+    texts = [[" ".join("".join(rng.choice(list("abcdefgh"), 4)) for _ in range(30))] for _ in range(20)]
+    parts = [counted(t, i) for i, t in enumerate(texts)]
+    models = L.Models([f"l{i:02}" for i in range(20)], *(np.concatenate(x) for x in zip(*parts)))
+    assert [len(b.langs) for b in models.blocks] == [8, 8, 4]
+    h, _, _ = models.cross_entropy([t[0] for t in texts])
+    assert (h.argmin(axis=1) == np.arange(20)).all()
+    alone = L.Models(["x"], np.zeros_like(parts[11][0]), *parts[11][1:])
+    assert L.vocabulary_size(parts[11][1]) == 10 and np.allclose(alone.cross_entropy(texts[11])[0][0, 0], h[11, 11], atol=1e-5)
+
+
+def test_rejection_limit():
+    rng = np.random.default_rng(4)
+    rates = [(rng.normal(size=4000) > L.rejection_limit(rng.normal(size=m))).mean() for m in [99, 150, 1000] for _ in range(60)]
+    assert np.mean(rates) < 1.2 * L.REJECT and L.rejection_limit(rng.normal(size=98)) == float("inf")
+
+
 def test_hash_table():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 50, 5000).astype(np.uint64))
     t = L.HashTable(keys)
@@ -85,3 +116,28 @@ def test_held_out_accuracy_and_edges(spark, edge, empty):
 def test_without_labels(spark, documents, empty):
     assert L.train(empty) == (None, {})
     assert {r["lang_pred"] for r in L.predict(documents, (None, {})).collect()} == {"und"}
+
+
+def test_rejection_rate_and_registered_form(spark):
+    """Of the held-out texts of known languages at most twice the stated share is rejected; score and fold are those of the contract."""
+    from cohortlens.llm.queries import op6_language_id
+    sf = "/root/testdata/sf0.1"
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    got = op6_language_id(spark, sf).collect()
+    assert len(got) == len(lang)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    held = [r for r in got if r["held_out"] and lang[r["doc_id"]]]
+    assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in held]) > 0.99
+    assert np.mean([r["rejected"] for r in held]) <= 2 * L.REJECT
+
+
+def test_few_rows_and_foreign_texts(spark):
+    """A language of a few rows is learnt from all of them, those of one id too; a text in another script lies above the limits."""
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text", "lang").where("lang = 'en'")
+    few = [(1, f"\u0434\u043e\u0431\u0440\u044b\u0439 \u0434\u0435\u043d\u044c {i}", "ru") for i in range(3)]
+    foreign = spark.createDataFrame([(7, "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0\u3067\u3059 " * 20), (8, few[0][1])], "doc_id long, text string")
+    trained = L.train(docs.union(spark.createDataFrame(few, "doc_id long, text string, lang string")))
+    assert trained[1][1] == float("inf") and trained[1][0] < float("inf")
+    odd = {r["doc_id"]: r for r in L.predict(foreign, trained).collect()}
+    assert odd[8]["lang_pred"] == "ru" and not odd[8]["rejected"]
+    assert odd[7]["cross_entropy"] > trained[1][0]  # far above what English texts have
