@@ -260,15 +260,15 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     langs = sorted(per)
     if not langs:
         return [], rows
-    shares = []
-    for lang, n in per.items():
-        train_share = 1.0 if n < FEW else min(TRAIN_SHARE, sample_docs / n)
-        shares.append((lang, int(train_share * (1 << 30)), int(min(1.0, train_share + calibration_docs / n) * (1 << 30))))
-    # a row or two per language, joined by the engine's own choice
-    share = docs.sparkSession.createDataFrame(shares, "lang string, train long, either long")
+    train_share = {lang: 1.0 if n < FEW else min(TRAIN_SHARE, sample_docs / n) for lang, n in per.items()}
+    # two numbers per learnt language, looked up in the scan: no text is shuffled
+    limits = []
+    for lang, share in train_share.items():
+        either = min(1.0, share + calibration_docs / per[lang])
+        limits += [F.lit(lang), F.struct(F.lit(int(share * (1 << 30))).alias("train"), F.lit(int(either * (1 << 30))).alias("either"))]
     draw = F.pmod(F.xxhash64("id", "text", F.lit("language sample")), F.lit(1 << 30))
-    drawn = rows.join(share, "lang").where(draw < F.col("either"))
-    return langs, drawn.select("lang", "text", (draw < F.col("train")).alias("trains"))
+    drawn = rows.withColumn("limit", F.create_map(*limits)[F.col("lang")]).withColumn("draw", draw).where("draw < limit.either")
+    return langs, drawn.select("lang", "text", F.expr("draw < limit.train").alias("trains"))
 
 
 def rejection_limit(entropies: np.ndarray) -> float:
