@@ -1,12 +1,18 @@
 """Operator 3 — toxicity by a linear-chain conditional random field.
 
-Documents carry labels, tokens do not.  From a bounded sample of labelled
-documents Spark counts, for every word and word beginning, the toxic and the
-other documents that hold it; those whose log-odds stand out form a lexicon.
-A token's evidence is the largest log-odds of its word and beginnings.  Sample
-tokens are labelled toxic where a toxic document shows strong evidence, and a
-two-tag chain (emission weights on the evidence, transition weights) is fitted
-to them by conditional maximum likelihood.
+Every token has features: its word, its first and last bytes, its word together
+with the one before and with the one after it in the sentence, its shape (capitals, digits, other scripts,
+length) and whether it opens the sentence.  From a bounded sample of labelled
+documents Spark counts, for every feature, the toxic and the other documents
+that hold it; features whose log-odds stand out on either side get a weight.
+
+Documents carry labels, tokens do not: the tags of tokens are latent.  A clean
+document has no toxic token, a toxic one has at least one, so a document is
+toxic with probability 1 - P(all tags clean) = 1 - 1/Z under the two-tag chain
+(``NOISE`` allows for wrong labels).
+Weights of features, with their log-odds as the prior's mean, and of the moves
+between tags are fitted together to this likelihood by gradient; the expected tags of a toxic document, given that there
+is one, label its tokens anew in every step, as in expectation maximisation.
 
 Scoring: forward-backward over every sentence of every whole text gives each
 token's marginal.  A document's score is a logistic function, fitted on the
@@ -14,13 +20,19 @@ sample, of its largest marginal, their sum, and their sum per token; runs of tok
 with a marginal above one half are the offending spans (code points, end
 exclusive).  All sentences of an Arrow slice advance in lockstep.
 
-The sample: labelled rows outside the held-out fold whose id hash falls below
-the fraction that gives about ``SAMPLE_DOCS`` documents per class.
+The samples: labelled rows outside the held-out fold whose id hash falls below
+the fraction that gives about ``SAMPLE_DOCS`` documents per class count features
+and calibrate; of these about ``CHAIN_DOCS`` per class fit the chain.  All tokens
+of their whole texts take part; for fitting alone, sentences of over
+``CHAIN_TOKENS`` tokens are parted into several, which ignores one move in
+``CHAIN_TOKENS``.
 
 Defined results: a null or empty text has the score of a text without evidence
-and no spans; without a toxic labelled row every score is 0; repeated rows
-score alike; rows without id do not train; an empty table gives an empty
-table; labels, lang, source and id are never inputs of a score.
+and no spans; texts of any length are scored whole; without a toxic or without a
+clean labelled row every score is 0; an id labelled both ways counts as toxic;
+repeated rows score alike; rows without id do not train; an empty table gives an
+empty table; columns other than id, text and label are not read, whatever their
+names; labels, lang, source and id are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -36,50 +48,74 @@ from pyspark.sql import functions as F
 from .common import LOWER_BYTES, Rolling, batches_of, byte_values, held_out, mix64, token_bounds, utf8_view
 
 SAMPLE_DOCS, CHAIN_DOCS = 4000, 400
-CHAIN_TOKENS = 64  # a longer sentence is cut for fitting the chain; scoring never cuts
-PREFIXES = (4, 5, 6, 7)  # bytes
-MIN_SUPPORT, MIN_ODDS, STRONG = 4, 2.0, 3.0
+CHAIN_TOKENS = 64
+PREFIXES, SUFFIXES = (4, 5, 6, 7), (3, 4)  # bytes
+MIN_SUPPORT, MIN_ODDS, RIDGE = 4, 2.0, 1e-3
+NOISE = 0.02  # share of documents without a toxic token that are labelled toxic all the same
 _VALUES = byte_values(3)
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in "\n.!?"]] = True
 
 
-def features(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> List[np.ndarray]:
-    """Hash of every token's word, and of its first bytes where it is longer (0 where it is not)."""
+def features(data: np.ndarray, begin: np.ndarray, end: np.ndarray, heads: np.ndarray) -> List[np.ndarray]:
+    """Hashes of every token's features, one array per kind; 0 where a token has none of that kind.
+
+    ``heads`` are the first tokens of sentences."""
     roll = Rolling(LOWER_BYTES[data], _VALUES)
-    out = [mix64(roll.of(begin, end))]
+    size = end - begin
+    salt = lambda h, kind: mix64(h + np.uint64(kind * 0x9E3779B9))
+    word = mix64(roll.of(begin, end))
+    out = [word]
     for n in PREFIXES:
-        out.append(np.where(end - begin > n, mix64(roll.of(begin, np.minimum(begin + n, end)) + np.uint64(n)), np.uint64(0)))
+        out.append(np.where(size > n, salt(roll.of(begin, np.minimum(begin + n, end)), n), np.uint64(0)))
+    for n in SUFFIXES:
+        out.append(np.where(size > n, salt(roll.of(np.maximum(end - n, begin), end), 10 + n), np.uint64(0)))
+    opens = np.zeros(len(begin) + 1, bool)
+    opens[heads] = True
+    opens[len(begin)] = True
+    before, after = np.zeros_like(word), np.zeros_like(word)
+    before[1:], after[:-1] = word[:-1], word[1:]
+    out.append(np.where(opens[:-1], np.uint64(0), salt(word ^ salt(before, 20), 21)))
+    out.append(np.where(opens[1:], np.uint64(0), salt(word ^ salt(after, 22), 23)))
+    has = lambda mask: np.diff(np.concatenate(([0], np.cumsum(mask)))[np.stack([begin, end])], axis=0)[0]
+    upper, digit, other = has((data >= 65) & (data <= 90)), has((data >= 48) & (data <= 57)), has(data >= 128)
+    shape = (upper > 0) + 2 * (upper == size) + 4 * (digit > 0) + 8 * (other > 0) + 16 * np.minimum(size, 15) + 256 * opens[:-1]
+    out.append(salt(shape.astype(np.uint64), 30))
     return out
 
 
 @dataclass
 class Chain:
-    """The fitted lexicon, chain and calibration."""
+    """The fitted features, chain and calibration."""
 
     keys: np.ndarray  # sorted feature hashes
-    odds: np.ndarray
-    emission: np.ndarray  # bias, weight of the evidence
+    weights: np.ndarray  # of the features, and the bias last
     moves: np.ndarray  # log weights O->T, T->O, T->T (O->O is 0)
     calibration: np.ndarray  # weights of _summary's columns
 
-    def evidence(self, data, begin, end) -> np.ndarray:
-        best = np.zeros(len(begin))
-        if len(self.keys) == 0 or len(begin) == 0:
-            return best
-        # a 2^16 table of leading bits answers most tokens: they are in no lexicon entry
-        if not hasattr(self, "_maybe"):
-            self._maybe = np.zeros(1 << 16, bool)
-            self._maybe[(self.keys >> np.uint64(48)).astype(np.int64)] = True
-        for f in features(data, begin, end):
-            some = np.flatnonzero(self._maybe[(f >> np.uint64(48)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(self.keys, f[some]), len(self.keys) - 1)
-            hit = self.keys[at] == f[some]
-            np.maximum.at(best, some[hit], self.odds[at[hit]])
-        return best
-
-    def emit(self, evidence: np.ndarray) -> np.ndarray:
-        return np.clip(self.emission[0] + self.emission[1] * evidence, -30, 30)
+    def active(self, data, begin, end, heads) -> Tuple[np.ndarray, np.ndarray]:
+        """(token, feature number) of every feature of the model that occurs."""
+        tokens, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(self.keys) and len(begin):
+            # a 2^16 table of leading bits answers most tokens: their feature is not in the model
+            if not hasattr(self, "_maybe"):
+                self._maybe = np.zeros(1 << 16, bool)
+                self._maybe[(self.keys >> np.uint64(48)).astype(np.int64)] = True
+            for f in features(data, begin, end, heads):
+                some = np.flatnonzero(self._maybe[(f >> np.uint64(48)).astype(np.int64)])
+                at = np.minimum(np.searchsorted(self.keys, f[some]), len(self.keys) - 1)
+                hit = self.keys[at] == f[some]
+                tokens.append(some[hit])
+                numbers.append(at[hit])
+        return np.concatenate(tokens), np.concatenate(numbers)
+
+    def emit(self, tokens: np.ndarray, numbers: np.ndarray, n: int) -> np.ndarray:
+        """Log weight of the toxic tag of each of n tokens."""
+        return emission(self.weights, tokens, numbers, n)
+
+
+def emission(weights: np.ndarray, tokens: np.ndarray, numbers: np.ndarray, n: int) -> np.ndarray:
+    return np.clip(weights[-1] + np.bincount(tokens, weights[numbers], minlength=n), -30, 30)
 
 
 def sequences(data, begin, end, first) -> np.ndarray:
@@ -92,18 +128,18 @@ def sequences(data, begin, end, first) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def forward_backward(score: np.ndarray, start: np.ndarray, moves: np.ndarray) -> Tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(marginal of the toxic tag, forward share, backward ratio) of every token.
+def forward_backward(score: np.ndarray, start: np.ndarray, moves: np.ndarray) -> Tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(marginal of the toxic tag, forward share, backward ratio, normaliser) of every token.
 
     forward share: of the toxic tag given the tokens so far; backward ratio: weight of what follows a toxic tag over
-    that of what follows the other."""
+    that of what follows the other; the product of a sentence's normalisers is its Z."""
     n = len(score)
     size = np.diff(np.concatenate((start, [n])))
     order = np.argsort(-size, kind="stable")
     size, at = size[order], start[order]
     e = np.exp(score)
     ot, to, tt = np.exp(moves)
-    f, r = np.zeros(n), np.ones(n)
+    f, r, z = np.zeros(n), np.ones(n), np.ones(n)
     alive = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")
     share = None
     for pos, k in enumerate(alive.tolist()):
@@ -113,37 +149,50 @@ def forward_backward(score: np.ndarray, start: np.ndarray, moves: np.ndarray) ->
         else:
             share = share[:k]
             toxic, other = (share * tt + (1 - share) * ot) * e[i], share * to + (1 - share)
-        share = toxic / (toxic + other)
+        z[i] = toxic + other
+        share = toxic / z[i]
         f[i] = share
     for pos in range(len(alive) - 2, -1, -1):
         k = int(alive[pos + 1])
         i = at[:k] + pos
         next_ = e[i + 1] * r[i + 1]
         r[i] = (tt * next_ + to) / (ot * next_ + 1)
-    return f * r / (f * r + (1 - f)), f, r
-
-
-def fit_chain(evidence: np.ndarray, start: np.ndarray, tags: np.ndarray, steps: int = 100) -> Tuple[np.ndarray, np.ndarray]:
-    """Emission and transition weights by gradient ascent (Adam) on the conditional likelihood, lightly regularised."""
-    theta = np.array([-4.0, 1.0, 0.0, 0.0, 0.0])
-    mean, square = np.zeros(5), np.zeros(5)
-    inner = np.ones(len(evidence), bool)
+    return f * r / (f * r + (1 - f)), f, r, z
+
+
+def fit_chain(tokens: np.ndarray, numbers: np.ndarray, n_features: int, start: np.ndarray, doc: np.ndarray, toxic: np.ndarray,
+              first_guess: np.ndarray, steps: int = 200) -> Tuple[np.ndarray, np.ndarray]:
+    """(weights with the bias last, moves) by gradient ascent (Adam) on the documents' mean likelihood less
+    ``RIDGE`` / 2 times the squared distances from the first guess (of all but the bias).
+
+    ``doc`` is every token's document, ``toxic`` every document's label.  With c = 1 - ``NOISE``: log P(clean) is log c -
+    log Z, whose gradient is minus the expected features; log P(toxic) = log(1 - c / Z), whose gradient is the expected
+    features over Z / c - 1."""
+    n, k = len(doc), n_features + 1
+    prior = np.concatenate((first_guess, [-7.0], np.zeros(3)))
+    theta = prior.copy()
+    ridge = np.full(k + 3, RIDGE)
+    ridge[n_features] = 0
+    mean, square = np.zeros(k + 3), np.zeros(k + 3)
+    inner = np.ones(n, bool)
     inner[start] = False
     b = np.flatnonzero(inner)  # tokens with one before them in the sentence
     a = b - 1
-    seen = np.array([tags.sum(), (tags * evidence).sum(), ((1 - tags[a]) * tags[b]).sum(), (tags[a] * (1 - tags[b])).sum(),
-                     (tags[a] * tags[b]).sum()])
     for t in range(1, steps + 1):
-        score = np.clip(theta[0] + theta[1] * evidence, -30, 30)
-        p, f, r = forward_backward(score, start, theta[2:])
-        ot, to, tt = np.exp(theta[2:])
+        score = emission(theta[:k], tokens, numbers, n)
+        p, f, r, z = forward_backward(score, start, theta[k:])
+        log_z = np.bincount(doc, np.log(z), minlength=len(toxic))
+        pull = np.where(toxic > 0, 1 / (np.exp(np.minimum(log_z, 500)) / (1 - NOISE) - 1), -1.0)[doc]
+        ot, to, tt = np.exp(theta[k:])
         next_ = np.exp(score[b]) * r[b]
         pair = np.stack([(1 - f[a]) * ot * next_, f[a] * to, f[a] * tt * next_])
         pair /= pair.sum(axis=0) + (1 - f[a])
-        grad = (seen - np.array([p.sum(), (p * evidence).sum(), *pair.sum(axis=1)])) / max(len(evidence), 1) - 1e-4 * theta
+        own = p * pull
+        grad = np.concatenate((np.bincount(numbers, own[tokens], minlength=n_features), [own.sum()], (pair * pull[b]).sum(axis=1)))
+        grad = grad / max(len(toxic), 1) - ridge * (theta - prior)
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad ** 2
         theta = theta + 0.1 * (mean / (1 - 0.9 ** t)) / (np.sqrt(square / (1 - 0.99 ** t)) + 1e-12)
-    return theta[:2], theta[2:]
+    return theta[:k], theta[k:]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -174,8 +223,8 @@ def score_slice(chain: Chain, column):
     """(top marginal, sum of marginals, first token, begin, end, marginal, data, starts) of a column of texts."""
     data, starts = utf8_view(column)
     begin, end, first = token_bounds(data, starts)
-    evidence = chain.evidence(data, begin, end)
-    p, _, _ = forward_backward(chain.emit(evidence), sequences(data, begin, end, first), chain.moves)
+    heads = sequences(data, begin, end, first)
+    p = forward_backward(chain.emit(*chain.active(data, begin, end, heads), len(begin)), heads, chain.moves)[0]
     return _per_text(p, first, np.maximum), _per_text(p, first, np.add), first, begin, end, p, data, starts
 
 
@@ -190,10 +239,11 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 continue
             row = np.repeat(np.arange(b.num_rows), np.diff(first)).astype(np.uint64)
             toxic = np.asarray(b.column(0)).astype(bool)
-            for f in features(data, begin, end):
-                pair = np.unique(np.stack([f, row], 1)[f != 0], axis=0)
-                key, which = np.unique(pair[:, 0], return_inverse=True)
-                t = np.bincount(which, weights=toxic[pair[:, 1].astype(np.int64)], minlength=len(key)).astype(np.int64)
+            for f in features(data, begin, end, sequences(data, begin, end, first)):
+                once = np.unique(mix64(f + row * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]  # once a document
+                once = once[f[once] != 0]
+                key, which = np.unique(f[once], return_inverse=True)
+                t = np.bincount(which, weights=toxic[row[once].astype(np.int64)], minlength=len(key)).astype(np.int64)
                 n = np.bincount(which, minlength=len(key))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(t), pa.array(n - t)], ["f", "t", "o"])
 
@@ -214,6 +264,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return per.get(1, 0), per.get(0, 0), sample
 
 
+_PART = ["token", "number", "head", "doc", "label"]  # the sample of the chain, as 32-bit numbers
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           sample_docs: int = SAMPLE_DOCS):
     """A broadcast ``Chain``, or None without toxic labelled rows."""
@@ -229,10 +282,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counted = (sample.select("toxic", "text").mapInArrow(_count_features, "f long, t long, o long")
                .groupBy("f").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
                .withColumn("odds", F.log((F.col("t") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("o") + 0.5) / (n_other + 1.0)))
-               .where((F.col("t") >= MIN_SUPPORT) & (F.col("odds") >= MIN_ODDS)).select("f", "odds").toPandas())
+               .where(((F.col("t") >= MIN_SUPPORT) & (F.col("odds") >= MIN_ODDS)) | ((F.col("o") >= MIN_SUPPORT) & (F.col("odds") <= -MIN_ODDS)))
+               .select("f", "odds").toPandas())
     keys = counted["f"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    chain = Chain(keys[order], counted["odds"].to_numpy()[order].astype(np.float64), np.zeros(2), np.zeros(3), np.zeros(4))
+    keys, guess = keys[order], counted["odds"].to_numpy()[order].astype(np.float64)
+    chain = Chain(keys, np.zeros(len(keys) + 1), np.zeros(3), np.zeros(4))
     share = {1: min(1.0, CHAIN_DOCS / n_toxic), 0: min(1.0, CHAIN_DOCS / n_other)}
     drawn = F.pmod(F.xxhash64("draw"), F.lit(1 << 20)) < F.when(F.col("toxic") == 1, int(share[1] * (1 << 20))).otherwise(int(share[0] * (1 << 20)))
     shared = docs.sparkSession.sparkContext.broadcast(chain)
@@ -242,23 +297,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for b in batches_of(big, 1 << 22):
                 data, starts = utf8_view(b.column(1))
                 begin, end, first = token_bounds(data, starts)
-                evidence = shared.value.evidence(data, begin, end)
                 heads = sequences(data, begin, end, first)
-                tag = np.repeat(np.asarray(b.column(0)), np.diff(first)) * (evidence >= STRONG)
+                tokens, numbers = shared.value.active(data, begin, end, heads)
                 is_head = np.zeros(len(begin), np.int8)
                 is_head[heads] = 1
                 since = np.arange(len(begin)) - heads[np.cumsum(is_head) - 1] if len(begin) else np.zeros(0, int)
                 is_head[since % CHAIN_TOKENS == 0] = 1
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (evidence, is_head, tag.astype(np.int8))],
-                                                 ["e", "h", "y"])
-
-    parts = sample.where(drawn).select("toxic", "text").mapInArrow(chains, "e binary, h binary, y binary").toPandas()
-    if len(parts):
-        evidence = np.concatenate([np.frombuffer(x, np.float64) for x in parts["e"]])
-        heads = np.concatenate([np.frombuffer(x, np.int8) for x in parts["h"]])
-        tags = np.concatenate([np.frombuffer(x, np.int8) for x in parts["y"]]).astype(np.float64)
-        if len(evidence):
-            chain.emission, chain.moves = fit_chain(evidence, np.flatnonzero(heads), tags)
+                doc = np.repeat(np.arange(b.num_rows), np.diff(first))
+                parts = (tokens, numbers, is_head, doc, np.asarray(b.column(0)))
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in parts], _PART)
+
+    got = sample.where(drawn).select("toxic", "text").mapInArrow(chains, ", ".join(f"{c} binary" for c in _PART)).toPandas()
+    parts = {c: [np.frombuffer(x, np.int32).astype(np.int64) for x in got[c]] for c in _PART}
+    sizes = {c: np.cumsum([0] + [len(x) for x in parts[c]]) for c in _PART}
+    if len(got) and sizes["doc"][-1]:
+        # tokens and documents are numbered within a slice: shift them by what the slices before hold
+        shifted = {c: np.concatenate([x + d for x, d in zip(parts[c], sizes[by])]) for c, by in (("token", "doc"), ("doc", "label"))}
+        number, head, label = (np.concatenate(parts[c]) for c in ("number", "head", "label"))
+        chain.weights, chain.moves = fit_chain(shifted["token"], number, len(keys), np.flatnonzero(head), shifted["doc"], label, guess)
     fitted = docs.sparkSession.sparkContext.broadcast(chain)
 
     def summaries(batches):
