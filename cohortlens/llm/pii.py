@@ -11,7 +11,7 @@ e-mail addresses are found from their ``@`` outwards, and digit runs are taken
 whole (possessive), so long junk costs linear time.
 
 Offsets are code points, the end exclusive.  Defined results: a null or empty
-text has no spans; rows are judged one by one, so ties and repeats give equal
+text has no spans; texts of any length are searched whole; rows are judged one by one, so ties and repeats give equal
 rows; an empty table gives an empty table; other columns are not read.
 """
 

@@ -8,7 +8,7 @@ bit pattern, what each rule rejects and what it alone rejects.  Nothing is
 shuffled but those pattern counts.
 
 Defined results: a null or empty text has no words, so all measurements are 0
-and the length rule fails; ties and repeated rows are judged row by row; an
+and the length rule fails; texts of any length are measured whole; ties and repeated rows are judged row by row; an
 empty table gives an empty ledger; other columns of the input are not read, so
 their names cannot clash.
 """

@@ -17,7 +17,7 @@ The model file is read on the driver and sent as a broadcast; it is a fixed
 vocabulary (32,000 pieces, 0.5 MB), independent of the data.
 
 Defined results: a null text has null ids and decodes to null; an empty text
-has no ids; every row gives one row, repeated or not; an empty table gives an
+has no ids; texts of any length are encoded whole; every row gives one row, repeated or not; an empty table gives an
 empty table; columns are chosen by the caller, other names cannot clash.
 """
 

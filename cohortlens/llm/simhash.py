@@ -19,7 +19,7 @@ and small-star joins, each round written to the shared folder.
 
 Defined results: a null or empty text, or one of white space, has fingerprint
 zero and links like any other; fewer words than a shingle: the whole sequence
-is hashed; repeated rows fall into one class; a class's id is the smallest
+is hashed; texts of any length are hashed whole; repeated rows fall into one class; a class's id is the smallest
 non-null doc id (null if it has none); an empty table gives an empty result;
 other columns are not read.
 """

@@ -14,7 +14,7 @@ wins (then the earliest); a URL that none matches is blocked if a ``BLOCKED``
 glob matches, and allowed otherwise.
 
 Defined results: a null URL, or one without ``://``, has an empty host and
-path, no rule, and is allowed; repeated rows are judged row by row; an empty
+path, no rule, and is allowed; URLs of any length are matched whole; repeated rows are judged row by row; an empty
 table gives an empty table; other columns are not read.
 """
 

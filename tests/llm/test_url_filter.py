@@ -39,3 +39,11 @@ def test_globs_over_many_words():
 
 def test_empty(spark):
     assert U.judge(spark.createDataFrame([], "page_id long, url string")).collect() == []
+
+
+def test_long_url(spark):
+    from cohortlens.llm.url_filter import judge
+    path = "/" + "a/" * 20_000
+    rows = [(1, "http://x.org" + path), (2, "http://x.org" + path + "ads/" + "b" * 20_000)]
+    got = {r["page_id"]: r for r in judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[1]["path"] == path and got[1]["verdict"] == "allow" and got[2]["verdict"] == "block"
