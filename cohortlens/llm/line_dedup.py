@@ -5,17 +5,20 @@ of at least ``min_chars`` code points found in at least ``min_docs`` documents
 lose all their lines except in the document with the largest id that holds
 them.
 
-1. Every document's long keys are hashed (64 bits).  Each map task collapses
-   its repeats and sends, per hash shard, one packed block: eight bytes per
-   distinct hash, marked if the task met it in two documents.
+1. Every document's long keys are hashed (64 bits) and digested (SHA-256), once,
+   in the scan.  Each map task collapses the hashes' repeats and sends, per hash
+   shard, one packed block: eight bytes per distinct hash, marked if the task met
+   it in two documents.
 2. A shard task passes its blocks through a once-seen Bloom filter into a
    twice-seen one, then tests the same hashes against the twice-seen filter.
    The filters' size follows the shard's own count of hashes; the number of
    shards follows the count of all hashes (``SHARD_HASHES``).
-3. Only lines whose hash is suspected shuffle, as text: exact confirmation
-   counts distinct documents per key and takes the largest id.  A false
-   positive of the filters costs a shuffled line, never a wrong result.
-4. The places of the lines to drop are gathered per text and joined to it.
+3. Only lines whose hash is suspected are confirmed: their distinct documents
+   are counted per SHA-256 of the key, which stands for the key itself, and the
+   largest id is taken.  A false positive of the filters, or two keys of one
+   64-bit hash, cost a row, never a wrong result.
+4. The places of the lines to drop are gathered per text and joined to it: the
+   only time that texts shuffle.  Until then 32 bytes stand for each line.
 
 Lines are looked up by their place in the text all along, so the work is linear
 in the lines of a text, however many of them are suspected or dropped.
@@ -138,18 +141,16 @@ def drop_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(pid, ptag, gone): an id, the hash of a text under it, and the places (from 0) of the lines that the text loses."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _text_hash(text_col).alias("tag"))
-    long_hash = f"transform({lines_sql('text')}, l -> if(char_length({key_sql('l')}) >= {int(min_chars)}, xxhash64({key_sql('l')}), null))"
-    # 8 bytes a line, read twice
-    hashed = stage_table(src.select("id", "tag", F.expr(long_hash).alias("hs")), "line-hashes")
-    count = hashed.agg(F.sum(F.size("hs"))).first()[0] or 0
+    keys = f"transform({lines_sql('text')}, l -> {key_sql('l')})"
+    names = f"transform({keys}, k -> if(char_length(k) >= {int(min_chars)}, struct(xxhash64(k) as h, unhex(sha2(k, 256)) as key), null))"
+    # 40 bytes a line; the hashes are read twice, the digests once
+    hashed = stage_table(src.select("id", "tag", F.expr(names).alias("lines")), "line-hashes")
+    count = hashed.agg(F.sum(F.size("lines.h"))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // SHARD_HASHES))
-    distinct = hashed.select(F.expr("explode(array_distinct(filter(hs, h -> h is not null)))").alias("h"))
+    distinct = hashed.select(F.expr("explode(array_distinct(filter(lines.h, h -> h is not null)))").alias("h"))
     suspects = stage_table(suspected_hashes(distinct, shards), "line-suspects")
-    places = (hashed.select(F.col("id").alias("pid"), F.col("tag").alias("ptag"), F.posexplode("hs").alias("pos", "h"))
-              .where("h is not null").join(suspects, "h").groupBy("pid", "ptag").agg(F.collect_set("pos").alias("places")))
-    split = src.withColumn("lines", F.expr(lines_sql("text"))).join(places, _same(src, "id", "tag"))
-    line = F.expr(f"explode(transform(places, p -> struct(p as pos, {key_sql('lines[p]')} as key)))")
-    pairs = stage_table(split.select("pid", "ptag", line.alias("line")).select("pid", "ptag", "line.*"), "line-pairs")
+    found = hashed.select(F.col("id").alias("pid"), F.col("tag").alias("ptag"), F.posexplode("lines").alias("pos", "line")).where("line is not null")
+    pairs = stage_table(found.select("pid", "ptag", "pos", "line.h", "line.key").join(suspects, "h").drop("h"), "line-pairs")
     # written, so that both sides of the join are exchanges and a hot key of ``pairs`` can be split
     holders = pairs.select("key", F.col("pid").alias("last"), F.expr("if(pid is null, ptag, null)").alias("last_tag")).distinct()
     repeated = stage_table(holders.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("last").alias("last"), F.max("last_tag").alias("last_tag"))
@@ -163,7 +164,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The input with ``text_col`` rewritten; ``counts`` names optional columns for lines before and lines dropped."""
     drops = drop_places(docs, id_col, text_col, min_chars, min_docs)
     base = docs.select(F.col(id_col).alias("_id"), _text_hash(text_col).alias("_tag"),
-                       F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))
+                       F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("_row"), F.col(text_col).alias("_text"))
     lines = base.join(drops, _same(base, "_id", "_tag"), "left").withColumn("_lines", F.expr(lines_sql("_text")))
     # Set difference and look-up by place: linear, where a test per line against a list would not be.
     kept = "if(gone is null, _lines, transform(array_except(sequence(0, size(_lines) - 1), gone), i -> _lines[i]))"

@@ -63,6 +63,27 @@ def test_rows_without_an_id_are_documents(spark):
     assert {(r["doc_id"], r["text"]) for r in D.drop_lines(docs).collect()} == {(None, ""), (None, "row"), (4, line)}
 
 
+def test_texts_shuffle_once(spark, monkeypatch, tmp_path):
+    """Only the hashes are written from the texts: what confirms the suspects never reads a text again, and the last join carries it once."""
+    rows = [(i, f"A line that all of these rows have in common\nrow {i}", "en") for i in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(path := f"{tmp_path}/documents")
+    staged = []
+    monkeypatch.setattr(D, "stage_table", lambda df, name, stage=D.stage_table: staged.append((name, df)) or stage(df, name))
+    out = D.drop_lines(spark.read.parquet(path))
+    assert sorted(r["text"] for r in out.collect()) == sorted(["row 0", "row 1", "row 2", "row 3", "row 4", rows[5][1]])
+    assert [name for name, df in staged if any(path in f for f in df.inputFiles())] == ["line-hashes"]
+    assert not any(f.dataType.simpleString() == "string" for _, df in staged for f in df.schema)
+    joined = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "struct(doc_id," in joined and ", text, text#" not in joined
+
+
+def test_keys_alike_but_not_equal(spark):
+    """Keys that differ in their first or last character only, or in a letter that A-Z lower-casing leaves, are counted apart."""
+    stem = "a line of text that many rows nearly share"
+    rows = [(i, f"{c}{stem}\n{stem}{c}") for i, c in enumerate("xxyyyzzzzÉÉéé")]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
 def test_linear_in_the_lines_of_a_text(spark):
     """Three copies of one long text lose nearly all of its lines; twice the lines take about twice the time, not four times."""
     def seconds(n):
